@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import bpe, exact_dedup, packing, pii
+from pulseloom.llm import bpe, exact_dedup, packing, pii, secrets
 from pulseloom.sources.tables import table
 
 
@@ -26,11 +26,16 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
     "op8_bpe": op8_bpe,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLES: dict[str, str] = {
