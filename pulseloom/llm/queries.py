@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import bpe, exact_dedup, html_text, line_dedup, packing, pii, secrets
+from pulseloom.llm import bpe, exact_dedup, html_text, line_dedup, packing, pii, secrets, toxicity
 from pulseloom.sources.tables import table
 
 
@@ -38,7 +38,12 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
