@@ -16,11 +16,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The classifier is fitted on at most so many labelled rows of each class, those of smallest hash.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 4_000, 8_000
+SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 #: Lengths of the n-grams in characters, white space at both ends of a text included.
 LENGTHS = (3, 4, 5)
+#: From the space before each word, longer n-grams up to this length are taken too.
+WORD_LENGTH = 13
 #: An n-gram is a feature if it is in so many sampled documents and among so many that tell the classes apart best.
-LEAST_DOCS, FEATURES = 8, 16_384
+LEAST_DOCS, CANDIDATES, FEATURES = 4, 65_536, 2_048
+#: Sampled documents that a task counts.
+TASK_DOCS = 800
+#: Of the logistic regression, on squared weights.
+REGULARISATION = 1e-3
 #: Added to both counts of an n-gram.
 SMOOTHING = 1.0
 #: predicted is 1 from this score on.
@@ -40,17 +46,25 @@ def _characters(text: str) -> np.ndarray:
     return np.frombuffer(f" {text.lower()} ".replace("\n", " ").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
 def _hashes(chars: np.ndarray) -> list[np.ndarray]:
-    """64-bit hashes of the n-grams of each length, by their first character."""
-    out, h = [], chars
+    """64-bit hashes of the n-grams: of each of LENGTHS anywhere, of longer ones from a space on."""
+    out, h, size = [], chars, len(chars)
     for n in range(2, max(LENGTHS) + 1):
-        if len(chars) < n:
-            h = np.zeros(0, np.uint64)
-        else:
-            h = h[: len(chars) - n + 1] * _STEP + chars[n - 1 :]
+        h = h[: max(0, size - n + 1)] * _STEP + chars[n - 1 :]
         if n in LENGTHS:
-            mixed = (h ^ (h >> np.uint64(31))) * _MIX
-            out.append(mixed ^ (mixed >> np.uint64(29)))
+            out.append(_mixed(h))
+    at = np.flatnonzero(chars[: len(h)] == 32)
+    h = h[at]
+    for n in range(max(LENGTHS) + 1, WORD_LENGTH + 1):
+        inside = at + n - 1 < size
+        at, h = at[inside], h[inside]
+        h = h * _STEP + chars[at + n - 1]
+        out.append(_mixed(h))
     return out
 
 
@@ -73,7 +87,7 @@ class Model:
 
     def present(self, text: str) -> np.ndarray:
         """The features (places in keys) that a text has."""
-        found, chars, longest = [], _characters(text), max(LENGTHS)
+        found, chars, longest = [], _characters(text), WORD_LENGTH
         for at in range(0, max(1, len(chars) - 1), CHUNK):
             for h in _hashes(chars[at : at + CHUNK + longest - 1]):
                 h = h[self.may[(h >> np.uint64(44)).astype(np.int64)]]
@@ -102,45 +116,63 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
 
-    spark = docs.sparkSession
-    rows = sample(docs, labels).repartition(12, "doc_id").persist()
+    rows = sample(docs, labels).persist()
     try:
         by_class = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
         toxic, clean = by_class.get(1, 0), by_class.get(0, 0)
         prior = float(np.log((toxic + 1) / (clean + 1)))
+        nothing = Model(np.zeros(0, np.uint64), np.zeros(0), prior)
         if not toxic or not clean:
-            return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
+            return nothing
+        rows = rows.repartition(-(-(toxic + clean) // TASK_DOCS), "doc_id").persist()
 
         def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                for toxic_is in (0, 1):
-                    own = [ngrams(t) for t in pdf["text"][pdf["toxic"] == toxic_is]]
-                    if own:
-                        keys, n = np.unique(np.concatenate(own), return_counts=True)
-                        yield pd.DataFrame({"key": keys.view(np.int64), "toxic": toxic_is * n, "clean": (1 - toxic_is) * n})
-
-        counts = rows.mapInPandas(count, "key long, toxic long, clean long").groupBy("key").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q"))
-        counts = counts.where(F.col("p") + F.col("q") >= LEAST_DOCS)
-        # how far the two shares differ, against their common spread
-        p, q = (F.col("p") + SMOOTHING) / (toxic + 2 * SMOOTHING), (F.col("q") + SMOOTHING) / (clean + 2 * SMOOTHING)
-        both = (F.col("p") + F.col("q") + 2 * SMOOTHING) / (toxic + clean + 4 * SMOOTHING)
-        gap = (p - q) * (p - q) / (both * (1 - both) + 1e-9)
-        best = counts.select("key", F.log(p / q).alias("ratio"), gap.alias("gap")).orderBy(F.desc("gap"), "key").limit(FEATURES).toPandas()
-        if not len(best):
-            return Model(np.zeros(0, np.uint64), np.zeros(0), prior)
-        keys = best["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, ratio = keys[order], best["ratio"].to_numpy()[order]
+                own = [[ngrams(t) for t in pdf["text"][pdf["toxic"] == c]] for c in (0, 1)]
+                keys, n = np.unique(np.concatenate(own[0] + own[1]), return_counts=True)
+                keys = keys[n > 1]  # candidates occur twice in some batch; they are counted in full afterwards
+                for c in (0, 1):
+                    found, n = np.unique(np.concatenate(own[c]), return_counts=True) if own[c] else (keys[:0], keys[:0])
+                    some = np.isin(found, keys, assume_unique=True)
+                    yield pd.DataFrame({"key": found[some].view(np.int64), "toxic": c * n[some].astype(np.int64), "clean": (1 - c) * n[some].astype(np.int64)})
+
+        def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                n = np.zeros((2, len(candidates.keys)), np.int64)
+                for t, c in zip(pdf["text"], pdf["toxic"], strict=True):
+                    n[c, candidates.present(t)] += 1
+                some = np.flatnonzero(n.sum(0))
+                yield pd.DataFrame({"key": candidates.keys[some].view(np.int64), "toxic": n[1, some], "clean": n[0, some]})
+
+        def best(counted: DataFrame, most: int) -> pd.DataFrame:
+            """The n-grams whose shares in the two classes differ most against their common spread, ``most`` at most."""
+            counted = counted.groupBy("key").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where(F.col("p") + F.col("q") >= LEAST_DOCS)
+            p, q = (F.col("p") + SMOOTHING) / (toxic + 2 * SMOOTHING), (F.col("q") + SMOOTHING) / (clean + 2 * SMOOTHING)
+            both = (F.col("p") + F.col("q") + 2 * SMOOTHING) / (toxic + clean + 4 * SMOOTHING)
+            gap = (p - q) * (p - q) / (both * (1 - both) + 1e-9)
+            return counted.select("key", F.log(p / q).alias("ratio"), gap.alias("gap")).orderBy(F.desc("gap"), "key").limit(most).toPandas()
+
+        def sorted_keys(found: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            keys = found["key"].to_numpy(np.int64).view(np.uint64)
+            return keys[np.argsort(keys)], found["ratio"].to_numpy()[np.argsort(keys)]
+
+        counts = "key long, toxic long, clean long"
+        keys, _ = sorted_keys(best(rows.mapInPandas(count, counts), CANDIDATES))
+        if not len(keys):
+            return nothing
+        candidates = Model(keys, np.zeros(len(keys)), 0.0)
+        keys, ratio = sorted_keys(best(rows.mapInPandas(recount, counts), FEATURES))
         blank = Model(keys, np.zeros(len(keys)), 0.0)
 
         def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield pd.DataFrame({"label": pdf["toxic"].astype(float), "places": [blank.present(t).tolist() for t in pdf["text"]]})
+                weight = np.where(pdf["toxic"] == 1, 0.5 / toxic, 0.5 / clean) * (toxic + clean)  # both classes count alike
+                yield pd.DataFrame({"label": pdf["toxic"].astype(float), "weight": weight, "places": [blank.present(t).tolist() for t in pdf["text"]]})
 
         n = len(keys)
         vector = F.udf(lambda places: Vectors.sparse(n, places, [float(ratio[k]) for k in places]), VectorUDT())
-        data = rows.mapInPandas(present, "label double, places array<int>").select("label", vector("places").alias("features")).persist()
-        fit = LogisticRegression(maxIter=40, regParam=1e-3, standardization=False).fit(data)
+        data = rows.mapInPandas(present, "label double, weight double, places array<int>").select("label", "weight", vector("places").alias("features")).persist()
+        fit = LogisticRegression(maxIter=50, regParam=REGULARISATION, standardization=False, weightCol="weight").fit(data)
         data.unpersist()
         return Model(keys, ratio * fit.coefficients.toArray(), float(fit.intercept))
     finally:
