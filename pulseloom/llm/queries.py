@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import bpe, exact_dedup, html_text, line_dedup, packing, pii, secrets, toxicity
+from pulseloom.llm import bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, secrets, toxicity
 from pulseloom.sources.tables import table
 
 
@@ -42,9 +42,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
+    "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_packing": op7_packing,
