@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import bpe, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, secrets, toxicity
+from pulseloom.llm import bpe, embedding_dedup, exact_dedup, html_text, line_dedup, near_dedup, packing, pii, secrets, toxicity
 from pulseloom.sources.tables import table
 
 
@@ -46,9 +46,14 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_html_text": op2_html_text,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
     "op5_pii": op5_pii,
     "op6_exact_dedup": op6_exact_dedup,
