@@ -31,4 +31,4 @@ def register_tables(name: str, run: Callable[[SparkSession, str], DataFrame], or
 
 def with_readings(sql: str) -> str:
     sql = sql.strip()
-    return f"WITH {READINGS}, {sql[4:].lstrip()}" if sql[:5].upper() == "WITH " else f"WITH {READINGS} {sql}"
+    return f"WITH RECURSIVE {READINGS}, {sql[4:].lstrip()}" if sql[:5].upper() == "WITH " else f"WITH {READINGS} {sql}"
