@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from pulseloom.llm.components import components
-from pulseloom.llm.work import staged
+from pulseloom.llm.work import staged, tidy
 
 #: Base of the register scale, rows of a band, bands. At similarity 0.8 a pair shares no band once in a million times.
 BASE, ROWS, BANDS = 1.2, 7, 52
@@ -31,7 +31,7 @@ MARGIN = 14.0
 #: Documents of a block; families are searched by pairs of blocks.
 BLOCK = 512
 #: The table of word hashes is emptied at so many entries.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 100_000
 
 _GAMMA, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -200,9 +200,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
                 "set_id": [None if s is None else xxhash.xxh3_128_digest(s.tobytes()) for s in some],
                 "sketch": [None if s is None else sketch(s).tobytes() for s in some],
             })
+        _HASHES.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = staged(rows.mapInPandas(sketches, "doc_id long, n long, set_id binary, sketch binary"), "sketches")
+    found = staged(rows.mapInPandas(tidy(sketches), "doc_id long, n long, set_id binary, sketch binary"), "sketches")
     first = F.min(F.struct("doc_id", "n", "sketch")).alias("first")
     classes = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(first).select("set_id", F.col("first.doc_id").alias("rep"), "first.n", "first.sketch")
     classes = staged(classes, "classes")
@@ -230,7 +231,7 @@ def _families(classes: DataFrame, threshold: float) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(pdf[f"sketch_{c}"]), np.uint8).reshape(-1, REGISTERS) for c in "ab")
                 yield pdf.loc[may_reach(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float), threshold), ["a", "b"]]
 
-    return components(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(judge, "a long, b long"))
+    return components(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(tidy(judge), "a long, b long"))
 
 
 def _roots(rows: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
@@ -249,9 +250,10 @@ def _roots(rows: DataFrame, families: DataFrame, size: int, percent: int) -> Dat
             nodes = group["node"].to_numpy()
             roots = nodes[search([shingles(t, size) for t in group["text"]], percent)]
             yield pd.DataFrame({"a": nodes, "b": roots, "blocks": group["blocks"].to_numpy()})
+        _HASHES.clear()
 
     ordered = with_text.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = staged(ordered.mapInPandas(link, "a long, b long, blocks int"), "links")
+    found = staged(ordered.mapInPandas(tidy(link), "a long, b long, blocks int"), "links")
     single = found.where("blocks = 1").select(F.col("a").alias("rep"), F.col("b").alias("root"))
     several = components(found.where("blocks > 1").select("a", "b"))
     return single.unionByName(several.select(F.col("node").alias("rep"), F.col("component").alias("root")))

@@ -22,12 +22,14 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from pulseloom.llm.work import tidy
+
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
 TOKENS, SEGMENTS, LOSS = 1024, 64, 1024
 #: Pieces that a task keeps pending.
 POOL = 1024
 #: The table of words is emptied at so many entries; longer words aren't kept in it.
-TABLE_WORDS, TABLE_CHARS = 400_000, 40
+TABLE_WORDS, TABLE_CHARS = 150_000, 40
 #: The id behind each document.
 END_ID = 0
 
@@ -218,7 +220,7 @@ def _packed(df: DataFrame, examples, limits: tuple[int, int, int], with_ids: boo
         packer.finish()
         yield packer.drain() if with_ids else packer.drain().drop(columns="ids")
 
-    return df.mapInPandas(run, COLUMNS + ", ids binary" * with_ids)
+    return df.mapInPandas(tidy(run), COLUMNS + ", ids binary" * with_ids)
 
 
 def pack_documents(docs: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), with_ids: bool = False) -> DataFrame:

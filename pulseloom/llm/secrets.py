@@ -17,6 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from pulseloom.llm.work import tidy
+
 # The patterns of the base kinds, and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -147,5 +149,5 @@ def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
             texts = [None if t is None else redacted(t, mark) for t in batch.column(k).to_pylist()]
             yield batch.set_column(k, "text", pa.array(texts, pa.string()))
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(tidy(run), schema)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if counted else out

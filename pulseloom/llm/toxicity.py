@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from pulseloom.llm.work import tidy
+
 #: The classifier is fitted on at most so many labelled rows of each class, those of smallest hash.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 #: Lengths of the n-grams in characters, white space at both ends of a text included.
@@ -157,11 +159,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             return keys[np.argsort(keys)], found["ratio"].to_numpy()[np.argsort(keys)]
 
         counts = "key long, toxic long, clean long"
-        keys, _ = sorted_keys(best(rows.mapInPandas(count, counts), CANDIDATES))
+        keys, _ = sorted_keys(best(rows.mapInPandas(tidy(count), counts), CANDIDATES))
         if not len(keys):
             return nothing
         candidates = Model(keys, np.zeros(len(keys)), 0.0)
-        keys, ratio = sorted_keys(best(rows.mapInPandas(recount, counts), FEATURES))
+        keys, ratio = sorted_keys(best(rows.mapInPandas(tidy(recount), counts), FEATURES))
         blank = Model(keys, np.zeros(len(keys)), 0.0)
 
         def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
         n = len(keys)
         vector = F.udf(lambda places: Vectors.sparse(n, places, [float(ratio[k]) for k in places]), VectorUDT())
-        data = rows.mapInPandas(present, "label double, weight double, places array<int>").select("label", "weight", vector("places").alias("features")).persist()
+        data = rows.mapInPandas(tidy(present), "label double, weight double, places array<int>").select("label", "weight", vector("places").alias("features")).persist()
         fit = LogisticRegression(maxIter=50, regParam=REGULARISATION, standardization=False, weightCol="weight").fit(data)
         data.unpersist()
         return Model(keys, ratio * fit.coefficients.toArray(), float(fit.intercept))
@@ -190,7 +192,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score, "predicted": (score >= TOXIC_FROM).astype(int)})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInPandas(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -214,4 +216,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(t or "") < TOXIC_FROM for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +44,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that hands freed memory back to the system when its rows are done.
+
+    Python workers live on from stage to stage; without this each keeps the most
+    that any of its tasks took.
+    """
+
+    def tidied(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # not a GNU system
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
