@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from pulseloom.operators.aggregates import KEYS, r6, with_mad
-from pulseloom.operators.windows import SERIES, rolling_centered
+from pulseloom.operators.windows import rolling_centered, series
 
-GROUP = Window.partitionBy(*KEYS)
+
+def group():
+    """Each person's readings of a type."""
+    return Window.partitionBy(*KEYS)
 
 
 def zscore(m: DataFrame, least: int = 5) -> DataFrame:
     """tanh(|z| / 3) per reading, for series of ``least`` readings or more that vary."""
-    rows = m.withColumn("mu", F.avg("value").over(GROUP)).withColumn("sd", F.stddev_samp("value").over(GROUP)).withColumn("n", F.count(F.lit(1)).over(GROUP))
+    rows = m.withColumn("mu", F.avg("value").over(group())).withColumn("sd", F.stddev_samp("value").over(group())).withColumn("n", F.count(F.lit(1)).over(group()))
     rows = rows.where((F.col("n") >= least) & (F.col("sd") > 0))
     return rows.select("event_id", *KEYS, F.tanh(F.abs(F.col("value") - F.col("mu")) / F.col("sd") / 3).alias("score"))
 
@@ -37,7 +40,7 @@ def lof(m: DataFrame, k: int = 5) -> DataFrame:
     """Local outlier factor of the values of a series: in one dimension the k nearest lie within k places in value order."""
     w = Window.partitionBy(*KEYS).orderBy("value", "event_id")
     near = F.collect_list(F.struct("value", "event_id")).over(w.rowsBetween(-k, k))
-    rows = m.withColumn("n", F.count(F.lit(1)).over(GROUP)).where(F.col("n") > k).withColumn("near", near)
+    rows = m.withColumn("n", F.count(F.lit(1)).over(group())).where(F.col("n") > k).withColumn("near", near)
     others = F.transform(F.filter("near", lambda s: s.event_id != F.col("event_id")), lambda s: F.struct(F.abs(s.value - F.col("value")).alias("d"), s.event_id.alias("id")))
     rows = rows.withColumn("knn", F.slice(F.array_sort(others), 1, k)).withColumn("k_distance", F.element_at("knn", k).d)
     links = rows.select(*KEYS, "event_id", F.explode("knn").alias("o")).select(*KEYS, "event_id", F.col("o.d").alias("d"), F.col("o.id").alias("other"))
@@ -50,7 +53,7 @@ def lof(m: DataFrame, k: int = 5) -> DataFrame:
 def envelope(m: DataFrame, share: float = 0.5) -> DataFrame:
     """Distance from the robust centre: the h consecutive values (in order) of least variance, h = floor(n share) + 1."""
     w = Window.partitionBy(*KEYS).orderBy("value", "event_id")
-    rows = m.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(GROUP)).where("n >= 5").withColumn("h", F.floor(F.col("n") * share).cast("int") + 1)
+    rows = m.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(group())).where("n >= 5").withColumn("h", F.floor(F.col("n") * share).cast("int") + 1)
     s = w.rowsBetween(Window.unboundedPreceding, 0)
     sums = rows.withColumn("s1", F.sum("value").over(s)).withColumn("s2", F.sum(F.col("value") * F.col("value")).over(s))
     before = sums.select(*KEYS, (F.col("k") + F.col("h")).alias("k"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
@@ -64,9 +67,9 @@ def envelope(m: DataFrame, share: float = 0.5) -> DataFrame:
 
 def seasonal(m: DataFrame, period: int = 7) -> DataFrame:
     """tanh of the residual (over its deviation, over three) after the mean of each phase of the series is taken off."""
-    rows = m.withColumn("phase", F.row_number().over(SERIES) % period).withColumn("n", F.count(F.lit(1)).over(GROUP)).where(F.col("n") >= 2 * period)
+    rows = m.withColumn("phase", F.row_number().over(series()) % period).withColumn("n", F.count(F.lit(1)).over(group())).where(F.col("n") >= 2 * period)
     rows = rows.withColumn("residual", F.col("value") - F.avg("value").over(Window.partitionBy(*KEYS, "phase")))
-    rows = rows.withColumn("sd", F.stddev_pop("residual").over(GROUP)).where("sd > 0")
+    rows = rows.withColumn("sd", F.stddev_pop("residual").over(group())).where("sd > 0")
     return rows.select("event_id", *KEYS, F.tanh(F.abs(F.col("residual")) / F.col("sd") / 3).alias("score"))
 
 
@@ -101,9 +104,9 @@ def simultaneous(m: DataFrame) -> DataFrame:
 
 def pattern_report(m: DataFrame) -> DataFrame:
     """Anomalies per type and hour, and how many follow another within three places of the series."""
-    rows = m.withColumn("k", F.row_number().over(SERIES))
+    rows = m.withColumn("k", F.row_number().over(series()))
     hits = ensemble(m).where("is_anomaly").select("event_id").join(rows, "event_id")
-    near = F.col("k") - F.lag("k").over(SERIES) <= 3
+    near = F.col("k") - F.lag("k").over(series()) <= 3
     return hits.withColumn("near", F.coalesce(near, F.lit(False))).groupBy("metric_type", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("clustered"), r6(F.avg("value")).alias("mean_value"), F.max("value").alias("max_value"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulseloom.functions.stats import normal_cdf
 from pulseloom.operators.aggregates import KEYS, r6
 from pulseloom.operators.trends import forecast_features
-from pulseloom.operators.windows import SERIES
+from pulseloom.operators.windows import series
 
 FEATURES = ["hour", "weekday", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "lag_1", "lag_2", "lag_3"]
 
@@ -154,7 +154,7 @@ def motifs(m: DataFrame, length: int = 4, k: int = 3) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     z = (F.col("value") - F.avg("value").over(Window.partitionBy(*KEYS))) / F.stddev_pop("value").over(Window.partitionBy(*KEYS))
-    rows = m.withColumn("z", z).withColumn("shape", F.collect_list("z").over(SERIES.rowsBetween(0, length - 1))).where(F.size("shape") == length)
+    rows = m.withColumn("z", z).withColumn("shape", F.collect_list("z").over(series().rowsBetween(0, length - 1))).where(F.size("shape") == length)
     rows = rows.select("metric_type", "shape", array_to_vector("shape").alias("features"))
     done = KMeans(k=k, seed=7, maxIter=10).fit(rows).transform(rows)
     return done.groupBy("metric_type", F.col("prediction").alias("motif")).agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(F.get("shape", F.lit(i)))).alias(f"at_{i}") for i in range(length)])

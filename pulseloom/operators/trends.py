@@ -7,9 +7,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulseloom.functions.labels import label
 from pulseloom.functions.stats import t_two_sided
 from pulseloom.operators.aggregates import KEYS, r6
-from pulseloom.operators.windows import SERIES, rolling_centered
+from pulseloom.operators.windows import rolling_centered, series
 
-GROUP = Window.partitionBy(*KEYS)
+
+def group():
+    """Each person's readings of a type."""
+    return Window.partitionBy(*KEYS)
 
 
 def _days(c: str = "ts") -> Column:
@@ -18,7 +21,7 @@ def _days(c: str = "ts") -> Column:
 
 def linear_trend(m: DataFrame, least: int = 5) -> DataFrame:
     """OLS of value on elapsed days: slope a day, week and month, r2, standard error, p, direction and strength."""
-    rows = m.withColumn("x", _days() - F.min(_days()).over(GROUP))
+    rows = m.withColumn("x", _days() - F.min(_days()).over(group()))
     g = rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"),
         F.regr_r2("value", "x").alias("r2"), F.regr_sxx("value", "x").alias("sxx"), F.regr_syy("value", "x").alias("syy"),
@@ -31,7 +34,7 @@ def linear_trend(m: DataFrame, least: int = 5) -> DataFrame:
 
 def mann_kendall(m: DataFrame, least: int = 4) -> DataFrame:
     """Mann-Kendall S, tau and the normal z of each series against its order."""
-    rows = m.withColumn("k", F.row_number().over(SERIES))
+    rows = m.withColumn("k", F.row_number().over(series()))
     a = rows.select(*KEYS, F.col("k").alias("i"), F.col("value").alias("x"))
     b = rows.select(*KEYS, F.col("k").alias("j"), F.col("value").alias("y"))
     g = a.join(b, KEYS).where("i < j").groupBy(*KEYS).agg(F.sum(F.signum(F.col("y") - F.col("x"))).alias("s"), F.sum(F.abs(F.signum(F.col("y") - F.col("x")))).alias("untied"), F.max("j").alias("n"))
@@ -63,9 +66,9 @@ def seasonal_strength(m: DataFrame, period: int = 7) -> DataFrame:
 
 def change_points(m: DataFrame, least: int = 3) -> DataFrame:
     """The best single split of each series by squared error: both sides have ``least`` rows; gain as a share of the whole error."""
-    w = SERIES.rowsBetween(Window.unboundedPreceding, 0)
-    v = F.col("value") - F.avg("value").over(GROUP)
-    rows = m.withColumn("v", v).withColumn("k", F.row_number().over(SERIES)).withColumn("n", F.count(F.lit(1)).over(GROUP)).withColumn("sse", F.sum("v").over(GROUP) * 0 + F.var_pop("value").over(GROUP))
+    w = series().rowsBetween(Window.unboundedPreceding, 0)
+    v = F.col("value") - F.avg("value").over(group())
+    rows = m.withColumn("v", v).withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(group())).withColumn("sse", F.sum("v").over(group()) * 0 + F.var_pop("value").over(group()))
     rows = rows.withColumn("s", F.sum("v").over(w)).where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least) & (F.col("sse") > 0))
     # sums of the centred series: the gain of a split after k is s^2 / k + s^2 / (n - k)
     gain = F.col("s") * F.col("s") * (1 / F.col("k") + 1 / (F.col("n") - F.col("k")))
@@ -116,7 +119,7 @@ def seasonality(m: DataFrame, most: int = 14) -> DataFrame:
 
 def forecast_linear(m: DataFrame, h: int = 7, least: int = 5) -> DataFrame:
     """The OLS line of each series' order carried on h steps, with the residual deviation's interval."""
-    rows = m.withColumn("k", F.row_number().over(SERIES))
+    rows = m.withColumn("k", F.row_number().over(series()))
     g = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("value", "k").alias("b"), F.regr_intercept("value", "k").alias("a"), F.regr_syy("value", "k").alias("syy"), F.regr_r2("value", "k").alias("r2")).where(F.col("n") >= least)
     sd = F.sqrt((1 - F.coalesce("r2", F.lit(0.0))) * F.col("syy") / (F.col("n") - 2))
     g = g.withColumn("half", 1.96 * sd * F.sqrt(1 + 1 / F.col("n"))).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(h))))
@@ -131,7 +134,7 @@ def forecast_features(m: DataFrame) -> DataFrame:
     return m.select(
         "event_id", *KEYS, "value", h.alias("hour"), d.alias("weekday"), F.dayofmonth("ts").alias("day"), F.month("ts").alias("month"),
         turn(h, 24, F.sin).alias("hour_sin"), turn(h, 24, F.cos).alias("hour_cos"), turn(d, 7, F.sin).alias("weekday_sin"), turn(d, 7, F.cos).alias("weekday_cos"),
-        *[F.lag("value", k).over(SERIES).alias(f"lag_{k}") for k in (1, 2, 3, 7)],
+        *[F.lag("value", k).over(series()).alias(f"lag_{k}") for k in (1, 2, 3, 7)],
     )
 
 
@@ -154,7 +157,7 @@ def forecast_holt(m: DataFrame, h: int = 7, grid: tuple[float, ...] = (0.1, 0.3,
 
 def forecast_ensemble(m: DataFrame, h: int = 7) -> DataFrame:
     """Linear and smoothing forecasts, weighted by the inverse of their in-sample errors."""
-    rows = m.withColumn("k", F.row_number().over(SERIES))
+    rows = m.withColumn("k", F.row_number().over(series()))
     rmse = rows.groupBy(*KEYS).agg(F.sqrt((1 - F.coalesce(F.regr_r2("value", "k"), F.lit(0.0))) * F.regr_syy("value", "k") / F.count(F.lit(1))).alias("rmse"), F.count(F.lit(1)).alias("n"))
     a = forecast_linear(m, h).select(*KEYS, "step", F.col("forecast").alias("f1"))
     b = forecast_holt(m, h).select(*KEYS, "step", F.col("forecast").alias("f2"), "sse")

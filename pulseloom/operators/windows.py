@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from pulseloom.operators.aggregates import KEYS, r6
 
-SERIES = Window.partitionBy(*KEYS).orderBy("ts", "event_id")
+
+def series():
+    """Each person's readings of a type in order of time."""
+    return Window.partitionBy(*KEYS).orderBy("ts", "event_id")
 
 
 def latest(m: DataFrame) -> DataFrame:
@@ -22,16 +25,16 @@ def last_n(m: DataFrame, n: int = 3) -> DataFrame:
 
 def gaps(m: DataFrame, hours: float = 25) -> DataFrame:
     """Pairs of consecutive readings more than ``hours`` apart."""
-    g = m.withColumn("previous", F.lag("ts").over(SERIES))
+    g = m.withColumn("previous", F.lag("ts").over(series()))
     span = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("previous").cast("timestamp"))) / 3.6e9
     return g.withColumn("gap_hours", r6(span)).where(F.col("gap_hours") > hours).select(*KEYS, "previous", "ts", "gap_hours")
 
 
 def lag_roll_features(m: DataFrame) -> DataFrame:
     """Lags 1, 2, 3 and 7, and trailing means and deviations over 3 and 7 rows (null until full)."""
-    out = [F.lag("value", k).over(SERIES).alias(f"lag_{k}") for k in (1, 2, 3, 7)]
+    out = [F.lag("value", k).over(series()).alias(f"lag_{k}") for k in (1, 2, 3, 7)]
     for n in (3, 7):
-        w = SERIES.rowsBetween(-(n - 1), 0)
+        w = series().rowsBetween(-(n - 1), 0)
         full = F.count("value").over(w) == n
         out += [r6(F.when(full, F.avg("value").over(w))).alias(f"mean_{n}"), r6(F.when(full, F.stddev_samp("value").over(w))).alias(f"sd_{n}")]
     return m.select("event_id", *KEYS, "value", *out)
@@ -40,10 +43,10 @@ def lag_roll_features(m: DataFrame) -> DataFrame:
 def rolling_centered(m: DataFrame, n: int = 5) -> DataFrame:
     """Centred mean and deviation over n rows; the ends take the nearest full window."""
     before, after = n // 2, n - n // 2 - 1
-    w = SERIES.rowsBetween(-before, after)
+    w = series().rowsBetween(-before, after)
     full = F.count("value").over(w) == n
     rows = m.withColumn("mean", F.when(full, F.avg("value").over(w))).withColumn("sd", F.when(full, F.stddev_samp("value").over(w)))
-    ahead, behind = SERIES.rowsBetween(Window.unboundedPreceding, 0), SERIES.rowsBetween(0, Window.unboundedFollowing)
+    ahead, behind = series().rowsBetween(Window.unboundedPreceding, 0), series().rowsBetween(0, Window.unboundedFollowing)
     fill = lambda c: F.coalesce(F.last(c, True).over(ahead), F.first(c, True).over(behind))
     return rows.select("event_id", *KEYS, "ts", "value", fill("mean").alias("mean"), fill("sd").alias("sd"))
 
@@ -51,16 +54,16 @@ def rolling_centered(m: DataFrame, n: int = 5) -> DataFrame:
 def filled(m: DataFrame, every: int = 3) -> DataFrame:
     """Values, of which each ``every``-th is taken as missing, filled forward, then backward."""
     rows = m.withColumn("seen", F.when(F.col("event_id") % every != 0, F.col("value")))
-    ahead = F.last("seen", True).over(SERIES.rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first("seen", True).over(SERIES.rowsBetween(0, Window.unboundedFollowing))
+    ahead = F.last("seen", True).over(series().rowsBetween(Window.unboundedPreceding, 0))
+    behind = F.first("seen", True).over(series().rowsBetween(0, Window.unboundedFollowing))
     return rows.select("event_id", *KEYS, F.coalesce(ahead, behind).alias("filled"))
 
 
 def ma_trend(m: DataFrame, band: float = 0.1) -> DataFrame:
     """Direction of the moving average over the min(7, n / 3) rows before each row, from its first to its last."""
-    rows = m.withColumn("k", F.row_number().over(SERIES)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
+    rows = m.withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
     rows = rows.withColumn("w", F.least(F.lit(7), F.floor(F.col("n") / 3)).cast("int")).where("n >= 6")
-    past = [F.lag("value", i).over(SERIES) for i in range(1, 8)]
+    past = [F.lag("value", i).over(series()) for i in range(1, 8)]
     mean = sum((F.when(F.col("w") >= i, past[i - 1]).otherwise(0.0) for i in range(1, 8)), F.lit(0.0)) / F.col("w")
     rows = rows.withColumn("ma", F.when(F.col("k") > F.col("w"), mean))
     g = rows.where(F.col("ma").isNotNull()).groupBy(*KEYS).agg(F.min_by("ma", "k").alias("first"), F.max_by("ma", "k").alias("last"), F.count(F.lit(1)).alias("points"))
@@ -70,7 +73,7 @@ def ma_trend(m: DataFrame, band: float = 0.1) -> DataFrame:
 
 def thirds_trend(m: DataFrame) -> DataFrame:
     """Means of the first and last third of each series, and direction beyond 10 %."""
-    rows = m.withColumn("k", F.row_number().over(SERIES)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
+    rows = m.withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS)))
     third = F.floor(F.col("n") / 3)
     g = rows.where("n >= 6").groupBy(*KEYS).agg(F.avg(F.when(F.col("k") <= third, F.col("value"))).alias("a"), F.avg(F.when(F.col("k") > F.col("n") - third, F.col("value"))).alias("b"))
     change = (F.col("b") - F.col("a")) / F.col("a")
