@@ -11,21 +11,29 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulseloom.llm.work import staged
 
+#: Edges that a step writes to a file.
+EDGES_PER_FILE = 250_000
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b")).first())
 
 
-def _star(pairs: DataFrame, larger: bool) -> DataFrame:
-    """One step over directed pairs (a, b): every b of an a is tied to the smallest of a and its neighbours."""
-    least = staged(pairs.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("least", "a")), "least")
+def _star(pairs: DataFrame, larger: bool, files: int) -> DataFrame:
+    """One step over directed pairs (a, b): every b of an a is tied to the smallest of a and its neighbours.
+
+    What a step writes goes to ``files`` files, in proportion to the edges: small
+    graphs don't pay for a task and a file per shuffle partition at each step.
+    """
+    least = pairs.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("least", "a"))
+    least = staged(least.coalesce(files), "least")
     tied = pairs.join(least, "a")
     if larger:
         tied = tied.where(F.col("b") > F.col("a"))
         out = tied.select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:
         out = tied.select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(least.select("a", F.col("least").alias("b")))
-    return staged(out.where(F.col("a") != F.col("b")).distinct(), "star")
+    return staged(out.where(F.col("a") != F.col("b")).distinct().coalesce(files), "star")
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -43,7 +51,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if not before[0]:
             break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        edges = _star(_star(both, True), False)
+        files = 1 + before[0] // EDGES_PER_FILE
+        edges = _star(_star(both, True, files), False, files)
         now = _state(edges)
         if now == before:
             break
