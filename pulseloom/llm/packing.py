@@ -13,8 +13,9 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +53,7 @@ class ByteWords:
 
     ODD = re.compile(r" \s|\s ")
     CUT = re.compile(r"(?<=\S) (?=\S)")
+    ASCII_WHITE = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
     def __init__(self, json_path: str, rank_path: str):
         import public_tokenizers
@@ -67,33 +69,45 @@ class ByteWords:
         self.library.no_padding()
         self.library.no_truncation()
         self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.table: dict[str, bytes] = {}
+        self.table = _Table(self._ids)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.ranks.encode_ordinary(text), "<u4").tobytes()
+        ids = self.ranks.encode_ordinary(text)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _is_odd(self, text: str) -> bool:
+        """Whether some space has white space next to it."""
+        if text.isascii():
+            return "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in self.ASCII_WHITE)
+        return bool(self.ODD.search(text))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if any(s in text for s in self.special):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self.ODD.search(text):
+        if self._is_odd(text):
             at = [0, *(m.start() for m in self.CUT.finditer(text)), len(text)]
             words = [text[a + 1 : b] for a, b in zip(at[1:], at[2:], strict=False)]
             first = text[: at[1]]
         else:
             first, *words = text.split(" ")
-        table = self.table
-        if new := set(words).difference(table):
-            if len(table) + len(new) > TABLE_WORDS:
-                table = self.table = {}
-                new = set(words)
-            for w in new:
-                table[w] = self._ids(" " + w)
-        out = self._ids(first) + b"".join(map(table.__getitem__, words))
-        for w in new:
-            if len(w) > TABLE_CHARS:
-                del table[w]
-        return out
+        if len(self.table) >= TABLE_WORDS:
+            self.table.clear()
+        return self._ids(first) + b"".join(map(self.table.__getitem__, words))
+
+
+class _Table(dict):
+    """Ids of words with the space before them; what is missing is encoded, and kept if it is short and there is room."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(" " + word)
+        if len(word) <= TABLE_CHARS and len(self) < TABLE_WORDS:
+            self[word] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
