@@ -26,7 +26,7 @@ WORD_LENGTH = 13
 #: An n-gram is a feature if it is in so many sampled documents and among so many that tell the classes apart best.
 LEAST_DOCS, CANDIDATES, FEATURES = 4, 65_536, 2_048
 #: Sampled documents that a task counts.
-TASK_DOCS = 800
+TASK_DOCS = 300
 #: Of the logistic regression, on squared weights.
 REGULARISATION = 1e-3
 #: Added to both counts of an n-gram.
