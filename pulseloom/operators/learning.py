@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.functions.stats import normal_cdf
@@ -211,5 +209,3 @@ def pattern_summary(clusters: DataFrame, associations: DataFrame) -> DataFrame:
     b = associations.select(F.lit("association").alias("kind"), F.concat_ws("~", "m1", "m2").alias("pattern"), F.abs("r").alias("confidence"))
     return a.unionByName(b).withColumn("stored", F.col("confidence") >= F.when(F.col("kind") == "behaviour", 0.3).otherwise(0.6))
 
-
-PI = math.pi

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulseloom.functions.labels import label
 from pulseloom.operators import correlations as C
 from pulseloom.operators.aggregates import KEYS, r6
-from pulseloom.operators.anomalies import details, ensemble
-from pulseloom.operators.relations import anomaly_alerts, before_after, interventions
+from pulseloom.operators.anomalies import details
+from pulseloom.operators.relations import before_after, interventions
 from pulseloom.operators.trends import linear_trend
 from pulseloom.operators.windows import latest
 
@@ -144,5 +144,3 @@ def circadian_patterns(grid: DataFrame) -> DataFrame:
     g = hours.groupBy("metric_type").agg(F.max_by("h", F.struct(F.round("mean", 9), -F.col("h"))).alias("peak_hour"), F.min_by("h", F.struct(F.round("mean", 9), "h")).alias("trough_hour"), (F.max("mean") - F.min("mean")).alias("amplitude"), (1 - F.avg("sd") / F.max("sd")).alias("consistency"), F.min_by("h", F.struct(F.round("sd", 9), "h")).alias("steadiest_hour"))
     return g.select("metric_type", "peak_hour", "trough_hour", r6("amplitude").alias("amplitude"), r6("consistency").alias("consistency"), "steadiest_hour")
 
-
-__all__ = ["alerts", "anomaly_alerts", "ensemble"]

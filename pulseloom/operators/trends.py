@@ -68,11 +68,11 @@ def change_points(m: DataFrame, least: int = 3) -> DataFrame:
     """The best single split of each series by squared error: both sides have ``least`` rows; gain as a share of the whole error."""
     w = series().rowsBetween(Window.unboundedPreceding, 0)
     v = F.col("value") - F.avg("value").over(group())
-    rows = m.withColumn("v", v).withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(group())).withColumn("sse", F.sum("v").over(group()) * 0 + F.var_pop("value").over(group()))
-    rows = rows.withColumn("s", F.sum("v").over(w)).where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least) & (F.col("sse") > 0))
+    rows = m.withColumn("v", v).withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(group())).withColumn("spread", F.var_pop("value").over(group()))
+    rows = rows.withColumn("s", F.sum("v").over(w)).where((F.col("k") >= least) & (F.col("n") - F.col("k") >= least) & (F.col("spread") > 0))
     # sums of the centred series: the gain of a split after k is s^2 / k + s^2 / (n - k)
     gain = F.col("s") * F.col("s") * (1 / F.col("k") + 1 / (F.col("n") - F.col("k")))
-    return rows.select(*KEYS, "k", "n", "ts", gain.alias("gain"), (gain / (F.col("sse") * F.col("n"))).alias("share")).groupBy(*KEYS).agg(F.max_by(F.struct("k", "ts", "share"), F.struct(F.round("gain", 6), -F.col("k"))).alias("b"), F.max("n").alias("n")).select(*KEYS, F.col("b.k").alias("split_after"), F.col("b.ts").alias("split_ts"), "n", F.col("b.share").alias("share"))
+    return rows.select(*KEYS, "k", "n", "ts", gain.alias("gain"), (gain / (F.col("spread") * F.col("n"))).alias("share")).groupBy(*KEYS).agg(F.max_by(F.struct("k", "ts", "share"), F.struct(F.round("gain", 6), -F.col("k"))).alias("b"), F.max("n").alias("n")).select(*KEYS, F.col("b.k").alias("split_after"), F.col("b.ts").alias("split_ts"), "n", F.col("b.share").alias("share"))
 
 
 def rolling_change_flags(m: DataFrame, n: int = 5, limit: float = 1.5) -> DataFrame:

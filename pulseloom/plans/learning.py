@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import learning as L
 from pulseloom.operators.anomalies import isolation_forest
-from pulseloom.plans.core import O
 from pulseloom.plans.outcomes import _associations
 from pulseloom.plans.registry import register
 
@@ -32,5 +31,3 @@ c AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, c
 SELECT user_id, day, round(t2, 6) AS t2, round(exp(-t2 / 2), 6) AS p, round(t2, 6) > 11.618286 AS is_anomaly FROM t""")
 register("ano_12_contextual", L.contextual)
 register("tst_8_normality", L.normality)
-
-__all__ = ["O"]

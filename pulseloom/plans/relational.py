@@ -82,7 +82,6 @@ WITH u AS (SELECT DISTINCT user_id AS id FROM m), k AS (SELECT id, 'p' || id AS
 b AS (SELECT address, first(id ORDER BY rank, id) AS id FROM k GROUP BY address), s AS (SELECT event_id AS message_id, CASE WHEN event_id % 2 = 0 THEN 'p' ELSE 'a' END || (event_id % 400) AS address FROM m)
 SELECT message_id, address, id AS user_id FROM s LEFT JOIN b USING (address)""")
 
-R_SQL = "WHERE n >= {least} AND r IS NOT NULL AND NOT isnan(r)"
 PEARSON = """SELECT {keys}, n, round(r, 6) AS r, round(r * sqrt((n - 2) / (1 - r * r)), 6) AS t, round(tanh(atanh(r) - 1.96 / sqrt(n - 3)), 6) AS ci_low, round(tanh(atanh(r) + 1.96 / sqrt(n - 3)), 6) AS ci_high,
 """ + label_sql("r", "correlation") + """ AS strength FROM ({src}) WHERE n >= {least} AND r IS NOT NULL AND NOT isnan(r)"""
 COLS = ("n", "r", "t", "ci_low", "ci_high", "strength")

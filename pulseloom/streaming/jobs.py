@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulseloom.operators.aggregates import KEYS, baselines
+from pulseloom.operators.aggregates import baselines
 from pulseloom.operators.relations import score_against_baseline
 from pulseloom.sources.readings import readings
 from pulseloom.sources.shared import shared_path
@@ -100,7 +100,3 @@ def refresh_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     reading_stream(spark, sf_dir).select("event_id").writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/data")
 
-
-JOBS: dict[str, Callable[[DataFrame], DataFrame]] = {"ingest": ingest, "recent_activity": recent_activity, "tumbling_stats": tumbling_stats, "session_stream": session_stream}
-
-__all__ = ["JOBS", "KEYS"]
