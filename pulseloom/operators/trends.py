@@ -163,3 +163,16 @@ def forecast_ensemble(m: DataFrame, h: int = 7) -> DataFrame:
     b = forecast_holt(m, h).select(*KEYS, "step", F.col("forecast").alias("f2"), "sse")
     j = a.join(b, [*KEYS, "step"]).join(rmse, KEYS).withColumn("w1", 1 / F.greatest("rmse", F.lit(1e-6))).withColumn("w2", 1 / F.greatest(F.sqrt(F.col("sse") / (F.col("n") - 1)), F.lit(1e-6)))
     return j.select(*KEYS, "step", ((F.col("f1") * F.col("w1") + F.col("f2") * F.col("w2")) / (F.col("w1") + F.col("w2"))).alias("forecast"), F.when(F.col("w1") >= F.col("w2"), "linear").otherwise("smoothing").alias("best"))
+
+
+def trend_summary(m: DataFrame) -> DataFrame:
+    """Per series: the trend of the first method that sees one (regression, then Mann-Kendall, then the change point), and an outlook."""
+    a = linear_trend(m).select(*KEYS, "slope", F.when(F.col("se") > 0, F.col("slope") / F.col("se")).alias("t"))
+    b = mann_kendall(m).select(*KEYS, "tau", "z")
+    c = change_points(m).select(*KEYS, "share")
+    j = m.select(*KEYS).distinct().join(a, KEYS, "left").join(b, KEYS, "left").join(c, KEYS, "left")
+    by = F.when(F.abs("t") >= 2, "regression").when(F.abs("z") >= 1.96, "mann_kendall").when(F.col("share") >= 0.5, "change_point").otherwise("none")
+    sign = F.when(by == "regression", F.signum("slope")).when(by == "mann_kendall", F.signum("tau")).otherwise(0.0)
+    direction = F.when(sign > 0, "increasing").when(sign < 0, "decreasing").otherwise("stable")
+    outlook = F.when(direction == "increasing", "likely to rise").when(direction == "decreasing", "likely to fall").when(by == "change_point", "has moved to another level").otherwise("no change expected")
+    return j.select(*KEYS, by.alias("method"), direction.alias("direction"), (by != "none").alias("significant"), outlook.alias("outlook"))

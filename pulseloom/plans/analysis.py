@@ -84,3 +84,14 @@ register("fcs_6_forecast_holt", lambda m: rounded(T.forecast_holt(m)), f"WITH {H
 register("fcs_8_forecast_ensemble", lambda m: rounded(T.forecast_ensemble(m)), f"""
 WITH {LF}, {HOLT}, j AS (SELECT fl.user_id, fl.metric_type, fl.step, f, forecast, 1 / greatest(sqrt((1 - r2) * syy / n), 1e-6) AS w1, 1 / greatest(sqrt(sse / (n - 1)), 1e-6) AS w2 FROM fl JOIN hf USING (user_id, metric_type, step) JOIN fg USING (user_id, metric_type))
 SELECT {K}, step, round((f * w1 + forecast * w2) / (w1 + w2), 6) AS forecast, CASE WHEN w1 >= w2 THEN 'linear' ELSE 'smoothing' END AS best FROM j""")
+register("trd_8_trend_summary", T.trend_summary, f"""
+WITH {LIN}, k AS (SELECT *, row_number() OVER {O} AS k, count(*) OVER {P} AS n, value - avg(value) OVER {P} AS v, var_pop(value) OVER {P} AS sse FROM m),
+g AS (SELECT a.user_id, a.metric_type, sum(sign(b.value - a.value)) AS s, sum(abs(sign(b.value - a.value))) AS u, max(b.k)::INT AS n FROM k a JOIN k b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND a.k < b.k GROUP BY ALL),
+mk AS (SELECT {K}, s, CASE WHEN s > 0 THEN s - 1 WHEN s < 0 THEN s + 1 ELSE 0 END / sqrt(n * (n - 1) * (2 * n + 5) / 18) AS z FROM g WHERE n >= 4 AND u > 0),
+c AS (SELECT *, sum(v) OVER (PARTITION BY user_id, metric_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM k), cp AS (SELECT {K}, s * s * (1 / k + 1 / (n - k)) / (sse * n) AS share FROM c WHERE k >= 3 AND n - k >= 3 AND sse > 0
+QUALIFY row_number() OVER (PARTITION BY user_id, metric_type ORDER BY round(s * s * (1 / k + 1 / (n - k)), 6) DESC, k) = 1),
+j AS (SELECT {K}, slope, slope / sqrt((1 - r2) * syy / (lg2.n - 2) / sxx) AS t, mk.s, z, share FROM (SELECT DISTINCT {K} FROM m) LEFT JOIN lg2 USING ({K}) LEFT JOIN mk USING ({K}) LEFT JOIN cp USING ({K})),
+d AS (SELECT *, CASE WHEN abs(t) >= 2 THEN 'regression' WHEN abs(z) >= 1.96 THEN 'mann_kendall' WHEN share >= 0.5 THEN 'change_point' ELSE 'none' END AS method FROM j),
+e AS (SELECT *, CASE WHEN method = 'regression' THEN sign(slope) WHEN method = 'mann_kendall' THEN sign(s) ELSE 0 END AS way FROM d)
+SELECT {K}, method, CASE WHEN way > 0 THEN 'increasing' WHEN way < 0 THEN 'decreasing' ELSE 'stable' END AS direction, method <> 'none' AS significant,
+CASE WHEN way > 0 THEN 'likely to rise' WHEN way < 0 THEN 'likely to fall' WHEN method = 'change_point' THEN 'has moved to another level' ELSE 'no change expected' END AS outlook FROM e""")

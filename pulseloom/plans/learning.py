@@ -11,7 +11,12 @@ from pulseloom.plans.registry import register
 
 for number, kind in ((3, "ridge"), (4, "forest"), (5, "boosting")):
     register(f"fcs_{number}_forecast_{kind}", lambda m, kind=kind: L.forecast_model(m, kind))
-register("fcs_7_forecast_css", L.forecast_css)
+register("fcs_7_forecast_css", L.forecast_css, """
+WITH hv AS (SELECT user_id, metric_type, list(value ORDER BY ts, event_id) AS v FROM m GROUP BY user_id, metric_type HAVING count(*) >= 5), ga AS (SELECT unnest([-0.6, -0.3, 0.0, 0.3, 0.6])::DOUBLE AS phi), gb AS (SELECT unnest([-0.6, -0.3, 0.0, 0.3, 0.6])::DOUBLE AS theta),
+r(user_id, metric_type, phi, theta, v, k, before, err, sse) AS (SELECT user_id, metric_type, phi, theta, v, 2, v[2] - v[1], 0.0::DOUBLE, 0.0::DOUBLE FROM hv CROSS JOIN ga CROSS JOIN gb
+UNION ALL SELECT user_id, metric_type, phi, theta, v, k + 1, v[k + 1] - v[k], v[k + 1] - v[k] - phi * before - theta * err, sse + pow(v[k + 1] - v[k] - phi * before - theta * err, 2) FROM r WHERE k < len(v)),
+b AS (SELECT *, len(v) - 2 AS n FROM r WHERE k = len(v) QUALIFY row_number() OVER (PARTITION BY user_id, metric_type ORDER BY round(sse, 4), phi, theta) = 1)
+SELECT user_id, metric_type, phi, theta, round(sse, 6) AS sse, round(v[len(v)] + phi * before + theta * err, 6) AS forecast, round(n * ln(greatest(sse / n, 1e-12)) + 4, 6) AS aic FROM b""")
 register("fcs_9_global_models", L.global_models)
 register("pat_3_behaviour_clusters", lambda m: L.behaviour_clusters(m).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 register("pat_4_state_clusters", L.state_clusters)

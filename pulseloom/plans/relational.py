@@ -98,7 +98,10 @@ ct AS (SELECT *, sum(c) OVER (PARTITION BY user_id) AS n, sum(c) OVER (PARTITION
 mi AS (SELECT user_id, max(n)::BIGINT AS n, sum(c / n * ln(c * n / (cx * cy))) AS mi, sum(-c / n * ln(cx / n)) AS hx, sum(-c / n * ln(cy / n)) AS hy FROM ct GROUP BY ALL)"""
 register("cor_4_mutual_information", lambda m: rounded(C.mutual_information(R.daily_pairs(m, "click", "view"), U)),
          f"WITH {PAIRS}, {MI.format(bins=4)} SELECT user_id, n, round(mi, 6) AS mi, CASE WHEN least(hx, hy) > 0 THEN round(mi / least(hx, hy), 6) END AS normalised FROM mi")
-register("cor_5_mic_grid", lambda m: rounded(C.mic_grid(R.daily_pairs(m, "click", "view"), U)))
+GRIDS = ", ".join(MI.format(bins=k).replace("nt AS", f"nt{k} AS").replace("FROM nt ", f"FROM nt{k} ").replace("cl AS", f"cl{k} AS").replace("FROM cl)", f"FROM cl{k})").replace("ct AS", f"ct{k} AS").replace("FROM ct ", f"FROM ct{k} ").replace("mi AS (", f"mi{k} AS (") for k in (2, 3, 4))
+register("cor_5_mic_grid", lambda m: rounded(C.mic_grid(R.daily_pairs(m, "click", "view"), U)), f"""
+WITH {PAIRS}, {GRIDS}, s AS (SELECT user_id, n, 2 AS bins, mi / ln(2) AS score FROM mi2 UNION ALL SELECT user_id, n, 3, mi / ln(3) FROM mi3 UNION ALL SELECT user_id, n, 4, mi / ln(4) FROM mi4)
+SELECT user_id, max(n) AS n, round(max(score), 6) AS mic FROM s WHERE bins * bins <= greatest(4, pow(n, 0.6)) GROUP BY user_id""")
 
 
 def _grid(m):
