@@ -25,6 +25,8 @@ from pulseloom.llm.work import staged
 PER_CELL, MOST_PIVOTS = 4_096, 512
 #: Vectors of a block.
 BLOCK = 4_096
+#: Rows of a block that are compared at once; so many times BLOCK pairs are held at the most.
+ROWS_AT_ONCE = 512
 #: Products in single precision are confirmed in double within so much of the threshold.
 SLACK = 1e-3
 
@@ -59,9 +61,8 @@ def link_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarr
     return a[keep], b[keep]
 
 
-def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest place that each of n places reaches by the links."""
-    root = np.arange(n)
+def spanning(a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The smallest place that each place reaches by the links and those that ``root`` stands for."""
     while True:
         low = np.minimum(root[a], root[b])
         new = root.copy()
@@ -140,17 +141,21 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
             x = np.frombuffer(b"".join(g["unit"]), "<f8").reshape(len(g), -1)
             left = np.flatnonzero(g["home"] & (g["block"] == i))
             right = np.flatnonzero(~g["home"]) if j < 0 else np.flatnonzero(g["home"] & (g["block"] == j))
-            a, b = link_pairs(x[left], x[right], threshold)
-            a, b = left[a], right[b]
-            if i == j:
-                a, b = a[a < b], b[a < b]
             weight, rep = g["weight"].to_numpy(), g["rep"].to_numpy()
-            links = np.bincount(a, weight[b], len(g)) + np.bincount(b, weight[a], len(g))
-            some = np.flatnonzero(links)
             order = np.argsort(rep, kind="stable")
             where = np.empty(len(g), np.int64)
             where[order] = np.arange(len(g))
-            root = rep[order][spanning(where[a], where[b], len(g))][where]
+            links, reached = np.zeros(len(g)), np.arange(len(g))
+            for at in range(0, len(left), ROWS_AT_ONCE):
+                own = left[at : at + ROWS_AT_ONCE]
+                a, b = link_pairs(x[own], x[right], threshold)
+                a, b = own[a], right[b]
+                if i == j:
+                    a, b = a[a < b], b[a < b]
+                links += np.bincount(a, weight[b], len(g)) + np.bincount(b, weight[a], len(g))
+                reached = spanning(where[a], where[b], reached)
+            some = np.flatnonzero(links)
+            root = rep[order][reached][where]
             yield pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "root": root[some]})
 
     keys = ["width", "cell", "i", "j"]

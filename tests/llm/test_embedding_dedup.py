@@ -40,6 +40,7 @@ def test_matches_brute_force(spark, monkeypatch):
     rows = vectors()
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, weight int").repartition(3)
     want = brute(rows, 0.9)
+    monkeypatch.setattr(ed, "ROWS_AT_ONCE", 16)
     for per_cell, block in ((4096, 4096), (40, 4096), (30, 25)):
         monkeypatch.setattr(ed, "PER_CELL", per_cell)
         monkeypatch.setattr(ed, "BLOCK", block)
