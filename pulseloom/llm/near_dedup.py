@@ -5,8 +5,10 @@ Poisson stream of points to registers at random, a register keeps its first
 point, truncated to an exponential scale (merging two sketches is a maximum).
 Documents with equal sets are one class. Classes that share a band of registers
 are tied to the first and last class of the band; pairs that the joint
-likelihood of both sketches rules out are dropped; what is still tied is a
-family. Families are searched in full, in blocks, with whole shingle sets.
+likelihood of both sketches rules out are dropped. Where a band still falls into
+several parts, all pairs of its classes that aren't tied yet are judged as well,
+in blocks. What is tied in the end is a family. Families are searched in full,
+in blocks, with whole shingle sets.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ OFFSET = 40
 MARGIN = 14.0
 #: Documents of a block; families are searched by pairs of blocks.
 BLOCK = 512
+#: Classes of a block of a crowded band; its pairs are judged by pairs of blocks.
+BAND_BLOCK = 2048
+#: Pairs of a crowded band with so many standard deviations fewer equal registers than at the threshold aren't judged further.
+SCREEN = 7.0
 #: The table of word hashes is emptied at so many entries.
 TABLE_WORDS = 100_000
 
@@ -128,6 +134,26 @@ def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, th
     return (most[:, 0] >= threshold - 1e-12) & ((estimate >= threshold) | (values.max(1) - at_threshold <= MARGIN))
 
 
+def tie(sketches: np.ndarray, sizes: np.ndarray, parts: np.ndarray, sides: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Places of pairs that tie ``parts`` of a band together: every pair of two parts and two sides is judged, unless it is tied by then."""
+    # whatever the sizes are, registers are equal with this chance or a larger one at the threshold
+    chance = 1 - _share(np.array(1 - threshold))
+    least = REGISTERS * chance - SCREEN * np.sqrt(REGISTERS * chance * (1 - chance))
+    parts, found = np.unique(parts, return_inverse=True)[1], []
+    for i in range(len(parts) - 1):
+        j = i + 1 + np.flatnonzero((parts[i + 1 :] != parts[i]) & (sides[i + 1 :] != sides[i]))
+        if len(j):
+            j = j[np.count_nonzero(sketches[j] == sketches[i], axis=1) >= least]
+        if len(j):
+            a = np.broadcast_to(sketches[i], (len(j), REGISTERS))
+            j = j[may_reach(a, sketches[j], np.full(len(j), float(sizes[i])), sizes[j].astype(float), threshold)]
+        for k in j:
+            if parts[k] != parts[i]:
+                found.append((i, int(k)))
+                parts[parts == parts[k]] = parts[i]
+    return found
+
+
 def linked(common: np.ndarray, n_a, n_b, percent: int) -> np.ndarray:
     """100 * intersection >= percent * union."""
     return 100 * common >= percent * (n_a + n_b - common)
@@ -220,8 +246,9 @@ def _families(classes: DataFrame, threshold: float) -> DataFrame:
     """(node, component): classes tied by bands, without the pairs that the likelihood rules out."""
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", k * ROWS + 1, ROWS)) for k in range(BANDS)])
     bands = classes.select("rep", F.explode(keys).alias("band"))
-    ends = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    tied = bands.join(staged(ends, "bands"), "band").select("rep", F.explode(F.array("low", "high")).alias("center")).where("rep != center")
+    ends = bands.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    ends = staged(ends, "bands")
+    tied = bands.join(ends, "band").select("rep", F.explode(F.array("low", "high")).alias("center")).where("rep != center")
     pairs = staged(tied.select(F.least("rep", "center").alias("a"), F.greatest("rep", "center").alias("b")).distinct(), "pairs")
     side = lambda c: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
 
@@ -231,7 +258,39 @@ def _families(classes: DataFrame, threshold: float) -> DataFrame:
                 a, b = (np.frombuffer(b"".join(pdf[f"sketch_{c}"]), np.uint8).reshape(-1, REGISTERS) for c in "ab")
                 yield pdf.loc[may_reach(a, b, pdf["n_a"].to_numpy(float), pdf["n_b"].to_numpy(float), threshold), ["a", "b"]]
 
-    return components(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(tidy(judge), "a long, b long"))
+    parts = staged(components(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(tidy(judge), "a long, b long")), "parts")
+    # the ends have been judged with all of the band, so bands of up to three are done
+    inner = bands.join(ends.where("size > 3"), "band").where("rep != low AND rep != high").select("band", "rep")
+    more = staged(_ties(inner, classes, parts, threshold), "ties")
+    if more.isEmpty():
+        return parts
+    return components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+
+
+def _ties(inner: DataFrame, classes: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): what ties the parts of each band of ``inner`` (band, rep), by all pairs of different parts, in blocks."""
+    inner = inner.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("part"))
+    inner = staged(inner, "inner")
+    # bands of the same classes are judged once
+    same = [F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("y")]
+    split = inner.groupBy("band").agg(*same, F.min("part").alias("first"), F.max("part").alias("last")).where("first < last")
+    split = staged(split.groupBy("size", "x", "y").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("size") / BAND_BLOCK).cast("int").alias("blocks")), "split")
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
+    placed = inner.join(split, "band").select("band", "rep", "part", own.alias("own"), F.explode(others).alias("at")).select("band", "rep", "part", "own", "at.i", "at.j")
+    with_sketch = placed.join(classes.select("rep", "n", "sketch"), "rep")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _grouped(batches, ["band", "i", "j"]):
+            group = group.sort_values("rep")
+            reps = group["rep"].to_numpy()
+            sides = group["own"].to_numpy() if group["i"].iloc[0] < group["j"].iloc[0] else np.arange(len(group))
+            sketches = np.frombuffer(b"".join(group["sketch"]), np.uint8).reshape(-1, REGISTERS)
+            found = tie(sketches, group["n"].to_numpy(), group["part"].to_numpy(), sides, threshold)
+            yield pd.DataFrame({"a": [reps[i] for i, _ in found], "b": [reps[k] for _, k in found]}, dtype="int64")
+
+    ordered = with_sketch.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return ordered.mapInPandas(tidy(judge), "a long, b long").distinct()
 
 
 def _roots(rows: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:

@@ -90,3 +90,33 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(df).collect()}
     assert got == {**{i: 1 for i in range(1, 61)}, 100: 100, 101: 100, 102: 100, 200: 200, 300: 150, 150: 150}
     assert components.components(df.limit(0)).count() == 0
+
+@pytest.mark.parametrize("bands", [52, 12])
+def test_linked_pairs_in_crowded_bands(spark, monkeypatch, bands):
+    """Thousands of documents with a long template: a linked pair that shares a band is found, however crowded its bands are."""
+    monkeypatch.setattr(nd, "BANDS", bands)
+    monkeypatch.setattr(nd, "BAND_BLOCK", 64, raising=False)
+    rng = random.Random(bands)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = [word() for _ in range(240)]
+    texts, pairs = [], []
+    for i in range(3000):
+        own = [word() for _ in range(80)]
+        texts.append(template + own)
+        if i % 10 == 0:
+            n = rng.randint(29, 37)
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(template + own[:-n] + [word() for _ in range(n)])
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    df = spark.createDataFrame([(order[i], " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(df, 1, 80).collect()}
+    lost = []
+    for a, b in pairs:
+        x, y = (nd.shingles(" ".join(texts[i]), 1) for i in (a, b))
+        common = len(np.intersect1d(x, y))
+        assert 0.78 < common / (len(x) + len(y) - common) < 0.86
+        equal = (nd.sketch(x) == nd.sketch(y)).reshape(-1, nd.ROWS).all(1)[:bands].any()
+        if equal and nd.linked(common, len(x), len(y), 80) and got[order[a]] != got[order[b]]:
+            lost.append((a, b))
+    assert not lost, (len(lost), len(pairs))
