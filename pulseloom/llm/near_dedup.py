@@ -213,7 +213,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Documents are linked if 100 * intersection >= percent * union of their sets
     of shingles of ``size`` words; component_id is the smallest doc_id reachable
     by links. Null, empty and blank texts have the empty set, linked with
-    nothing. doc_id names a document: repeated rows get the same answer.
+    nothing. doc_id names a document: repeated rows get the same answer. Rows
+    without a doc_id are linked with nothing: they are kept, and their
+    component_id is null.
     """
 
     def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,15 +233,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     found = staged(rows.mapInPandas(tidy(sketches), "doc_id long, n long, set_id binary, sketch binary"), "sketches")
     first = F.min(F.struct("doc_id", "n", "sketch")).alias("first")
-    classes = found.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(first).select("set_id", F.col("first.doc_id").alias("rep"), "first.n", "first.sketch")
+    classes = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(first).select("set_id", F.col("first.doc_id").alias("rep"), "first.n", "first.sketch")
     classes = staged(classes, "classes")
     families = _families(classes, percent / 100)
     roots = _roots(rows, families, size, percent)
     named = classes.select("set_id", "rep").join(roots, "rep", "left").select("set_id", F.coalesce("root", "rep").alias("component"))
     named = staged(named, "named")
     out = found.select("doc_id", "n", "set_id").join(named, "set_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def _families(classes: DataFrame, threshold: float) -> DataFrame:
@@ -319,6 +322,7 @@ def _roots(rows: DataFrame, families: DataFrame, size: int, percent: int) -> Dat
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one of the smallest doc_id."""
-    kept = near_duplicates(docs, size, percent).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["__kept_id"], "left_semi")
+    """``docs`` with one document of each group of near duplicates: the one of the smallest doc_id. Rows without a doc_id stay."""
+    ids = near_duplicates(docs, size, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone_id")).agg(F.bool_or("kept").alias("kept"))
+    gone = ids.where("NOT kept").select("__gone_id")
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

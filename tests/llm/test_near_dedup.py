@@ -120,3 +120,15 @@ def test_linked_pairs_in_crowded_bands(spark, monkeypatch, bands):
         if equal and nd.linked(common, len(x), len(y), 80) and got[order[a]] != got[order[b]]:
             lost.append((a, b))
     assert not lost, (len(lost), len(pairs))
+
+
+def test_rows_without_doc_id(spark):
+    """They are linked with nothing and kept; documents of the same text stay linked with each other."""
+    a, b = " ".join(map(str, range(40))), "one clean text"
+    near = " ".join([*map(str, range(39)), "x"])
+    df = spark.createDataFrame([(None, a), (1, a), (2, a), (3, near), (None, b), (None, None), (4, None)], "doc_id long, text string")
+    rows = nd.near_duplicates(df, 2, 80).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in rows if r.doc_id) == [(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    assert [(r.component_id, r.kept) for r in rows if r.doc_id is None] == [(None, True)] * 3
+    kept = [(r.doc_id, r.text) for r in nd.keep_one(df, 2).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (1, a), (None, b), (None, None), (4, None)], key=str)
