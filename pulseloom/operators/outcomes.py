@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from pulseloom.functions.labels import label
 from pulseloom.operators import correlations as C
@@ -86,20 +86,28 @@ def alert_statistics(a: DataFrame) -> DataFrame:
 def rate_limit(a: DataFrame, limits: dict[str, int], hours: int = 24) -> DataFrame:
     """Which alerts pass: a window opens with the first alert after the last one has expired, and lets ``limit`` through.
 
-    Windows follow from the events before them, so each key's alerts are folded in order.
+    Windows follow from the events before them, so each key's alerts are gone through in order; only the start and the
+    count of the open window are carried along, so a key of many alerts takes no more memory than one of few.
     """
-    limit = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    s = a.groupBy("user_id", "severity").agg(F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"), "event_id"))).alias("e"))
+    keys = a.select("user_id", "severity", "event_id")
+    rows = a.select("user_id", "severity", "event_id", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
     window = hours * 3_600_000_000
-    kind = "struct<start:bigint,count:int,out:array<struct<event_id:bigint,passed:boolean>>>"
-    start = F.struct(F.lit(None).cast("bigint").alias("start"), F.lit(0).alias("count"), F.array().cast("array<struct<event_id:bigint,passed:boolean>>").alias("out")).cast(kind)
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = acc.start.isNull() | (x.t - acc.start >= window)
-        count = F.when(fresh, 1).otherwise(acc["count"] + 1)
-        return F.struct(F.when(fresh, x.t).otherwise(acc.start).alias("start"), count.alias("count"), F.concat(acc.out, F.array(F.struct(x.event_id.alias("event_id"), (count <= limit[F.col("severity")]).alias("passed")))).alias("out")).cast(kind)
-
-    return s.select("user_id", "severity", F.explode(F.aggregate("e", start, step, lambda acc: acc.out)).alias("x")).select("user_id", "severity", "x.event_id", "x.passed")
+    def fold(batches):
+        import pyarrow as pa
+
+        key, start, count = None, None, 0
+        for batch in batches:
+            passed = []
+            for user, severity, t in zip(*(batch.column(c).to_pylist() for c in ("user_id", "severity", "t")), strict=True):
+                if key != (user, severity) or start is None or (t is not None and t - start >= window):
+                    key, start, count = (user, severity), t, 0
+                count += 1
+                passed.append(count <= limits[severity] if severity in limits else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(passed, pa.bool_())], names=["user_id", "severity", "event_id", "passed"])
+
+    ordered = rows.repartition("user_id", "severity").sortWithinPartitions("user_id", "severity", "t", "event_id")
+    return ordered.mapInArrow(fold, keys.withColumn("passed", F.lit(None).cast("boolean")).schema)
 
 
 def resolve_alerts(a: DataFrame, every: int = 4) -> DataFrame:
