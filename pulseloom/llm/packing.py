@@ -13,24 +13,25 @@ from __future__ import annotations
 import base64
 import os
 import re
-import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from pulseloom.llm.work import tidy
 
 #: Limits of a sequence: tokens, segments, loss-bearing tokens.
-TOKENS, SEGMENTS, LOSS = 1024, 64, 1024
+TOKENS, SEGMENTS, LOSS = 1024, 64, 1016
+#: The first tokens of a document are context and bear no loss.
+CONTEXT = 16
 #: Pieces that a task keeps pending.
 POOL = 1024
-#: The table of words is emptied at so many entries; longer words aren't kept in it.
-TABLE_WORDS, TABLE_CHARS = 150_000, 40
+#: Runs of white space from this length on are left to the tokenizers library; the other one's stack has no room for them.
+LONG_RUN = 100_000
 #: The id behind each document.
 END_ID = 0
 
@@ -41,19 +42,14 @@ def byte_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-class ByteWords:
-    """Ids of texts as the tokenizers library gives them for the byte-level file.
+class ByteIds:
+    """Ids of whole texts as the tokenizers library gives them for the byte-level file.
 
-    The pre-tokenizer never looks across a single space between two characters
-    that aren't white space: the space goes with the word behind it. So texts are
-    cut there and each word's ids are kept in a bounded table. Words are encoded
-    by the same vocabulary as ranks; texts that hold a special token go to the
-    tokenizers library whole.
+    Texts are cut at special tokens, as the library does; what lies between them
+    is encoded by the same vocabulary as ranks.
     """
 
-    ODD = re.compile(r" \s|\s ")
-    CUT = re.compile(r"(?<=\S) (?=\S)")
-    ASCII_WHITE = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+    RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
     def __init__(self, json_path: str, rank_path: str):
         import public_tokenizers
@@ -68,51 +64,23 @@ class ByteWords:
         self.library = Tokenizer.from_file(json_path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
-        self.table = _Table(self._ids)
-
-    def _ids(self, text: str) -> bytes:
-        ids = self.ranks.encode_ordinary(text)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _is_odd(self, text: str) -> bool:
-        """Whether some space has white space next to it."""
-        if text.isascii():
-            return "  " in text or any(c in text and (f" {c}" in text or f"{c} " in text) for c in self.ASCII_WHITE)
-        return bool(self.ODD.search(text))
-
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in self.special):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if self._is_odd(text):
-            at = [0, *(m.start() for m in self.CUT.finditer(text)), len(text)]
-            words = [text[a + 1 : b] for a, b in zip(at[1:], at[2:], strict=False)]
-            first = text[: at[1]]
-        else:
-            first, *words = text.split(" ")
-        if len(self.table) >= TABLE_WORDS:
-            self.table.clear()
-        return self._ids(first) + b"".join(map(self.table.__getitem__, words))
-
-
-class _Table(dict):
-    """Ids of words with the space before them; what is missing is encoded, and kept if it is short and there is room."""
-
-    def __init__(self, encode: Callable[[str], bytes]):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        if len(word) <= TABLE_CHARS and len(self) < TABLE_WORDS:
-            self[word] = ids
+        self.special = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+
+    def encode(self, text: str) -> list[int]:
+        if len(text) >= LONG_RUN and self.RUN.search(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        if not any(s in text for s in self.special):
+            return self.ranks.encode_ordinary(text)
+        ids: list[int] = []
+        for part in self.cut.split(text):
+            ids += [self.special[part]] if part in self.special else self.ranks.encode_ordinary(part)
         return ids
 
 
 @lru_cache(maxsize=2)
-def byte_words(json_path: str, rank_path: str) -> ByteWords:
-    return ByteWords(json_path, rank_path)
+def byte_ids(json_path: str, rank_path: str) -> ByteIds:
+    return ByteIds(json_path, rank_path)
 
 
 class Packer:
@@ -163,8 +131,8 @@ class Packer:
             score = size * (left[0] / tokens**2) + left[1] / segments**2 + bearing * (left[2] / loss**2)
             score[(size > left[0]) | (bearing > left[2])] = -1
             k = int(score.argmax())
-            if score[k] < 0:  # none fits: cut the largest to what is left
-                k = int(size.argmax())
+            if score[k] < 0:  # none fits: cut the one of which most fits
+                k = int(np.minimum(np.minimum(size, left[0]), size - bearing + left[2]).argmax())
                 doc, start, ids, n, loss_from = self.items[k]
                 end = min(start + left[0], max(start, loss_from) + left[2])
                 if end <= start:
@@ -206,52 +174,49 @@ class Packer:
                     room -= min(room, len(ids))
                 self._place(part)
 
-    def drain(self) -> pd.DataFrame:
+    def drain(self, with_ids: bool) -> pa.RecordBatch:
         out, self.out = self.out, []
         blobs = [x[2].tobytes() for x in out]
-        return pd.DataFrame({
-            "doc_id": [x[0] for x in out],
-            "start": [x[1] for x in out],
-            "length": [len(x[2]) for x in out],
-            "ids_crc32": [zlib.crc32(b) for b in blobs],
-            "doc_tokens": [x[3] for x in out],
-            "sequence_id": [x[4] for x in out],
-            "offset": [x[5] for x in out],
-            "ids": blobs,
-        })
+        columns = [
+            pa.array([x[0] for x in out], pa.int64()), np.array([x[1] for x in out], np.int64), np.array([len(x[2]) for x in out], np.int64), np.array([zlib.crc32(b) for b in blobs], np.int64),
+            np.array([x[3] for x in out], np.int64), np.array([x[4] for x in out], np.int64), np.array([x[5] for x in out], np.int64), *([pa.array(blobs, pa.binary())] if with_ids else []),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*NAMES, "ids"][: len(columns)])
 
 
-COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+COLUMNS = ", ".join(f"{c} long" for c in NAMES)
 
 
-def _packed(df: DataFrame, examples, limits: tuple[int, int, int], with_ids: bool) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _packed(df: DataFrame, examples: Callable[[pa.RecordBatch], Iterable[tuple]], limits: tuple[int, int, int], with_ids: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId() << 36, *limits)
-        for pdf in batches:
-            for doc, ids, loss_from in examples(pdf):
+        for batch in batches:
+            for doc, ids, loss_from in examples(batch):
                 packer.add(doc, ids, loss_from)
-            yield packer.drain() if with_ids else packer.drain().drop(columns="ids")
+            yield packer.drain(with_ids)
         packer.finish()
-        yield packer.drain() if with_ids else packer.drain().drop(columns="ids")
+        yield packer.drain(with_ids)
 
-    return df.mapInPandas(tidy(run), COLUMNS + ", ids binary" * with_ids)
+    return df.mapInArrow(tidy(run), COLUMNS + ", ids binary" * with_ids)
 
 
-def pack_documents(docs: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), with_ids: bool = False) -> DataFrame:
+def pack_documents(docs: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGMENTS, LOSS), with_ids: bool = False, context: int = CONTEXT) -> DataFrame:
     """Pack the ids of ``docs`` (doc_id, text, any others), each document followed by id 0.
 
     A row per piece. Null and empty texts are the end id alone; repeated rows are
     packed as often as they come; an empty table gives no sequences. All tokens
-    but a document's first bear loss. ``docs`` should be read from files, so that
-    a task that runs again sees its rows in the same order.
+    but a document's first ``context`` bear loss. ``docs`` should be read from
+    files, so that a task that runs again sees its rows in the same order.
     """
     paths = byte_paths()
 
-    def examples(pdf: pd.DataFrame):
-        words = byte_words(*paths)
-        end = np.array([END_ID], "<u4").tobytes()
-        for doc, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            yield doc, np.frombuffer(words.encode(text) + end, "<u4"), 1
+    def examples(batch: pa.RecordBatch):
+        encode = byte_ids(*paths).encode
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_numpy(zero_copy_only=False), strict=True):
+            ids = encode(text)
+            ids.append(END_ID)
+            yield doc, np.array(ids, "<u4"), context
 
     return _packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), examples, limits, with_ids)
 
@@ -262,8 +227,8 @@ def pack_examples(examples: DataFrame, limits: tuple[int, int, int] = (TOKENS, S
     Null ids and examples without ids give no piece.
     """
 
-    def each(pdf: pd.DataFrame):
-        for doc, ids, loss_from in zip(pdf["doc_id"], pdf["ids"], pdf["loss_from"], strict=True):
+    def each(batch: pa.RecordBatch):
+        for doc, ids, loss_from in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "loss_from")), strict=True):
             yield doc, np.frombuffer(ids, "<u4"), loss_from
 
     rows = examples.select(F.col("doc_id").cast("long").alias("doc_id"), "ids", F.coalesce("loss_from", F.lit(0)).cast("long").alias("loss_from"))

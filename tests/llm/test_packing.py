@@ -9,15 +9,21 @@ from tokenizers import Tokenizer
 from pulseloom.llm import packing
 
 LIBRARY = Tokenizer.from_file(packing.byte_paths()[0])
-ODD = ["a  b", " lead", "trail ", "x\n y", "x \ny", "tab\t z", "it's  'll", "a b", "é ñ  ü", "1 2  3", "…  . ,", "<|endoftext|> a", "a\x1c b", "\n\n", "", "  ", "a  b", "a  b"]
+ODD = ["a  b", " lead", "trail ", "x\n y", "x \ny", "tab\t z", "it's  'll", "a b", "é ñ  ü", "1 2  3", "…  . ,", "<|endoftext|> a", "x <|endoftext|><|endoftext|>\n y <|endoftext|>", "a\x1c b", "\n\n", "", "  ", "a  b", "a  b"]
 
 
-def test_words_equal_library():
-    words = packing.byte_words(*packing.byte_paths())
+def test_ids_equal_library():
+    words = packing.byte_ids(*packing.byte_paths())
     rng = random.Random(1)
     texts = ODD + ["".join(rng.choice(["the", " ", "  ", "\n", "'s", "é", "7", ".", "ation", "\t", "😀", "'"]) for _ in range(rng.randint(0, 60))) for _ in range(400)]
     for t in texts:
-        assert np.frombuffer(words.encode(t), "<u4").tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, repr(t)
+        assert words.encode(t) == LIBRARY.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_long_runs():
+    words = packing.byte_ids(*packing.byte_paths())
+    for t in (" " * 99_999 + "x", "\n" * 150_000 + "x", "ab" * 100_000):
+        assert words.encode(t) == LIBRARY.encode(t, add_special_tokens=False).ids
 
 
 def check(rows, want, tokens=1024, segments=64):
@@ -52,6 +58,10 @@ def test_pack_documents(spark):
     rows = packing.pack_documents(df).collect()
     want = {i: LIBRARY.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
     assert check(rows, want) < 0.001
+    loss = {}
+    for r in rows:
+        loss[r.sequence_id] = loss.get(r.sequence_id, 0) + max(0, r.start + r.length - max(r.start, packing.CONTEXT))
+    assert max(loss.values()) == packing.LOSS  # the limit binds: a full sequence holds the beginning of some document
     assert packing.pack_documents(df.limit(0)).count() == 0
 
 
