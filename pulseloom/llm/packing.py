@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
@@ -216,7 +217,7 @@ def pack_documents(docs: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGM
         for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_numpy(zero_copy_only=False), strict=True):
             ids = encode(text)
             ids.append(END_ID)
-            yield doc, np.array(ids, "<u4"), context
+            yield doc, np.frombuffer(struct.pack(f"<{len(ids)}I", *ids), "<u4"), context
 
     return _packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), examples, limits, with_ids)
 
