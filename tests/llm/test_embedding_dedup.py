@@ -38,16 +38,44 @@ def vectors(n=400, dims=8, seed=1):
 
 def test_matches_brute_force(spark, monkeypatch):
     rows = vectors()
-    df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<double>, weight int").repartition(3)
+    df = spark.createDataFrame([(i, v, 1) for i, v in rows] + [(None, rows[3][1], 1)], "vec_id long, embedding array<double>, weight int").repartition(3)
     want = brute(rows, 0.9)
-    monkeypatch.setattr(ed, "ROWS_AT_ONCE", 16)
-    for per_cell, block in ((4096, 4096), (40, 4096), (30, 25)):
+    plain = ed.choose_pivots
+    monkeypatch.setattr(ed, "PAIRS_AT_ONCE", 500)
+    for per_cell, small, block_bytes, always in ((4096, 1024, 1 << 24, False), (40, 1024, 1 << 24, True), (40, 8, 1 << 24, True), (30, 8, 25 * 64, True), (30, 8, 25 * 64, False)):
         monkeypatch.setattr(ed, "PER_CELL", per_cell)
-        monkeypatch.setattr(ed, "BLOCK", block)
+        monkeypatch.setattr(ed, "SMALL", small)
+        monkeypatch.setattr(ed, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(ed, "choose_pivots", (lambda sample, total, reach: ed._spread(sample, total // ed.PER_CELL)) if always else plain)
         got = ed.near_duplicate_vectors(df, 0.9).collect()
-        assert len(got) == len(rows)
+        assert len(got) == len(rows) + 1
         for r in got:
-            assert want[r.vec_id] == {(r.n_links, r.component_id)} and r.kept == (r.vec_id == r.component_id), (r, want[r.vec_id])
+            if r.vec_id is None:
+                assert (r.n_links, r.component_id, r.kept) == (0, None, True)
+            else:
+                assert want[r.vec_id] == {(r.n_links, r.component_id)} and r.kept == (r.vec_id == r.component_id), (r, want[r.vec_id])
+
+
+def test_single_precision_table(spark):
+    rows = vectors(300, 16, 4)[:300]
+    got = ed.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.9).collect()
+    want = brute(rows, 0.9)
+    assert {r.vec_id: {(r.n_links, r.component_id)} for r in got} == want and max(r.n_links for r in got) > 0
+
+
+def test_pivots_are_used_where_they_prune():
+    rng = np.random.default_rng(3)
+    reach = np.sqrt(0.2)
+    tight = ed.units(np.repeat(rng.normal(size=(16, 64)), 64, 0) + 0.05 * rng.normal(size=(1024, 64)))
+    loose = ed.units(rng.normal(size=(1024, 64)))
+    rng.shuffle(tight)
+    pivots = ed.choose_pivots(tight, 16 * ed.PER_CELL, reach)
+    assert len(pivots) == 16 and ed.cells_of(tight, pivots, reach)[1].sum(1).mean() < 1.1
+    assert len(ed.choose_pivots(loose, 16 * ed.PER_CELL, reach)) == 1
+    # whatever is within reach meets in a cell
+    home, near = ed.cells_of(tight, pivots, reach)
+    for a, b in zip(*np.nonzero(tight @ tight.T >= 0.9), strict=True):
+        assert near[a, home[b]] or near[b, home[a]]
 
 
 def test_empty(spark):
