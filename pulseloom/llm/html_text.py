@@ -1,9 +1,11 @@
 """Main text of web pages: flat blocks, classified by a decision tree.
 
-A page becomes flat text blocks in page order. Each has its word count and link
-density and those of both neighbours, and whether it stands inside furniture (a
-menu, a sidebar, an advert ...) or inside an article. A decision tree, trained
-on the small labelled table below, says which blocks are main text.
+A page becomes flat text blocks in page order. What its markup declares to be
+furniture (a menu, a sidebar, an advert, reader comments ...) is no text of the
+page, like scripts and styles: such texts can be as long and as free of links as
+an article. Each block that is left has its word count and link density and
+those of both neighbours; a decision tree over these six, trained on the small
+labelled table below, says which blocks are main text.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import html
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 BLOCK = frozenset(
@@ -34,33 +36,28 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
 NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 UNSEEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=$|[\s/>=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
-FEATURES = ("prev_words", "prev_links", "words", "links", "next_words", "next_links", "furniture", "main")
+FEATURES = ("prev_words", "prev_links", "words", "links", "next_words", "next_links")
 
 # The labelled table: blocks of pages as a reader sees them, by FEATURES; the last value is 1 for main text.
 LABELLED = (
-    # articles marked as such: paragraphs, headings, one-word lines, quotes, captions
-    (0, 0.0, 9, 0.0, 80, 0.0, 0, 1, 1), (9, 0.0, 80, 0.0, 60, 0.05, 0, 1, 1), (80, 0.0, 60, 0.05, 1, 0.0, 0, 1, 1), (60, 0.05, 1, 0.0, 40, 0.0, 0, 1, 1),
-    (1, 0.0, 40, 0.0, 3, 0.0, 0, 1, 1), (40, 0.0, 3, 0.0, 150, 0.02, 0, 1, 1), (3, 0.0, 150, 0.02, 12, 0.1, 0, 1, 1), (150, 0.02, 12, 0.1, 7, 0.0, 0, 1, 1),
-    (12, 0.1, 7, 0.0, 0, 0.0, 0, 1, 1), (1, 1.0, 6, 0.0, 30, 0.0, 0, 1, 1), (2, 1.0, 2, 0.0, 2, 0.0, 0, 1, 1), (2, 0.0, 2, 0.0, 9, 0.2, 0, 1, 1),
-    (5, 0.0, 1, 0.0, 1, 0.0, 0, 1, 1), (1, 0.0, 1, 0.0, 8, 0.1, 0, 1, 1), (8, 0.0, 4, 0.25, 20, 0.0, 0, 1, 1), (70, 0.0, 25, 0.3, 40, 0.0, 0, 1, 1),
-    (40, 0.0, 18, 0.4, 22, 0.0, 0, 1, 1), (30, 0.0, 900, 0.0, 10, 0.3, 0, 1, 1), (6, 0.0, 5, 0.0, 5, 0.0, 0, 1, 1), (10, 0.3, 14, 0.0, 0, 0.0, 0, 1, 1),
-    # lists of links inside an article: further reading, tags
-    (60, 0.0, 4, 1.0, 4, 1.0, 0, 1, 0), (4, 1.0, 4, 1.0, 3, 1.0, 0, 1, 0), (4, 1.0, 3, 1.0, 0, 0.0, 0, 1, 0), (3, 0.0, 8, 1.0, 7, 1.0, 0, 1, 0), (50, 0.0, 12, 0.9, 6, 1.0, 0, 1, 0),
-    # furniture: menus, headers, footers, sidebars, notices, adverts, forms, reader comments
-    (0, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 2, 1.0, 9, 0.0, 1, 0, 0), (1, 1.0, 8, 0.0, 9, 0.0, 1, 0, 0),
-    (1, 1.0, 25, 0.0, 9, 0.0, 1, 0, 0), (40, 0.0, 9, 0.1, 0, 0.0, 1, 0, 0), (60, 0.0, 30, 0.0, 0, 0.0, 1, 0, 0), (80, 0.0, 12, 0.5, 5, 1.0, 1, 0, 0),
-    (70, 0.0, 45, 0.0, 38, 0.0, 1, 0, 0), (45, 0.0, 38, 0.0, 60, 0.0, 1, 0, 0), (38, 0.0, 120, 0.0, 50, 0.0, 1, 0, 0), (30, 0.0, 3, 0.0, 2, 0.0, 1, 0, 0),
-    (60, 0.0, 20, 0.0, 80, 0.0, 1, 1, 0), (80, 0.0, 4, 0.5, 40, 0.0, 1, 1, 0), (90, 0.0, 35, 0.0, 28, 0.0, 1, 1, 0), (10, 0.0, 1, 0.0, 50, 0.0, 1, 1, 0), (50, 0.0, 300, 0.0, 20, 0.0, 1, 1, 0),
-    # pages without marks: long text, and short text between long
-    (3, 0.0, 60, 0.0, 70, 0.0, 0, 0, 1), (60, 0.0, 70, 0.05, 45, 0.0, 0, 0, 1), (70, 0.05, 45, 0.0, 5, 0.0, 0, 0, 1), (45, 0.0, 5, 0.0, 50, 0.0, 0, 0, 1),
-    (5, 0.0, 50, 0.1, 30, 0.0, 0, 0, 1), (50, 0.1, 30, 0.0, 3, 1.0, 0, 0, 1), (40, 0.0, 2, 0.0, 60, 0.0, 0, 0, 1), (8, 0.0, 35, 0.2, 33, 0.0, 0, 0, 1),
-    (0, 0.0, 200, 0.0, 0, 0.0, 0, 0, 1), (2, 1.0, 40, 0.0, 4, 0.0, 0, 0, 1), (1, 1.0, 7, 0.0, 55, 0.0, 0, 0, 1), (30, 0.0, 18, 0.0, 25, 0.0, 0, 0, 1),
-    (25, 0.0, 20, 0.1, 2, 1.0, 0, 0, 1), (35, 0.0, 16, 0.0, 40, 0.0, 0, 0, 1), (0, 0.0, 12, 0.0, 40, 0.0, 0, 0, 1), (0, 0.0, 30, 0.0, 12, 0.0, 0, 0, 1),
-    # pages without marks: menus, lines of links, dates, copyright lines
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (0, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (2, 1.0, 3, 1.0, 40, 0.0, 0, 0, 0), (3, 1.0, 2, 0.0, 2, 1.0, 0, 0, 0),
-    (50, 0.0, 6, 0.5, 3, 1.0, 0, 0, 0), (3, 1.0, 5, 0.0, 0, 0.0, 0, 0, 0), (2, 1.0, 4, 0.0, 3, 1.0, 0, 0, 0), (60, 0.0, 9, 0.6, 0, 0.0, 0, 0, 0),
-    (12, 1.0, 15, 0.9, 14, 1.0, 0, 0, 0), (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0), (3, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0), (5, 1.0, 30, 0.8, 20, 0.9, 0, 0, 0),
-    (2, 0.0, 4, 0.0, 5, 1.0, 0, 0, 0), (6, 0.6, 5, 0.0, 3, 0.0, 0, 0, 0), (40, 0.0, 25, 0.7, 8, 1.0, 0, 0, 0),
+    # articles: paragraphs, headings, one-word lines, quotes, captions; also articles of one or two short lines
+    (0, 0.0, 9, 0.0, 80, 0.0, 1), (9, 0.0, 80, 0.0, 60, 0.05, 1), (80, 0.0, 60, 0.05, 1, 0.0, 1), (60, 0.05, 1, 0.0, 40, 0.0, 1), (1, 0.0, 40, 0.0, 3, 0.0, 1),
+    (40, 0.0, 3, 0.0, 150, 0.02, 1), (3, 0.0, 150, 0.02, 12, 0.1, 1), (150, 0.02, 12, 0.1, 7, 0.0, 1), (12, 0.1, 7, 0.0, 0, 0.0, 1), (2, 0.0, 2, 0.0, 9, 0.2, 1),
+    (5, 0.0, 1, 0.0, 1, 0.0, 1), (1, 0.0, 1, 0.0, 8, 0.1, 1), (8, 0.0, 4, 0.25, 20, 0.0, 1), (70, 0.0, 25, 0.3, 40, 0.0, 1), (40, 0.0, 18, 0.4, 22, 0.0, 1),
+    (30, 0.0, 900, 0.0, 10, 0.3, 1), (6, 0.0, 5, 0.0, 5, 0.0, 1), (10, 0.3, 14, 0.0, 0, 0.0, 1), (0, 0.0, 4, 0.0, 0, 0.0, 1), (0, 0.0, 5, 0.0, 5, 0.0, 1),
+    (5, 0.0, 5, 0.0, 0, 0.0, 1), (0, 0.0, 1, 0.0, 1, 0.0, 1), (3, 0.0, 3, 0.0, 2, 0.0, 1), (0, 0.0, 3, 0.0, 4, 0.0, 1), (40, 0.0, 2, 0.0, 60, 0.0, 1),
+    (45, 0.0, 5, 0.0, 50, 0.0, 1), (3, 0.0, 60, 0.0, 70, 0.0, 1), (60, 0.0, 70, 0.05, 45, 0.0, 1), (70, 0.05, 45, 0.0, 5, 0.0, 1), (5, 0.0, 50, 0.1, 30, 0.0, 1),
+    (8, 0.0, 35, 0.2, 33, 0.0, 1), (0, 0.0, 200, 0.0, 0, 0.0, 1), (30, 0.0, 18, 0.0, 25, 0.0, 1), (35, 0.0, 16, 0.0, 40, 0.0, 1), (0, 0.0, 12, 0.0, 40, 0.0, 1),
+    # main text next to links: the first and last paragraphs of pages with bare menus, headings behind a menu, text before a list of links
+    (2, 1.0, 40, 0.0, 4, 0.0, 1), (50, 0.1, 30, 0.0, 3, 1.0, 1), (25, 0.0, 20, 0.1, 2, 1.0, 1), (1, 1.0, 7, 0.0, 55, 0.0, 1), (1, 1.0, 9, 0.0, 30, 0.0, 1),
+    (2, 1.0, 6, 0.0, 80, 0.0, 1), (1, 1.0, 4, 0.0, 60, 0.0, 1), (40, 0.0, 15, 0.0, 4, 1.0, 1), (60, 0.0, 12, 0.0, 2, 1.0, 1), (1, 1.0, 25, 0.0, 1, 1.0, 1), (2, 1.0, 70, 0.0, 2, 1.0, 1),
+    # menus, lists of links, tags, further reading
+    (0, 0.0, 1, 1.0, 1, 1.0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 0), (1, 1.0, 2, 1.0, 9, 0.0, 0), (0, 0.0, 2, 1.0, 2, 1.0, 0), (2, 1.0, 3, 1.0, 40, 0.0, 0), (60, 0.0, 4, 1.0, 4, 1.0, 0),
+    (4, 1.0, 4, 1.0, 3, 1.0, 0), (4, 1.0, 3, 1.0, 0, 0.0, 0), (3, 0.0, 8, 1.0, 7, 1.0, 0), (50, 0.0, 12, 0.9, 6, 1.0, 0), (12, 1.0, 15, 0.9, 14, 1.0, 0), (5, 1.0, 30, 0.8, 20, 0.9, 0),
+    (40, 0.0, 25, 0.7, 8, 1.0, 0), (50, 0.0, 6, 0.5, 3, 1.0, 0), (60, 0.0, 9, 0.6, 0, 0.0, 0), (80, 0.0, 12, 0.5, 5, 1.0, 0), (0, 0.0, 40, 0.6, 30, 0.0, 0), (30, 0.0, 3, 1.0, 50, 0.0, 0),
+    # short lines among links: dates, counters, separators, copyright lines behind the last menu
+    (3, 1.0, 2, 0.0, 2, 1.0, 0), (2, 1.0, 4, 0.0, 3, 1.0, 0), (1, 1.0, 1, 0.0, 1, 1.0, 0), (3, 1.0, 5, 0.0, 2, 1.0, 0), (6, 0.6, 3, 0.0, 3, 1.0, 0), (8, 1.0, 6, 0.0, 8, 1.0, 0),
+    (3, 1.0, 5, 0.0, 0, 0.0, 0), (1, 1.0, 4, 0.0, 0, 0.0, 0), (2, 1.0, 3, 0.0, 0, 0.0, 0), (5, 1.0, 6, 0.0, 0, 0.0, 0), (0, 0.0, 2, 0.0, 1, 1.0, 0), (0, 0.0, 3, 0.0, 2, 1.0, 0), (2, 0.0, 4, 0.0, 5, 1.0, 0),
 )
 
 
@@ -89,9 +86,9 @@ def classify(tree, features: tuple) -> bool:
     return tree >= 0.5
 
 
-def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, in furniture, in an article) of each flat block in page order."""
-    out: list[tuple[str, int, int, bool, bool]] = []
+def text_blocks(page: str) -> list[tuple[str, int, int]]:
+    """(text, words, words in links) of each flat block in page order; declared furniture has none."""
+    out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []
     links = in_link = 0
@@ -108,10 +105,9 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     def end_block() -> None:
         nonlocal links
         if parts:
-            words = "".join(parts).split()
+            words = "".join(parts).split() if not stack or not stack[-1][1] else []
             if words:
-                _, furniture, main = stack[-1] if stack else ("", False, False)
-                out.append((" ".join(words), len(words), min(links, len(words)), furniture, main))
+                out.append((" ".join(words), len(words), min(links, len(words))))
             parts.clear()
         links = 0
 
@@ -180,15 +176,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 def main_text(page: str | None, tree) -> str:
     """The main blocks of a page, joined by empty lines."""
     found = text_blocks(page or "")
-    none = ("", 0, 0, False, False)
-    kept = []
-    for before, b, behind in zip([none, *found], found, [*found[1:], none], strict=False):
-        features = (
-            before[1], before[2] / max(1, before[1]), b[1], b[2] / b[1], behind[1], behind[2] / max(1, behind[1]), float(b[3]), float(b[4]),
-        )
-        if classify(tree, features):
-            kept.append(b[0])
-    return "\n\n".join(kept)
+    none = ("", 0, 0)
+    of = lambda b: (b[1], b[2] / max(1, b[1]))
+    around = zip([none, *found], found, [*found[1:], none], strict=False)
+    return "\n\n".join(b[0] for before, b, behind in around if classify(tree, (*of(before), *of(b), *of(behind))))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -200,10 +191,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """
     tree = train_tree(pages.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [main_text(p, tree) for p in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [main_text(p, tree) for p in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -1,5 +1,8 @@
 """Main text of small pages, and the tree on its own table."""
 
+import html
+import random
+
 import pytest
 
 from pulseloom.llm import html_text as h
@@ -17,6 +20,41 @@ def test_tree_fits_its_table(tree):
     assert len(wrong) <= 3, wrong
 
 
+def features(tree):
+    return {tree[0]} | features(tree[2]) | features(tree[3]) if isinstance(tree, tuple) else set()
+
+
+def test_neighbours_decide(tree):
+    assert {h.FEATURES[k] for k in features(tree)} >= {"links", "words", "prev_links"}
+    short = lambda before, behind: h.classify(tree, (*before, 3, 0.0, *behind))
+    assert not short((2, 1.0), (2, 1.0)) and not short((2, 1.0), (0, 0.0)) and short((60, 0.0), (50, 0.0)) and short((0, 0.0), (0, 0.0)) and short((3, 0.0), (3, 0.0))
+
+
+def generated(rng):
+    """A page without any declared furniture but bare lists of links, or with declared furniture, and its main text."""
+    word = lambda: "".join(rng.choice("abcdeéß&<😀") for _ in range(rng.randint(1, 7)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    shown = lambda t: rng.choice(["  ", "\n", " "]).join(html.escape(t).split(" "))
+    menu = lambda: "<ul>" + "".join(f"<li><a href='/{i}'>{shown(line(rng.randint(1, 3)))}</a></li>" for i in range(rng.randint(2, 7))) + "</ul>"
+    blocks = [line(rng.randint(6, 12)), *[line(rng.choice([rng.randint(25, 90), rng.randint(1, 4)])) for _ in range(rng.randint(1, 8))], line(rng.randint(25, 90))]
+    body = f"<h1>{shown(blocks[0])}</h1>" + "".join(f"<{t}>{shown(b)}</{t}>" for b in blocks[1:] for t in [rng.choice(["p", "div", "blockquote"])])
+    if rng.random() < 0.5:  # bare menus, a date among links, a copyright line behind the last menu
+        if len(blocks[1].split()) < 25:
+            return generated(rng)
+        page = f"<body>{menu()}<p>{line(2)}</p>{menu()}<div>{body}</div>{menu()}<p>{shown(line(3))}</p></body>"
+    else:
+        ad = lambda: f"<div class='{rng.choice(['ad', 'cookie-notice', 'sidebar', 'comments', 'newsletter box'])}'><p>{shown(line(rng.randint(3, 60)))}</p></div>"
+        page = f"<body><nav>{menu()}</nav>{ad()}<article>{body}{ad()}</article>{ad()}<footer>{shown(line(9))}</footer></body>"
+    return page, "\n\n".join(" ".join(b.split()) for b in blocks)
+
+
+def test_generated_pages(tree):
+    rng = random.Random(4)
+    pages = [generated(rng) for _ in range(400)]
+    wrong = [(p, w, h.main_text(p, tree)) for p, w in pages if h.main_text(p, tree) != w]
+    assert not wrong, (len(wrong), wrong[0])
+
+
 @pytest.mark.parametrize("page,want", [
     (f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href=/x>Home</a></li></ul></nav><div class='ad'>{LONG}</div><article><h1>Head</h1><p><b>{LONG}<br><p>Be.</p></article><footer>&copy; me &middot; {LONG}</footer></body></html>", f"Head\n\n{LONG}\n\nBe."),
     (f"<body><header><p>Site name here</p></header><main><p>{LONG} &amp;&amp; &lt;b&gt;</p><aside>{LONG}</aside><form>{LONG}<input></form><p>two\n  words&nbsp;</p><section id=comments><p>{LONG}</p></section></main>", f"{LONG} && <b>\n\ntwo words"),
