@@ -4,6 +4,11 @@ The classifier is fitted on a bounded sample of labelled training rows: document
 counts of each n-gram by class give the log-count ratios, the n-grams that tell
 the classes apart best are its features, and a logistic regression over presence
 times ratio gives the weights. Scoring reads every whole text.
+
+The sample is counted in groups of documents. An n-gram that occurs in more
+documents than there are groups occurs twice in one of them, so only n-grams that
+do are candidates; these are then counted in full. What the model is depends on
+the sample alone, not on how rows fall into tasks or batches.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pulseloom.llm.work import tidy
@@ -23,10 +29,10 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 3_000, 6_000
 LENGTHS = (3, 4, 5)
 #: From the space before each word, longer n-grams up to this length are taken too.
 WORD_LENGTH = 13
-#: An n-gram is a feature if it is in so many sampled documents and among so many that tell the classes apart best.
+#: An n-gram is a feature if it is in so many sampled documents (more than there are groups, too) and among so many that tell the classes apart best.
 LEAST_DOCS, CANDIDATES, FEATURES = 4, 65_536, 2_048
-#: Sampled documents that a task counts.
-TASK_DOCS = 300
+#: Sampled documents of a group that is counted at once, and the n-grams of it that are held at once.
+GROUP_DOCS, HELD = 800, 1 << 22
 #: Of the logistic regression, on squared weights.
 REGULARISATION = 1e-3
 #: Added to both counts of an n-gram.
@@ -70,9 +76,13 @@ def _hashes(chars: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def ngrams(text: str) -> np.ndarray:
-    """The distinct n-grams of a text."""
-    return np.unique(np.concatenate(_hashes(_characters(text))))
+def ngrams(text: str, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The distinct n-grams of a text; of several parts by hash, those of one."""
+    chars, found = _characters(text), np.zeros(0, np.uint64)
+    for at in range(0, max(1, len(chars) - 1), CHUNK):
+        h = np.concatenate(_hashes(chars[at : at + CHUNK + WORD_LENGTH - 1]))
+        found = np.union1d(found, h if parts == 1 else h[h % np.uint64(parts) == part])
+    return found
 
 
 @dataclass
@@ -126,29 +136,38 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         nothing = Model(np.zeros(0, np.uint64), np.zeros(0), prior)
         if not toxic or not clean:
             return nothing
-        rows = rows.repartition(-(-(toxic + clean) // TASK_DOCS), "doc_id").persist()
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                own = [[ngrams(t) for t in pdf["text"][pdf["toxic"] == c]] for c in (0, 1)]
-                keys, n = np.unique(np.concatenate(own[0] + own[1]), return_counts=True)
-                keys = keys[n > 1]  # candidates occur twice in some batch; they are counted in full afterwards
-                for c in (0, 1):
-                    found, n = np.unique(np.concatenate(own[c]), return_counts=True) if own[c] else (keys[:0], keys[:0])
-                    some = np.isin(found, keys, assume_unique=True)
-                    yield pd.DataFrame({"key": found[some].view(np.int64), "toxic": c * n[some].astype(np.int64), "clean": (1 - c) * n[some].astype(np.int64)})
-
-        def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
+        groups = -(-(toxic + clean) // GROUP_DOCS)
+        least = max(LEAST_DOCS, groups + 1)
+        counts = pa.schema([("key", pa.int64()), ("toxic", pa.int64()), ("clean", pa.int64())])
+
+        def as_table(keys: np.ndarray, n_toxic: np.ndarray, n_clean: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n_toxic.astype(np.int64)), pa.array(n_clean.astype(np.int64))], schema=counts)
+
+        def count(table: pa.Table) -> pa.Table:
+            texts = list(zip(table.column("text").to_pylist(), table.column("toxic").to_pylist(), strict=True))
+            out, parts = [], 1 + 4 * sum(len(t) for t, _ in texts) // HELD
+            for part in range(parts):
+                own = [(ngrams(t, part, parts), c) for t, c in texts]
+                keys, n = np.unique(np.concatenate([k for k, _ in own]), return_counts=True)
+                keys = keys[n > 1]
+                n = np.zeros((2, len(keys)), np.int64)
+                for k, c in own:
+                    at = np.minimum(np.searchsorted(keys, k), max(0, len(keys) - 1))
+                    n[c, at[keys[at] == k] if len(keys) else at[:0]] += 1
+                out.append(as_table(keys, n[1], n[0]))
+            return pa.Table.from_batches(out, schema=counts)
+
+        def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
                 n = np.zeros((2, len(candidates.keys)), np.int64)
-                for t, c in zip(pdf["text"], pdf["toxic"], strict=True):
+                for t, c in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
                     n[c, candidates.present(t)] += 1
                 some = np.flatnonzero(n.sum(0))
-                yield pd.DataFrame({"key": candidates.keys[some].view(np.int64), "toxic": n[1, some], "clean": n[0, some]})
+                yield as_table(candidates.keys[some], n[1, some], n[0, some])
 
-        def best(counted: DataFrame, most: int) -> pd.DataFrame:
-            """The n-grams whose shares in the two classes differ most against their common spread, ``most`` at most."""
-            counted = counted.groupBy("key").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where(F.col("p") + F.col("q") >= LEAST_DOCS)
+        def best(counted: DataFrame, most: int, least: int) -> pd.DataFrame:
+            """The n-grams in ``least`` documents whose shares in the two classes differ most against their common spread, ``most`` at most."""
+            counted = counted.groupBy("key").agg(F.sum("toxic").alias("p"), F.sum("clean").alias("q")).where(F.col("p") + F.col("q") >= least)
             p, q = (F.col("p") + SMOOTHING) / (toxic + 2 * SMOOTHING), (F.col("q") + SMOOTHING) / (clean + 2 * SMOOTHING)
             both = (F.col("p") + F.col("q") + 2 * SMOOTHING) / (toxic + clean + 4 * SMOOTHING)
             gap = (p - q) * (p - q) / (both * (1 - both) + 1e-9)
@@ -158,12 +177,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             keys = found["key"].to_numpy(np.int64).view(np.uint64)
             return keys[np.argsort(keys)], found["ratio"].to_numpy()[np.argsort(keys)]
 
-        counts = "key long, toxic long, clean long"
-        keys, _ = sorted_keys(best(rows.mapInPandas(tidy(count), counts), CANDIDATES))
+        shape = "key long, toxic long, clean long"
+        grouped = rows.select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("part")).groupBy("part")
+        keys, _ = sorted_keys(best(grouped.applyInArrow(lambda table: count(table), shape), CANDIDATES, 2))
         if not len(keys):
             return nothing
         candidates = Model(keys, np.zeros(len(keys)), 0.0)
-        keys, ratio = sorted_keys(best(rows.mapInPandas(tidy(recount), counts), FEATURES))
+        spread = rows.repartition(groups, "doc_id")
+        keys, ratio = sorted_keys(best(spread.mapInArrow(tidy(recount), shape), FEATURES, least))
         blank = Model(keys, np.zeros(len(keys)), 0.0)
 
         def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -173,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
         n = len(keys)
         vector = F.udf(lambda places: Vectors.sparse(n, places, [float(ratio[k]) for k in places]), VectorUDT())
-        data = rows.mapInPandas(tidy(present), "label double, weight double, places array<int>").select("label", "weight", vector("places").alias("features")).persist()
+        data = spread.mapInPandas(tidy(present), "label double, weight double, places array<int>").select("label", "weight", vector("places").alias("features")).persist()
         fit = LogisticRegression(maxIter=50, regParam=REGULARISATION, standardization=False, weightCol="weight").fit(data)
         data.unpersist()
         return Model(keys, ratio * fit.coefficients.toArray(), float(fit.intercept))
@@ -185,29 +206,30 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, held_out, score, predicted) of each row of ``docs``; null and empty texts have the score of no n-gram."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES keys at most
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for pdf in batches:
-            score = np.array([model.score(t) for t in pdf["text"]], float)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "held_out": pdf["held_out"], "score": score, "predicted": (score >= TOXIC_FROM).astype(int)})
+        for batch in batches:
+            score = np.array([model.score(t) for t in batch.column("text").to_numpy(zero_copy_only=False)], float)
+            columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= TOXIC_FROM).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every document of ``docs`` (doc_id, text) by a classifier of ``labels`` (doc_id, toxic).
 
-    Labels that are null or neither 0 nor 1 don't count; a document with
-    several labels counts with each. Repeated rows give repeated rows.
+    Labels that are null or neither 0 nor 1, and those without a doc_id, don't
+    count; a document with several labels counts with each. Repeated rows give
+    repeated rows, also in training, and a row without a doc_id is scored: its
+    held_out is null. An empty table gives an empty result.
     """
     return scored(docs, train(docs, labels))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that are predicted to be toxic."""
-    import pyarrow as pa
-
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches):
