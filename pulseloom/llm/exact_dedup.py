@@ -9,11 +9,9 @@ row stays for its text.
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from pulseloom.llm.work import new_path, staged
+from pulseloom.llm.work import new_path, new_table, staged
 
 #: The characters that are deleted before texts are compared: \x20 and \x09 to \x0D.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -37,8 +35,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def representatives(found: DataFrame) -> DataFrame:
-    """One row per digest: the row that stays (most code points, then smallest id) and the number of rows."""
-    best = F.max_by(F.col("doc_id"), F.struct("n_chars", -F.col("doc_id")))
+    """One row per digest: the row that stays (most code points, then smallest id; one without an id never) and the number of rows."""
+    best = F.max_by(F.col("doc_id"), F.when(F.col("doc_id").isNotNull(), F.struct("n_chars", -F.col("doc_id"))))
     return found.groupBy("digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
 
 
@@ -52,7 +50,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, location: str, buckets: int = 64):
         self.spark, self.location, self.buckets = spark, location.rstrip("/"), buckets
-        self.name = f"digest_index_{uuid.uuid4().hex}"
+        self.name = new_table("digest_index")
         spark.sql(
             f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, group_size BIGINT, batch INT) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.location}'"
@@ -108,9 +106,10 @@ def exact_dedup(docs: DataFrame, location: str | None = None, buckets: int = 64)
 
     Texts are equal when identical after white space is deleted. Of equal texts
     the one with the most code points, then the smallest doc_id, stays. Null and
-    empty texts are one group. A repeated row counts as a row of its group. An
-    empty table gives an empty result. Returns doc_id, keep_id, group_size, kept
-    and text_sha256, a row for each row of ``docs``.
+    empty texts are one group. A repeated row counts as a row of its group. Rows
+    without a doc_id count too and are kept. An empty table gives an empty
+    result. Returns doc_id, keep_id, group_size (rows of the batch that brought
+    the text into the index), kept and text_sha256, a row for each row of ``docs``.
     """
     spark = docs.sparkSession
     index = DigestIndex(spark, location or new_path(spark, "digest_index"), buckets)
@@ -119,11 +118,29 @@ def exact_dedup(docs: DataFrame, location: str | None = None, buckets: int = 64)
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id") == F.col("keep_id")).alias("kept"),
+        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("doc_id").isNull()).alias("kept"),
         F.col("digest").alias("text_sha256"),
     )
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, by the rules of exact_dedup; rows without a doc_id stay.
+
+    Of repeated rows of the document that stays, one does (with the most
+    characters, then by a hash of all its columns).
+    """
+    found = exact_dedup(docs)
+    marks = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    marks = staged(marks.where("NOT __kept OR __rows > 1"), "marks")
+    of_row = (F.col("doc_id").cast("long") == marks["__id"]) & (digest(F.col("text")) == marks["__digest"])
+    left = docs.join(marks, of_row, "left").where("__kept IS NULL OR __kept")
+    if marks.where("__kept").isEmpty():  # no document is repeated
+        return left.select(*[docs[c] for c in docs.columns])
+    w = Window.partitionBy("__id", "__digest").orderBy(F.desc(F.char_length("text")), F.xxhash64(*[docs[c] for c in docs.columns]))
+    again = left.where("__kept").withColumn("__k", F.row_number().over(w)).where("__k = 1").select(*docs.columns)
+    return left.where("__kept IS NULL").select(*docs.columns).unionByName(again)
+
+
 ORACLE = """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
@@ -30,8 +31,8 @@ REGISTERS = ROWS * BANDS
 OFFSET = 40
 #: A pair is dropped if its best likelihood is so many e-folds above that of the threshold (5 standard deviations).
 MARGIN = 14.0
-#: Documents of a block; families are searched by pairs of blocks.
-BLOCK = 512
+#: Documents of a block, and their shingles; families are searched by pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
 #: Classes of a block of a crowded band; its pairs are judged by pairs of blocks.
 BAND_BLOCK = 2048
 #: Pairs of a crowded band with so many standard deviations fewer equal registers than at the threshold aren't judged further.
@@ -218,25 +219,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     component_id is null.
     """
 
-    def sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            sets = [shingles(t, size) for t in pdf["text"]]
-            some = [s if len(s) else None for s in sets]
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n": [len(s) for s in sets],
-                "set_id": [None if s is None else xxhash.xxh3_128_digest(s.tobytes()) for s in some],
-                "sketch": [None if s is None else sketch(s).tobytes() for s in some],
-            })
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column("text").to_numpy(zero_copy_only=False)]
+            ids = pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary())
+            found = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), ids, found], names=["doc_id", "n", "set_id", "sketch"])
         _HASHES.clear()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    found = staged(rows.mapInPandas(tidy(sketches), "doc_id long, n long, set_id binary, sketch binary"), "sketches")
+    found = staged(rows.mapInArrow(tidy(sketches), "doc_id long, n long, set_id binary, sketch binary"), "sketches")
     first = F.min(F.struct("doc_id", "n", "sketch")).alias("first")
     classes = found.where("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(first).select("set_id", F.col("first.doc_id").alias("rep"), "first.n", "first.sketch")
     classes = staged(classes, "classes")
     families = _families(classes, percent / 100)
-    roots = _roots(rows, families, size, percent)
+    roots = _roots(rows, families.join(classes.select(F.col("rep").alias("node"), "n"), "node"), size, percent)
     named = classes.select("set_id", "rep").join(roots, "rep", "left").select("set_id", F.coalesce("root", "rep").alias("component"))
     named = staged(named, "named")
     out = found.select("doc_id", "n", "set_id").join(named, "set_id", "left")
@@ -299,8 +296,8 @@ def _ties(inner: DataFrame, classes: DataFrame, parts: DataFrame, threshold: flo
 def _roots(rows: DataFrame, families: DataFrame, size: int, percent: int) -> DataFrame:
     """(rep, root) of the classes of families, by full sets: blocks of each family are searched pair by pair."""
     families = staged(families.where(F.col("node").isNotNull()), "families")
-    blocks = families.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = families.join(staged(blocks, "blocks"), "component")
+    blocks = families.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = families.drop("n").join(staged(blocks, "blocks"), "component")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, own).alias("i"), F.greatest(b, own).alias("j")))
     placed = placed.select("node", "component", "blocks", F.explode(others).alias("at")).select("node", "component", "blocks", "at.i", "at.j")
@@ -322,7 +319,10 @@ def _roots(rows: DataFrame, families: DataFrame, size: int, percent: int) -> Dat
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one of the smallest doc_id. Rows without a doc_id stay."""
+    """``docs`` with one document of each group of near duplicates: the one of the smallest doc_id.
+
+    Rows without a doc_id stay; repeated rows of a document stay or go together.
+    """
     ids = near_duplicates(docs, size, percent).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone_id")).agg(F.bool_or("kept").alias("kept"))
     gone = ids.where("NOT kept").select("__gone_id")
     return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")

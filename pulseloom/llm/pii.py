@@ -106,15 +106,15 @@ def _block_starts(lengths: Column) -> Column:
     )
 
 
-def pii_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``pii``: array of (kind, start, end, score) by kind as in KINDS, then start.
+def pii_spans(docs: DataFrame, text_col: str = "text", out: str = "pii") -> DataFrame:
+    """Add ``out``: array of (kind, start, end, score) by kind as in KINDS, then start; a column of that name gives way.
 
     Positions are code points, the end exclusive. Null and empty texts have an
     empty array; a base kind's spans are its valid matches, others need
     LEAST_SCORE. Columns of ``docs`` stay; helper columns are named ``__pii_*``.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = docs.columns
+    own = [c for c in docs.columns if c != out]
     df = docs.withColumns({
         f"__pii_h_{k.name}": F.when(F.contains(text, F.lit(k.needs)) if k.needs else F.lit(True), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)))
         for k in KINDS
@@ -155,7 +155,7 @@ def pii_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(some[k.name], plain).otherwise(empty)
 
     df = df.withColumns({f"__pii_s_{k.name}": spans(k) for k in KINDS})
-    return df.select(*[df[c] for c in own], F.concat(*[F.col(f"__pii_s_{k.name}") for k in KINDS]).alias("pii"))
+    return df.select(*[df[c] for c in own], F.concat(*[F.col(f"__pii_s_{k.name}") for k in KINDS]).alias(out))
 
 
 def joined(spans: Column) -> Column:
@@ -180,16 +180,16 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace each span by its kind in angle brackets; overlapping spans are masked as one, named by the first."""
-    found = pii_spans(docs, text_col)
+    found = pii_spans(docs, text_col, "__pii_found")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ordered = F.array_sort(F.col("pii"), lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1).when(a.end > b.end, -1).when(a.end < b.end, 1).otherwise(0))
+    ordered = F.array_sort(F.col("__pii_found"), lambda a, b: F.when(a.start < b.start, -1).when(a.start > b.start, 1).when(a.end > b.end, -1).when(a.end < b.end, 1).otherwise(0))
     done = F.aggregate(
         ordered,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts")),
         lambda acc, s: F.struct(
             F.greatest(acc.at, s.end).alias("at"),
-            F.when(s.start >= acc.at, F.concat(acc.out, F.substr(text, (acc.at + 1).cast("int"), (s.start - acc.at).cast("int")), F.lit("<"), s.kind, F.lit(">"))).otherwise(acc.out).alias("out"),
+            F.when(s.start >= acc.at, F.concat(acc.parts, F.array(F.substr(text, (acc.at + 1).cast("int"), (s.start - acc.at).cast("int")), F.concat(F.lit("<"), s.kind, F.lit(">"))))).otherwise(acc.parts).alias("parts"),
         ),
-        lambda acc: F.concat(acc.out, F.substr(text, (acc.at + 1).cast("int"))),
+        lambda acc: F.concat(F.array_join(acc.parts, ""), F.substr(text, (acc.at + 1).cast("int"))),
     )
-    return found.select(*[found[c] for c in docs.columns if c != text_col], F.when(F.size("pii") > 0, done).otherwise(F.col(text_col)).alias(text_col)).select(*docs.columns)
+    return found.select(*[found[c] for c in docs.columns if c != text_col], F.when(F.size("__pii_found") > 0, done).otherwise(F.col(text_col)).alias(text_col)).select(*docs.columns)

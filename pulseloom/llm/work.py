@@ -29,9 +29,51 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths and names of tables that were made in scratch scopes, innermost last.
+_SCOPES: list[list[tuple[str, str]]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/pulseloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/pulseloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(("path", path))
+    return path
+
+
+def new_table(name: str) -> str:
+    """A fresh name for a table of the catalog."""
+    name = f"{name}_{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(("table", name))
+    return name
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is staged within this scope is deleted at its end, but for what goes through the function that it gives.
+
+    Operators return frames that read staged tables, so a result has to be
+    staged by that function, or written elsewhere, before the scope ends.
+    """
+    made: list[tuple[str, str]] = []
+    _SCOPES.append(made)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = staged(df, name)
+        made.pop()
+        return out
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(made)
+        for kind, what in made:
+            if kind == "table":
+                spark.sql(f"DROP TABLE IF EXISTS {what}")
+            else:
+                path = spark._jvm.org.apache.hadoop.fs.Path(what)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

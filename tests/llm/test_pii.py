@@ -67,5 +67,7 @@ def test_mask_and_empty(spark):
 
 
 def test_repeated_rows_stay(spark):
-    df = spark.createDataFrame([(1, "a@b.cc")] * 3, "doc_id long, text string")
+    df = spark.createDataFrame([(1, "a@b.cc")] * 3, "doc_id long, text string").withColumn("pii", F.lit(1))
     assert [r.n_email for r in pii.pii_report(df).collect()] == [1, 1, 1]
+    assert [(r.text, r.pii) for r in pii.mask_pii(df).collect()] == [("<email>", 1)] * 3
+    assert pii.pii_spans(df).columns == ["doc_id", "text", "pii"]

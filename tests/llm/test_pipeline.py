@@ -1,8 +1,10 @@
 """The pipeline's stages against brute force on a small folder of tables."""
 
+import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,13 +48,13 @@ def test_stages(spark, folder, tmp_path):
     assert ids["secrets"] == ids["near_dedup"]
     after = {r.doc_id: r.text for r in seen["secrets"]}
     assert all(after[i] == (None if texts[i] is None else secrets.redacted(texts[i], "[secret]")) for i in after) and "hunter22" not in after[302]
-    words = packing.byte_words(*packing.byte_paths())
+    words = packing.byte_ids(*packing.byte_paths())
     pieces = {}
     for r in seen["packing"]:
         pieces.setdefault(r.doc_id, []).append(r)
     assert set(pieces) == ids["secrets"]
     for i, rows in pieces.items():
-        ids_bytes = words.encode(after[i] or "") + bytes(4)
+        ids_bytes = np.array([*words.encode(after[i] or ""), 0], "<u4").tobytes()
         assert sum(r.length for r in rows) * 4 == len(ids_bytes)
         assert all(r.ids_crc32 == zlib.crc32(ids_bytes[4 * r.start : 4 * (r.start + r.length)]) for r in rows)
 
@@ -61,3 +63,36 @@ def test_run(spark, folder):
     path, _ = folder
     out = corpus_pipeline.run(spark, path)
     assert out.agg(F.countDistinct("doc_id")).first()[0] == 200 - 40 + 5 - 3
+
+
+def test_odd_tables(spark, folder, tmp_path):
+    """Empty tables, repeated rows, rows without a doc_id, clashing columns, for each stage."""
+    path, texts = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    again = docs.where("doc_id IN (1, 3)")
+    odd = docs.unionByName(again).unionByName(again.where("doc_id = 3")).unionByName(docs.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    odd = odd.withColumn("kept", F.lit("x")).withColumn("score", F.lit(1)).withColumn("pii", F.lit(2)).withColumn("component_id", F.lit(3))
+    want = {"toxicity": 160 + 5 + 4, "exact_dedup": 160 + 5 - 2 + 1, "near_dedup": 160 + 5 - 3 + 1, "secrets": 160 + 5 - 3 + 1}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, odd.limit(0), path)
+        assert empty.count() == 0 and (name == "packing" or empty.columns == odd.columns)
+        stage(spark, odd, path).write.parquet(f"{tmp_path}/{name}")
+        columns, odd = odd.columns, spark.read.parquet(f"{tmp_path}/{name}")
+        if name != "packing":
+            assert odd.columns == columns and odd.count() == want[name], name
+            assert odd.where("doc_id IS NULL").count() == 1
+            assert odd.where("doc_id = 3").count() == (3 if name == "toxicity" else 1)
+
+
+def test_scratch_is_deleted(spark, folder):
+    from pulseloom.llm import work
+
+    path, _ = folder
+    before = {t.name for t in spark.catalog.listTables()}
+    with work.scratch(spark) as keep:
+        out = keep(corpus_pipeline.drop_copies(spark, spark.read.parquet(f"{path}/documents.parquet"), path), "out")
+        inside = [what for kind, what in work._SCOPES[-1] if kind == "path"]
+        assert inside
+    assert out.count() == 203
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert not any(os.path.exists(p) for p in inside)
