@@ -201,7 +201,7 @@ def resample_hourly(m: DataFrame) -> DataFrame:
     grid = span.select("metric_type", F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour"))
     w = Window.partitionBy("metric_type").orderBy("hour")
     filled = grid.join(hours, ["metric_type", "hour"], "left").withColumn("ahead", F.last("mean", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return filled.select("metric_type", "hour", F.coalesce("ahead", F.first("mean", True).over(w.rowsBetween(0, Window.unboundedFollowing))).alias("mean"))
+    return filled.select("metric_type", "hour", F.coalesce("ahead", F.last("mean", True).over(Window.partitionBy("metric_type").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0))).alias("mean"))
 
 
 def resample_linear(m: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def resample_linear(m: DataFrame) -> DataFrame:
     grid = span.select("metric_type", F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour")).join(hours, ["metric_type", "hour"], "left")
     w = Window.partitionBy("metric_type").orderBy("hour")
     known = F.when(F.col("mean").isNotNull(), F.struct((F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9).alias("h"), F.col("mean").alias("v")))
-    grid = grid.withColumn("p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    grid = grid.withColumn("p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.last(known, True).over(Window.partitionBy("metric_type").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0)))
     h = F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9
     between = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (h - F.col("p.h")) / (F.col("q.h") - F.col("p.h"))
     return grid.select("metric_type", "hour", F.when(F.col("mean").isNotNull(), F.col("mean")).otherwise(between).alias("mean"))

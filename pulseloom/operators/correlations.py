@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulseloom.functions.labels import label
 from pulseloom.functions.stats import normal_two_sided, t_quantile_975, t_two_sided
 from pulseloom.operators.aggregates import KEYS, r6
+from pulseloom.sources.shared import staged
 
 
 def finite(c: Column) -> Column:
@@ -38,12 +39,38 @@ def spearman(pairs: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
     return pearson(with_ranks(pairs, keys), keys, least)
 
 
-def kendall(pairs: DataFrame, keys: list[str], order: str, least: int = 3) -> DataFrame:
-    """tau-b and its normal p per group; pairs of a group at daily grain, so a group has no more rows than days."""
-    rows = pairs.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    a, b = rows.select(*keys, F.col("i").alias("i"), F.col("x").alias("x1"), F.col("y").alias("y1")), rows.select(*keys, F.col("i").alias("j"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    sx, sy = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    g = a.join(b, keys).where("i < j").groupBy(*keys).agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("px"), F.sum(F.abs(sy)).alias("py"), F.max("j").alias("n"))
+def sign_sums(rows: DataFrame, keys: list[str], rank: str, value: str) -> DataFrame:
+    """Per group, over its pairs of rows of a lower and a higher rank (from 1 on): s, the sum of the sign of the change of ``value``; untied, how many change; n, the highest rank.
+
+    Two ranks differ first at one binary digit, where the lower one has a zero. So
+    each row is taken once per digit, and among those that share the digits before
+    it each row with a one counts the zeros of smaller and of larger value. No
+    pairs are made, and a large group is dealt out over its digits.
+    """
+    rows = rows.select(*keys, F.col(rank).cast("long").alias("__r"), F.col(value).alias("__v"))
+    rows = rows.withColumn("__n", F.max("__r").over(Window.partitionBy(*keys)))
+    rows = rows.withColumn("__bit", F.explode(F.expr("sequence(0, length(bin(__n)) - 1)")))
+    rows = rows.withColumn("__prefix", F.expr("shiftright(__r, __bit + 1)")).withColumn("__zero", 1 - F.expr("shiftright(__r, __bit) & 1"))
+    part = [*keys, "__bit", "__prefix"]
+    up_to = F.sum("__zero").over(Window.partitionBy(*part).orderBy("__v").rangeBetween(Window.unboundedPreceding, 0))
+    same, whole = F.sum("__zero").over(Window.partitionBy(*part, "__v")), F.sum("__zero").over(Window.partitionBy(*part))
+    rows = rows.withColumn("__less", up_to - same).withColumn("__more", whole - up_to)
+    one = F.col("__zero") == 0
+    total = lambda c: F.coalesce(F.sum(F.when(one, c)), F.lit(0))
+    return rows.groupBy(*keys).agg(total(F.col("__less") - F.col("__more")).cast("double").alias("s"), total(F.col("__less") + F.col("__more")).cast("double").alias("untied"), F.max("__n").cast("int").alias("n"))
+
+
+def _untied(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
+    """Pairs of rows of a group that differ in a column."""
+    g = rows.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("c")).groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("t"))
+    return g.select(*keys, (F.col("n") * (F.col("n") - 1) / 2 - F.col("t")).alias(name))
+
+
+def kendall(pairs: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """tau-b and its normal p per group, without making pairs."""
+    ranked = pairs.withColumn("rank", F.dense_rank().over(Window.partitionBy(*keys).orderBy("x")))
+    n = pairs.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    g = sign_sums(ranked, keys, "rank", "y").select(*keys, "s").join(_untied(pairs, keys, "x", "px"), keys).join(_untied(pairs, keys, "y", "py"), keys).join(n, keys)
     g = g.where((F.col("n") >= least) & (F.col("px") > 0) & (F.col("py") > 0))
     n = F.col("n")
     z = F.col("s") / F.sqrt(n * (n - 1) * (2 * n + 5) / 18)
@@ -112,14 +139,17 @@ def network_metrics(edges: DataFrame, keys: list[str], least: float = 0.3) -> Da
     return g.withColumn("hub_score", F.col("degree") * F.col("strength"))
 
 
-def small_components(edges: DataFrame, nodes: DataFrame, keys: list[str], rounds: int = 5) -> DataFrame:
-    """Components of small graphs, one per group, by repeated minimum over neighbours (rounds: nodes of a group - 1 at least)."""
+def small_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Components of graphs, one per group, by the repeated minimum over neighbours until nothing changes."""
     both = edges.select(*keys, F.col("m1").alias("node"), F.col("m2").alias("other")).unionByName(edges.select(*keys, F.col("m2").alias("node"), F.col("m1").alias("other")))
-    named = nodes.select(*keys, "node", F.col("node").alias("component"))
-    for _ in range(rounds):
+    both = staged(both, "edges")
+    named = staged(nodes.select(*keys, "node", F.col("node").alias("component")), "named")
+    while True:
         seen = both.join(named.select(*keys, F.col("node").alias("other"), F.col("component").alias("near")), [*keys, "other"]).groupBy(*keys, "node").agg(F.min("near").alias("near"))
-        named = named.join(seen, [*keys, "node"], "left").select(*keys, "node", F.least("component", F.coalesce("near", "component")).alias("component"))
-    return named
+        low = F.least("component", F.coalesce("near", "component"))
+        named = staged(named.join(seen, [*keys, "node"], "left").select(*keys, "node", low.alias("component"), (low != F.col("component")).alias("moved")), "named")
+        if named.where("moved").isEmpty():
+            return named.drop("moved")
 
 
 def ttest(rows: DataFrame, keys: list[str], group: str = "present") -> DataFrame:

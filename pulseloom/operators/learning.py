@@ -140,7 +140,8 @@ def dbscan_1d(m: DataFrame, eps: float = 5.0, least: int = 3) -> DataFrame:
     last = F.last(F.when(F.col("core"), F.col("value")), True).over(o.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("fresh", F.when(F.col("core") & (last.isNull() | (F.col("value") - last > eps)), 1).otherwise(0))
     rows = rows.withColumn("run", F.sum("fresh").over(o)).withColumn("back", last)
-    ahead = F.first(F.when(F.col("core"), F.struct("value", "run")), True).over(o.rowsBetween(1, Window.unboundedFollowing))
+    back = Window.partitionBy(*KEYS).orderBy(F.desc("value"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.last(F.when(F.col("core"), F.struct("value", "run")), True).over(back)
     rows = rows.withColumn("ahead", ahead)
     cluster = F.when(F.col("core"), F.col("run")).when(F.col("value") - F.col("back") <= eps, F.col("run")).when(F.col("ahead.value") - F.col("value") <= eps, F.col("ahead.run")).otherwise(-1)
     return rows.select("event_id", *KEYS, "value", "core", cluster.cast("long").alias("cluster"))

@@ -11,6 +11,7 @@ from pulseloom.operators.anomalies import details
 from pulseloom.operators.relations import before_after, interventions
 from pulseloom.operators.trends import linear_trend
 from pulseloom.operators.windows import latest
+from pulseloom.sources.readings import as_of
 
 
 def intervention_baseline(m: DataFrame, least: int = 3) -> DataFrame:
@@ -121,13 +122,13 @@ def correlation_alerts(sweep: DataFrame, strong: float = 0.7, level: float = 0.2
     return C.fdr(sweep, ["user_id"]).where((F.col("p_adjusted") <= level) & (F.abs("r") >= strong)).select("user_id", "m1", "m2", "n", "r", F.when(F.col("r") > 0, "rise").otherwise("fall").alias("direction"))
 
 
-def daily_reports(m: DataFrame) -> DataFrame:
-    """One report row per active person: series, anomalies, trends, top type, confidence and a short text, in one plan."""
+def daily_reports(m: DataFrame, days: int = 7) -> DataFrame:
+    """One report row per person with a reading in the last ``days``: series, anomalies, trends, top type, confidence and a short text, in one plan."""
     last = latest(m).groupBy("user_id").agg(F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("series"))
     seen = details(m).groupBy("user_id").agg(F.sum("anomalies").alias("anomalies"), F.sum("severe").alias("severe"))
     up = linear_trend(m).groupBy("user_id").agg(F.count_if(F.col("direction") == "increasing").alias("rising"), F.count_if(F.col("direction") == "decreasing").alias("falling"))
     top = m.groupBy("user_id", "metric_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.min_by("metric_type", F.struct(-F.col("n"), "metric_type")).alias("top_type"), F.sum("n").alias("readings"))
-    g = last.join(seen, "user_id", "left").join(up, "user_id", "left").join(top, "user_id").fillna(0, ["anomalies", "severe", "rising", "falling"]).where(F.col("user_id") % 7 != 0)
+    g = last.join(seen, "user_id", "left").join(up, "user_id", "left").join(top, "user_id").fillna(0, ["anomalies", "severe", "rising", "falling"]).where(F.col("last_ts") >= as_of() - F.expr(f"INTERVAL {days} DAYS"))
     text = F.concat(F.col("readings").cast("string"), F.lit(" readings; "), F.col("anomalies").cast("string"), F.lit(" unusual; most of "), F.col("top_type"))
     return g.select("user_id", F.to_date(F.lit("2024-01-31")).alias("report_date"), "last_ts", "series", "readings", "anomalies", "severe", "rising", "falling", "top_type", r6(F.least(F.lit(1.0), F.col("readings") / 100)).alias("confidence"), F.left(text, F.lit(306)).alias("text"))
 

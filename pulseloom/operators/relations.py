@@ -38,7 +38,8 @@ def nearest(left: DataFrame, right: DataFrame, hours: float | None) -> DataFrame
     known = F.when(~F.col("of_left"), F.struct("t", "event_id", "value"))
     w = Window.partitionBy("user_id").orderBy("t", "event_id")
     rows = rows.withColumn("p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("q", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("of_left")
+    back = Window.partitionBy("user_id").orderBy(F.desc("t"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("q", F.last(known, True).over(back)).where("of_left")
     back, ahead = F.col("t") - F.col("p.t"), F.col("q.t") - F.col("t")
     pick = F.when(F.col("p").isNull() | (ahead <= back), F.col("q")).otherwise(F.col("p"))
     out = rows.select("user_id", "event_id", F.col("value").alias("x"), "t", pick.alias("r"))

@@ -49,7 +49,7 @@ def text_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
     q = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("w")).withColumn("n_words", F.size("w")).select("query_id", "n_words", F.explode("w").alias("word"))
     d = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("length", F.size("w")).select("doc_id", "length", F.explode("w").alias("word"))
-    hits = d.groupBy("doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf")).join(F.broadcast(q), "word")  # a stated set of queries
+    hits = d.groupBy("doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf")).join(q, "word")
     g = hits.groupBy("query_id", "doc_id", "length", "n_words").agg(F.count(F.lit(1)).alias("found"), F.sum("tf").alias("tf")).where("found = n_words")
     g = g.withColumn("rank", F.round(F.col("tf") / F.sqrt("length"), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("rank"), "doc_id")
@@ -61,10 +61,10 @@ def prepare(text: Column, most: int = 8000) -> Column:
     return F.left(F.trim(F.regexp_replace(text, "[ \\t\\n\\r]+", " ")), F.lit(most))
 
 
-#: Tag and the pattern that gives it.
+#: Tag and the words that give it.
 TAGS = (
-    ("sleep", "sleep|slept|bed|nap|ing "), ("exercise", "run|walk|gym|exercise|the "), ("nutrition", "meal|ate|food|dinner|and"), ("stress", "stress|anxious|er "),
-    ("supplement", "magnesium|vitamin|supplement"), ("heart", "heart|pulse|th"), ("mood", "mood|happy|sad|on "), ("caffeine", "coffee|caffeine|tea|ea"),
+    ("sleep", r"\b(sleep|slept|bedtime|nap|tired)\b"), ("exercise", r"\b(run|running|walk|gym|exercise|workout)\b"), ("nutrition", r"\b(meal|ate|food|dinner|lunch|breakfast)\b"), ("stress", r"\b(stress|stressed|anxious)\b"),
+    ("supplement", r"\b(magnesium|vitamin|supplement)\b"), ("heart", r"\b(heart|pulse|hrv)\b"), ("mood", r"\b(mood|happy|sad)\b"), ("caffeine", r"\b(coffee|caffeine|tea|espresso)\b"),
 )
 
 
@@ -74,7 +74,7 @@ def rule_tags(text: Column, most: int = 7) -> Column:
 
 
 #: Fixed values of the message tags: aliases of metrics (the longest that occurs counts), aggregations and question words.
-ALIASES = (("heart rate", "heart_rate"), ("pulse", "heart_rate"), ("hrv", "hrv"), ("recovery score", "recovery"), ("recovery", "recovery"), ("sleep", "sleep"), ("steps", "steps"), ("temperature", "temperature"), ("glucose", "glucose"), ("the", "article"), ("that", "pointer"))
+ALIASES = (("heart rate", "heart_rate"), ("pulse", "heart_rate"), ("hrv", "hrv"), ("recovery score", "recovery"), ("recovery", "recovery"), ("sleep", "sleep"), ("steps", "steps"), ("temperature", "temperature"), ("glucose", "glucose"))
 AGGREGATIONS = (("average|mean|avg", "avg"), ("highest|max|peak", "max"), ("lowest|min", "min"), ("total|sum", "sum"), ("trend", "trend"), ("latest|last|current", "latest"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulseloom.functions.labels import label
 from pulseloom.functions.stats import t_two_sided
 from pulseloom.operators.aggregates import KEYS, r6
+from pulseloom.operators.correlations import sign_sums
 from pulseloom.operators.windows import rolling_centered, series
 
 
@@ -34,10 +35,7 @@ def linear_trend(m: DataFrame, least: int = 5) -> DataFrame:
 
 def mann_kendall(m: DataFrame, least: int = 4) -> DataFrame:
     """Mann-Kendall S, tau and the normal z of each series against its order."""
-    rows = m.withColumn("k", F.row_number().over(series()))
-    a = rows.select(*KEYS, F.col("k").alias("i"), F.col("value").alias("x"))
-    b = rows.select(*KEYS, F.col("k").alias("j"), F.col("value").alias("y"))
-    g = a.join(b, KEYS).where("i < j").groupBy(*KEYS).agg(F.sum(F.signum(F.col("y") - F.col("x"))).alias("s"), F.sum(F.abs(F.signum(F.col("y") - F.col("x")))).alias("untied"), F.max("j").alias("n"))
+    g = sign_sums(m.withColumn("k", F.row_number().over(series())), KEYS, "k", "value")
     n = F.col("n")
     pairs = n * (n - 1) / 2
     z = F.when(F.col("s") > 0, F.col("s") - 1).when(F.col("s") < 0, F.col("s") + 1).otherwise(0.0) / F.sqrt(n * (n - 1) * (2 * n + 5) / 18)

@@ -12,6 +12,11 @@ def series():
     return Window.partitionBy(*KEYS).orderBy("ts", "event_id")
 
 
+def reversed_series():
+    """The same, from the newest on: what comes behind a row is what has been seen before it in this order."""
+    return Window.partitionBy(*KEYS).orderBy(F.desc("ts"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, 0)
+
+
 def latest(m: DataFrame) -> DataFrame:
     """The latest reading per person and type, without a sort."""
     return m.groupBy(*KEYS).agg(F.max_by(F.struct("event_id", "ts", "value"), F.struct("ts", "event_id")).alias("x")).select(*KEYS, "x.event_id", "x.ts", "x.value")
@@ -46,8 +51,8 @@ def rolling_centered(m: DataFrame, n: int = 5) -> DataFrame:
     w = series().rowsBetween(-before, after)
     full = F.count("value").over(w) == n
     rows = m.withColumn("mean", F.when(full, F.avg("value").over(w))).withColumn("sd", F.when(full, F.stddev_samp("value").over(w)))
-    ahead, behind = series().rowsBetween(Window.unboundedPreceding, 0), series().rowsBetween(0, Window.unboundedFollowing)
-    fill = lambda c: F.coalesce(F.last(c, True).over(ahead), F.first(c, True).over(behind))
+    ahead, behind = series().rowsBetween(Window.unboundedPreceding, 0), reversed_series()
+    fill = lambda c: F.coalesce(F.last(c, True).over(ahead), F.last(c, True).over(behind))
     return rows.select("event_id", *KEYS, "ts", "value", fill("mean").alias("mean"), fill("sd").alias("sd"))
 
 
@@ -55,7 +60,7 @@ def filled(m: DataFrame, every: int = 3) -> DataFrame:
     """Values, of which each ``every``-th is taken as missing, filled forward, then backward."""
     rows = m.withColumn("seen", F.when(F.col("event_id") % every != 0, F.col("value")))
     ahead = F.last("seen", True).over(series().rowsBetween(Window.unboundedPreceding, 0))
-    behind = F.first("seen", True).over(series().rowsBetween(0, Window.unboundedFollowing))
+    behind = F.last("seen", True).over(reversed_series())
     return rows.select("event_id", *KEYS, F.coalesce(ahead, behind).alias("filled"))
 
 

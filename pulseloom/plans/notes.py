@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import text as X
 from pulseloom.plans.registry import register, register_tables
+from pulseloom.sources.readings import readings
 from pulseloom.sources.tables import table
 
 VQ = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)"
@@ -15,18 +16,18 @@ WITH {VS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity
 
 
 def _context(s, d):
-    """The three best notes of each query that have two tags or more; a query is the mean of its person's first vectors."""
-    hits = X.vector_search(table(s, d, "embeddings").where("vec_id % 50 = 0"), table(s, d, "embeddings"), 30, 0.1)
-    tags = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), X.rule_tags(F.coalesce("text", F.lit(""))).alias("tags")).where(F.size("tags") > 2)
+    """The three best notes of each query, with their tags."""
+    hits = X.vector_search(table(s, d, "embeddings").where("vec_id % 50 = 0"), table(s, d, "embeddings"), 3, 0.1)
+    tags = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), X.rule_tags(F.coalesce("text", F.lit(""))).alias("tags"))
     return hits.join(tags, "vec_id").select("query_id", "vec_id", "similarity", F.array_join("tags", ",").alias("tags"))
 
 
 TAGS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{t}' END" for t, p in X.TAGS) + "], lambda x: x IS NOT NULL)[1:7]"
 register_tables("txt_2_historical_context", _context, f"""
-WITH {VS}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, distance, vec_id) AS k FROM s WHERE similarity >= 0.1 QUALIFY k <= 30), t AS (SELECT doc_id AS vec_id, {TAGS_SQL} AS tags FROM documents)
-SELECT query_id, vec_id, similarity, array_to_string(tags, ',') AS tags FROM h JOIN t USING (vec_id) WHERE len(tags) > 2""")
-register_tables("txt_3_text_search", lambda s, d: X.text_search(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("query")), table(s, d, "documents"), 5), """
-WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark),
+WITH {VS}, h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, distance, vec_id) AS k FROM s WHERE similarity >= 0.1 QUALIFY k <= 3), t AS (SELECT doc_id AS vec_id, {TAGS_SQL} AS tags FROM documents)
+SELECT query_id, vec_id, similarity, array_to_string(tags, ',') AS tags FROM h JOIN t USING (vec_id)""")
+register_tables("txt_3_text_search", lambda s, d: X.text_search(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), table(s, d, "documents"), 5), """
+WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM benchmark),
 qw AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q), d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT doc_id, len(w) AS length, unnest(w) AS word FROM d), c AS (SELECT doc_id, length, word, count(*) AS tf FROM t GROUP BY ALL),
 g AS (SELECT query_id, doc_id, length, n, count(*) AS f, sum(tf)::BIGINT AS tf FROM c JOIN qw USING (word) GROUP BY ALL HAVING count(*) = n)
@@ -35,17 +36,29 @@ register_tables("txt_4_prepare_and_tag", lambda s, d: table(s, d, "documents").s
 SELECT doc_id, md5(left(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')), 8000)) AS prepared, array_to_string({TAGS_SQL}, ',') AS tags FROM documents""")
 register("txt_5_recent_events", lambda m: m.where("ts >= '2024-01-28'").select("user_id", "event_id", "ts"), "SELECT user_id, event_id, ts FROM m WHERE ts >= TIMESTAMP '2024-01-28'")
 
-#: Messages made of the turns: a suffix by turn gives them something to parse.
-SUFFIXES = ("average heart rate last 7 days?", "supplement magnesium 400mg 10pm", "drink coffee 16oz 9am", "exercise running 45min 6:30am", "correlation of pulse vs sleep past 2 weeks", "350 calories 20g protein score: 7.5", "what about yesterday")
+#: How a reading is written down as a line of a note: what stands before and behind its whole value, by type.
+LINES = {
+    "click": ("exercise running ", "min "),
+    "view": ("drink coffee ", "oz "),
+    "purchase": ("meal chicken ", " calories 20g protein "),
+    "signup": ("supplement magnesium ", "mg "),
+    "error": ("average heart rate vs sleep last ", " days at "),
+}
 
 
 def messages(s, d):
-    c = table(s, d, "conversations")
-    suffix = F.get(F.array(*map(F.lit, SUFFIXES)), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(SUFFIXES))).cast("int"))
-    return c.select("conv_id", "turn", "role", F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(40)), F.lit("\n"), suffix).alias("text"))
-
-
-MSG = "msg AS (SELECT conv_id, turn, role, conv_id || '-' || turn AS id, left(coalesce(text, ''), 40) || chr(10) || [" + ", ".join(f"'{x}'" for x in SUFFIXES) + "][(conv_id + turn) % 7 + 1] AS text FROM conversations)"
+    """(id, text, ts): the turns of conversations, whole, and the notes of each person and day, a line per reading."""
+    turns = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+    part = lambda k: F.create_map(*[F.lit(x) for t, v in LINES.items() for x in (t, v[k])])[F.col("metric_type")]
+    line = F.concat(part(0), F.floor("value").cast("string"), part(1), F.lower(F.date_format("ts", "h:mma")))
+    days = readings(s, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("x"), F.max("ts").alias("ts"))
+    notes = days.select(F.concat(F.lit("u"), F.concat_ws("-", F.col("user_id").cast("string"), F.col("day").cast("string"))).alias("id"), F.array_join(F.transform("x", lambda i: i.line), "\n").alias("text"), "ts")
+    return turns.unionByName(notes)
+
+
+LINE = "CASE metric_type " + " ".join(f"WHEN '{t}' THEN '{a}' || floor(value)::BIGINT || '{b}'" for t, (a, b) in LINES.items()) + " END || lower(strftime(ts, '%-I:%M%p'))"
+MSG = f"""msg AS (SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS text, NULL::TIMESTAMP AS ts FROM conversations
+UNION ALL SELECT 'u' || user_id || '-' || ts::DATE, string_agg({LINE}, chr(10) ORDER BY ts, event_id), max(ts) FROM m GROUP BY user_id, ts::DATE)"""
 METRIC = "CASE " + " ".join(f"WHEN contains({{t}}, '{a}') THEN '{m}'" for a, m in sorted(X.ALIASES, key=lambda x: (-len(x[0]), x[0]))) + " END"
 AGG = "CASE " + " ".join(f"WHEN regexp_matches(t, '\\b({p})\\b') THEN '{n}'" for p, n in X.AGGREGATIONS) + " ELSE 'avg' END"
 register_tables("msg_1_tag_messages", lambda s, d: X.tag_messages(messages(s, d)), f"""
@@ -81,10 +94,6 @@ register_tables("msg_6_extract_nutrition", lambda s, d: X.extract_nutrition(mess
     ("(\\d+(?:\\.\\d+)?) calories", "calories"), ("(\\d+(?:\\.\\d+)?) ?g protein", "protein"), ("(\\d+(?:\\.\\d+)?) ?g carbs", "carbs"), ("(\\d+(?:\\.\\d+)?) ?g fat", "fat"), ("score:? (\\d+(?:\\.\\d+)?)", "score"))) + " FROM msg")
 
 
-def _timed(s, d):
-    return messages(s, d).withColumn("ts", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_interval(hours=F.pmod(F.col("conv_id") * 5 + F.col("turn"), F.lit(24)).cast("int")))
-
-
-register_tables("msg_7_message_insights", lambda s, d: X.message_insights(_timed(s, d)), f"""
-WITH {MSG}, k AS (SELECT id, CASE WHEN regexp_matches(lower(text), '\\bmeal\\b') THEN 'meal' WHEN regexp_matches(lower(text), '\\b(coffee|caffeine)\\b') THEN 'caffeine' WHEN regexp_matches(lower(text), '\\bexercise\\b') THEN 'exercise' ELSE 'other' END AS kind, (conv_id * 5 + turn) % 24 AS h FROM msg)
+register_tables("msg_7_message_insights", lambda s, d: X.message_insights(messages(s, d)), f"""
+WITH {MSG}, k AS (SELECT id, CASE WHEN regexp_matches(lower(text), '\\bmeal\\b') THEN 'meal' WHEN regexp_matches(lower(text), '\\b(coffee|caffeine)\\b') THEN 'caffeine' WHEN regexp_matches(lower(text), '\\bexercise\\b') THEN 'exercise' ELSE 'other' END AS kind, hour(ts) AS h FROM msg)
 SELECT id, kind, CASE WHEN kind = 'meal' AND h >= 20 THEN 'late meal' WHEN kind = 'caffeine' AND h >= 14 THEN 'late caffeine' WHEN kind = 'exercise' AND h >= 19 THEN 'late exercise' END AS insight FROM k""")

@@ -42,10 +42,10 @@ register("alr_2_batch_alerts", Y.batch_alerts, f"""
 WITH {ENS}, d AS (SELECT {K}, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (severe) AS severe FROM en GROUP BY {K}) SELECT *, CASE WHEN severe > 0 THEN 'high' ELSE 'medium' END AS severity FROM d WHERE severe > 0 OR anomalies >= 2""")
 register("alr_3_correlation_alerts", lambda m: rounded(Y.correlation_alerts(sweep(m))))
 LIMITS = {"critical": 10, "high": 8, "medium": 5, "low": 3}
-register("alr_4_rate_limit", lambda m: Y.rate_limit(Y.alerts(m).withColumn("user_id", F.col("user_id") % 5), LIMITS, 72), f"""
-WITH {ALERTS}, o AS (SELECT user_id % 5 AS user_id, severity, event_id, created_at, row_number() OVER (PARTITION BY user_id % 5, severity ORDER BY created_at, event_id) AS k FROM al),
+register("alr_4_rate_limit", lambda m: Y.rate_limit(Y.alerts(m), LIMITS, 240), f"""
+WITH {ALERTS}, o AS (SELECT user_id, severity, event_id, created_at, row_number() OVER (PARTITION BY user_id, severity ORDER BY created_at, event_id) AS k FROM al),
 w(user_id, severity, event_id, k, start, c) AS (SELECT user_id, severity, event_id, k, created_at, 1 FROM o WHERE k = 1
-UNION ALL SELECT o.user_id, o.severity, o.event_id, o.k, CASE WHEN o.created_at - w.start >= INTERVAL 72 HOUR THEN o.created_at ELSE w.start END, CASE WHEN o.created_at - w.start >= INTERVAL 72 HOUR THEN 1 ELSE w.c + 1 END
+UNION ALL SELECT o.user_id, o.severity, o.event_id, o.k, CASE WHEN o.created_at - w.start >= INTERVAL 240 HOUR THEN o.created_at ELSE w.start END, CASE WHEN o.created_at - w.start >= INTERVAL 240 HOUR THEN 1 ELSE w.c + 1 END
 FROM w JOIN o ON o.user_id = w.user_id AND o.severity = w.severity AND o.k = w.k + 1)
 SELECT user_id, severity, event_id, c <= CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 8 WHEN 'medium' THEN 5 ELSE 3 END AS passed FROM w""")
 register("alr_5_resolve_alerts", lambda m: Y.resolve_alerts(Y.alerts(m)), f"""
@@ -57,7 +57,7 @@ register("rpt_1_daily_reports", Y.daily_reports, f"""
 WITH {ENS}, {LIN}, s AS (SELECT user_id, max(ts) AS last_ts, count(DISTINCT metric_type) AS series, count(*) AS readings FROM m GROUP BY ALL), a AS (SELECT user_id, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (severe) AS severe FROM en GROUP BY ALL),
 u AS (SELECT user_id, count(*) FILTER (slope > 0.01) AS rising, count(*) FILTER (slope < -0.01) AS falling FROM lg2 GROUP BY ALL), t AS (SELECT user_id, first(metric_type ORDER BY n DESC, metric_type) AS top_type FROM (SELECT user_id, metric_type, count(*) AS n FROM m GROUP BY ALL) GROUP BY user_id)
 SELECT user_id, DATE '2024-01-31' AS report_date, last_ts, series, readings, coalesce(anomalies, 0) AS anomalies, coalesce(severe, 0) AS severe, coalesce(rising, 0) AS rising, coalesce(falling, 0) AS falling, top_type, round(least(1, readings / 100), 6) AS confidence,
-left(readings || ' readings; ' || coalesce(anomalies, 0) || ' unusual; most of ' || top_type, 306) AS text FROM s LEFT JOIN a USING (user_id) LEFT JOIN u USING (user_id) JOIN t USING (user_id) WHERE user_id % 7 <> 0""")
+left(readings || ' readings; ' || coalesce(anomalies, 0) || ' unusual; most of ' || top_type, 306) AS text FROM s LEFT JOIN a USING (user_id) LEFT JOIN u USING (user_id) JOIN t USING (user_id) WHERE last_ts >= {NOW} - INTERVAL 7 DAY""")
 register("rpt_2_change_card", Y.change_card, f"""
 WITH c AS (SELECT {K}, last(value ORDER BY ts, event_id) AS value, avg(value) AS mean FROM m GROUP BY {K}), d AS (SELECT {K}, value, round(mean, 6) AS mean, round((value - mean) / mean * 100, 6) AS change FROM c)
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(change) DESC, metric_type) AS k FROM d WHERE abs(change) > 5 QUALIFY k <= 2""")

@@ -90,7 +90,7 @@ register("cor_1_pearson", lambda m: rounded(C.pearson(R.daily_pairs(m, "click",
 RANKS = "rk AS (SELECT user_id, day, rank() OVER (PARTITION BY user_id ORDER BY x) + (count(*) OVER (PARTITION BY user_id, x) - 1) / 2 AS x, rank() OVER (PARTITION BY user_id ORDER BY y) + (count(*) OVER (PARTITION BY user_id, y) - 1) / 2 AS y FROM dp)"
 register("cor_2_spearman", lambda m: rounded(C.spearman(R.daily_pairs(m, "click", "view"), U, 6), "user_id", "n", "r"),
          f"WITH {PAIRS}, {RANKS}, g AS (SELECT user_id, count(*) AS n, corr(x, y) AS r FROM rk GROUP BY user_id) SELECT user_id, n, round(r, 6) AS r FROM g WHERE n >= 6 AND r IS NOT NULL AND NOT isnan(r)")
-register("cor_3_kendall", lambda m: rounded(C.kendall(R.daily_pairs(m, "click", "view"), U, "day"), "user_id", "n", "tau"), f"""
+register("cor_3_kendall", lambda m: rounded(C.kendall(R.daily_pairs(m, "click", "view"), U), "user_id", "n", "tau"), f"""
 WITH {PAIRS}, g AS (SELECT a.user_id, sum(sign(a.x - b.x) * sign(a.y - b.y)) AS s, sum(abs(sign(a.x - b.x))) AS px, sum(abs(sign(a.y - b.y))) AS py FROM dp a JOIN dp b ON a.user_id = b.user_id AND a.day < b.day GROUP BY ALL),
 n AS (SELECT user_id, count(*)::INT AS n FROM dp GROUP BY ALL) SELECT user_id, n, round(s / sqrt(px * py), 6) AS tau FROM g JOIN n USING (user_id) WHERE n >= 3 AND px > 0 AND py > 0""")
 MI = """nt AS (SELECT user_id, ntile({bins}) OVER (PARTITION BY user_id ORDER BY x, y) AS bx, ntile({bins}) OVER (PARTITION BY user_id ORDER BY y, x) AS by_ FROM dp), cl AS (SELECT user_id, bx, by_, count(*) AS c FROM nt GROUP BY ALL),

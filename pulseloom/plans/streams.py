@@ -24,13 +24,13 @@ register_tables("str_4_score_stream", lambda s, d: J.drain(J.score_stream(J.read
 def _alert_stream(s, d):
     v = F.col("value")
     severity = F.when(v >= 200, "critical").when(v >= 120, "high").when(v >= 60, "medium").otherwise("low")
-    return J.reading_stream(s, d).where("metric_type = 'error'").select((F.col("user_id") % 5).alias("user_id"), severity.alias("severity"), "event_id", "ts")
+    return J.reading_stream(s, d).where("metric_type = 'error'").select("user_id", severity.alias("severity"), "event_id", "ts")
 
 
-register_tables("str_5_rate_limit_stream", lambda s, d: J.drain(J.rate_limit_stream(_alert_stream(s, d), LIMITS, 72), "limits"), f"""
-WITH {ALERTS}, o AS (SELECT user_id % 5 AS user_id, severity, event_id, created_at, row_number() OVER (PARTITION BY user_id % 5, severity ORDER BY created_at, event_id) AS k FROM al),
+register_tables("str_5_rate_limit_stream", lambda s, d: J.drain(J.rate_limit_stream(_alert_stream(s, d), LIMITS, 240), "limits"), f"""
+WITH {ALERTS}, o AS (SELECT user_id, severity, event_id, created_at, row_number() OVER (PARTITION BY user_id, severity ORDER BY created_at, event_id) AS k FROM al),
 w(user_id, severity, event_id, k, start, c) AS (SELECT user_id, severity, event_id, k, created_at, 1 FROM o WHERE k = 1
-UNION ALL SELECT o.user_id, o.severity, o.event_id, o.k, CASE WHEN o.created_at - w.start >= INTERVAL 72 HOUR THEN o.created_at ELSE w.start END, CASE WHEN o.created_at - w.start >= INTERVAL 72 HOUR THEN 1 ELSE w.c + 1 END
+UNION ALL SELECT o.user_id, o.severity, o.event_id, o.k, CASE WHEN o.created_at - w.start >= INTERVAL 240 HOUR THEN o.created_at ELSE w.start END, CASE WHEN o.created_at - w.start >= INTERVAL 240 HOUR THEN 1 ELSE w.c + 1 END
 FROM w JOIN o ON o.user_id = w.user_id AND o.severity = w.severity AND o.k = w.k + 1)
 SELECT user_id, severity, event_id, c <= CASE severity WHEN 'critical' THEN 10 WHEN 'high' THEN 8 WHEN 'medium' THEN 5 ELSE 3 END AS passed FROM w""")
 register_tables("str_6_session_stream", lambda s, d: J.drain(J.session_stream(J.reading_stream(s, d)), "sessions"), """
