@@ -74,13 +74,12 @@ EVENTS = MSG + f""", li AS (SELECT id, unnest(string_split(text, chr(10))) AS li
 ev AS (SELECT id, line_no, regexp_extract(line, '{KIND}', 1) AS kind, regexp_extract(line, '{KIND}', 2) AS item, try_cast(regexp_extract(line, '{DOSE}', 1) AS DOUBLE) AS dose, nullif(regexp_extract(line, '{DOSE}', 2), '') AS unit,
 round(try_cast(regexp_extract(line, '{CLOCK}', 1) AS DOUBLE) % 12 + CASE WHEN regexp_extract(line, '{CLOCK}', 3) = 'pm' THEN 12 ELSE 0 END + coalesce(try_cast(regexp_extract(line, '{CLOCK}', 2) AS DOUBLE), 0) / 60, 6) AS hour FROM lo WHERE NOT contains(line, '?') AND regexp_matches(line, '{KIND}'))"""
 register_tables("msg_2_extract_events", lambda s, d: X.extract_events(messages(s, d)), f"WITH {EVENTS} SELECT * FROM ev")
-register_tables("msg_3_events_to_metrics", lambda s, d: X.events_to_metrics(X.extract_events(messages(s, d))), f"""
-WITH {EVENTS}, x AS (SELECT id, line_no, item || '_intake' AS metric_type, coalesce(dose, 1) AS value FROM ev WHERE kind = 'supplement' UNION ALL SELECT id, line_no, 'supplement_intake', 1 FROM ev WHERE kind = 'supplement'
+METRIC_ROWS = EVENTS + """, x AS (SELECT id, line_no, item || '_intake' AS metric_type, coalesce(dose, 1) AS value FROM ev WHERE kind = 'supplement' UNION ALL SELECT id, line_no, 'supplement_intake', 1 FROM ev WHERE kind = 'supplement'
 UNION ALL SELECT id, line_no, 'meal_timing', hour FROM ev WHERE kind = 'meal' AND hour IS NOT NULL UNION ALL SELECT id, line_no, item || '_consumption', 1 FROM ev WHERE kind = 'meal'
 UNION ALL SELECT id, line_no, item || '_duration', dose FROM ev WHERE kind = 'exercise' AND dose IS NOT NULL UNION ALL SELECT id, line_no, 'exercise_duration', dose FROM ev WHERE kind = 'exercise' AND dose IS NOT NULL
 UNION ALL SELECT id, line_no, 'exercise_intensity', 3 FROM ev WHERE kind = 'exercise' UNION ALL SELECT id, line_no, item || '_consumption', coalesce(dose, 1) FROM ev WHERE kind = 'drink'
-UNION ALL SELECT id, line_no, 'caffeine_intake', CASE item WHEN 'coffee' THEN 95.0 WHEN 'tea' THEN 47.0 WHEN 'espresso' THEN 500.0 ELSE 24.0 END * CASE WHEN unit = 'oz' THEN dose / 8 ELSE 1 END FROM ev WHERE kind = 'drink' AND item IN ('coffee', 'tea', 'espresso', 'cola'))
-SELECT id, line_no, metric_type, round(value::DOUBLE, 6) AS value FROM x""")
+UNION ALL SELECT id, line_no, 'caffeine_intake', CASE item WHEN 'coffee' THEN 95.0 WHEN 'tea' THEN 47.0 WHEN 'espresso' THEN 500.0 ELSE 24.0 END * CASE WHEN unit = 'oz' THEN dose / 8 ELSE 1 END FROM ev WHERE kind = 'drink' AND item IN ('coffee', 'tea', 'espresso', 'cola'))"""
+register_tables("msg_3_events_to_metrics", lambda s, d: X.events_to_metrics(X.extract_events(messages(s, d))), f"WITH {METRIC_ROWS} SELECT id, line_no, metric_type, round(value::DOUBLE, 6) AS value FROM x")
 FOLLOWS = f"""SELECT conv_id, turn, lag(turn) OVER w IS NOT NULL AND regexp_matches(lower(coalesce(text, '')), '{X.FOLLOW_UP}') AS is_follow_up, lag(turn) OVER w AS parent_turn, lag(role) OVER w AS parent_role FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)"""
 register_tables("msg_4_flag_follow_ups", lambda s, d: X.flag_follow_ups(table(s, d, "conversations")), FOLLOWS)
 register_tables("jon_15_thread", lambda s, d: X.flag_follow_ups(table(s, d, "conversations")).where("parent_turn IS NOT NULL").groupBy("conv_id").agg(F.count(F.lit(1)).alias("links"), F.count_if("is_follow_up").alias("follow_ups"), F.max("turn").alias("last_turn")),

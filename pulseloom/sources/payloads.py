@@ -7,11 +7,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 VALUE = "struct<timestamp:bigint,value:string>"
 GRAPH = f"struct<data:array<{VALUE}>>"
 PAYLOAD = (
-    "struct<data:struct<metric_data:array<struct<type:string,object:struct<values:array<" + VALUE + ">,avg:string,day_start_timestamp:bigint,"
+    "struct<data:struct<metric_data:array<struct<type:string,object:struct<values:array<" + VALUE + ">,value:string,score:string,avg:string,day_start_timestamp:bigint,"
     f"hr_graph:{GRAPH},hrv_graph:{GRAPH},temp_graph:{GRAPH},movement_graph:{GRAPH}>>>>>"
 )
 #: Payload type to metric type and unit.
-TYPES = {"hr": ("heart_rate", "bpm"), "hrv": ("hrv", "ms"), "temp": ("skin_temperature", "celsius"), "steps": ("steps", "count"), "spo2": ("blood_oxygen", "percent"), "glucose": ("glucose", "mg/dl")}
+TYPES = {"hr": ("heart_rate", "bpm"), "hrv": ("hrv", "ms"), "temp": ("skin_temperature", "celsius"), "steps": ("steps", "count"), "spo2": ("blood_oxygen", "percent"), "glucose": ("glucose", "mg/dl"), "motion": ("movement", "count")}
+#: Payload type to the field of the day's record that its single value fills; active minutes may come as a list, and are summed.
+DAYS = {
+    "active_minutes": "active_minutes", "recovery": "recovery_score", "recovery_index": "recovery_score", "glucose": "average_glucose", "average_glucose": "average_glucose", "glucose_variability": "glucose_variability",
+    "metabolic_score": "metabolic_score", "hba1c": "hba1c", "time_in_target": "time_in_target", "movement_index": "movement_index", "vo2_max": "vo2_max", "avg_sleep_hrv": "avg_sleep_hrv", "sleep_score": "sleep_score",
+}
+DAY_FIELDS = tuple(dict.fromkeys(DAYS.values()))
 GRAPHS = {"hr_graph": ("heart_rate", "bpm"), "hrv_graph": ("hrv", "ms"), "temp_graph": ("skin_temperature", "celsius"), "movement_graph": ("movement", "count")}
 
 
@@ -37,10 +43,20 @@ def normalise_series(raw: DataFrame) -> DataFrame:
 
 
 def normalise_days(raw: DataFrame) -> DataFrame:
-    """One row per person and day: mean heart rate and temperature, mean variability, sum of steps."""
-    s = normalise_series(raw).groupBy("user_id", F.to_date("ts").alias("day"))
-    mean = lambda t: F.round(F.avg(F.when(F.col("metric_type") == t, F.col("value"))), 6)
-    return s.agg(mean("heart_rate").alias("resting_heart_rate"), mean("hrv").alias("hrv"), mean("skin_temperature").alias("skin_temperature"), F.round(F.sum(F.when(F.col("metric_type") == "steps", F.col("value"))), 6).alias("steps"))
+    """One row per person and day: mean heart rate, temperature and variability, sum of steps, and the single values of DAYS."""
+    e = entries(raw).withColumn("kind", F.lower("type"))
+    number = lambda c: F.col(c).try_cast("double")
+    summed = F.aggregate(F.transform("object.values", lambda v: F.coalesce(v.value.try_cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
+    value = F.coalesce(number("object.score"), number("object.value"), F.when((F.col("kind") == "active_minutes") & (F.size("object.values") > 0), summed))
+    field = F.create_map(*[F.lit(x) for kv in DAYS.items() for x in kv])[F.col("kind")]
+    single = e.select("user_id", F.to_date(F.timestamp_seconds("object.day_start_timestamp")).alias("day"), field.alias("field"), value.alias("value")).where("field IS NOT NULL AND day IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
+    series = normalise_series(raw).select("user_id", F.to_date("ts").alias("day"), F.concat(F.lit("series of "), "metric_type").alias("field"), "value")
+    of = lambda f: F.when(F.col("field") == f, F.col("value"))
+    mean = lambda t: F.round(F.avg(of(f"series of {t}")), 6)
+    return series.unionByName(single).groupBy("user_id", "day").agg(
+        mean("heart_rate").alias("resting_heart_rate"), mean("hrv").alias("hrv"), mean("skin_temperature").alias("skin_temperature"), F.round(F.sum(of("series of steps")), 6).alias("steps"),
+        *[F.round(F.max(of(f)), 6).alias(f) for f in DAY_FIELDS],
+    )
 
 
 def extract_graphs(raw: DataFrame) -> DataFrame:
