@@ -73,11 +73,24 @@ def seasonal(m: DataFrame, period: int = 7) -> DataFrame:
     return rows.select("event_id", *KEYS, F.tanh(F.abs(F.col("residual")) / F.col("sd") / 3).alias("score"))
 
 
-def ensemble(m: DataFrame, contamination: float = 0.1) -> DataFrame:
-    """Mean of the methods' scores, each scaled to 0..1 per series; flagged above the series' percentile."""
+#: The methods of the ensemble and what each gives per reading; the forest is left to those who ask for it.
+METHODS = {
+    "zscore": lambda m: zscore(m),
+    "mad": lambda m: modified_z(m),
+    "spc": lambda m: spc(m),
+    "seasonal": lambda m: seasonal(m),
+    "lof": lambda m: lof(m).withColumnRenamed("lof", "score"),
+    "envelope": lambda m: envelope(m).withColumnRenamed("distance", "score"),
+    "forest": lambda m: isolation_forest(m).join(m.select("event_id", "user_id"), "event_id"),
+}
+PLAIN = ("zscore", "mad", "spc", "seasonal", "lof", "envelope")
+
+
+def ensemble(m: DataFrame, contamination: float = 0.1, methods: tuple[str, ...] = PLAIN) -> DataFrame:
+    """Mean of the methods' scores (to four digits), each scaled to 0..1 per series; flagged above the series' percentile."""
     parts = None
-    for name, df in (("zscore", zscore(m)), ("mad", modified_z(m)), ("spc", spc(m))):
-        one = df.select("event_id", *KEYS, F.lit(name).alias("method"), "score")
+    for name in methods:
+        one = METHODS[name](m).select("event_id", *KEYS, F.lit(name).alias("method"), F.round("score", 4).alias("score"))
         parts = one if parts is None else parts.unionByName(one)
     w = Window.partitionBy(*KEYS, "method")
     low, high = F.min("score").over(w), F.max("score").over(w)
@@ -110,7 +123,7 @@ def pattern_report(m: DataFrame) -> DataFrame:
     return hits.withColumn("near", F.coalesce(near, F.lit(False))).groupBy("metric_type", F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.count_if("near").alias("clustered"), r6(F.avg("value")).alias("mean_value"), F.max("value").alias("max_value"))
 
 
-def isolation_forest(m: DataFrame, trees: int = 25, sample: int = 256, seed: int = 7) -> DataFrame:
+def isolation_forest(m: DataFrame, trees: int = 100, sample: int = 256, seed: int = 7) -> DataFrame:
     """Isolation scores of (hour, value) points of a type: bounded samples grow the trees, every reading is scored.
 
     A tree is a chain of random splits kept as an array of nodes; it needs
@@ -124,10 +137,11 @@ def isolation_forest(m: DataFrame, trees: int = 25, sample: int = 256, seed: int
     def c(n: float) -> float:
         return 2 * (math.log(n - 1) + 0.5772156649) - 2 * (n - 1) / n if n > 2 else (1.0 if n == 2 else 0.0)
 
-    picked = m.select("metric_type", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.hour("ts").cast("double").alias("h"), F.col("value").alias("v"), F.xxhash64(F.lit(seed), "event_id").alias("u"))
-    # by the hash, about four times the sample goes on to the exact choice
-    total = F.broadcast(m.groupBy("metric_type").agg(F.count(F.lit(1)).alias("total")))
-    picked = picked.withColumn("u", F.xxhash64("u", "tree")).join(total, "metric_type").where(F.pmod("u", F.lit(1_000_000)) * F.col("total") <= 4_000_000.0 * sample)
+    total = F.broadcast(m.groupBy("metric_type").agg(F.count(F.lit(1)).alias("total")))  # a row per type
+    rows = m.select("metric_type", F.hour("ts").cast("double").alias("h"), F.col("value").alias("v"), F.xxhash64(F.lit(seed), "event_id").alias("u")).join(total, "metric_type")
+    # by the hash, about four times the sample of each tree goes on to the exact choice; only the trees that take a row are made
+    takes = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("u", t), F.lit(1_000_000)) * F.col("total") <= 4_000_000.0 * sample)
+    picked = rows.select("metric_type", "h", "v", "u", F.explode(takes).alias("tree")).withColumn("u", F.xxhash64("u", "tree"))
     picked = picked.withColumn("k", F.row_number().over(Window.partitionBy("metric_type", "tree").orderBy("u"))).where(F.col("k") <= sample)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -151,17 +165,23 @@ def isolation_forest(m: DataFrame, trees: int = 25, sample: int = 256, seed: int
         return pd.DataFrame({"metric_type": [pdf["metric_type"].iloc[0]], "size": [len(x)], "nodes": [np.array(nodes).ravel().tolist()]})
 
     forest = picked.groupBy("metric_type", "tree").applyInPandas(grow, "metric_type string, size int, nodes array<double>")
-    forest = forest.groupBy("metric_type").agg(F.collect_list("nodes").alias("forest"), F.max("size").alias("size"))
+    # at most ``trees`` trees of 511 nodes per type: a type with data is a name, of which there are few
+    grown: dict[str, tuple[int, list]] = {}
+    for r in forest.collect():
+        size, nodes = grown.get(r.metric_type, (0, []))
+        grown[r.metric_type] = max(size, r["size"]), [*nodes, np.array(r.nodes).reshape(-1, 4)]
+    shared = m.sparkSession.sparkContext.broadcast(grown)
 
     def score(batches):
+        grown = shared.value
         for pdf in batches:
             out = np.zeros(len(pdf))
             x = pdf[["h", "v"]].to_numpy()
-            for _, own in pdf.groupby("metric_type").indices.items():
-                norm = max(c(pdf["size"].iloc[own[0]]), 1e-9)
+            for name, own in pdf.groupby("metric_type").indices.items():
+                size, forest = grown[name]
+                norm = max(c(size), 1e-9)
                 depth = np.zeros(len(own))
-                for flat in pdf["forest"].iloc[own[0]]:
-                    nodes = np.asarray(flat).reshape(-1, 4)
+                for nodes in forest:
                     at = np.zeros(len(own), int)
                     while True:
                         inner = nodes[at, 0] >= 0
@@ -171,9 +191,8 @@ def isolation_forest(m: DataFrame, trees: int = 25, sample: int = 256, seed: int
                         go = np.where(x[own, f] <= nodes[at, 1], nodes[at, 2], nodes[at, 3]).astype(int)
                         at = np.where(inner, go, at)
                     depth += nodes[at, 2]
-                out[own] = 2 ** (-depth / trees / norm)
+                out[own] = 2 ** (-depth / len(forest) / norm)
             yield pdf[["event_id", "metric_type"]].assign(score=out)
 
-    # one row per type: the trees are as many and as small for any input
-    rows = m.select("event_id", "metric_type", F.hour("ts").cast("double").alias("h"), F.col("value").alias("v")).join(F.broadcast(forest), "metric_type")
+    rows = m.select("event_id", "metric_type", F.hour("ts").cast("double").alias("h"), F.col("value").alias("v")).where("metric_type IS NOT NULL")
     return rows.mapInPandas(score, "event_id long, metric_type string, score double")

@@ -32,29 +32,37 @@ def _quality(scored: DataFrame, model: str) -> DataFrame:
     return g.select("metric_type", F.lit(model).alias("model"), "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"), r6("r2").alias("r2"))
 
 
-def forecast_model(m: DataFrame, kind: str, trees: int = 20) -> DataFrame:
+def forecast_model(m: DataFrame, kind: str, trees: int = 100, rounds: int = 20) -> DataFrame:
     """One pooled model (ridge, forest or boosting) on lags and the clock; its errors on the last fifth of each series, by type."""
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
     train, test = (_assembled(df, FEATURES, "raw") for df in _split(m))
+    if train.isEmpty():
+        return _quality(test.withColumn("prediction", F.lit(None).cast("double")), kind).limit(0)
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(train)
     learner = {
         "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
-        "forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=8, seed=7),
-        "boosting": lambda: GBTRegressor(maxIter=trees, maxDepth=4, stepSize=0.1, seed=7),
+        "forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=10, seed=7),
+        "boosting": lambda: GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7),
     }[kind]()
     return _quality(learner.fit(scaler.transform(train)).transform(scaler.transform(test)), kind)
 
 
 def global_models(m: DataFrame) -> DataFrame:
-    """A forest on hour and weekday for all types (one-hot): error, r2 and sizes by type, as registry rows."""
+    """A forest on hour and weekday for all types (one-hot): error, r2 and sizes by type, as registry rows; an empty table gives none."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
     from pyspark.ml.regression import RandomForestRegressor
 
-    types = [r[0] for r in m.select("metric_type").distinct().orderBy("metric_type").limit(64).collect()]  # names of types
-    hot = [(F.col("metric_type") == t).cast("double").alias(f"is_{i}") for i, t in enumerate(types)]
-    rows = m.select("metric_type", F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("weekday"), F.col("value").alias("label"), (F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0).alias("test"), *hot)
-    rows = _assembled(rows, ["hour", "weekday", *[f"is_{i}" for i in range(len(types))]])
+    rows = m.where("metric_type IS NOT NULL").select("metric_type", F.hour("ts").cast("double").alias("hour"), F.weekday("ts").cast("double").alias("weekday"), F.col("value").alias("label"), (F.pmod(F.xxhash64("event_id"), F.lit(5)) == 0).alias("test"))
+    if rows.where("NOT test").isEmpty():
+        return _quality(rows.withColumn("prediction", F.lit(None).cast("double")), "forest_by_clock").limit(0)
+    rows = StringIndexer(inputCol="metric_type", outputCol="type_index", stringOrderType="alphabetAsc").fit(rows).transform(rows)
+    if rows.select("metric_type").distinct().count() > 1:
+        rows = OneHotEncoder(inputCol="type_index", outputCol="type_code", dropLast=False).fit(rows).transform(rows)
+    else:
+        rows = rows.withColumn("type_code", F.col("type_index"))
+    rows = _assembled(rows, ["hour", "weekday", "type_code"])
     model = RandomForestRegressor(numTrees=20, maxDepth=6, seed=7).fit(rows.where("NOT test"))
     return _quality(model.transform(rows.where("test")), "forest_by_clock")
 
@@ -77,21 +85,21 @@ def forecast_css(m: DataFrame, grid: tuple[float, ...] = (-0.6, -0.3, 0.0, 0.3,
     return best.select(*KEYS, F.col("b.phi").alias("phi"), F.col("b.theta").alias("theta"), r6("b.fit.sse").alias("sse"), r6(ahead).alias("forecast"), r6(aic).alias("aic"))
 
 
-def day_vectors(m: DataFrame) -> DataFrame:
-    """Daily mean of each type per person, as features centred on the person; missing types are at the person's mean."""
-    types = ["click", "error", "purchase", "signup", "view"]
+def day_vectors(m: DataFrame, types: list[str]) -> DataFrame:
+    """Daily mean of each of ``types`` per person, as features centred on the person; missing types are at the person's mean."""
     days = m.groupBy("user_id", F.to_date("ts").alias("day")).pivot("metric_type", types).agg(F.avg("value"))
     own = Window.partitionBy("user_id")
     return days.select("user_id", "day", *[F.coalesce(F.col(t) - F.avg(t).over(own), F.lit(0.0)).alias(t) for t in types])
 
 
-def behaviour_clusters(m: DataFrame, most: int = 5) -> DataFrame:
-    """k-means of scaled day vectors; k is the last whose cost falls to less than 85 % of the one before."""
+def behaviour_clusters(m: DataFrame, types: list[str], most: int = 5) -> DataFrame:
+    """k-means of scaled day vectors; k is the last whose cost falls to less than 85 % of the one before. An empty table gives no rows."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
 
-    types = ["click", "error", "purchase", "signup", "view"]
-    rows = _assembled(day_vectors(m), types, "raw")
+    rows = _assembled(day_vectors(m, types), types, "raw")
+    if rows.isEmpty():
+        return rows.select("user_id", "day", *types, F.lit(0).alias("cluster"))
     rows = StandardScaler(inputCol="raw", outputCol="features").fit(rows).transform(rows).persist()
     before, chosen = None, None
     for k in range(2, most + 1):
@@ -100,13 +108,13 @@ def behaviour_clusters(m: DataFrame, most: int = 5) -> DataFrame:
         if before is not None and cost > 0.85 * before:
             break
         before, chosen = cost, model
-    out = chosen.transform(rows).select("user_id", "day", *types, F.col("prediction").alias("cluster"))
-    return out
+    rows.unpersist()
+    return chosen.transform(rows).select("user_id", "day", *types, F.col("prediction").alias("cluster"))
 
 
 def cluster_profile(clusters: DataFrame) -> DataFrame:
     """Size, share and centre of each cluster and feature, and whether it is off the whole by more than a deviation."""
-    types = ["click", "error", "purchase", "signup", "view"]
+    types = [c for c in clusters.columns if c not in ("user_id", "day", "cluster")]
     long = clusters.unpivot(["user_id", "day", "cluster"], types, "feature", "v")
     whole = long.groupBy("feature").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"), F.count(F.lit(1)).alias("total"))
     g = long.groupBy("cluster", "feature").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("center"), F.stddev_pop("v").alias("spread"))
@@ -114,22 +122,32 @@ def cluster_profile(clusters: DataFrame) -> DataFrame:
     return j.select("cluster", "feature", "n", r6(F.col("n") / F.col("total")).alias("share"), r6("center").alias("center"), r6("spread").alias("spread"), (F.abs(F.col("center") - F.col("mu")) > F.col("sd")).alias("stands_out"))
 
 
-def state_clusters(m: DataFrame) -> DataFrame:
-    """The better (by silhouette) of k-means and bisecting k-means on day vectors, for two to four clusters: sizes."""
+def state_clusters(m: DataFrame, types: list[str]) -> DataFrame:
+    """The better (by silhouette) of k-means and bisecting k-means on day vectors, for two to four clusters: sizes.
+
+    Where nothing falls into two clusters, all is one; an empty table gives no rows.
+    """
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
 
-    rows = _assembled(day_vectors(m), ["click", "error", "purchase", "signup", "view"]).persist()
-    best = None
+    rows = _assembled(day_vectors(m, types), types).persist()
+    best = (0.0, "none", rows.withColumn("prediction", F.lit(0)))
+    if rows.isEmpty():
+        return _sizes(*best)
     for kind, make in (("kmeans", KMeans), ("bisecting", BisectingKMeans)):
         for k in (2, 3, 4):
             done = make(k=k, seed=7, maxIter=10).fit(rows).transform(rows)
             if done.select("prediction").distinct().count() < 2:
                 continue
             score = ClusteringEvaluator().evaluate(done)
-            if best is None or score > best[0]:
+            if best[1] == "none" or score > best[0]:
                 best = (score, kind, done)
-    return best[2].groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(best[1])).withColumn("silhouette", F.lit(round(best[0], 6)))
+    rows.unpersist()
+    return _sizes(*best)
+
+
+def _sizes(score: float, kind: str, done: DataFrame) -> DataFrame:
+    return done.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(kind)).withColumn("silhouette", F.lit(round(score, 6)))
 
 
 def dbscan_1d(m: DataFrame, eps: float = 5.0, least: int = 3) -> DataFrame:
@@ -155,13 +173,15 @@ def motifs(m: DataFrame, length: int = 4, k: int = 3) -> DataFrame:
     z = (F.col("value") - F.avg("value").over(Window.partitionBy(*KEYS))) / F.stddev_pop("value").over(Window.partitionBy(*KEYS))
     rows = m.withColumn("z", z).withColumn("shape", F.collect_list("z").over(series().rowsBetween(0, length - 1))).where(F.size("shape") == length)
     rows = rows.select("metric_type", "shape", array_to_vector("shape").alias("features"))
+    if rows.isEmpty():
+        return rows.groupBy("metric_type", F.lit(0).alias("motif")).agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(F.get("shape", F.lit(i)))).alias(f"at_{i}") for i in range(length)])
     done = KMeans(k=k, seed=7, maxIter=10).fit(rows).transform(rows)
     return done.groupBy("metric_type", F.col("prediction").alias("motif")).agg(F.count(F.lit(1)).alias("n"), *[r6(F.avg(F.get("shape", F.lit(i)))).alias(f"at_{i}") for i in range(length)])
 
 
-def mahalanobis(m: DataFrame) -> DataFrame:
-    """Distance of each day's (click, view) means from the person-free centre, by the closed form of two dimensions."""
-    rows = m.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg(F.when(F.col("metric_type") == "click", F.col("value"))).alias("x"), F.avg(F.when(F.col("metric_type") == "view", F.col("value"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+def mahalanobis(m: DataFrame, a: str, b: str) -> DataFrame:
+    """Distance of each day's means of two types from the person-free centre, by the closed form of two dimensions."""
+    rows = m.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg(F.when(F.col("metric_type") == a, F.col("value"))).alias("x"), F.avg(F.when(F.col("metric_type") == b, F.col("value"))).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     c = rows.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("vxy"))
     j = rows.join(F.broadcast(c.withColumn("one", F.lit(1))), F.col("one") == 1)  # one row
     dx, dy, det = F.col("x") - F.col("mx"), F.col("y") - F.col("my"), F.col("vx") * F.col("vy") - F.col("vxy") * F.col("vxy")
@@ -175,6 +195,8 @@ def contextual(m: DataFrame) -> DataFrame:
 
     rows = forecast_features(m).dropna(subset=["lag_1", "lag_2", "lag_3"]).withColumn("label", F.col("value"))
     rows = _assembled(rows, FEATURES)
+    if rows.isEmpty():
+        return rows.select("event_id", *KEYS, F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"))
     scored = RandomForestRegressor(numTrees=10, maxDepth=6, seed=7).fit(rows).transform(rows).withColumn("residual", F.abs(F.col("prediction") - F.col("label")))
     limit = scored.groupBy("metric_type").agg(F.percentile("residual", F.lit(0.95)).alias("limit"))
     return scored.join(F.broadcast(limit), "metric_type").select("event_id", *KEYS, r6(F.least(F.lit(1.0), F.col("residual") / F.col("limit"))).alias("score"), (F.col("residual") > F.col("limit")).alias("is_anomaly"))

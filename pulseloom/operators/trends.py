@@ -43,23 +43,23 @@ def mann_kendall(m: DataFrame, least: int = 4) -> DataFrame:
 
 
 def decompose(m: DataFrame, period: int = 7) -> DataFrame:
-    """Additive parts of each type's daily means: centred moving average, centred phase means, residual (null at the ends)."""
-    days = m.groupBy("metric_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    w = Window.partitionBy("metric_type").orderBy("day")
+    """Additive parts of each series' daily means: centred moving average, centred phase means, residual (null at the ends)."""
+    days = m.groupBy(*KEYS, F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    w = Window.partitionBy(*KEYS).orderBy("day")
     half = period // 2
     full = F.count("v").over(w.rowsBetween(-half, half)) == period
     rows = days.withColumn("trend", F.when(full, F.avg("v").over(w.rowsBetween(-half, half)))).withColumn("phase", F.row_number().over(w) % period)
-    raw = rows.groupBy("metric_type", "phase").agg(F.avg(F.col("v") - F.col("trend")).alias("raw"))
-    seasonal = raw.withColumn("seasonal", F.col("raw") - F.avg("raw").over(Window.partitionBy("metric_type"))).drop("raw")
-    rows = rows.join(seasonal, ["metric_type", "phase"])
-    return rows.select("metric_type", "day", "v", "trend", "seasonal", (F.col("v") - F.col("trend") - F.col("seasonal")).alias("residual"))
+    raw = rows.groupBy(*KEYS, "phase").agg(F.avg(F.col("v") - F.col("trend")).alias("raw"))
+    seasonal = raw.withColumn("seasonal", F.col("raw") - F.avg("raw").over(Window.partitionBy(*KEYS))).drop("raw")
+    rows = rows.join(seasonal, [*KEYS, "phase"])
+    return rows.select(*KEYS, "day", "v", "trend", "seasonal", (F.col("v") - F.col("trend") - F.col("seasonal")).alias("residual"))
 
 
 def seasonal_strength(m: DataFrame, period: int = 7) -> DataFrame:
-    """1 - var(residual) / var(seasonal + residual) of each type, at least zero."""
+    """1 - var(residual) / var(seasonal + residual) of each series, at least zero."""
     d = decompose(m, period).where("residual IS NOT NULL")
-    g = d.groupBy("metric_type").agg(F.var_pop("residual").alias("r"), F.var_pop(F.col("seasonal") + F.col("residual")).alias("sr"), F.count(F.lit(1)).alias("days"))
-    return g.select("metric_type", "days", F.greatest(F.lit(0.0), 1 - F.col("r") / F.col("sr")).alias("strength"))
+    g = d.groupBy(*KEYS).agg(F.var_pop("residual").alias("r"), F.var_pop(F.col("seasonal") + F.col("residual")).alias("sr"), F.count(F.lit(1)).alias("days")).where("sr > 1e-12")
+    return g.select(*KEYS, "days", F.greatest(F.lit(0.0), 1 - F.col("r") / F.col("sr")).alias("strength"))
 
 
 def change_points(m: DataFrame, least: int = 3) -> DataFrame:
@@ -80,19 +80,19 @@ def rolling_change_flags(m: DataFrame, n: int = 5, limit: float = 1.5) -> DataFr
 
 
 def acf(m: DataFrame, most: int = 10) -> DataFrame:
-    """Autocorrelation of each type's daily means by lag, the 95 % bound, and whether it is beyond."""
-    days = m.groupBy("metric_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
-    w = Window.partitionBy("metric_type")
+    """Autocorrelation of each series' daily means by lag, the 95 % bound, and whether it is beyond."""
+    days = m.groupBy(*KEYS, F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    w = Window.partitionBy(*KEYS)
     rows = days.withColumn("k", F.row_number().over(w.orderBy("day"))).withColumn("c", F.col("v") - F.avg("v").over(w)).withColumn("n", F.count(F.lit(1)).over(w)).withColumn("total", F.var_pop("v").over(w) * F.count(F.lit(1)).over(w))
-    a = rows.select("metric_type", "k", "c", "n", "total", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag")).withColumn("j", F.col("k") + F.col("lag"))
-    b = rows.select("metric_type", F.col("k").alias("j"), F.col("c").alias("d"))
-    g = a.join(b, ["metric_type", "j"]).groupBy("metric_type", "lag").agg((F.sum(F.col("c") * F.col("d")) / F.max("total")).alias("r"), F.max("n").alias("n")).where(F.col("lag") <= F.col("n") / 2)
-    return g.select("metric_type", "lag", "r", (1.96 / F.sqrt("n")).alias("bound"), (F.abs("r") > 1.96 / F.sqrt("n")).alias("significant"))
+    a = rows.select(*KEYS, "k", "c", "n", "total", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag")).withColumn("j", F.col("k") + F.col("lag"))
+    b = rows.select(*KEYS, F.col("k").alias("j"), F.col("c").alias("d"))
+    g = a.join(b, [*KEYS, "j"]).groupBy(*KEYS, "lag").agg((F.sum(F.col("c") * F.col("d")) / F.max("total")).alias("r"), F.max("n").alias("n")).where(F.col("lag") <= F.col("n") / 2)
+    return g.select(*KEYS, "lag", "r", (1.96 / F.sqrt("n")).alias("bound"), (F.abs("r") > 1.96 / F.sqrt("n")).alias("significant"))
 
 
 def pacf(m: DataFrame, most: int = 10) -> DataFrame:
-    """Partial autocorrelations of each type by the Durbin-Levinson recursion over its array of autocorrelations."""
-    g = acf(m, most).groupBy("metric_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda s: s.r).alias("r"))
+    """Partial autocorrelations of each series by the Durbin-Levinson recursion over its array of autocorrelations."""
+    g = acf(m, most).groupBy(*KEYS).agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "r"))), lambda s: s.r).alias("r"))
 
     def step(s: Column, k: Column) -> Column:
         """s.phi has the k - 1 coefficients of the step before; r[k - 1] is the autocorrelation at lag k."""
@@ -104,15 +104,15 @@ def pacf(m: DataFrame, most: int = 10) -> DataFrame:
 
     empty = F.array().cast("array<double>")
     out = F.aggregate(F.sequence(F.lit(1), F.size("r")), F.struct(empty.alias("phi"), empty.alias("out")), step, lambda s: s.out)
-    return g.select("metric_type", F.posexplode(out).alias("i", "pacf")).select("metric_type", (F.col("i") + 1).alias("lag"), "pacf")
+    return g.select(*KEYS, F.posexplode(out).alias("i", "pacf")).select(*KEYS, (F.col("i") + 1).alias("lag"), "pacf")
 
 
 def seasonality(m: DataFrame, most: int = 14) -> DataFrame:
-    """Peaks of each type's autocorrelation: the period is the first, with its strength."""
-    w = Window.partitionBy("metric_type").orderBy("lag")
+    """Peaks of each series' autocorrelation: the period is the first, with its strength."""
+    w = Window.partitionBy(*KEYS).orderBy("lag")
     rows = acf(m, most).withColumn("before", F.lag("r").over(w)).withColumn("behind", F.lead("r").over(w))
     peaks = rows.where("r > before AND r > behind AND r > 0")
-    return peaks.groupBy("metric_type").agg(F.min("lag").alias("period"), F.min_by("r", "lag").alias("strength"), F.count(F.lit(1)).alias("peaks"))
+    return peaks.groupBy(*KEYS).agg(F.min("lag").alias("period"), F.min_by("r", "lag").alias("strength"), F.count(F.lit(1)).alias("peaks"))
 
 
 def forecast_linear(m: DataFrame, h: int = 7, least: int = 5) -> DataFrame:

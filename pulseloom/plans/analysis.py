@@ -18,25 +18,27 @@ SP = CENTERED + ", ss AS (SELECT event_id, user_id, metric_type, tanh(abs(value
 register("ano_1_zscore", lambda m: rounded(X.zscore(m)), f"WITH {Z} SELECT event_id, {K}, round(score, 6) AS score FROM sz")
 register("ano_2_modified_z", lambda m: rounded(X.modified_z(m)), f"WITH {MZ} SELECT event_id, {K}, round(score, 6) AS score FROM sm")
 register("ano_8_spc", lambda m: rounded(X.spc(m)), f"WITH {SP} SELECT event_id, {K}, round(score, 6) AS score, out_of_control FROM ss")
-register("ano_7_seasonal", lambda m: rounded(X.seasonal(m)), f"""
-WITH p AS (SELECT *, row_number() OVER {O} % 7 AS ph, count(*) OVER {P} AS n FROM m), r AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id, metric_type, ph) AS res FROM p WHERE n >= 14),
-s AS (SELECT *, stddev_pop(res) OVER {P} AS sd FROM r) SELECT event_id, {K}, round(tanh(abs(res) / sd / 3), 6) AS score FROM s WHERE sd > 0""")
-register("ano_5_lof", lambda m: rounded(X.lof(m)), f"""
-WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS k, count(*) OVER {P} AS n FROM m),
-nn AS (SELECT a.user_id, a.metric_type, a.event_id, b.event_id AS o, abs(b.value - a.value) AS d FROM c a JOIN c b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k BETWEEN a.k - 5 AND a.k + 5 AND a.k <> b.k
+SEASONAL = f"""sp AS (SELECT *, row_number() OVER {O} % 7 AS ph, count(*) OVER {P} AS n FROM m), sr AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id, metric_type, ph) AS res FROM sp WHERE n >= 14),
+s7 AS (SELECT event_id, user_id, metric_type, tanh(abs(res) / sd / 3) AS score FROM (SELECT *, stddev_pop(res) OVER {P} AS sd FROM sr) WHERE sd > 0)"""
+register("ano_7_seasonal", lambda m: rounded(X.seasonal(m)), f"WITH {SEASONAL} SELECT event_id, {K}, round(score, 6) AS score FROM s7")
+LOF = f"""lc AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS k, count(*) OVER {P} AS n FROM m),
+nn AS (SELECT a.user_id, a.metric_type, a.event_id, b.event_id AS o, abs(b.value - a.value) AS d FROM lc a JOIN lc b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k BETWEEN a.k - 5 AND a.k + 5 AND a.k <> b.k
 WHERE a.n > 5 QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.value - a.value), b.event_id) <= 5),
-kd AS (SELECT event_id, max(d) AS kd FROM nn GROUP BY ALL), de AS (SELECT nn.event_id, nn.user_id, nn.metric_type, 5 / greatest(sum(greatest(nn.d, kd.kd)), 1e-10) AS de FROM nn JOIN kd ON kd.event_id = nn.o GROUP BY ALL)
-SELECT x.event_id, x.user_id, x.metric_type, round(sum(y.de) / 5 / any_value(x.de), 6) AS lof FROM de x JOIN nn ON nn.event_id = x.event_id JOIN de y ON y.event_id = nn.o GROUP BY x.event_id, x.user_id, x.metric_type""")
-register("ano_6_envelope", lambda m: X.envelope(m).select("event_id", "user_id", "metric_type", F.round("distance", 3).alias("distance")), f"""
-WITH c AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS k, count(*) OVER {P} AS n FROM m),
-w AS (SELECT a.user_id, a.metric_type, a.k, avg(b.value) AS center, var_pop(b.value) AS spread FROM c a JOIN c b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k > a.k - (a.n // 2 + 1) AND b.k <= a.k
-WHERE a.n >= 5 AND a.k >= a.n // 2 + 1 GROUP BY ALL), best AS (SELECT user_id, metric_type, first(center ORDER BY round(spread, 6), k) AS center, first(spread ORDER BY round(spread, 6), k) AS spread FROM w GROUP BY ALL)
-SELECT event_id, {K}, round(abs(value - center) / sqrt(spread), 3) AS distance FROM m JOIN best USING (user_id, metric_type) WHERE spread > 1e-6""")
-ENS = f"""{Z}, {MZ}, {SP}, pt AS (SELECT event_id, user_id, metric_type, 'zscore' AS method, score FROM sz UNION ALL SELECT event_id, user_id, metric_type, 'mad', score FROM sm UNION ALL SELECT event_id, user_id, metric_type, 'spc', score FROM ss),
+kd AS (SELECT event_id, max(d) AS kd FROM nn GROUP BY ALL), de AS (SELECT nn.event_id, nn.user_id, nn.metric_type, 5 / greatest(sum(greatest(nn.d, kd.kd)), 1e-10) AS de FROM nn JOIN kd ON kd.event_id = nn.o GROUP BY ALL),
+s5 AS (SELECT x.event_id, x.user_id, x.metric_type, sum(y.de) / 5 / any_value(x.de) AS score FROM de x JOIN nn ON nn.event_id = x.event_id JOIN de y ON y.event_id = nn.o GROUP BY x.event_id, x.user_id, x.metric_type)"""
+register("ano_5_lof", lambda m: rounded(X.lof(m)), f"WITH {LOF} SELECT event_id, {K}, round(score, 6) AS lof FROM s5")
+ENVELOPE = f"""vc AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS k, count(*) OVER {P} AS n FROM m),
+vw AS (SELECT a.user_id, a.metric_type, a.k, avg(b.value) AS center, var_pop(b.value) AS spread FROM vc a JOIN vc b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k > a.k - (a.n // 2 + 1) AND b.k <= a.k
+WHERE a.n >= 5 AND a.k >= a.n // 2 + 1 GROUP BY ALL), vb AS (SELECT user_id, metric_type, first(center ORDER BY round(spread, 6), k) AS center, first(spread ORDER BY round(spread, 6), k) AS spread FROM vw GROUP BY ALL),
+s6 AS (SELECT event_id, user_id, metric_type, abs(value - center) / sqrt(spread) AS score FROM m JOIN vb USING (user_id, metric_type) WHERE spread > 1e-6)"""
+register("ano_6_envelope", lambda m: X.envelope(m).select("event_id", "user_id", "metric_type", F.round("distance", 3).alias("distance")), f"WITH {ENVELOPE} SELECT event_id, {K}, round(score, 3) AS distance FROM s6")
+UNION = " UNION ALL ".join(f"SELECT event_id, user_id, metric_type, '{n}' AS method, round(score, 4) AS score FROM {t}" for n, t in (("zscore", "sz"), ("mad", "sm"), ("spc", "ss"), ("seasonal", "s7"), ("lof", "s5"), ("envelope", "s6")))
+ENS = f"""{Z}, {MZ}, {SP}, {SEASONAL}, {LOF}, {ENVELOPE}, pt AS ({UNION}),
 sd2 AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM pt WINDOW w AS (PARTITION BY user_id, metric_type, method)), sc2 AS (SELECT *, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 0 END AS scaled FROM sd2),
 eg AS (SELECT event_id, user_id, metric_type, avg(scaled) AS score, count(*) AS methods, count(*) FILTER (scaled > 0.8) AS votes FROM sc2 GROUP BY ALL), li AS (SELECT user_id, metric_type, round(quantile_cont(score, 0.9), 9) AS threshold FROM eg GROUP BY ALL),
 en AS (SELECT event_id, user_id, metric_type, score, threshold, round(score, 9) > threshold AS is_anomaly, least(1, votes / methods + 0.3 * tanh(2 * score)) AS confidence, round(score, 9) > threshold AND votes >= greatest(2, 0.7 * methods) AS severe FROM eg JOIN li USING (user_id, metric_type))"""
 register("ano_9_ensemble", lambda m: rounded(X.ensemble(m)), f"WITH {ENS} SELECT event_id, {K}, round(score, 6) AS score, round(threshold, 6) AS threshold, is_anomaly, round(confidence, 6) AS confidence, severe FROM en")
+register("ano_9_ensemble_with_forest", lambda m: rounded(X.ensemble(m, methods=tuple(X.METHODS))))
 register("ano_10_details", X.details, f"WITH {ENS} SELECT {K}, count(*) AS n, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (severe) AS severe, round(avg(score), 6) AS mean_score, round(max(score), 6) AS top_score FROM en GROUP BY {K}")
 register("ano_11_simultaneous", X.simultaneous, f"""
 WITH {ENS} SELECT m.user_id, ts::DATE AS day, string_agg(DISTINCT m.metric_type, ',' ORDER BY m.metric_type) AS types, count(DISTINCT m.metric_type) AS n_types FROM en JOIN m USING (event_id) WHERE is_anomaly GROUP BY 1, 2 HAVING count(DISTINCT m.metric_type) >= 2""")
@@ -53,23 +55,23 @@ CASE WHEN slope > 0.01 THEN 'increasing' WHEN slope < -0.01 THEN 'decreasing' EL
 register("trd_2_mann_kendall", lambda m: rounded(T.mann_kendall(m)), f"""
 WITH k AS (SELECT *, row_number() OVER {O} AS k FROM m), g AS (SELECT a.user_id, a.metric_type, sum(sign(b.value - a.value)) AS s, sum(abs(sign(b.value - a.value))) AS u, max(b.k)::INT AS n FROM k a JOIN k b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND a.k < b.k GROUP BY ALL)
 SELECT {K}, n, s::DOUBLE AS s, round(s / sqrt(u * (n * (n - 1) / 2)), 6) AS tau, round(CASE WHEN s > 0 THEN s - 1 WHEN s < 0 THEN s + 1 ELSE 0 END / sqrt(n * (n - 1) * (2 * n + 5) / 18), 6) AS z FROM g WHERE n >= 4 AND u > 0""")
-DEC = """dy AS (SELECT metric_type, ts::DATE AS day, avg(value) AS v FROM m GROUP BY ALL), tr AS (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(v) OVER w END AS trend, row_number() OVER (PARTITION BY metric_type ORDER BY day) % 7 AS phase FROM dy
-WINDOW w AS (PARTITION BY metric_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), rw AS (SELECT metric_type, phase, avg(v - trend) AS raw FROM tr GROUP BY ALL), se AS (SELECT metric_type, phase, raw - avg(raw) OVER (PARTITION BY metric_type) AS seasonal FROM rw),
-dc AS (SELECT metric_type, day, v, trend, seasonal, v - trend - seasonal AS residual FROM tr JOIN se USING (metric_type, phase))"""
-register("trd_3_decompose", lambda m: rounded(T.decompose(m)), f"WITH {DEC} SELECT metric_type, day, round(v, 6) AS v, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(residual, 6) AS residual FROM dc")
-register("trd_3_seasonal_strength", lambda m: rounded(T.seasonal_strength(m)), f"WITH {DEC} SELECT metric_type, count(*) AS days, round(greatest(0, 1 - var_pop(residual) / var_pop(seasonal + residual)), 6) AS strength FROM dc WHERE residual IS NOT NULL GROUP BY metric_type")
+DEC = """dy AS (SELECT user_id, metric_type, ts::DATE AS day, avg(value) AS v FROM m GROUP BY ALL), tr AS (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(v) OVER w END AS trend, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY day) % 7 AS phase FROM dy
+WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), rw AS (SELECT user_id, metric_type, phase, avg(v - trend) AS raw FROM tr GROUP BY ALL), se AS (SELECT user_id, metric_type, phase, raw - avg(raw) OVER (PARTITION BY user_id, metric_type) AS seasonal FROM rw),
+dc AS (SELECT user_id, metric_type, day, v, trend, seasonal, v - trend - seasonal AS residual FROM tr JOIN se USING (user_id, metric_type, phase))"""
+register("trd_3_decompose", lambda m: rounded(T.decompose(m)), f"WITH {DEC} SELECT user_id, metric_type, day, round(v, 6) AS v, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(residual, 6) AS residual FROM dc")
+register("trd_3_seasonal_strength", lambda m: rounded(T.seasonal_strength(m)), f"WITH {DEC} SELECT user_id, metric_type, count(*) AS days, round(greatest(0, 1 - var_pop(residual) / var_pop(seasonal + residual)), 6) AS strength FROM dc WHERE residual IS NOT NULL GROUP BY user_id, metric_type HAVING var_pop(seasonal + residual) > 1e-12")
 register("trd_4_change_points", lambda m: rounded(T.change_points(m)), f"""
 WITH k AS (SELECT *, row_number() OVER {O} AS k, count(*) OVER {P} AS n, value - avg(value) OVER {P} AS v, var_pop(value) OVER {P} AS sse FROM m), s AS (SELECT *, sum(v) OVER (PARTITION BY user_id, metric_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM k),
 g AS (SELECT *, s * s * (1 / k + 1 / (n - k)) AS gain FROM s WHERE k >= 3 AND n - k >= 3 AND sse > 0) SELECT {K}, k::INT AS split_after, ts AS split_ts, n, round(gain / (sse * n), 6) AS share FROM g
 QUALIFY row_number() OVER (PARTITION BY user_id, metric_type ORDER BY round(gain, 6) DESC, k) = 1""")
 register("trd_5_rolling_change_flags", T.rolling_change_flags, f"WITH {CENTERED} SELECT event_id, {K}, ts, value, round(abs(value - mean) / sd, 6) AS z FROM rc WHERE sd > 0 AND round(abs(value - mean) / sd, 6) > 1.5")
-ACF = """ad AS (SELECT metric_type, ts::DATE AS day, avg(value) AS v FROM m GROUP BY ALL), ak AS (SELECT metric_type, row_number() OVER (PARTITION BY metric_type ORDER BY day) AS k, v - avg(v) OVER p AS c, count(*) OVER p AS n, var_pop(v) OVER p * count(*) OVER p AS tot FROM ad WINDOW p AS (PARTITION BY metric_type)),
-ac AS (SELECT a.metric_type, (b.k - a.k)::INT AS lag, sum(a.c * b.c) / max(a.tot) AS r, max(a.n) AS n FROM ak a JOIN ak b ON a.metric_type = b.metric_type AND b.k - a.k BETWEEN 1 AND {most} GROUP BY a.metric_type, b.k - a.k HAVING b.k - a.k <= max(a.n) / 2)"""
-register("trd_6_acf", lambda m: rounded(T.acf(m)), f"WITH {ACF.format(most=10)} SELECT metric_type, lag, round(r, 6) AS r, round(1.96 / sqrt(n), 6) AS bound, abs(r) > 1.96 / sqrt(n) AS significant FROM ac")
+ACF = """ad AS (SELECT user_id, metric_type, ts::DATE AS day, avg(value) AS v FROM m GROUP BY ALL), ak AS (SELECT user_id, metric_type, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY day) AS k, v - avg(v) OVER p AS c, count(*) OVER p AS n, var_pop(v) OVER p * count(*) OVER p AS tot FROM ad WINDOW p AS (PARTITION BY user_id, metric_type)),
+ac AS (SELECT a.user_id, a.metric_type, (b.k - a.k)::INT AS lag, sum(a.c * b.c) / max(a.tot) AS r, max(a.n) AS n FROM ak a JOIN ak b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k - a.k BETWEEN 1 AND {most} GROUP BY a.user_id, a.metric_type, b.k - a.k HAVING b.k - a.k <= max(a.n) / 2)"""
+register("trd_6_acf", lambda m: rounded(T.acf(m)), f"WITH {ACF.format(most=10)} SELECT user_id, metric_type, lag, round(r, 6) AS r, round(1.96 / sqrt(n), 6) AS bound, abs(r) > 1.96 / sqrt(n) AS significant FROM ac")
 register("trd_6_pacf", lambda m: rounded(T.pacf(m)))
 register("trd_7_seasonality", lambda m: rounded(T.seasonality(m)), f"""
-WITH {ACF.format(most=14)}, b AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS q FROM ac WINDOW w AS (PARTITION BY metric_type ORDER BY ac.lag))
-SELECT metric_type, min(lag) AS period, round(arg_min(r, lag), 6) AS strength, count(*) AS peaks FROM b WHERE r > p AND r > q AND r > 0 GROUP BY metric_type""")
+WITH {ACF.format(most=14)}, b AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS q FROM ac WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY ac.lag))
+SELECT user_id, metric_type, min(lag) AS period, round(arg_min(r, lag), 6) AS strength, count(*) AS peaks FROM b WHERE r > p AND r > q AND r > 0 GROUP BY user_id, metric_type""")
 LF = f"""fk AS (SELECT *, row_number() OVER {O} AS k FROM m), fg AS (SELECT user_id, metric_type, count(*) AS n, regr_slope(value, k) AS b, regr_intercept(value, k) AS a, regr_syy(value, k) AS syy, coalesce(regr_r2(value, k), 0) AS r2 FROM fk GROUP BY ALL),
 fl AS (SELECT user_id, metric_type, step, a + b * (n + step) AS f, 1.96 * sqrt((1 - r2) * syy / (n - 2)) * sqrt(1 + 1 / n) AS half FROM fg CROSS JOIN (SELECT unnest(range(1, 8))::INT AS step) WHERE n >= 5)"""
 register("fcs_1_forecast_linear", lambda m: rounded(T.forecast_linear(m)), f"WITH {LF} SELECT {K}, step, round(f, 6) AS forecast, round(f - half, 6) AS low, round(f + half, 6) AS high FROM fl")

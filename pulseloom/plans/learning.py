@@ -9,6 +9,9 @@ from pulseloom.operators.anomalies import isolation_forest
 from pulseloom.plans.outcomes import _associations
 from pulseloom.plans.registry import register
 
+#: The types whose daily means make the vector of a day.
+VECTOR = ["click", "error", "purchase", "signup", "view"]
+
 for number, kind in ((3, "ridge"), (4, "forest"), (5, "boosting")):
     register(f"fcs_{number}_forecast_{kind}", lambda m, kind=kind: L.forecast_model(m, kind))
 register("fcs_7_forecast_css", L.forecast_css, """
@@ -18,19 +21,19 @@ UNION ALL SELECT user_id, metric_type, phi, theta, v, k + 1, v[k + 1] - v[k], v[
 b AS (SELECT *, len(v) - 2 AS n FROM r WHERE k = len(v) QUALIFY row_number() OVER (PARTITION BY user_id, metric_type ORDER BY round(sse, 4), phi, theta) = 1)
 SELECT user_id, metric_type, phi, theta, round(sse, 6) AS sse, round(v[len(v)] + phi * before + theta * err, 6) AS forecast, round(n * ln(greatest(sse / n, 1e-12)) + 4, 6) AS aic FROM b""")
 register("fcs_9_global_models", L.global_models)
-register("pat_3_behaviour_clusters", lambda m: L.behaviour_clusters(m).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
-register("pat_4_state_clusters", L.state_clusters)
+register("pat_3_behaviour_clusters", lambda m: L.behaviour_clusters(m, VECTOR).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+register("pat_4_state_clusters", lambda m: L.state_clusters(m, VECTOR))
 register("pat_5_dbscan", L.dbscan_1d, f"""
 WITH c AS (SELECT *, count(*) OVER (PARTITION BY user_id, metric_type ORDER BY value RANGE BETWEEN 5.0 PRECEDING AND 5.0 FOLLOWING) >= 3 AS core FROM m), o AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS i,
 last_value(CASE WHEN core THEN value END IGNORE NULLS) OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS back FROM c),
 r AS (SELECT *, sum(CASE WHEN core AND (back IS NULL OR value - back > 5.0) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS run FROM o),
 a AS (SELECT *, first_value(CASE WHEN core THEN value END IGNORE NULLS) OVER w AS av, first_value(CASE WHEN core THEN run END IGNORE NULLS) OVER w AS ar FROM r WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY value, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 SELECT event_id, user_id, metric_type, value, core, CASE WHEN core THEN run WHEN value - back <= 5.0 THEN run WHEN av - value <= 5.0 THEN ar ELSE -1 END::BIGINT AS cluster FROM a""")
-register("pat_6_cluster_profile", lambda m: L.cluster_profile(L.behaviour_clusters(m)))
+register("pat_6_cluster_profile", lambda m: L.cluster_profile(L.behaviour_clusters(m, VECTOR)))
 register("pat_7_motifs", L.motifs)
 register("pat_8_anomaly_clusters", lambda m: L.dbscan_1d(m.join(isolation_forest(m).where("score > 0.55").select("event_id"), "event_id"), 10.0).groupBy("metric_type", (F.col("cluster") == -1).alias("noise")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value")))
-register("pat_9_pattern_summary", lambda m: L.pattern_summary(L.cluster_profile(L.behaviour_clusters(m)), _associations(m)))
-register("ano_3_mahalanobis", L.mahalanobis, """
+register("pat_9_pattern_summary", lambda m: L.pattern_summary(L.cluster_profile(L.behaviour_clusters(m, VECTOR)), _associations(m)))
+register("ano_3_mahalanobis", lambda m: L.mahalanobis(m, "click", "view"), """
 WITH r AS (SELECT user_id, ts::DATE AS day, avg(value) FILTER (metric_type = 'click') AS x, avg(value) FILTER (metric_type = 'view') AS y FROM m GROUP BY user_id, ts::DATE), q AS (SELECT * FROM r WHERE x IS NOT NULL AND y IS NOT NULL),
 c AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM q), t AS (SELECT user_id, day, (vy * (x - mx) * (x - mx) - 2 * vxy * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - vxy * vxy) AS t2 FROM q CROSS JOIN c)
 SELECT user_id, day, round(t2, 6) AS t2, round(exp(-t2 / 2), 6) AS p, round(t2, 6) > 11.618286 AS is_anomaly FROM t""")

@@ -116,7 +116,10 @@ def _stored_baselines(m):
 register("snk_2_upsert_baselines", _stored_baselines, """
 WITH o AS (SELECT user_id, metric_type, round(avg(value), 6) AS mean, count(*) AS n FROM m GROUP BY ALL), w AS (SELECT user_id, metric_type, round(avg(value), 6) AS mean, count(*) AS n FROM m WHERE ts >= TIMESTAMP '2024-01-20' GROUP BY ALL)
 SELECT user_id, metric_type, coalesce(w.mean, o.mean) AS mean, coalesce(w.n, o.n) AS n FROM o LEFT JOIN w USING (user_id, metric_type)""")
-register("snk_3_export_users", lambda m: K.export_users(m, Y.alerts(m)))
+register("snk_3_export_users", lambda m: K.export_users(m, Y.alerts(m)), f"""
+WITH {ALERTS}, r AS (SELECT user_id, list({{'metric_type': metric_type, 'n': n}} ORDER BY metric_type) AS readings FROM (SELECT user_id, metric_type, count(*) AS n FROM m GROUP BY ALL) GROUP BY user_id),
+a AS (SELECT user_id, list({{'created_at': strftime(created_at, '%Y-%m-%dT%H:%M:%S'), 'event_id': event_id, 'severity': severity}} ORDER BY strftime(created_at, '%Y-%m-%dT%H:%M:%S'), event_id) AS alerts FROM al GROUP BY user_id)
+SELECT user_id, to_json({{'user_id': user_id, 'readings': readings, 'alerts': coalesce(alerts, [])}})::VARCHAR AS document FROM r LEFT JOIN a USING (user_id)""")
 register("snk_4_retain", lambda m: K.retain(Y.alerts(m), "2024-01-15 00:00:00"), f"WITH {ALERTS} SELECT * FROM al WHERE NOT (is_resolved AND created_at < TIMESTAMP '2024-01-15')")
 register("snk_5_purge_users", lambda m: K.purge_users(m, m.where("user_id % 10 = 3").select("user_id").distinct()).drop("meta"), "SELECT event_id, user_id, metric_type, ts, value FROM m WHERE user_id % 10 <> 3")
 register("snk_6_chunk_ranges", lambda m: K.chunk_ranges(m.groupBy("user_id").agg(F.to_date(F.min("ts")).alias("start"), F.date_add(F.to_date(F.max("ts")), 1).alias("end")), 7, 21), """

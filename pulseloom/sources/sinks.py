@@ -60,8 +60,10 @@ def table_stats(tables: dict[str, DataFrame]) -> DataFrame:
 def export_users(readings: DataFrame, alerts: DataFrame) -> DataFrame:
     """One nested JSON object per person: counts by type, and alerts in order of time."""
     r = readings.groupBy("user_id", "metric_type").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("metric_type", "n"))).alias("readings"))
-    a = alerts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "event_id", "severity"))).alias("alerts"))
-    return r.join(a, "user_id", "left").select("user_id", F.to_json(F.struct("user_id", "readings", "alerts")).alias("document"))
+    at = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
+    a = alerts.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct(at.alias("created_at"), "event_id", "severity"))).alias("alerts"))
+    none = F.array().cast("array<struct<created_at:string,event_id:bigint,severity:string>>")
+    return r.join(a, "user_id", "left").select("user_id", F.to_json(F.struct("user_id", "readings", F.coalesce("alerts", none).alias("alerts"))).alias("document"))
 
 
 def write_partitioned(rows: DataFrame, path: str, ts: str = "ts") -> None:

@@ -121,7 +121,12 @@ def m(spark):
 def test_model_invariants(m):
     scores = isolation_forest(m, trees=5)
     assert scores.count() == m.count() and scores.where("score < 0 OR score > 1").count() == 0
-    assert L.behaviour_clusters(m, 3).count() == L.day_vectors(m).count()
+    types = ["click", "view"]
+    assert L.behaviour_clusters(m, types, 3).count() == L.day_vectors(m, types).count()
+    none = m.limit(0)
+    for made in (L.behaviour_clusters(none, types), L.state_clusters(none, types), L.motifs(none), L.global_models(none), L.contextual(none), L.forecast_model(none, "ridge"), isolation_forest(none)):
+        assert made.count() == 0
+    assert L.global_models(m.where("metric_type = 'click'")).count() == 1
     assert L.forecast_model(m, "ridge").where("n > 0 AND rmse > 0").count() == 5
     assert L.forecast_css(m).where("phi IS NULL").count() == 0
     assert L.normality(m).where("p BETWEEN 0 AND 1").count() == 5
@@ -136,3 +141,31 @@ def test_imports_without_the_optional_package(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'alr_1_anomaly_alerts' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_sign_sums_against_all_pairs(spark):
+    """Ties in rank and value, one row, and a group that is much larger than the others."""
+    import random
+
+    rng = random.Random(3)
+    rows = [("big", rng.randint(1, 300), float(rng.randint(0, 40))) for _ in range(700)] + [("one", 1, 2.0), ("tied", 1, 1.0), ("tied", 1, 2.0), ("two", 1, 5.0), ("two", 2, 4.0)]
+    got = {r.k: (r.s, r.untied) for r in C.sign_sums(spark.createDataFrame(rows, "k string, r int, v double"), ["k"], "r", "v").collect()}
+    for key in ("big", "one", "tied", "two"):
+        own = [(r, v) for k, r, v in rows if k == key]
+        signs = [(b > a) - (b < a) for p, a in own for q, b in own if p < q]
+        assert got[key] == (sum(signs), sum(map(abs, signs)))
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([("u", f"n{i:03}", f"n{i + 1:03}") for i in range(40)], "user_id string, m1 string, m2 string")
+    nodes = spark.createDataFrame([("u", f"n{i:03}") for i in range(41)] + [("u", "z"), ("v", "n001")], "user_id string, node string")
+    got = {(r.user_id, r.node): r.component for r in C.small_components(edges, nodes, ["user_id"]).collect()}
+    assert got == {**{("u", f"n{i:03}"): "n000" for i in range(41)}, ("u", "z"): "z", ("v", "n001"): "n001"}
+
+
+def test_ensemble_with_all_methods(m):
+    from pulseloom.operators import anomalies as X
+
+    few, every = X.ensemble(m), X.ensemble(m, methods=tuple(X.METHODS))
+    assert every.select("event_id").distinct().count() == every.count() >= few.count() > 0
+    assert every.where("score < 0 OR score > 1 OR confidence > 1").count() == 0 and every.where("is_anomaly").count() > 0
