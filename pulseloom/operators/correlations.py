@@ -117,11 +117,21 @@ def best_lag(by_lag: DataFrame, keys: list[str]) -> DataFrame:
     return g.select(*keys, "b.lag", "b.r", "b.n", F.when(F.col("b.lag") > 0, "x").when(F.col("b.lag") < 0, "y").otherwise("none").alias("leads"))
 
 
-def partial_corr(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Correlation of x and y with z held fixed, by the closed form of three correlations."""
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("xy"), F.corr("x", "z").alias("xz"), F.corr("y", "z").alias("yz"))
-    down = F.sqrt((1 - F.col("xz") * F.col("xz")) * (1 - F.col("yz") * F.col("yz")))
-    return g.where((F.col("n") >= 4) & (down > 1e-9)).select(*keys, "n", F.col("xy").alias("r"), ((F.col("xy") - F.col("xz") * F.col("yz")) / down).alias("partial_r"))
+def partial_corr(rows: DataFrame, keys: list[str], controls: tuple[str, ...] = ("z",)) -> DataFrame:
+    """Correlation of x and y with all of ``controls`` held fixed: all correlations in one pass, then one control after another is taken out.
+
+    Groups of fewer rows than three and the controls, and those in which a column
+    depends on the controls alone, have no row.
+    """
+    names = ["x", "y", *controls]
+    r = lambda i, j: F.col(f"__r{min(i, j)}_{max(i, j)}")
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[finite(F.corr(names[i], names[j])).alias(f"__r{i}_{j}") for j in range(len(names)) for i in range(j)])
+    g = g.withColumn("r", r(0, 1))
+    for c in range(len(names) - 1, 1, -1):
+        free = lambda i, c=c: F.sqrt(F.greatest(F.lit(0.0), 1 - r(i, c) * r(i, c)))
+        left = [F.when(free(i) * free(j) > 1e-9, (r(i, j) - r(i, c) * r(j, c)) / (free(i) * free(j))).alias(f"__r{i}_{j}") for j in range(c) for i in range(j)]
+        g = g.select(*keys, "n", "r", *left)
+    return g.where((F.col("n") >= 3 + len(controls)) & r(0, 1).isNotNull()).select(*keys, "n", "r", r(0, 1).alias("partial_r"))
 
 
 def fdr(rows: DataFrame, keys: list[str], p: str = "p") -> DataFrame:

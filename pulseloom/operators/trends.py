@@ -9,6 +9,7 @@ from pulseloom.functions.stats import t_two_sided
 from pulseloom.operators.aggregates import KEYS, r6
 from pulseloom.operators.correlations import sign_sums
 from pulseloom.operators.windows import rolling_centered, series
+from pulseloom.sources.shared import staged
 
 
 def group():
@@ -73,6 +74,43 @@ def change_points(m: DataFrame, least: int = 3) -> DataFrame:
     return rows.select(*KEYS, "k", "n", "ts", gain.alias("gain"), (gain / (F.col("spread") * F.col("n"))).alias("share")).groupBy(*KEYS).agg(F.max_by(F.struct("k", "ts", "share"), F.struct(F.round("gain", 6), -F.col("k"))).alias("b"), F.max("n").alias("n")).select(*KEYS, F.col("b.k").alias("split_after"), F.col("b.ts").alias("split_ts"), "n", F.col("b.share").alias("share"))
 
 
+def segments(m: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame:
+    """All change points of each series by binary segmentation on squared error, and the slope a reading of each segment.
+
+    A segment is split where that lowers its squared error most, if both sides have
+    ``least`` readings and the gain is more than ``share`` of the series' whole
+    error and more than one variance. So a series has fewer than 1 / ``share``
+    splits, and the rounds end by themselves; a round takes only segments that the
+    one before has made. Null values are left out; a constant series is one segment.
+    """
+    rows = m.where("value IS NOT NULL").select(
+        *KEYS, "ts", "value", F.row_number().over(series()).alias("k"), F.count(F.lit(1)).over(group()).alias("n"),
+        F.var_pop("value").over(group()).alias("spread"), F.lit(1).alias("seg"),
+    )
+    w = Window.partitionBy(*KEYS, "seg")
+    settled = []
+    while True:
+        v = F.col("value") - F.avg("value").over(w)
+        rows = rows.withColumn("v", v).withColumn("a", F.col("k") - F.col("seg") + 1).withColumn("b", F.count(F.lit(1)).over(w) - F.col("a"))
+        rows = rows.withColumn("s", F.sum("v").over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
+        fits = (F.col("a") >= least) & (F.col("b") >= least) & (F.col("spread") > 1e-12)
+        gain = F.when(fits, r6(F.col("s") * F.col("s") * (1 / F.col("a") + 1 / F.nullif("b", F.lit(0))) / F.col("spread")))
+        rows = rows.withColumn("gain", gain)
+        enough = F.col("gain") > F.greatest(F.lit(1.0), share * F.col("n"))
+        cut = -F.max(F.when(enough, F.struct("gain", (-F.col("k")).alias("k")))).over(w)["k"]
+        rows = rows.withColumn("cut", cut)
+        seg = F.when(F.col("k") > F.col("cut"), F.col("cut") + 1).otherwise(F.col("seg"))
+        rows = staged(rows.select(*KEYS, "ts", "value", "k", "n", "spread", seg.alias("seg"), F.col("cut").isNotNull().alias("split")), "segments")
+        settled.append(rows.where("NOT split"))
+        rows = rows.where("split").drop("split")
+        if rows.isEmpty():
+            break
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return out.groupBy(*KEYS, F.col("seg").alias("first_k")).agg(F.max("k").alias("last_k"), F.min("ts").alias("start_ts"), F.avg("value").alias("mean"), F.regr_slope("value", "k").alias("slope"))
+
+
 def rolling_change_flags(m: DataFrame, n: int = 5, limit: float = 1.5) -> DataFrame:
     """Readings more than ``limit`` rolling deviations off the centred rolling mean."""
     rows = rolling_centered(m, n).where("sd > 0")

@@ -64,6 +64,17 @@ register("trd_4_change_points", lambda m: rounded(T.change_points(m)), f"""
 WITH k AS (SELECT *, row_number() OVER {O} AS k, count(*) OVER {P} AS n, value - avg(value) OVER {P} AS v, var_pop(value) OVER {P} AS sse FROM m), s AS (SELECT *, sum(v) OVER (PARTITION BY user_id, metric_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM k),
 g AS (SELECT *, s * s * (1 / k + 1 / (n - k)) AS gain FROM s WHERE k >= 3 AND n - k >= 3 AND sse > 0) SELECT {K}, k::INT AS split_after, ts AS split_ts, n, round(gain / (sse * n), 6) AS share FROM g
 QUALIFY row_number() OVER (PARTITION BY user_id, metric_type ORDER BY round(gain, 6) DESC, k) = 1""")
+register("trd_4_segments", lambda m: rounded(T.segments(m)), f"""
+WITH k AS (SELECT *, (row_number() OVER {O})::INT AS k, count(*) OVER {P} AS n, var_pop(value) OVER {P} AS spread FROM m WHERE value IS NOT NULL),
+r(user_id, metric_type, ts, value, k, n, spread, seg, level) AS (SELECT user_id, metric_type, ts, value, k, n, spread, 1, 0 FROM k
+UNION ALL SELECT user_id, metric_type, ts, value, k, n, spread, CASE WHEN k > cut THEN cut + 1 ELSE seg END, level + 1 FROM (
+SELECT *, min(CASE WHEN place = 1 AND gain > greatest(1, 0.05 * n) THEN k END) OVER (PARTITION BY user_id, metric_type, seg) AS cut FROM (
+SELECT *, row_number() OVER (PARTITION BY user_id, metric_type, seg ORDER BY gain DESC NULLS LAST, k) AS place FROM (
+SELECT *, CASE WHEN a >= 3 AND c - a >= 3 AND spread > 1e-12 THEN round(s * s * (1 / a + 1 / (c - a)) / spread, 6) END AS gain FROM (
+SELECT *, k - seg + 1 AS a, count(*) OVER g AS c, sum(v) OVER (PARTITION BY user_id, metric_type, seg ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM (
+SELECT *, value - avg(value) OVER (PARTITION BY user_id, metric_type, seg) AS v FROM r) WINDOW g AS (PARTITION BY user_id, metric_type, seg))))) WHERE cut IS NOT NULL),
+f AS (SELECT user_id, metric_type, k, any_value(ts) AS ts, any_value(value) AS value, arg_max(seg, level) AS seg FROM r GROUP BY user_id, metric_type, k)
+SELECT user_id, metric_type, seg AS first_k, max(k) AS last_k, min(ts) AS start_ts, round(avg(value), 6) AS mean, round(regr_slope(value, k), 6) AS slope FROM f GROUP BY user_id, metric_type, seg""")
 register("trd_5_rolling_change_flags", T.rolling_change_flags, f"WITH {CENTERED} SELECT event_id, {K}, ts, value, round(abs(value - mean) / sd, 6) AS z FROM rc WHERE sd > 0 AND round(abs(value - mean) / sd, 6) > 1.5")
 ACF = """ad AS (SELECT user_id, metric_type, ts::DATE AS day, avg(value) AS v FROM m GROUP BY ALL), ak AS (SELECT user_id, metric_type, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY day) AS k, v - avg(v) OVER p AS c, count(*) OVER p AS n, var_pop(v) OVER p * count(*) OVER p AS tot FROM ad WINDOW p AS (PARTITION BY user_id, metric_type)),
 ac AS (SELECT a.user_id, a.metric_type, (b.k - a.k)::INT AS lag, sum(a.c * b.c) / max(a.tot) AS r, max(a.n) AS n FROM ak a JOIN ak b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k - a.k BETWEEN 1 AND {most} GROUP BY a.user_id, a.metric_type, b.k - a.k HAVING b.k - a.k <= max(a.n) / 2)"""

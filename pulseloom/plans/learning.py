@@ -38,4 +38,15 @@ WITH r AS (SELECT user_id, ts::DATE AS day, avg(value) FILTER (metric_type = 'cl
 c AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM q), t AS (SELECT user_id, day, (vy * (x - mx) * (x - mx) - 2 * vxy * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - vxy * vxy) AS t2 FROM q CROSS JOIN c)
 SELECT user_id, day, round(t2, 6) AS t2, round(exp(-t2 / 2), 6) AS p, round(t2, 6) > 11.618286 AS is_anomaly FROM t""")
 register("ano_12_contextual", L.contextual)
-register("tst_8_normality", L.normality)
+register("tst_8_normality", L.normality, """
+WITH z AS (SELECT metric_type, (value - avg(value) OVER p) / stddev_samp(value) OVER p AS z, row_number() OVER (PARTITION BY metric_type ORDER BY value, event_id) AS i, (count(*) OVER p)::DOUBLE AS n FROM m WHERE value IS NOT NULL WINDOW p AS (PARTITION BY metric_type)),
+t AS (SELECT *, abs(z) / sqrt(2) AS x, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z),
+l AS (SELECT *, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-x * x) / 2 AS tail FROM t),
+c AS (SELECT *, least(greatest(CASE WHEN z >= 0 THEN 1 - tail ELSE tail END, 1e-12), 1 - 1e-12) AS cdf FROM l),
+g AS (SELECT metric_type, max(n) AS n, avg(z * z * z) / pow(avg(z * z), 1.5) AS g1, avg(z * z * z * z) / pow(avg(z * z), 2) - 3 AS g2, -max(n) - sum((2 * i - 1) * ln(cdf) + (2 * (n - i) + 1) * ln(1 - cdf)) / max(n) AS a2 FROM c GROUP BY metric_type HAVING count(*) >= 20),
+s AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2,
+(g2 + 6 / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) AS x, 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) AS beta FROM g),
+u AS (SELECT *, -1 + sqrt(2 * (b2 - 1)) AS w2, 6 + 8 / beta * (2 / beta + sqrt(1 + 4 / (beta * beta))) AS h FROM s),
+v AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS z1, (1 - 2 / (9 * h) - cbrt((1 - 2 / h) / (1 + x * sqrt(2 / (h - 4))))) / sqrt(2 / (9 * h)) AS z2 FROM u)
+SELECT metric_type, n::BIGINT AS n, round(z1 * z1 + z2 * z2, 6) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p, round(a2, 6) AS a2,
+exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AND a2 * (1 + 0.75 / n + 2.25 / n / n) < 0.752 AS is_normal FROM v""")

@@ -143,6 +143,21 @@ HAVING x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL), g AS (SELECT isodow(d
 SELECT part, n, round(xy, 6) AS r, round((xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)), 6) AS partial_r FROM g WHERE n >= 4""")
 
 
+def _weeks(m):
+    """The mean of four types in each person's weeks."""
+    mean = lambda t, n: F.avg(F.when(F.col("metric_type") == t, F.col("value"))).alias(n)
+    g = m.groupBy("user_id", F.date_trunc("week", "ts").cast("date").alias("week")).agg(mean("click", "x"), mean("view", "y"), mean("error", "z1"), mean("purchase", "z2"))
+    return g.dropna(subset=["x", "y", "z1", "z2"])
+
+
+register("cor_9_partial_corr_k", lambda m: rounded(C.partial_corr(_weeks(m), ["week"], ("z1", "z2"))), """
+WITH t AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, avg(value) FILTER (metric_type = 'click') AS x, avg(value) FILTER (metric_type = 'view') AS y, avg(value) FILTER (metric_type = 'error') AS z1, avg(value) FILTER (metric_type = 'purchase') AS z2
+FROM m GROUP BY user_id, date_trunc('week', ts)::DATE HAVING x IS NOT NULL AND y IS NOT NULL AND z1 IS NOT NULL AND z2 IS NOT NULL),
+a AS (SELECT week, count(*) AS n, corr(x, y) AS xy, corr(x, z1) AS x1, corr(y, z1) AS y1, corr(x, z2) AS x2, corr(y, z2) AS y2, corr(z1, z2) AS zz FROM t GROUP BY week HAVING count(*) >= 5),
+b AS (SELECT week, n, xy, (xy - x2 * y2) / sqrt((1 - x2 * x2) * (1 - y2 * y2)) AS p, (x1 - x2 * zz) / sqrt((1 - x2 * x2) * (1 - zz * zz)) AS q, (y1 - y2 * zz) / sqrt((1 - y2 * y2) * (1 - zz * zz)) AS s FROM a)
+SELECT week, n, round(xy, 6) AS r, round((p - q * s) / sqrt((1 - q * q) * (1 - s * s)), 6) AS partial_r FROM b""")
+
+
 def sweep(m, least=5):
     """All pairs of types of each person at daily grain."""
     return C.pearson(R.metric_pairs(R.day_means(m), ["user_id", "day"]), ["user_id", "m1", "m2"], least)
