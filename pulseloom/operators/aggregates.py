@@ -194,27 +194,27 @@ def baselines(m: DataFrame, least: int = 3) -> DataFrame:
     return g.join(with_mad(m), KEYS).select(*KEYS, "n", "mean", "sd", "median", "mad", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
 
 
-def resample_hourly(m: DataFrame) -> DataFrame:
-    """Hourly means per type on a complete grid of hours, filled forward, then backward."""
-    hours = m.groupBy("metric_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("mean"))
-    span = hours.groupBy("metric_type").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    grid = span.select("metric_type", F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour"))
-    w = Window.partitionBy("metric_type").orderBy("hour")
-    filled = grid.join(hours, ["metric_type", "hour"], "left").withColumn("ahead", F.last("mean", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return filled.select("metric_type", "hour", F.coalesce("ahead", F.last("mean", True).over(Window.partitionBy("metric_type").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0))).alias("mean"))
-
-
-def resample_linear(m: DataFrame) -> DataFrame:
-    """Hourly means per type on a complete grid of hours, with linear interpolation."""
-    hours = m.groupBy("metric_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("mean"))
-    span = hours.groupBy("metric_type").agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    grid = span.select("metric_type", F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour")).join(hours, ["metric_type", "hour"], "left")
-    w = Window.partitionBy("metric_type").orderBy("hour")
+def resample_hourly(m: DataFrame, keys: tuple[str, ...] = ("metric_type",)) -> DataFrame:
+    """Hourly means per group of ``keys`` (types; with KEYS each person's) on a complete grid of hours, filled forward, then backward."""
+    hours = m.groupBy(*keys, F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("mean"))
+    span = hours.groupBy(*keys).agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    grid = span.select(*keys, F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour"))
+    w = Window.partitionBy(*keys).orderBy("hour")
+    filled = grid.join(hours, [*keys, "hour"], "left").withColumn("ahead", F.last("mean", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return filled.select(*keys, "hour", F.coalesce("ahead", F.last("mean", True).over(Window.partitionBy(*keys).orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0))).alias("mean"))
+
+
+def resample_linear(m: DataFrame, keys: tuple[str, ...] = ("metric_type",)) -> DataFrame:
+    """Hourly means per group of ``keys`` on a complete grid of hours, with linear interpolation."""
+    hours = m.groupBy(*keys, F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("mean"))
+    span = hours.groupBy(*keys).agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
+    grid = span.select(*keys, F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour")).join(hours, [*keys, "hour"], "left")
+    w = Window.partitionBy(*keys).orderBy("hour")
     known = F.when(F.col("mean").isNotNull(), F.struct((F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9).alias("h"), F.col("mean").alias("v")))
-    grid = grid.withColumn("p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.last(known, True).over(Window.partitionBy("metric_type").orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0)))
+    grid = grid.withColumn("p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.last(known, True).over(Window.partitionBy(*keys).orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0)))
     h = F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9
     between = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (h - F.col("p.h")) / (F.col("q.h") - F.col("p.h"))
-    return grid.select("metric_type", "hour", F.when(F.col("mean").isNotNull(), F.col("mean")).otherwise(between).alias("mean"))
+    return grid.select(*keys, "hour", F.when(F.col("mean").isNotNull(), F.col("mean")).otherwise(between).alias("mean"))
 
 
 def daily_features(m: DataFrame, least: int = 12) -> DataFrame:

@@ -93,11 +93,19 @@ g AS (SELECT grid.metric_type, grid.hour, hm.mean FROM grid LEFT JOIN hm USING (
 FILLED = HOURLY + """, f AS (SELECT metric_type, hour, coalesce(last_value(mean IGNORE NULLS) OVER (PARTITION BY metric_type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
 first_value(mean IGNORE NULLS) OVER (PARTITION BY metric_type ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS mean FROM g)"""
 register("agg_12_resample_hourly", lambda m: A.resample_hourly(m).withColumn("mean", A.r6("mean")), f"WITH {FILLED} SELECT metric_type, hour, round(mean, 6) AS mean FROM f")
-register("agg_13_resample_linear", lambda m: A.resample_linear(m).withColumn("mean", A.r6("mean")), f"""
-WITH {HOURLY}, s AS (SELECT *, epoch(hour) / 3600 AS h, last_value(CASE WHEN mean IS NOT NULL THEN epoch(hour) / 3600 END IGNORE NULLS) OVER a AS ph, last_value(mean IGNORE NULLS) OVER a AS pv,
+LINEAR = f"""WITH {HOURLY}, s AS (SELECT *, epoch(hour) / 3600 AS h, last_value(CASE WHEN mean IS NOT NULL THEN epoch(hour) / 3600 END IGNORE NULLS) OVER a AS ph, last_value(mean IGNORE NULLS) OVER a AS pv,
 first_value(CASE WHEN mean IS NOT NULL THEN epoch(hour) / 3600 END IGNORE NULLS) OVER b AS qh, first_value(mean IGNORE NULLS) OVER b AS qv FROM g
 WINDOW a AS (PARTITION BY metric_type ORDER BY hour ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY metric_type ORDER BY hour ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT metric_type, hour, round(CASE WHEN mean IS NOT NULL THEN mean ELSE pv + (qv - pv) * (h - ph) / (qh - ph) END, 6) AS mean FROM s""")
+SELECT metric_type, hour, round(CASE WHEN mean IS NOT NULL THEN mean ELSE pv + (qv - pv) * (h - ph) / (qh - ph) END, 6) AS mean FROM s"""
+register("agg_13_resample_linear", lambda m: A.resample_linear(m).withColumn("mean", A.r6("mean")), LINEAR)
+
+
+def by_person(sql: str) -> str:
+    """An equivalent over types as one over each person's types."""
+    return sql.replace("metric_type", "user_id, metric_type")
+
+
+register("agg_12_resample_hourly_by_person", lambda m: A.resample_hourly(m, A.KEYS).withColumn("mean", A.r6("mean")), by_person(f"WITH {FILLED} SELECT metric_type, hour, round(mean, 6) AS mean FROM f"))
 register("agg_15_daily_features", A.daily_features, f"""
 WITH {HOURLY} SELECT metric_type, hour::DATE AS day, count(*) AS hours, round(avg(mean), 6) AS mean, round(stddev_samp(mean), 6) AS sd, round(max(mean), 6) AS max_value, round(min(mean), 6) AS min_value
 FROM hm GROUP BY ALL HAVING count(*) >= 12""")

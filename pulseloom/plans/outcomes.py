@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.labels import label_sql
 from pulseloom.operators import outcomes as Y
-from pulseloom.operators.aggregates import r6, resample_hourly
+from pulseloom.operators.aggregates import KEYS, r6, resample_hourly
 from pulseloom.operators.correlations import pearson
 from pulseloom.plans.analysis import ENS, LIN
-from pulseloom.plans.core import FILLED, NOW
+from pulseloom.plans.core import FILLED, NOW, by_person
 from pulseloom.plans.registry import register
 from pulseloom.plans.relational import BEFORE, INTERVENTIONS, SWEEP, rounded, sweep
 
@@ -63,8 +63,9 @@ WITH c AS (SELECT {K}, last(value ORDER BY ts, event_id) AS value, avg(value) AS
 SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY abs(change) DESC, metric_type) AS k FROM d WHERE abs(change) > 5 QUALIFY k <= 2""")
 register("top_1_top_correlations", lambda m: rounded(Y.top_correlations(sweep(m))), f"WITH {SWEEP} SELECT user_id, m1, m2, n, round(r, 6) AS r, row_number() OVER (PARTITION BY user_id ORDER BY round(abs(r), 9) DESC, m1, m2) AS k FROM sw QUALIFY k <= 3")
 PATTERN = FILLED + ", hh AS (SELECT metric_type, hour(hour) AS h, avg(mean) AS mean, stddev_samp(mean) AS sd, count(*) AS n FROM f GROUP BY ALL)"
-register("pat_1_circadian_patterns", lambda m: Y.circadian_patterns(resample_hourly(m)), f"""
-WITH {PATTERN} SELECT metric_type, first(h ORDER BY round(mean, 9) DESC, h)::INT AS peak_hour, first(h ORDER BY round(mean, 9), h)::INT AS trough_hour, round(max(mean) - min(mean), 6) AS amplitude, round(1 - avg(sd) / max(sd), 6) AS consistency, first(h ORDER BY round(sd, 9), h)::INT AS steadiest_hour FROM hh GROUP BY metric_type""")
+CIRCADIAN = f"""WITH {PATTERN} SELECT metric_type, first(h ORDER BY round(mean, 9) DESC, h)::INT AS peak_hour, first(h ORDER BY round(mean, 9), h)::INT AS trough_hour, round(max(mean) - min(mean), 6) AS amplitude, CASE WHEN max(sd) > 1e-9 THEN round(1 - avg(sd) / max(sd), 6) END AS consistency, first(h ORDER BY round(sd, 9), h)::INT AS steadiest_hour FROM hh GROUP BY metric_type"""
+register("pat_1_circadian_patterns", lambda m: Y.circadian_patterns(resample_hourly(m)), CIRCADIAN)
+register("pat_1_circadian_patterns_by_person", lambda m: Y.circadian_patterns(resample_hourly(m, KEYS), KEYS), by_person(CIRCADIAN))
 register("agg_32_grid_patterns", lambda m: rounded(resample_hourly(m).groupBy("metric_type", F.hour("hour").alias("h")).agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd"), F.count(F.lit(1)).alias("n"))), f"WITH {PATTERN} SELECT metric_type, h::INT AS h, round(mean, 6) AS mean, round(sd, 6) AS sd, n FROM hh")
 
 

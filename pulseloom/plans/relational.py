@@ -8,7 +8,7 @@ from pulseloom.functions.labels import label_sql
 from pulseloom.operators import correlations as C, relations as R
 from pulseloom.operators.aggregates import KEYS, baselines, r6, resample_hourly
 from pulseloom.operators.windows import latest
-from pulseloom.plans.core import BASE, FILLED, NOW
+from pulseloom.plans.core import BASE, FILLED, NOW, by_person
 from pulseloom.plans.registry import register
 
 PAIRS = "dp AS (SELECT user_id, ts::DATE AS day, avg(value) FILTER (metric_type = 'click') AS x, avg(value) FILTER (metric_type = 'view') AS y FROM m GROUP BY ALL HAVING x IS NOT NULL AND y IS NOT NULL)"
@@ -104,10 +104,11 @@ WITH {PAIRS}, {GRIDS}, s AS (SELECT user_id, n, 2 AS bins, mi / ln(2) AS score F
 SELECT user_id, max(n) AS n, round(max(score), 6) AS mic FROM s WHERE bins * bins <= greatest(4, pow(n, 0.6)) GROUP BY user_id""")
 
 
-def _grid(m):
-    """The hourly grid of clicks (x) and views (y), numbered."""
-    g = resample_hourly(m).where(F.col("metric_type").isin("click", "view")).groupBy("hour").agg(F.max(F.when(F.col("metric_type") == "click", F.col("mean"))).alias("x"), F.max(F.when(F.col("metric_type") == "view", F.col("mean"))).alias("y"))
-    return g.select(F.lit("all").alias("user_id"), (F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9).cast("long").alias("i"), "x", "y")
+def _grid(m, person=False):
+    """The hourly grid of clicks (x) and views (y), numbered; all people's, or each person's own."""
+    rows = resample_hourly(m, KEYS if person else ("metric_type",)).where(F.col("metric_type").isin("click", "view"))
+    g = rows.groupBy(*(U if person else []), "hour").agg(F.max(F.when(F.col("metric_type") == "click", F.col("mean"))).alias("x"), F.max(F.when(F.col("metric_type") == "view", F.col("mean"))).alias("y"))
+    return g.select("user_id" if person else F.lit("all").alias("user_id"), (F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9).cast("long").alias("i"), "x", "y")
 
 
 GRID = FILLED + ", hg AS (SELECT (epoch(hour) / 3600)::BIGINT AS i, max(mean) FILTER (metric_type = 'click') AS x, max(mean) FILTER (metric_type = 'view') AS y FROM f GROUP BY hour)"
@@ -117,20 +118,33 @@ register("cor_8_lead_lag", lambda m: rounded(C.best_lag(C.lagged_corr(_grid(m),
 WITH {LAGGED.format(n=12)} SELECT lag, round(r, 6) AS r, n, CASE WHEN lag > 0 THEN 'x' ELSE 'y' END AS leads FROM lc WHERE n >= 10 AND lag <> 0 ORDER BY round(abs(r), 9) DESC, abs(lag), lag DESC LIMIT 1""")
 
 
-def _cross(m):
-    g = _grid(m).where("x IS NOT NULL AND y IS NOT NULL")
-    s = g.groupBy("user_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.count(F.lit(1)).alias("total"))
-    z = g.join(F.broadcast(s), "user_id").select("user_id", "i", "total", ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
-    by = C.lagged_corr(z.drop("total"), U, 48, standard=True).join(F.broadcast(s.select("user_id", "total")), "user_id").withColumn("r", F.col("r") / F.col("total"))
-    return C.best_lag(by.drop("total"), U).select("lag", "r", "n")
+def _cross(m, person=False):
+    g = _grid(m, person).where("x IS NOT NULL AND y IS NOT NULL")
+    s = g.groupBy("user_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.count(F.lit(1)).alias("total")).where("sx > 1e-9 AND sy > 1e-9")
+    z = g.join(s, "user_id").select("user_id", "i", "total", ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
+    by = C.lagged_corr(z.drop("total"), U, 48, standard=True).join(s.select("user_id", "total"), "user_id").withColumn("r", F.col("r") / F.col("total"))
+    return C.best_lag(by.drop("total"), U).select("user_id", "lag", "r", "n")
 
 
-register("cor_6_cross_correlation", lambda m: rounded(_cross(m)), f"""
+register("cor_6_cross_correlation", lambda m: rounded(_cross(m).drop("user_id")), f"""
 WITH {GRID}, c AS (SELECT i, x, y FROM hg WHERE x IS NOT NULL AND y IS NOT NULL), z AS (SELECT i, (x - avg(x) OVER ()) / stddev_pop(x) OVER () AS x, (y - avg(y) OVER ()) / stddev_pop(y) OVER () AS y, count(*) OVER () AS t FROM c),
 l AS (SELECT b.i - a.i AS lag, sum(a.x * b.y) / any_value(a.t) AS r, count(*) AS n FROM z a JOIN z b ON b.i BETWEEN a.i - 48 AND a.i + 48 GROUP BY 1)
 SELECT lag::INT AS lag, round(r, 6) AS r, n FROM l WHERE n >= 10 ORDER BY round(abs(r), 9) DESC, abs(lag), lag DESC LIMIT 1""")
 
 
+GRIDS_BY_PERSON = by_person(FILLED) + ", hg AS (SELECT user_id, (epoch(hour) / 3600)::BIGINT AS i, max(mean) FILTER (metric_type = 'click') AS x, max(mean) FILTER (metric_type = 'view') AS y FROM f GROUP BY user_id, hour)"
+LAGGED_BY_PERSON = GRIDS_BY_PERSON + """, ll AS (SELECT unnest(range(-{n}, {n} + 1))::INT AS lag), al AS (SELECT user_id, i + lag AS j, x, lag FROM hg CROSS JOIN ll WHERE x IS NOT NULL),
+lc AS (SELECT a.user_id, a.lag, count(*) AS n, corr(a.x, b.y) AS r FROM al a JOIN hg b ON b.user_id = a.user_id AND b.i = a.j WHERE b.y IS NOT NULL GROUP BY a.user_id, a.lag HAVING count(*) >= 10), lf AS (SELECT * FROM lc WHERE r IS NOT NULL AND NOT isnan(r))"""
+register("cor_7_lagged_corr_by_person", lambda m: rounded(C.lagged_corr(_grid(m, True), U, 24).select("user_id", "lag", "n", "r")), f"WITH {LAGGED_BY_PERSON.format(n=24)} SELECT user_id, lag, n, round(r, 6) AS r FROM lf")
+register("cor_8_lead_lag_by_person", lambda m: rounded(C.best_lag(C.lagged_corr(_grid(m, True), U, 12).where("lag <> 0"), U).select("user_id", "lag", "r", "n", "leads")), f"""
+WITH {LAGGED_BY_PERSON.format(n=12)} SELECT user_id, lag, round(r, 6) AS r, n, CASE WHEN lag > 0 THEN 'x' ELSE 'y' END AS leads FROM lf WHERE lag <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(abs(r), 9) DESC, abs(lag), lag DESC) = 1""")
+register("cor_6_cross_correlation_by_person", lambda m: rounded(_cross(m, True)), f"""
+WITH {GRIDS_BY_PERSON}, c AS (SELECT user_id, i, x, y FROM hg WHERE x IS NOT NULL AND y IS NOT NULL), s AS (SELECT user_id, avg(x) AS mx, avg(y) AS my, stddev_pop(x) AS sx, stddev_pop(y) AS sy, count(*) AS t FROM c GROUP BY user_id HAVING stddev_pop(x) > 1e-9 AND stddev_pop(y) > 1e-9),
+z AS (SELECT user_id, i, (x - mx) / sx AS x, (y - my) / sy AS y, t FROM c JOIN s USING (user_id)), al AS (SELECT user_id, i + lag AS j, x, t, lag FROM z CROSS JOIN (SELECT unnest(range(-48, 49))::INT AS lag)),
+l AS (SELECT a.user_id, a.lag, sum(a.x * b.y) / any_value(a.t) AS r, count(*) AS n FROM al a JOIN z b ON b.user_id = a.user_id AND b.i = a.j GROUP BY a.user_id, a.lag HAVING count(*) >= 10)
+SELECT user_id, lag, round(r, 6) AS r, n FROM l QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(abs(r), 9) DESC, abs(lag), lag DESC) = 1""")
+
+
 def _triples(m):
     g = m.groupBy("user_id", F.to_date("ts").alias("day"))
     mean = lambda t, n: F.avg(F.when(F.col("metric_type") == t, F.col("value"))).alias(n)
