@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulseloom.llm import bpe, embedding_dedup, exact_dedup, html_text, lexical, line_dedup, near_dedup, packing, pii, secrets, toxicity
+from pulseloom.llm import bpe, embedding_dedup, exact_dedup, html_text, lexical, licenses, line_dedup, near_dedup, packing, pii, secrets, toxicity, whitening
 from pulseloom.sources.tables import table
 
 
@@ -50,6 +50,14 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
@@ -65,6 +73,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_line_dedup": op9_line_dedup,
     "op10_secrets": op10_secrets,
+    "op11_whitening": op11_whitening,
+    "op12_license_scan": op12_license_scan,
     "op13_lexical_search": op13_lexical_search,
 }
 
