@@ -9,7 +9,7 @@ row stays for its text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulseloom.llm.work import new_path, new_table, staged
 
@@ -129,16 +129,21 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows of the document that stays, one does (with the most
     characters, then by a hash of all its columns).
     """
-    found = exact_dedup(docs)
-    marks = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
-    marks = staged(marks.where("NOT __kept OR __rows > 1"), "marks")
-    of_row = (F.col("doc_id").cast("long") == marks["__id"]) & (digest(F.col("text")) == marks["__digest"])
-    left = docs.join(marks, of_row, "left").where("__kept IS NULL OR __kept")
-    if marks.where("__kept").isEmpty():  # no document is repeated
-        return left.select(*[docs[c] for c in docs.columns])
-    w = Window.partitionBy("__id", "__digest").orderBy(F.desc(F.char_length("text")), F.xxhash64(*[docs[c] for c in docs.columns]))
-    again = left.where("__kept").withColumn("__k", F.row_number().over(w)).where("__k = 1").select(*docs.columns)
-    return left.where("__kept IS NULL").select(*docs.columns).unionByName(again)
+    found = exact_dedup(docs).where("doc_id IS NOT NULL")
+    marks = found.groupBy(F.col("doc_id").alias("__id")).agg(F.bool_or("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows"))
+    marks = staged(marks.where("__rows > 1 OR NOT __kept"), "marks")
+    own = F.col("doc_id").cast("long")
+    left = docs.join(marks.select("__id"), own == F.col("__id"), "left_anti")
+    repeated = marks.where("__rows > 1").select("__id")
+    if repeated.isEmpty():
+        return left
+    # ids of several rows, whose texts may differ: those that keep their text, and of their equal rows one
+    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).join(repeated, "__id", "left_semi").distinct()
+    again = docs.join(repeated, own == F.col("__id"), "left_semi").select(own.alias("__id"), digest(F.col("text")).alias("__digest"), F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    again = again.join(stay, ["__id", "__digest"], "left_semi")
+    best = F.struct(F.char_length("__row.text"), F.bitwise_not(F.xxhash64(*[F.col("__row").getField(c) for c in docs.columns])))
+    again = again.groupBy("__id", "__digest").agg(F.max_by("__row", best).alias("__row")).select("__row.*")
+    return left.unionByName(again)
 
 
 ORACLE = """

@@ -1,6 +1,7 @@
 """Groups against brute force; the index across batches."""
 
 import hashlib
+import random
 
 from pulseloom.llm import exact_dedup as ed
 
@@ -42,3 +43,21 @@ def test_index_outlives_a_batch(spark, tmp_path):
     assert got == {3: 1, 4: 4, 5: 4} and index.table().count() == 3
     plan = index.fresh(ed.representatives(found))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan
+
+
+def test_keep_one(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a b", "ab", "a  b", "c", "", None, "d" * i]), "x") for i in range(60)]
+    # repeated ids: equal rows, equal texts with other white space, other texts; rows without an id
+    rows += rows[:20] + [(3, "q q", "x"), (3, "qq", "x"), (3, "qq", "y"), (70, "solo", "x"), (70, "duo", "x"), (None, "c", "x"), (None, "c", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(4)
+    plain = lambda t: "".join((t or "").split())
+    best = {}
+    for i, t, _ in rows:
+        if i is not None:
+            best[plain(t)] = min(best.get(plain(t), (1, 0)), (-len(t or ""), i))
+    kept = sorted((i, plain(t)) for t, (_, i) in best.items())
+    got = ed.keep_one(df).collect()
+    assert sorted((r.doc_id, plain(r.text)) for r in got if r.doc_id is not None) == kept
+    assert sum(r.doc_id is None for r in got) == 2 and ed.keep_one(df.limit(0)).count() == 0
+    assert all(len(r.text or "") == -best[plain(r.text)][0] for r in got if r.doc_id is not None)
