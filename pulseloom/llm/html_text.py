@@ -1,11 +1,13 @@
 """Main text of web pages: flat blocks, classified by a decision tree.
 
-A page becomes flat text blocks in page order. What its markup declares to be
-furniture (a menu, a sidebar, an advert, reader comments ...) is no text of the
-page, like scripts and styles: such texts can be as long and as free of links as
-an article. Each block that is left has its word count and link density and
-those of both neighbours; a decision tree over these six, trained on the small
-labelled table below, says which blocks are main text.
+A page becomes flat text blocks in page order; only scripts, styles and the like,
+and what isn't shown, have none. Each block has its word count and link density,
+those of both neighbours, and what the containers around it declare: whether one
+is the main part, and whether one within or around that is furniture (a menu, a
+sidebar, an advert, reader comments ...). A decision tree over these nine,
+trained on the small labelled table below, says which blocks are main text: a
+declaration alone decides nothing, since an article can stand in a "widget" and
+an advert can be as long and as free of links as an article.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -36,10 +39,11 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^'">]|"[^"]*"|'[^']*')*+)>""")
 NAMED = re.compile(r"""(?:^|[\s"'])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 UNSEEN = re.compile(r"""(?:^|[\s"'])(?:hidden(?=$|[\s/>=])|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 
-FEATURES = ("prev_words", "prev_links", "words", "links", "next_words", "next_links")
+FEATURES = ("prev_words", "prev_links", "words", "links", "next_words", "next_links", "main", "within", "around")
 
-# The labelled table: blocks of pages as a reader sees them, by FEATURES; the last value is 1 for main text.
-LABELLED = (
+# The labelled table: blocks of pages as a reader sees them, by the first six FEATURES; the last value is 1 for main text.
+# These are of pages that declare nothing.
+PLAIN = (
     # articles: paragraphs, headings, one-word lines, quotes, captions; also articles of one or two short lines
     (0, 0.0, 9, 0.0, 80, 0.0, 1), (9, 0.0, 80, 0.0, 60, 0.05, 1), (80, 0.0, 60, 0.05, 1, 0.0, 1), (60, 0.05, 1, 0.0, 40, 0.0, 1), (1, 0.0, 40, 0.0, 3, 0.0, 1),
     (40, 0.0, 3, 0.0, 150, 0.02, 1), (3, 0.0, 150, 0.02, 12, 0.1, 1), (150, 0.02, 12, 0.1, 7, 0.0, 1), (12, 0.1, 7, 0.0, 0, 0.0, 1), (2, 0.0, 2, 0.0, 9, 0.2, 1),
@@ -61,7 +65,28 @@ LABELLED = (
 )
 
 
-def train_tree(spark: SparkSession, labelled=LABELLED, depth: int = 6):
+# Blocks of pages that declare something, by all FEATURES.
+DECLARED = (
+    # in the main part: paragraphs, headings, lines of a word; next to menus, adverts and footers
+    (1, 1.0, 9, 0.0, 80, 0.0, 1, 0, 0, 1), (12, 0.0, 8, 0.0, 60, 0.0, 1, 0, 0, 1), (9, 0.0, 60, 0.0, 3, 0.0, 1, 0, 0, 1), (60, 0.0, 3, 0.0, 50, 0.0, 1, 0, 0, 1), (2, 1.0, 1, 0.0, 2, 1.0, 1, 0, 0, 1),
+    (80, 0.0, 2, 0.0, 10, 0.1, 1, 0, 0, 1), (30, 0.0, 25, 0.0, 12, 0.0, 1, 0, 0, 1), (0, 0.0, 1, 0.0, 0, 0.0, 1, 0, 0, 1), (4, 0.0, 4, 0.0, 4, 0.0, 1, 0, 0, 1), (2, 1.0, 5, 0.0, 6, 0.0, 1, 0, 0, 1),
+    (50, 0.0, 18, 0.4, 22, 0.0, 1, 0, 0, 1), (0, 0.0, 3, 0.34, 0, 0.0, 1, 0, 0, 1), (6, 0.0, 3, 0.34, 9, 0.0, 1, 0, 0, 1), (40, 0.0, 900, 0.0, 1, 1.0, 1, 0, 0, 1), (15, 0.0, 4, 0.0, 2, 1.0, 1, 0, 0, 1),
+    # in the main part: lists of links
+    (50, 0.0, 4, 1.0, 4, 1.0, 1, 0, 0, 0), (4, 1.0, 4, 1.0, 3, 1.0, 1, 0, 0, 0), (4, 1.0, 3, 1.0, 0, 0.0, 1, 0, 0, 0), (60, 0.0, 12, 0.9, 6, 1.0, 1, 0, 0, 0), (3, 0.0, 8, 1.0, 9, 0.0, 1, 0, 0, 0), (9, 0.0, 2, 1.0, 40, 0.0, 1, 0, 0, 0),
+    # furniture: menus, adverts, notices, comments, footers, of any length
+    (0, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 0), (1, 1.0, 2, 1.0, 8, 0.0, 0, 1, 0, 0), (1, 1.0, 8, 0.0, 9, 0.0, 0, 1, 0, 0), (1, 1.0, 40, 0.0, 9, 0.0, 0, 1, 0, 0), (60, 0.0, 12, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (40, 0.0, 90, 0.0, 30, 0.0, 0, 1, 0, 0), (0, 0.0, 30, 0.0, 60, 0.0, 0, 1, 0, 0), (3, 0.0, 3, 0.0, 3, 0.0, 0, 1, 0, 0), (0, 0.0, 5, 0.0, 0, 0.0, 0, 1, 0, 0), (70, 0.0, 200, 0.0, 0, 0.0, 0, 1, 0, 0),
+    (50, 0.0, 30, 0.0, 60, 0.0, 1, 1, 0, 0), (60, 0.0, 5, 0.0, 40, 0.0, 1, 1, 0, 0), (20, 0.0, 100, 0.0, 12, 0.0, 1, 1, 0, 0), (30, 0.0, 60, 0.1, 60, 0.0, 1, 1, 0, 0), (9, 0.0, 1, 0.0, 2, 0.0, 1, 1, 0, 0),
+    # a main part that is also called furniture, or lies within it: articles if they are long, with their headings; teasers if not
+    (0, 0.0, 40, 0.0, 0, 0.0, 1, 0, 1, 1), (9, 0.0, 60, 0.0, 80, 0.0, 1, 0, 1, 1), (60, 0.0, 80, 0.05, 30, 0.0, 1, 0, 1, 1), (2, 1.0, 30, 0.0, 45, 0.0, 1, 0, 1, 1), (40, 0.0, 28, 0.0, 1, 1.0, 1, 0, 1, 1),
+    (1, 1.0, 9, 0.0, 60, 0.0, 1, 0, 1, 1), (0, 0.0, 6, 0.0, 40, 0.0, 1, 0, 1, 1), (12, 0.0, 8, 0.0, 50, 0.0, 1, 0, 1, 1),
+    (5, 0.0, 12, 0.0, 4, 0.0, 1, 0, 1, 0), (12, 0.0, 10, 0.0, 12, 0.0, 1, 0, 1, 0), (3, 1.0, 14, 0.3, 4, 1.0, 1, 0, 1, 0), (60, 0.0, 9, 0.0, 8, 0.0, 1, 0, 1, 0), (0, 0.0, 5, 0.0, 9, 0.0, 1, 0, 1, 0), (9, 0.0, 4, 0.0, 0, 0.0, 1, 0, 1, 0),
+    (9, 0.0, 40, 0.8, 12, 0.9, 1, 0, 1, 0), (40, 0.0, 6, 1.0, 50, 0.0, 1, 0, 1, 0), (60, 0.0, 4, 0.0, 3, 0.0, 1, 0, 1, 0), (1, 1.0, 15, 0.0, 15, 0.0, 1, 0, 1, 0),
+)
+LABELLED = tuple((*r[:6], 0, 0, 0, r[6]) for r in PLAIN) + DECLARED
+
+
+def train_tree(spark: SparkSession, labelled=LABELLED, depth: int = 8):
     """Fit a decision tree; returns nested (feature, threshold, left, right) and leaves 0.0 or 1.0."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.feature import VectorAssembler
@@ -86,11 +111,40 @@ def classify(tree, features: tuple) -> bool:
     return tree >= 0.5
 
 
-def text_blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, words, words in links) of each flat block in page order; declared furniture has none."""
-    out: list[tuple[str, int, int]] = []
+class Block(NamedTuple):
+    text: str
+    words: int
+    links: int
+    #: Declared around it: a main part; furniture within that (or any, without a main part); furniture at or around it.
+    main: bool
+    within: bool
+    around: bool
+
+
+class Open(NamedTuple):
+    """An open container, and what it and those around it declare."""
+
+    name: str = ""
+    main: bool = False
+    within: bool = False
+    around: bool = False
+    unseen: bool = False
+
+    def child(self, name: str, attrs: str) -> Open:
+        named = " ".join(next(filter(None, x), "") for x in NAMED.findall(attrs)) if attrs else ""
+        main = name in ("article", "main") or bool(named and MAIN_NAME.search(named))
+        furniture = name != "body" and (name in FURNITURE and not (name == "header" and self.main) or bool(named and FURNITURE_NAME.search(named)))
+        unseen = self.unseen or bool(attrs and UNSEEN.search(attrs)) and name != "body"
+        if main:
+            return Open(name, True, False, self.within or self.around or furniture, unseen)
+        return Open(name, self.main, self.within or furniture, self.around, unseen)
+
+
+def text_blocks(page: str) -> list[Block]:
+    """The flat blocks of a page in its order; what isn't shown has none."""
+    out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[Open] = []
     links = in_link = 0
     loose = False  # a quote of the page never ends: tags then end at the next angle bracket
 
@@ -105,9 +159,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int]]:
     def end_block() -> None:
         nonlocal links
         if parts:
-            words = "".join(parts).split() if not stack or not stack[-1][1] else []
+            own = stack[-1] if stack else Open()
+            words = [] if own.unseen else "".join(parts).split()
             if words:
-                out.append((" ".join(words), len(words), min(links, len(words))))
+                out.append(Block(" ".join(words), len(words), min(links, len(words)), own.main, own.within, own.around))
             parts.clear()
         links = 0
 
@@ -160,11 +215,7 @@ def text_blocks(page: str) -> list[tuple[str, int, int]]:
             end_block()
             if name in CONTAINER:
                 if not closing:
-                    _, furniture, main = stack[-1] if stack else ("", False, False)
-                    named = " ".join(next(filter(None, x), "") for x in NAMED.findall(attrs)) if attrs else ""
-                    own = name in FURNITURE and not (name == "header" and main) or bool(named and FURNITURE_NAME.search(named)) or bool(attrs and UNSEEN.search(attrs))
-                    is_main = name in ("article", "main") or bool(named and MAIN_NAME.search(named))
-                    stack.append((name, (furniture or own) and name != "body", main or is_main))
+                    stack.append((stack[-1] if stack else Open()).child(name, attrs))
                 elif any(s[0] == name for s in stack):
                     while stack.pop()[0] != name:
                         pass
@@ -173,13 +224,18 @@ def text_blocks(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def features(blocks: list[Block]) -> list[tuple]:
+    """FEATURES of each block of a page."""
+    of = lambda b: (b.words, b.links / max(1, b.words))
+    none = Block("", 0, 0, False, False, False)
+    around = zip([none, *blocks], blocks, [*blocks[1:], none], strict=False)
+    return [(*of(before), *of(b), *of(behind), b.main, b.within, b.around) for before, b, behind in around]
+
+
 def main_text(page: str | None, tree) -> str:
     """The main blocks of a page, joined by empty lines."""
-    found = text_blocks(page or "")
-    none = ("", 0, 0)
-    of = lambda b: (b[1], b[2] / max(1, b[1]))
-    around = zip([none, *found], found, [*found[1:], none], strict=False)
-    return "\n\n".join(b[0] for before, b, behind in around if classify(tree, (*of(before), *of(b), *of(behind))))
+    blocks = text_blocks(page or "")
+    return "\n\n".join(b.text for b, f in zip(blocks, features(blocks), strict=True) if classify(tree, f))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
