@@ -8,9 +8,10 @@ the distance to its own; it is copied to those cells, to the earlier one of two
 cells only. Cells join independently, large ones in pairs of packed blocks, and
 give counts and a spanning set of links, never all pairs.
 
-In many dimensions vectors without clusters are near all boundaries. How many
-cells a vector is near is measured on a sample; pivots that don't at least halve
-the pairs to compare aren't used, and all vectors are one cell in blocks.
+In many dimensions vectors without clusters are near all boundaries, and more
+pivots mean more copies. How many cells a vector goes to is measured on a sample;
+as many pivots are used as keep the copies within a bound. Few pivots always do:
+a pair is compared in one cell at most, so cells never add to the pairs.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulseloom.llm.components import components
 from pulseloom.llm.work import staged, tidy
 
-#: Vectors per pivot that are aimed at, and the most pivots (their vectors go to all tasks).
-PER_CELL, MOST_PIVOTS = 4_096, 512
+#: Vectors per pivot that are aimed at, the fewest and the most pivots to begin with (their vectors go to all tasks).
+PER_CELL, FEWEST_PIVOTS, MOST_PIVOTS = 4_096, 8, 512
+#: Cells that a vector may go to on average; pivots are halved until it does.
+MOST_COPIES = 4.5
 #: Vectors from which pivots are chosen, per pivot, and vectors on which they are measured.
 POOL, MEASURED = 8, 1_024
 #: Bytes of the vectors of a block, and the least number of blocks that a large cell is cut into.
@@ -97,15 +100,19 @@ def cells_of(x: np.ndarray, pivots: np.ndarray, reach: float) -> tuple[np.ndarra
     return home, near
 
 
+def copies(sample: np.ndarray, pivots: np.ndarray, reach: float) -> float:
+    """To how many cells a vector of the sample (units) goes on average."""
+    return float(cells_of(sample[:MEASURED], pivots, reach)[1].sum(1).mean())
+
+
 def choose_pivots(sample: np.ndarray, total: int, reach: float) -> np.ndarray:
-    """Pivots that leave at most half of all pairs to compare, by a measurement on ``sample`` (units); else the first one."""
-    n = min(MOST_PIVOTS, total // PER_CELL)
-    pivots = _spread(sample[: POOL * max(1, n)], n)
-    if len(pivots) > 1:
-        _, near = cells_of(sample[:MEASURED], pivots, reach)
-        if 2 * near.sum(1).mean() / len(pivots) <= 0.5:
+    """As many pivots as put a vector of ``sample`` (units) into at most MOST_COPIES cells on average."""
+    n = min(MOST_PIVOTS, max(FEWEST_PIVOTS, total // PER_CELL))
+    while True:
+        pivots = _spread(sample[: POOL * n], n)
+        if len(pivots) <= 2 or copies(sample, pivots, reach) <= MOST_COPIES:
             return pivots
-    return sample[:1]
+        n = len(pivots) // 2
 
 
 def _spread(pool: np.ndarray, n: int) -> np.ndarray:
@@ -151,8 +158,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     sizes = classes.agg(F.count(F.lit(1)).alias("n"), F.mode(F.length("vector"), True).alias("width")).first()
     if sizes.n:
         # at most MOST_PIVOTS * POOL vectors of the commonest length
-        many = max(MEASURED, POOL * min(MOST_PIVOTS, sizes.n // PER_CELL))
-        chosen = classes.where(F.length("vector") == sizes.width).orderBy(F.xxhash64("rep"), "rep").limit(many).select("vector").collect()
+        pool = max(MEASURED, POOL * min(MOST_PIVOTS, sizes.n // PER_CELL))
+        chosen = classes.where(F.length("vector") == sizes.width).orderBy(F.xxhash64("rep"), "rep").limit(pool).select("vector").collect()
         pivots = choose_pivots(units(np.frombuffer(b"".join(r.vector for r in chosen), kind).reshape(len(chosen), -1)), sizes.n, reach)
     else:
         pivots = np.zeros((1, 1))
@@ -178,12 +185,13 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = 0.9) -> DataFr
     # vectors are placed twice, which is cheaper than to write their copies down: for the sizes of cells, and to be packed
     counted = classes.select("rep", "weight", "vector").mapInArrow(place, f"{place_schema}, vector binary").groupBy("width", "cell").agg(F.count_if("home").alias("homes"), F.count_if(~F.col("home")).alias("guests"))
 
-    def in_blocks(c: str) -> Column:
+    def in_blocks(c: str, least: Column) -> Column:
         """A cell's rows go into blocks of a bounded size, some blocks at least, so that many tasks share a large cell."""
-        large = F.greatest(F.ceil(F.col(c) * F.col("width") / F.lit(BLOCK_BYTES)), F.lit(LEAST_BLOCKS))
+        large = F.greatest(F.ceil(F.col(c) * F.col("width") / F.lit(BLOCK_BYTES)), least)
         return F.when(F.col(c) == 0, 0).when(F.col(c) < SMALL, 1).otherwise(large).cast("int").alias(c)
 
-    counted = staged(counted.select("width", "cell", in_blocks("homes"), in_blocks("guests")), "sizes")
+    many = F.lit(LEAST_BLOCKS)
+    counted = staged(counted.select("width", "cell", in_blocks("homes", F.when(F.col("guests") == 0, many).otherwise(1)), in_blocks("guests", many)), "sizes")
 
     def pack(table: pa.Table) -> pa.Table:
         one = {c: [table.column(c)[0].as_py()] for c in ("width", "cell", "homes", "guests", "home", "block")}

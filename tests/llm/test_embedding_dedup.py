@@ -71,13 +71,30 @@ def test_pivots_are_used_where_they_prune():
     rng.shuffle(tight)
     pivots = ed.choose_pivots(tight, 16 * ed.PER_CELL, reach)
     assert len(pivots) == 16 and ed.cells_of(tight, pivots, reach)[1].sum(1).mean() < 1.1
-    assert len(ed.choose_pivots(loose, 16 * ed.PER_CELL, reach)) == 1
+    few = ed.choose_pivots(loose, 16 * ed.PER_CELL, reach)
+    assert 2 <= len(few) <= 8 and 1 < ed.copies(loose, few, reach) <= ed.MOST_COPIES
+    assert len(ed.choose_pivots(loose[:300], 300, reach)) >= 2  # whatever the size
     # whatever is within reach meets in a cell
     home, near = ed.cells_of(tight, pivots, reach)
     for a, b in zip(*np.nonzero(tight @ tight.T >= 0.9), strict=True):
         assert near[a, home[b]] or near[b, home[a]]
 
 
+def test_query_on_a_clustered_table(spark, tmp_path):
+    """Through the registered query: most vectors go to one cell, and links and components are those of all pairs."""
+    from pulseloom.llm.queries import QUERIES
+
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(10, 32)), 30, 0) + 0.12 * rng.normal(size=(300, 32))
+    rows = [(i, [float(np.float32(c)) for c in v]) for i, v in enumerate(x[rng.permutation(300)])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    u = ed.units(np.array([v for _, v in rows]))
+    pivots = ed.choose_pivots(u, len(u), np.sqrt(0.2))
+    assert len(pivots) == 8 and ed.copies(u, pivots, np.sqrt(0.2)) < 1.6
+    got = QUERIES["op3_embedding_dedup"](spark, str(tmp_path)).collect()
+    assert {r.vec_id: {(r.n_links, r.component_id)} for r in got} == brute(rows, 0.9) and max(r.n_links for r in got) > 5
+
+
 def test_empty(spark):
     assert ed.near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert ed.near_duplicate_vectors(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().n_links == 0
