@@ -12,11 +12,15 @@ from pulseloom.operators.windows import series
 FEATURES = ["hour", "weekday", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "lag_1", "lag_2", "lag_3"]
 
 
+def forecast_rows(m: DataFrame) -> DataFrame:
+    """The rows of ``forecast_features`` that have all three lags, with their time, and the value as label."""
+    return forecast_features(m).join(m.select("event_id", "ts"), "event_id").dropna(subset=["lag_1", "lag_2", "lag_3"]).withColumn("label", F.col("value"))
+
+
 def _split(m: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Feature rows with all lags, by time: the first four fifths of each series, and the rest."""
-    rows = forecast_features(m).join(m.select("event_id", "ts"), "event_id").dropna(subset=["lag_1", "lag_2", "lag_3"])
     w = Window.partitionBy(*KEYS)
-    rows = rows.withColumn("place", F.percent_rank().over(w.orderBy("ts", "event_id"))).withColumn("label", F.col("value"))
+    rows = forecast_rows(m).withColumn("place", F.percent_rank().over(w.orderBy("ts", "event_id")))
     return rows.where("place < 0.8"), rows.where("place >= 0.8")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulseloom.operators import learning as L
+from pulseloom.operators import learning as L, multivariate as V
 from pulseloom.operators.anomalies import isolation_forest
 from pulseloom.plans.outcomes import _associations
 from pulseloom.plans.registry import register
@@ -50,3 +50,19 @@ u AS (SELECT *, -1 + sqrt(2 * (b2 - 1)) AS w2, 6 + 8 / beta * (2 / beta + sqrt(1
 v AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS z1, (1 - 2 / (9 * h) - cbrt((1 - 2 / h) / (1 + x * sqrt(2 / (h - 4))))) / sqrt(2 / (9 * h)) AS z2 FROM u)
 SELECT metric_type, n::BIGINT AS n, round(z1 * z1 + z2 * z2, 6) AS k2, round(exp(-(z1 * z1 + z2 * z2) / 2), 6) AS p, round(a2, 6) AS a2,
 exp(-(z1 * z1 + z2 * z2) / 2) > 0.05 AND a2 * (1 + 0.75 / n + 2.25 / n / n) < 0.752 AS is_normal FROM v""")
+
+FIT = """f AS (SELECT user_id, metric_type, event_id, ts, value, lag(value, 1) OVER s AS a, lag(value, 2) OVER s AS b, lag(value, 3) OVER s AS c FROM m WHERE value IS NOT NULL WINDOW s AS (PARTITION BY user_id, metric_type ORDER BY ts, event_id)),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id, metric_type) AS size FROM f WHERE c IS NOT NULL)"""
+register("fcs_3_ridge_by_series", V.ridge_by_series)
+register("fcs_3_ridge_two_lags", lambda m: V.ridge_by_series(m, ["lag_1", "lag_2"]).select("user_id", "metric_type", "n_fit", "n_test", "rmse", "mae", "r2", "intercept", F.col("weights")[0].alias("w1"), F.col("weights")[1].alias("w2")), f"""
+WITH {FIT}, g AS (SELECT user_id, metric_type, count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(value) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS sab, covar_pop(a, value) AS say, covar_pop(b, value) AS sby FROM k WHERE size >= 10 AND k <= floor(size * 0.8) GROUP BY ALL),
+h AS (SELECT *, n + 1.0 AS d, n * sab / sa / sb AS o, n * say / sa AS ta, n * sby / sb AS tb FROM g WHERE sa > 0 AND sb > 0), w AS (SELECT *, (d * ta - o * tb) / (d * d - o * o) / sa AS w1, (d * tb - o * ta) / (d * d - o * o) / sb AS w2 FROM h),
+e AS (SELECT user_id, metric_type, n, w1, w2, my - w1 * ma - w2 * mb AS i, value, value - (my - w1 * ma - w2 * mb) - w1 * a - w2 * b AS e FROM k JOIN w USING (user_id, metric_type) WHERE k > floor(size * 0.8))
+SELECT user_id, metric_type, n AS n_fit, count(*) AS n_test, round(sqrt(avg(e * e)), 6) AS rmse, round(avg(abs(e)), 6) AS mae, round(CASE WHEN var_pop(value) > 1e-12 THEN 1 - avg(e * e) / var_pop(value) END, 6) AS r2,
+round(any_value(i), 6) AS intercept, round(any_value(w1), 6) AS w1, round(any_value(w2), 6) AS w2 FROM e GROUP BY user_id, metric_type, n""")
+register("ano_3_hotelling_by_person", lambda m: V.hotelling_by_person(m, ["click", "view"]), """
+WITH r AS (SELECT user_id, ts::DATE AS day, avg(value) FILTER (metric_type = 'click') AS x, avg(value) FILTER (metric_type = 'view') AS y FROM m GROUP BY user_id, ts::DATE), q AS (SELECT * FROM r WHERE x IS NOT NULL AND y IS NOT NULL),
+c AS (SELECT user_id, count(*) AS days, avg(x) AS mx, avg(y) AS my, var_samp(x) AS vx, var_samp(y) AS vy, covar_samp(x, y) AS vxy FROM q GROUP BY user_id HAVING count(*) >= 3),
+t AS (SELECT user_id, day, days, round((vy * (x - mx) * (x - mx) - 2 * vxy * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - vxy * vxy), 6) AS t2 FROM q JOIN c USING (user_id)),
+l AS (SELECT user_id, round(quantile_cont(t2, 0.997), 6) AS lim FROM t GROUP BY user_id) SELECT user_id, day, days, t2, round(sqrt(greatest(t2, 0)), 6) AS distance, lim AS "limit", t2 > lim AS is_anomaly FROM t JOIN l USING (user_id)""")
+register("ano_3_hotelling_three_types", lambda m: V.hotelling_by_person(m, ["click", "purchase", "view"]))
