@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulseloom.functions.stats import t_quantile_975
 from pulseloom.sources.readings import as_of
 
 KEYS = ["user_id", "metric_type"]
@@ -13,6 +14,10 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6)
 
 
+def r9(c: Column | str) -> Column:
+    return F.round(c, 9)
+
+
 def _recent(days: int, back: int = 0) -> Column:
     """Whether ts lies in the ``days`` before ``as_of`` less ``back`` days."""
     end = as_of() - F.expr(f"INTERVAL {back} DAYS")
@@ -184,14 +189,29 @@ def user_profile(m: DataFrame) -> DataFrame:
     )
 
 
-def baselines(m: DataFrame, least: int = 3) -> DataFrame:
-    """Personal baseline per person and type: moments, robust spread, and the normal 95 % interval of the mean."""
+def pattern(m: DataFrame, key: Column, name: str) -> DataFrame:
+    """Per person and type a map from ``key`` (an hour, a weekday) to mean, sd and number of readings."""
+    g = m.where("value IS NOT NULL").groupBy(*KEYS, key.cast("int").alias("key")).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+    return g.groupBy(*KEYS).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", F.struct("mean", "sd", "n").alias("value"))))).alias(name))
+
+
+def baselines(m: DataFrame, least: int = 3, patterns: bool = False) -> DataFrame:
+    """Personal baseline per person and type: moments, robust spread, and Student's 95 % interval of the mean.
+
+    With ``patterns`` also the circadian and the weekly pattern, as maps from the
+    hour and from the weekday (0 is Monday).
+    """
     g = m.groupBy(*KEYS).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
         F.percentile("value", F.lit(0.25)).alias("q1"), F.percentile("value", F.lit(0.75)).alias("q3"),
     ).where(F.col("n") >= least)
-    half = 1.96 * F.col("sd") / F.sqrt("n")
-    return g.join(with_mad(m), KEYS).select(*KEYS, "n", "mean", "sd", "median", "mad", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high"))
+    half = t_quantile_975(F.col("n") - 1) * F.col("sd") / F.sqrt("n")
+    out = g.join(with_mad(m), KEYS)
+    own = ["n", "mean", "sd", "median", "mad", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"), (F.col("mean") - half).alias("ci_low"), (F.col("mean") + half).alias("ci_high")]
+    if patterns:
+        out = out.join(pattern(m, F.hour("ts"), "circadian_pattern"), KEYS, "left").join(pattern(m, F.weekday("ts"), "weekly_pattern"), KEYS, "left")
+        own += ["circadian_pattern", "weekly_pattern"]
+    return out.select(*KEYS, *own)
 
 
 def resample_hourly(m: DataFrame, keys: tuple[str, ...] = ("metric_type",)) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window, functions as F
 
-from pulseloom.operators.aggregates import KEYS, r6, with_mad
-from pulseloom.operators.windows import rolling_centered, series
+from pulseloom.operators.aggregates import KEYS, r6, r9, with_mad
+from pulseloom.operators.windows import others_around, series
 
 
 def group():
@@ -29,11 +31,18 @@ def modified_z(m: DataFrame, least: int = 5) -> DataFrame:
     return rows.select("event_id", *KEYS, F.tanh(z / 3.5).alias("score"))
 
 
-def spc(m: DataFrame, n: int = 5) -> DataFrame:
-    """Distance from the centred rolling mean in rolling deviations, and whether it is beyond three."""
-    rows = rolling_centered(m, n).where("sd > 0")
-    d = F.abs(F.col("value") - F.col("mean")) / F.col("sd")
-    return rows.select("event_id", *KEYS, F.tanh(d / 3).alias("score"), (d > 3).alias("out_of_control"))
+def spc(m: DataFrame, most: int = 10, part: int = 3, sigmas: float = 3.0) -> DataFrame:
+    """Distance from the control limits, ``sigmas`` deviations of the other readings around from their mean, as tanh(excess / 3).
+
+    A reading inside the limits has score 0. Series too short for a window (of a
+    third of their readings, 3 at least) are judged by their z-scores, as a whole.
+    """
+    rows = others_around(m, most, part).where("sd > 1e-9")
+    d = r9(F.abs(F.col("value") - F.col("mean")) / F.col("sd")) - sigmas
+    long = rows.select("event_id", *KEYS, F.tanh(F.greatest(d, F.lit(0.0)) / 3).alias("score"), (d > 0).alias("out_of_control"))
+    n = F.count("value").over(group())
+    short = zscore(m.withColumn("size", n).where(F.col("size") < 3 * part).drop("size"))
+    return long.unionByName(short.withColumn("out_of_control", F.col("score") > float(math.tanh(sigmas / 3))))
 
 
 def lof(m: DataFrame, k: int = 5) -> DataFrame:
@@ -129,8 +138,6 @@ def isolation_forest(m: DataFrame, trees: int = 100, sample: int = 256, seed: in
     A tree is a chain of random splits kept as an array of nodes; it needs
     ``sample`` rows of a type, so all trees are small whatever the input.
     """
-    import math
-
     import numpy as np
     import pandas as pd
 

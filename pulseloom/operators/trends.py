@@ -8,7 +8,7 @@ from pulseloom.functions.labels import label
 from pulseloom.functions.stats import t_two_sided
 from pulseloom.operators.aggregates import KEYS, r6
 from pulseloom.operators.correlations import sign_sums
-from pulseloom.operators.windows import rolling_centered, series
+from pulseloom.operators.windows import others_around, series
 from pulseloom.sources.shared import staged
 
 
@@ -111,9 +111,9 @@ def segments(m: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame:
     return out.groupBy(*KEYS, F.col("seg").alias("first_k")).agg(F.max("k").alias("last_k"), F.min("ts").alias("start_ts"), F.avg("value").alias("mean"), F.regr_slope("value", "k").alias("slope"))
 
 
-def rolling_change_flags(m: DataFrame, n: int = 5, limit: float = 1.5) -> DataFrame:
-    """Readings more than ``limit`` rolling deviations off the centred rolling mean."""
-    rows = rolling_centered(m, n).where("sd > 0")
+def rolling_change_flags(m: DataFrame, most: int = 5, limit: float = 2.0, least: int = 10) -> DataFrame:
+    """Readings more than ``limit`` deviations of the other readings around off their mean, but for a window at both ends of a series."""
+    rows = others_around(m, most, 2).where((F.col("sd") > 1e-9) & (F.col("n") >= least) & (F.col("k") > F.col("w")) & (F.col("k") <= F.col("n") - F.col("w")))
     return rows.withColumn("z", r6(F.abs(F.col("value") - F.col("mean")) / F.col("sd"))).where(F.col("z") > limit).select("event_id", *KEYS, "ts", "value", "z")
 
 

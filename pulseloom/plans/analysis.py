@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.functions.labels import label_sql
 from pulseloom.operators import anomalies as X, trends as T
-from pulseloom.plans.core import CENTERED, MAD, O
+from pulseloom.plans.core import MAD, O, OTHERS
 from pulseloom.plans.registry import register
 from pulseloom.plans.relational import rounded
 
@@ -14,10 +14,11 @@ K = "user_id, metric_type"
 P = "(PARTITION BY user_id, metric_type)"
 Z = """sz AS (SELECT event_id, user_id, metric_type, tanh(abs(value - mu) / sd / 3) AS score FROM (SELECT *, avg(value) OVER p AS mu, stddev_samp(value) OVER p AS sd, count(*) OVER p AS n FROM m WINDOW p AS (PARTITION BY user_id, metric_type)) WHERE n >= 5 AND sd > 0)"""
 MZ = MAD + """, sm AS (SELECT event_id, user_id, metric_type, CASE WHEN mad / 1.4826 > 0 THEN tanh(0.6745 * abs(value - median) / (mad / 1.4826) / 3.5) ELSE 0 END AS score FROM (SELECT *, count(*) OVER (PARTITION BY user_id, metric_type) AS n FROM m) x JOIN mad USING (user_id, metric_type) WHERE n >= 5)"""
-SP = CENTERED + ", ss AS (SELECT event_id, user_id, metric_type, tanh(abs(value - mean) / sd / 3) AS score, abs(value - mean) / sd > 3 AS out_of_control FROM rc WHERE sd > 0)"
+SP = OTHERS.format(most=10, part=3) + f""", ss AS (SELECT event_id, user_id, metric_type, tanh(greatest(round(abs(value - mean) / sd, 9) - 3, 0) / 3) AS score, round(abs(value - mean) / sd, 9) > 3 AS out_of_control FROM oc WHERE sd > 1e-9
+UNION ALL SELECT event_id, user_id, metric_type, score, score > tanh(1) FROM sz JOIN (SELECT user_id, metric_type FROM m GROUP BY ALL HAVING count(value) < 9) USING (user_id, metric_type))"""
 register("ano_1_zscore", lambda m: rounded(X.zscore(m)), f"WITH {Z} SELECT event_id, {K}, round(score, 6) AS score FROM sz")
 register("ano_2_modified_z", lambda m: rounded(X.modified_z(m)), f"WITH {MZ} SELECT event_id, {K}, round(score, 6) AS score FROM sm")
-register("ano_8_spc", lambda m: rounded(X.spc(m)), f"WITH {SP} SELECT event_id, {K}, round(score, 6) AS score, out_of_control FROM ss")
+register("ano_8_spc", lambda m: rounded(X.spc(m)), f"WITH {Z}, {SP} SELECT event_id, {K}, round(score, 6) AS score, out_of_control FROM ss")
 SEASONAL = f"""sp AS (SELECT *, row_number() OVER {O} % 7 AS ph, count(*) OVER {P} AS n FROM m), sr AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id, metric_type, ph) AS res FROM sp WHERE n >= 14),
 s7 AS (SELECT event_id, user_id, metric_type, tanh(abs(res) / sd / 3) AS score FROM (SELECT *, stddev_pop(res) OVER {P} AS sd FROM sr) WHERE sd > 0)"""
 register("ano_7_seasonal", lambda m: rounded(X.seasonal(m)), f"WITH {SEASONAL} SELECT event_id, {K}, round(score, 6) AS score FROM s7")
@@ -75,7 +76,7 @@ SELECT *, k - seg + 1 AS a, count(*) OVER g AS c, sum(v) OVER (PARTITION BY user
 SELECT *, value - avg(value) OVER (PARTITION BY user_id, metric_type, seg) AS v FROM r) WINDOW g AS (PARTITION BY user_id, metric_type, seg))))) WHERE cut IS NOT NULL),
 f AS (SELECT user_id, metric_type, k, any_value(ts) AS ts, any_value(value) AS value, arg_max(seg, level) AS seg FROM r GROUP BY user_id, metric_type, k)
 SELECT user_id, metric_type, seg AS first_k, max(k) AS last_k, min(ts) AS start_ts, round(avg(value), 6) AS mean, round(regr_slope(value, k), 6) AS slope FROM f GROUP BY user_id, metric_type, seg""")
-register("trd_5_rolling_change_flags", T.rolling_change_flags, f"WITH {CENTERED} SELECT event_id, {K}, ts, value, round(abs(value - mean) / sd, 6) AS z FROM rc WHERE sd > 0 AND round(abs(value - mean) / sd, 6) > 1.5")
+register("trd_5_rolling_change_flags", T.rolling_change_flags, f"WITH {OTHERS.format(most=5, part=2)} SELECT event_id, {K}, ts, value, round(abs(value - mean) / sd, 6) AS z FROM oc WHERE sd > 1e-9 AND n >= 10 AND k > w AND k <= n - w AND round(abs(value - mean) / sd, 6) > 2")
 ACF = """ad AS (SELECT user_id, metric_type, ts::DATE AS day, avg(value) AS v FROM m GROUP BY ALL), ak AS (SELECT user_id, metric_type, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY day) AS k, v - avg(v) OVER p AS c, count(*) OVER p AS n, var_pop(v) OVER p * count(*) OVER p AS tot FROM ad WINDOW p AS (PARTITION BY user_id, metric_type)),
 ac AS (SELECT a.user_id, a.metric_type, (b.k - a.k)::INT AS lag, sum(a.c * b.c) / max(a.tot) AS r, max(a.n) AS n FROM ak a JOIN ak b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k - a.k BETWEEN 1 AND {most} GROUP BY a.user_id, a.metric_type, b.k - a.k HAVING b.k - a.k <= max(a.n) / 2)"""
 register("trd_6_acf", lambda m: rounded(T.acf(m)), f"WITH {ACF.format(most=10)} SELECT user_id, metric_type, lag, round(r, 6) AS r, round(1.96 / sqrt(n), 6) AS bound, abs(r) > 1.96 / sqrt(n) AS significant FROM ac")

@@ -52,11 +52,24 @@ round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6)
 round(greatest(0, 1 - stddev_samp(value) / abs(avg(value))), 6) AS consistency, round(any_value(mad.median), 6) AS median, round(any_value(mad.mad), 6) AS mad, any_value(winsorized_mean) AS winsorized_mean
 FROM m JOIN mad USING (user_id, metric_type) JOIN wins USING (user_id, metric_type) GROUP BY user_id, metric_type""")
 
+# the Cornish-Fisher expansion of Student's quantile at 0.975, as in functions.stats
+Z = 1.959963984540054
+TQ = (f"CASE n WHEN 2 THEN tan(pi() * 0.475) WHEN 3 THEN 0.95 * sqrt(2 / (1 - 0.95 * 0.95)) ELSE {Z} + {(Z**3 + Z) / 4} / (n - 1) + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96} / pow(n - 1, 2) + "
+      f"{(3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384} / pow(n - 1, 3) + {(79 * Z**9 + 776 * Z**7 + 1482 * Z**5 - 1920 * Z**3 - 945 * Z) / 92160} / pow(n - 1, 4) END")
 BASE = f"""{MAD}, base AS (SELECT user_id, metric_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3
-FROM m GROUP BY ALL HAVING count(value) >= 3), b AS (SELECT *, q3 - q1 AS iqr, mean - 1.96 * sd / sqrt(n) AS ci_low, mean + 1.96 * sd / sqrt(n) AS ci_high FROM base JOIN mad USING (user_id, metric_type))"""
+FROM m GROUP BY ALL HAVING count(value) >= 3), b AS (SELECT *, q3 - q1 AS iqr, mean - {TQ} * sd / sqrt(n) AS ci_low, mean + {TQ} * sd / sqrt(n) AS ci_high FROM base JOIN mad USING (user_id, metric_type))"""
 ROUNDED = ["mean", "sd", "median", "mad", "q1", "q3", "iqr", "ci_low", "ci_high"]
-register("agg_4_baselines", lambda m: A.baselines(m).select("user_id", "metric_type", "n", *[A.r6(c).alias(c) for c in ROUNDED]),
-         f"WITH {BASE} SELECT user_id, metric_type, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ROUNDED) + " FROM b")
+PATTERN = "(SELECT user_id, metric_type, string_agg(printf('%d:%.6f/%d', key, mean, n), ',' ORDER BY key) AS pattern FROM (SELECT user_id, metric_type, {key} AS key, round(avg(value), 6) AS mean, count(value) AS n FROM m WHERE value IS NOT NULL GROUP BY ALL) GROUP BY ALL)"
+
+
+def _baselines(m):
+    """Baselines with their patterns as text: hour (or weekday):mean/number."""
+    text = lambda c: F.array_join(F.transform(F.array_sort(F.map_entries(c)), lambda e: F.format_string("%d:%.6f/%d", e.key, A.r6(e.value["mean"]), e.value["n"])), ",").alias(c)
+    return A.baselines(m, patterns=True).select("user_id", "metric_type", "n", *[A.r6(c).alias(c) for c in ROUNDED], text("circadian_pattern"), text("weekly_pattern"))
+
+
+register("agg_4_baselines", _baselines, f"WITH {BASE} SELECT user_id, metric_type, n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ROUNDED)
+         + f", c.pattern AS circadian_pattern, w.pattern AS weekly_pattern FROM b JOIN {PATTERN.format(key='hour(ts)')} c USING (user_id, metric_type) JOIN {PATTERN.format(key='isodow(ts) - 1')} w USING (user_id, metric_type)")
 
 for name, run, key in (("agg_5_hourly_pattern", A.hourly_pattern, "hour(ts) AS hour"), ("agg_5_weekly_pattern", A.weekly_pattern, "isodow(ts) - 1 AS weekday")):
     register(name, run, f"SELECT user_id, metric_type, {key}, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, count(*) AS n FROM m GROUP BY ALL")
@@ -135,6 +148,11 @@ WITH g AS (SELECT user_id, metric_type, lag(ts) OVER s AS previous, ts, round((e
 register("win_4_lag_roll_features", W.lag_roll_features, "SELECT event_id, user_id, metric_type, value, " + ", ".join(f"lag(value, {k}) OVER s AS lag_{k}" for k in (1, 2, 3, 7)) + ", " + ", ".join(
     f"CASE WHEN count(*) OVER w{n} = {n} THEN round(avg(value) OVER w{n}, 6) END AS mean_{n}, CASE WHEN count(*) OVER w{n} = {n} THEN round(stddev_samp(value) OVER w{n}, 6) END AS sd_{n}" for n in (3, 7))
     + f" FROM m WINDOW s AS {O}, " + ", ".join(f"w{n} AS (PARTITION BY user_id, metric_type ORDER BY ts, event_id ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)" for n in (3, 7)))
+# each reading with the mean and deviation of the others of its window: the w rows around it, or the nearest w rows at the ends
+OTHERS = f"""ok AS (SELECT *, row_number() OVER {O} AS k, count(*) OVER (PARTITION BY user_id, metric_type) AS n FROM m WHERE value IS NOT NULL), ow AS (SELECT *, least({{most}}, n // {{part}}) AS w FROM ok),
+os AS (SELECT *, greatest(1, least(k - w // 2, n - w + 1)) AS a FROM ow WHERE w >= 3),
+oc AS (SELECT x.event_id, x.user_id, x.metric_type, any_value(x.ts) AS ts, any_value(x.value) AS value, any_value(x.k) AS k, any_value(x.n) AS n, any_value(x.w) AS w, avg(y.value) AS mean, stddev_samp(y.value) AS sd
+FROM os x JOIN ok y ON x.user_id = y.user_id AND x.metric_type = y.metric_type AND y.k >= x.a AND y.k < x.a + x.w AND y.k <> x.k GROUP BY x.event_id, x.user_id, x.metric_type)"""
 CENTERED = """c AS (SELECT *, CASE WHEN count(*) OVER w = 5 THEN avg(value) OVER w END AS cm, CASE WHEN count(*) OVER w = 5 THEN stddev_samp(value) OVER w END AS cs FROM m
 WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
 rc AS (SELECT *, coalesce(last_value(cm IGNORE NULLS) OVER a, first_value(cm IGNORE NULLS) OVER b) AS mean, coalesce(last_value(cs IGNORE NULLS) OVER a, first_value(cs IGNORE NULLS) OVER b) AS sd FROM c

@@ -8,7 +8,7 @@ from pulseloom.operators import profiles as P, relations as R
 from pulseloom.operators.aggregates import r6, with_mad, winsorized_mean
 from pulseloom.operators.correlations import mean_ci, wilson
 from pulseloom.operators.outcomes import intervention_scores
-from pulseloom.plans.core import MAD, WINSOR
+from pulseloom.plans.core import MAD, TQ, WINSOR
 from pulseloom.plans.outcomes import SCORES
 from pulseloom.plans.registry import register
 from pulseloom.plans.relational import PAIRS, rounded
@@ -84,10 +84,6 @@ def _wilson(m):
 register("tst_5_wilson_ci", _wilson, """
 WITH g AS (SELECT metric_type, count(*) FILTER (value > 60) AS k, count(*) AS n, 1.959963984540054 AS z FROM m GROUP BY metric_type), p AS (SELECT *, k / n AS p FROM g)
 SELECT metric_type, k, n, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) AS high FROM p""")
-# the Cornish-Fisher expansion of Student's quantile at 0.975, as in functions.stats
-Z = 1.959963984540054
-TQ = (f"CASE n WHEN 2 THEN tan(pi() * 0.475) WHEN 3 THEN 0.95 * sqrt(2 / (1 - 0.95 * 0.95)) ELSE {Z} + {(Z**3 + Z) / 4} / (n - 1) + {(5 * Z**5 + 16 * Z**3 + 3 * Z) / 96} / pow(n - 1, 2) + "
-      f"{(3 * Z**7 + 19 * Z**5 + 17 * Z**3 - 15 * Z) / 384} / pow(n - 1, 3) + {(79 * Z**9 + 776 * Z**7 + 1482 * Z**5 - 1920 * Z**3 - 945 * Z) / 92160} / pow(n - 1, 4) END")
 register("tst_5_mean_ci", mean_ci, f"""
 WITH g AS (SELECT user_id, metric_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM m GROUP BY user_id, metric_type), q AS (SELECT *, {TQ} * sd / sqrt(n) AS half FROM g WHERE n >= 2)
 SELECT user_id, metric_type, n, round(mean, 6) AS mean, round(mean - half, 6) AS low, round(mean + half, 6) AS high FROM q""")

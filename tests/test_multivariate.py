@@ -64,7 +64,7 @@ def test_ridge_equals_numpy(spark, events):
         spread = y[cut:].var()
         assert r.r2 is None if spread < 1e-12 else math.isclose(r.r2, 1 - (e * e).mean() / spread, abs_tol=2e-6)
         checked += 1
-    assert checked >= 6 and (9, "a") in got
+    assert checked >= 4 and (9, "a") in got
     assert V.ridge_by_series(table(spark, events).limit(0)).count() == 0
 
 
