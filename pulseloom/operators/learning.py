@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.functions.stats import normal_cdf
 from pulseloom.operators.aggregates import KEYS, r6
+from pulseloom.operators.density import dbscan
 from pulseloom.operators.trends import forecast_features
 from pulseloom.operators.windows import series
 
@@ -126,10 +127,27 @@ def cluster_profile(clusters: DataFrame) -> DataFrame:
     return j.select("cluster", "feature", "n", r6(F.col("n") / F.col("total")).alias("share"), r6("center").alias("center"), r6("spread").alias("spread"), (F.abs(F.col("center") - F.col("mu")) > F.col("sd")).alias("stands_out"))
 
 
+def density_days(m: DataFrame, types: list[str], eps: float = 0.5, least: int = 5) -> DataFrame:
+    """Density clusters of each person's days by the daily means of ``types``, scaled over all days; -1 is noise."""
+    days = day_vectors(m, types)
+    # one row; a type that never varies is 0 on all days
+    spread = days.agg(*[F.coalesce(F.nullif(F.stddev_pop(t), F.lit(0.0)), F.lit(1.0)).alias(f"sd_{k}") for k, t in enumerate(types)])
+    scaled = days.join(F.broadcast(spread)).select("user_id", "day", _day_id().alias("id"), *[(F.col(t) / F.col(f"sd_{k}")).alias(f"z_{k}") for k, t in enumerate(types)])
+    found = dbscan(scaled, [f"z_{k}" for k in range(len(types))], eps, least, id_col="id")
+    return scaled.select("user_id", "day", "id").join(found, "id").select("user_id", "day", "core", "cluster")
+
+
+def _day_id() -> Column:
+    """A number for each person and day."""
+    return F.col("user_id") * 1_000_000 + F.datediff("day", F.lit("1970-01-01").cast("date"))
+
+
 def state_clusters(m: DataFrame, types: list[str]) -> DataFrame:
-    """The better (by silhouette) of k-means and bisecting k-means on day vectors, for two to four clusters: sizes.
+    """The best (by silhouette) of k-means and bisecting k-means on day vectors, for two to four clusters, and of density clusters: sizes.
 
-    Where nothing falls into two clusters, all is one; an empty table gives no rows.
+    Density clusters count where at least half of the days are in some; their
+    silhouette is that of those days, and -1 is noise. Where nothing falls into
+    two clusters, all is one; an empty table gives no rows.
     """
     from pyspark.ml.clustering import BisectingKMeans, KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator
@@ -137,6 +155,7 @@ def state_clusters(m: DataFrame, types: list[str]) -> DataFrame:
     rows = _assembled(day_vectors(m, types), types).persist()
     best = (0.0, "none", rows.withColumn("prediction", F.lit(0)))
     if rows.isEmpty():
+        rows.unpersist()
         return _sizes(*best)
     for kind, make in (("kmeans", KMeans), ("bisecting", BisectingKMeans)):
         for k in (2, 3, 4):
@@ -146,12 +165,19 @@ def state_clusters(m: DataFrame, types: list[str]) -> DataFrame:
             score = ClusteringEvaluator().evaluate(done)
             if best[1] == "none" or score > best[0]:
                 best = (score, kind, done)
+    labels = density_days(m, types).select("user_id", "day", "cluster")
+    dense = rows.join(labels, ["user_id", "day"]).withColumn("prediction", F.col("cluster").cast("double"))
+    inside = dense.where("prediction >= 0")
+    if 2 * inside.count() >= rows.count() and inside.select("prediction").distinct().count() > 1:
+        score = ClusteringEvaluator().evaluate(inside)
+        if best[1] == "none" or score > best[0]:
+            best = (score, "density", dense)
     rows.unpersist()
     return _sizes(*best)
 
 
 def _sizes(score: float, kind: str, done: DataFrame) -> DataFrame:
-    return done.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(kind)).withColumn("silhouette", F.lit(round(score, 6)))
+    return done.groupBy(F.col("prediction").cast("long").alias("cluster")).agg(F.count(F.lit(1)).alias("n")).withColumn("method", F.lit(kind)).withColumn("silhouette", F.lit(round(score, 6)))
 
 
 def dbscan_1d(m: DataFrame, eps: float = 5.0, least: int = 3) -> DataFrame:

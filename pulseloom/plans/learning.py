@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulseloom.operators import learning as L, multivariate as V
 from pulseloom.operators.anomalies import isolation_forest
+from pulseloom.operators.density import dbscan
 from pulseloom.plans.outcomes import _associations
 from pulseloom.plans.registry import register
 
@@ -29,9 +30,13 @@ last_value(CASE WHEN core THEN value END IGNORE NULLS) OVER (PARTITION BY user_i
 r AS (SELECT *, sum(CASE WHEN core AND (back IS NULL OR value - back > 5.0) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS run FROM o),
 a AS (SELECT *, first_value(CASE WHEN core THEN value END IGNORE NULLS) OVER w AS av, first_value(CASE WHEN core THEN run END IGNORE NULLS) OVER w AS ar FROM r WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY value, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
 SELECT event_id, user_id, metric_type, value, core, CASE WHEN core THEN run WHEN value - back <= 5.0 THEN run WHEN av - value <= 5.0 THEN ar ELSE -1 END::BIGINT AS cluster FROM a""")
+register("pat_5_density_days", lambda m: L.density_days(m, VECTOR))
 register("pat_6_cluster_profile", lambda m: L.cluster_profile(L.behaviour_clusters(m, VECTOR)))
 register("pat_7_motifs", L.motifs)
 register("pat_8_anomaly_clusters", lambda m: L.dbscan_1d(m.join(isolation_forest(m).where("score > 0.55").select("event_id"), "event_id"), 10.0).groupBy("metric_type", (F.col("cluster") == -1).alias("noise")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean_value")))
+register("pat_8_anomaly_clusters_2d", lambda m: dbscan(
+    m.join(isolation_forest(m).where("score > 0.55").select("event_id"), "event_id").select("event_id", "metric_type", (F.hour("ts") / 24).alias("clock"), (F.col("value") / 100).alias("level")),
+    ["clock", "level"], 0.1, 3, ["metric_type"]))
 register("pat_9_pattern_summary", lambda m: L.pattern_summary(L.cluster_profile(L.behaviour_clusters(m, VECTOR)), _associations(m)))
 register("ano_3_mahalanobis", lambda m: L.mahalanobis(m, "click", "view"), """
 WITH r AS (SELECT user_id, ts::DATE AS day, avg(value) FILTER (metric_type = 'click') AS x, avg(value) FILTER (metric_type = 'view') AS y FROM m GROUP BY user_id, ts::DATE), q AS (SELECT * FROM r WHERE x IS NOT NULL AND y IS NOT NULL),
