@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.operators import text as X
+from pulseloom.operators.vector_index import HyperplaneIndex
 from pulseloom.plans.registry import register, register_tables
 from pulseloom.sources.readings import readings
+from pulseloom.sources.shared import shared_path
 from pulseloom.sources.tables import table
 
 VQ = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)"
@@ -15,6 +17,14 @@ register_tables("txt_1_vector_search", lambda s, d: X.vector_search(table(s, d,
 WITH {VS} SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, distance, vec_id) AS k FROM s WHERE similarity >= 0.2 QUALIFY k <= 10""")
 
 
+def _approximate(s, d):
+    vectors = table(s, d, "embeddings")
+    return HyperplaneIndex.build(vectors, shared_path(s, "hyperplanes")).search(vectors.where("vec_id % 50 = 0"), 10, 0.2)
+
+
+register_tables("txt_1_vector_search_approximate", _approximate)
+
+
 def _context(s, d):
     """The three best notes of each query, with their tags."""
     hits = X.vector_search(table(s, d, "embeddings").where("vec_id % 50 = 0"), table(s, d, "embeddings"), 3, 0.1)
