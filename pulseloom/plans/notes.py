@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.operators import text as X
+from pulseloom.operators.text_index import TextIndex
 from pulseloom.operators.vector_index import HyperplaneIndex
 from pulseloom.plans.registry import register, register_tables
 from pulseloom.sources.readings import readings
@@ -42,6 +43,25 @@ qw AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q), d AS (SELECT doc
 t AS (SELECT doc_id, len(w) AS length, unnest(w) AS word FROM d), c AS (SELECT doc_id, length, word, count(*) AS tf FROM t GROUP BY ALL),
 g AS (SELECT query_id, doc_id, length, n, count(*) AS f, sum(tf)::BIGINT AS tf FROM c JOIN qw USING (word) GROUP BY ALL HAVING count(*) = n)
 SELECT query_id, doc_id, tf, round(tf / sqrt(length), 6) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY round(tf / sqrt(length), 6) DESC, doc_id) AS k FROM g QUALIFY k <= 5""")
+
+
+def _indexed(s, d):
+    """Documents with their language and source as tags, in two batches; the items are the queries."""
+    docs = table(s, d, "documents").select("doc_id", "text", F.array("lang", "source").alias("tags"))
+    index = TextIndex(s, shared_path(s, "text_index"))
+    index.add(docs.where("doc_id % 2 = 0"))
+    index.add(docs.where("doc_id % 2 = 1"))
+    return index.search(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), 5)
+
+
+TERMS = "list_filter(string_split_regex(lower({c}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+register_tables("txt_3_text_index", _indexed, f"""
+WITH q AS (SELECT item_id AS query_id, list_distinct({TERMS.format(c="coalesce(text, '')")}) AS w FROM benchmark), qw AS (SELECT query_id, len(w) AS n, unnest(w) AS word FROM q),
+d AS (SELECT doc_id, {TERMS.format(c="concat_ws(' ', coalesce(text, ''), concat_ws(' ', lang, source))")} AS w FROM documents), t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+h AS (SELECT query_id, doc_id, n, word, p FROM t JOIN qw USING (word)), a AS (SELECT query_id, doc_id FROM h GROUP BY query_id, doc_id HAVING count(DISTINCT word) = max(n)), x AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY p) AS i FROM h JOIN a USING (query_id, doc_id)),
+l AS (SELECT e.query_id, e.doc_id, e.n, e.p, e.i, b.word, max(b.p) AS last, max(b.i) AS last_i FROM x e JOIN x b ON e.query_id = b.query_id AND e.doc_id = b.doc_id AND b.p <= e.p GROUP BY ALL),
+c AS (SELECT query_id, doc_id, p, i, min(last) AS s, min(last_i) AS s_i FROM l GROUP BY query_id, doc_id, n, p, i HAVING count(*) = n), f AS (SELECT query_id, doc_id, s, min(p) AS e, min(i) AS e_i, min(s_i) AS s_i FROM c GROUP BY query_id, doc_id, s),
+g AS (SELECT query_id, doc_id, count(*) AS covers, round(sum(0.1::DOUBLE / (1 + (e - s) - (e_i - s_i))), 6) AS rank FROM f GROUP BY query_id, doc_id) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank DESC, doc_id) AS k FROM g QUALIFY k <= 5""")
 register_tables("txt_4_prepare_and_tag", lambda s, d: table(s, d, "documents").select("doc_id", F.md5(X.prepare(F.coalesce("text", F.lit("")))).alias("prepared"), F.array_join(X.rule_tags(F.coalesce("text", F.lit(""))), ",").alias("tags")), f"""
 SELECT doc_id, md5(left(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')), 8000)) AS prepared, array_to_string({TAGS_SQL}, ',') AS tags FROM documents""")
 register("txt_5_recent_events", lambda m: m.where("ts >= '2024-01-28'").select("user_id", "event_id", "ts"), "SELECT user_id, event_id, ts FROM m WHERE ts >= TIMESTAMP '2024-01-28'")
