@@ -11,6 +11,30 @@ ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERF_P = 0.3275911
 
 
+#: Coefficients of the normal quantile's rational approximations (Acklam), middle and tails, and where the tails begin.
+QUANTILE_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+QUANTILE_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+QUANTILE_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+QUANTILE_TAIL = 0.02425
+
+
+def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
+    """The polynomial with these coefficients, highest power first."""
+    out = F.lit(float(coefficients[0]))
+    for c in coefficients[1:]:
+        out = out * x + float(c)
+    return out
+
+
+def normal_quantile(p: Column) -> Column:
+    """The standard normal quantile, to about 1e-9."""
+    q, r = p - 0.5, (p - 0.5) * (p - 0.5)
+    middle = polynomial(QUANTILE_A, r) * q / polynomial(QUANTILE_B, r)
+    tail = lambda x: polynomial(QUANTILE_C, x) / polynomial(QUANTILE_D, x)
+    return F.when(p < QUANTILE_TAIL, tail(F.sqrt(-2 * F.log(p)))).when(p > 1 - QUANTILE_TAIL, -tail(F.sqrt(-2 * F.log(1 - p)))).otherwise(middle)
+
+
 def normal_cdf(z: Column) -> Column:
     """The standard normal distribution function, to about 1e-7."""
     x = F.abs(z) / math.sqrt(2)

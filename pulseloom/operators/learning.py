@@ -232,6 +232,21 @@ def contextual(m: DataFrame) -> DataFrame:
     return scored.join(F.broadcast(limit), "metric_type").select("event_id", *KEYS, r6(F.least(F.lit(1.0), F.col("residual") / F.col("limit"))).alias("score"), (F.col("residual") > F.col("limit")).alias("is_anomaly"))
 
 
+def dagostino(n: Column, g1: Column, g2: Column) -> Column:
+    """The omnibus K2 of n values of skewness g1 and excess kurtosis g2."""
+    y = g1 * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = -1 + F.sqrt(2 * (b2 - 1))
+    a = F.sqrt(2 / (w2 - 1))
+    z1 = 1 / F.sqrt(F.log(F.sqrt(w2))) * F.log(y / a + F.sqrt(y * y / (a * a) + 1))
+    mean, var = -6 / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
+    x = (g2 - mean) / F.sqrt(var)
+    beta = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    h = 6 + 8 / beta * (2 / beta + F.sqrt(1 + 4 / (beta * beta)))
+    z2 = ((1 - 2 / (9 * h)) - F.cbrt((1 - 2 / h) / (1 + x * F.sqrt(2 / (h - 4))))) / F.sqrt(2 / (9 * h))
+    return z1 * z1 + z2 * z2
+
+
 def normality(m: DataFrame, buckets: int = 1024) -> DataFrame:
     """D'Agostino-Pearson K2 and Anderson-Darling A2 of each type's values, and whether both see normal values at 5 %.
 
@@ -254,18 +269,7 @@ def normality(m: DataFrame, buckets: int = 1024) -> DataFrame:
     # sums of 2i - 1 and 2(n - i) + 1 over the c numbers that equal values take
     parts = F.col("c") * (2 * before + F.col("c")) * F.log("cdf") + F.col("c") * (2 * F.col("n") - 2 * before - F.col("c")) * F.log(1 - F.col("cdf"))
     g = placed.groupBy("metric_type", "n", "g1", "g2").agg((-F.col("n") - F.sum(parts) / F.col("n")).alias("a2"))
-    n = F.col("n").cast("double")
-    y = F.col("g1") * F.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
-    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = -1 + F.sqrt(2 * (b2 - 1))
-    a = F.sqrt(2 / (w2 - 1))
-    z1 = 1 / F.sqrt(F.log(F.sqrt(w2))) * F.log(y / a + F.sqrt(y * y / (a * a) + 1))
-    mean, var = -6 / (n + 1), 24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))
-    x = (F.col("g2") - mean) / F.sqrt(var)
-    beta = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
-    h = 6 + 8 / beta * (2 / beta + F.sqrt(1 + 4 / (beta * beta)))
-    z2 = ((1 - 2 / (9 * h)) - F.cbrt((1 - 2 / h) / (1 + x * F.sqrt(2 / (h - 4))))) / F.sqrt(2 / (9 * h))
-    k2 = z1 * z1 + z2 * z2
+    n, k2 = F.col("n").cast("double"), dagostino(F.col("n").cast("double"), F.col("g1"), F.col("g2"))
     return g.select("metric_type", "n", r6(k2).alias("k2"), r6(F.exp(-k2 / 2)).alias("p"), r6("a2").alias("a2"), ((F.exp(-k2 / 2) > 0.05) & (F.col("a2") * (1 + 0.75 / n + 2.25 / n / n) < 0.752)).alias("is_normal"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pulseloom.operators import learning as L, multivariate as V
 from pulseloom.operators.anomalies import isolation_forest
 from pulseloom.operators.density import dbscan
+from pulseloom.operators.normality import normality_by_series
 from pulseloom.plans.outcomes import _associations
+from pulseloom.functions.stats import QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D
 from pulseloom.plans.registry import register
 
 #: The types whose daily means make the vector of a day.
@@ -71,3 +73,36 @@ c AS (SELECT user_id, count(*) AS days, avg(x) AS mx, avg(y) AS my, var_samp(x)
 t AS (SELECT user_id, day, days, round((vy * (x - mx) * (x - mx) - 2 * vxy * (x - mx) * (y - my) + vx * (y - my) * (y - my)) / (vx * vy - vxy * vxy), 6) AS t2 FROM q JOIN c USING (user_id)),
 l AS (SELECT user_id, round(quantile_cont(t2, 0.997), 6) AS lim FROM t GROUP BY user_id) SELECT user_id, day, days, t2, round(sqrt(greatest(t2, 0)), 6) AS distance, lim AS "limit", t2 > lim AS is_anomaly FROM t JOIN l USING (user_id)""")
 register("ano_3_hotelling_three_types", lambda m: V.hotelling_by_person(m, ["click", "purchase", "view"]))
+
+
+def _poly(coefficients, x: str) -> str:
+    """A polynomial in SQL, highest power first."""
+    out = f"({coefficients[0]!r}::DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + {c!r}::DOUBLE)"
+    return out
+
+
+def _tail(x: str) -> str:
+    return f"{_poly(QUANTILE_C, x)} / {_poly(QUANTILE_D, x)}"
+
+
+CDF = "(CASE WHEN {z} >= 0 THEN 1 - {t} ELSE {t} END)"
+TAIL = "((1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (0.254829592 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (-0.284496736 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (1.421413741 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * (-1.453152027 + (1 / (1 + 0.3275911 * abs({z}) / sqrt(2))) * 1.061405429)))) * exp(-{z} * {z} / 2) / 2)"
+cdf_sql = lambda z: CDF.format(z=z, t=TAIL.format(z=z))
+register("tst_8_normality_by_series", normality_by_series, f"""
+WITH v AS (SELECT *, (count(*) OVER p)::DOUBLE AS n, (value - avg(value) OVER p) / nullif(stddev_samp(value) OVER p, 0) AS z, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS i FROM m WHERE value IS NOT NULL WINDOW p AS (PARTITION BY user_id, metric_type)),
+u AS (SELECT *, (i - 0.375) / (n + 0.25) AS u FROM v WHERE n >= 3 AND n <= 5000 AND z IS NOT NULL), q AS (SELECT *, CASE WHEN u < 0.02425 THEN {_tail('sqrt(-2 * ln(u))')} WHEN u > 1 - 0.02425 THEN -({_tail('sqrt(-2 * ln(1 - u))')}) ELSE {_poly(QUANTILE_A, '((u - 0.5) * (u - 0.5))')} * (u - 0.5) / {_poly(QUANTILE_B, '((u - 0.5) * (u - 0.5))')} END AS q,
+least(greatest({cdf_sql('z')}, 1e-12), 1 - 1e-12) AS f FROM u), s AS (SELECT *, sum(q * q) OVER p AS qq, first_value(q) OVER o AS q1, nth_value(q, 2) OVER o AS q2 FROM q WINDOW p AS (PARTITION BY user_id, metric_type), o AS (PARTITION BY user_id, metric_type ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+c AS (SELECT *, CASE WHEN n = 3 THEN sqrt(0.5) ELSE {_poly((-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, 0.0), '(1 / sqrt(n))')} - q1 / sqrt(qq) END AS c1, {_poly((-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, 0.0), '(1 / sqrt(n))')} - q2 / sqrt(qq) AS c2 FROM s),
+a AS (SELECT *, CASE WHEN i = 1 THEN -c1 WHEN i = n THEN c1 WHEN n = 3 THEN 0 WHEN n <= 5 THEN q / sqrt((qq - 2 * q1 * q1) / (1 - 2 * c1 * c1)) WHEN i = 2 THEN -c2 WHEN i = n - 1 THEN c2 ELSE q / sqrt((qq - 2 * q1 * q1 - 2 * q2 * q2) / (1 - 2 * c1 * c1 - 2 * c2 * c2)) END AS a FROM c),
+g AS (SELECT user_id, metric_type, any_value(n) AS n, least(1, pow(sum(a * z), 2) / (any_value(n) - 1)) AS w, -any_value(n) - sum((2 * i - 1) * ln(f) + (2 * (n - i) + 1) * ln(1 - f)) / any_value(n) AS a2,
+avg(z * z * z) / pow(avg(z * z), 1.5) AS g1, avg(z * z * z * z) / pow(avg(z * z), 2) - 3 AS g2 FROM a GROUP BY user_id, metric_type),
+y AS (SELECT *, ln(greatest(1 - w, 1e-300)) AS ly, {_poly((0.459, -2.273), 'n')} AS gm FROM g),
+e AS (SELECT *, CASE WHEN n > 11 THEN (ly - {_poly((0.0038915, -0.083751, -0.31082, -1.5861), 'ln(n)')}) / exp({_poly((0.0030302, -0.082676, -0.4803), 'ln(n)')}) WHEN n > 3 AND ly < gm THEN (-ln(gm - ly) - {_poly((-6.714e-4, 0.025054, -0.39978, 0.544), 'n')}) / exp({_poly((-0.0020322, 0.062767, -0.77857, 1.3822), 'n')}) END AS zw,
+CASE WHEN n >= 20 THEN g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) END AS sy, 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9)) AS b2, CASE WHEN n >= 20 THEN (g2 + 6 / (n + 1)) / sqrt(24 * n * (n - 2) * (n - 3) / ((n + 1) * (n + 1) * (n + 3) * (n + 5))) END AS kx,
+CASE WHEN n >= 20 THEN 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3))) END AS beta FROM y),
+r AS (SELECT *, CASE WHEN n = 3 THEN least(1, greatest(0, 6 / pi() * (asin(sqrt(w)) - asin(sqrt(0.75))))) WHEN zw IS NULL THEN 0 ELSE 1 - {cdf_sql('zw')} END AS p, CASE WHEN n >= 20 THEN -1 + sqrt(2 * (b2 - 1)) END AS w2, 6 + 8 / beta * (2 / beta + sqrt(1 + 4 / (beta * beta))) AS h FROM e),
+k AS (SELECT *, pow(asinh(sy / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))), 2) + pow((1 - 2 / (9 * h) - cbrt((1 - 2 / h) / (1 + kx * sqrt(2 / (h - 4))))) / sqrt(2 / (9 * h)), 2) AS k2 FROM r),
+o AS (SELECT *, (p > 0.05)::INT + (a2 < 0.787 / (1 + 4 / n - 25 / n / n))::INT + coalesce((exp(-k2 / 2) > 0.05)::INT, 0) AS votes FROM k)
+SELECT user_id, metric_type, n::BIGINT AS n, round(w, 6) AS w, round(p, 6) AS p, round(a2, 6) AS a2, round(k2, 6) AS k2, votes, votes >= CASE WHEN n >= 20 THEN 1.5 ELSE 1 END AS is_normal FROM o""")
