@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pulseloom.functions.labels import label
 from pulseloom.functions.stats import normal_two_sided, t_quantile_975, t_two_sided
 from pulseloom.operators.aggregates import KEYS, r6
+from pulseloom.operators.graphs import betweenness
 from pulseloom.sources.shared import staged
 
 
@@ -149,6 +150,35 @@ def network_metrics(edges: DataFrame, keys: list[str], least: float = 0.3) -> Da
     return g.withColumn("hub_score", F.col("degree") * F.col("strength"))
 
 
+def network(edges: DataFrame, nodes: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:
+    """Each node of each group's network (edges of keys, m1, m2, r; nodes of keys, node): degree, strength, hub score, betweenness, hub, density.
+
+    Edges above ``least`` count for degree, betweenness and density (the share of
+    all pairs of nodes that are edges); all edges for strength. Hubs are the nodes
+    whose score is at least the 75th percentile of their network's. Betweenness is
+    in shares of the pairs of other nodes.
+    """
+    own = nodes.join(network_metrics(edges, keys, least), [*keys, "node"], "left").join(betweenness(edges.where(F.abs("r") > least), keys), [*keys, "node"], "left")
+    own = own.fillna(0, ["degree"]).fillna(0.0, ["strength", "hub_score", "betweenness"])
+    whole = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"), F.sum("degree").alias("ends"), F.percentile("hub_score", F.lit(0.75)).alias("limit"))
+    j = own.join(whole, keys)
+    pairs = (F.col("nodes") - 1) * (F.col("nodes") - 2) / 2
+    density = F.when(F.col("nodes") > 1, F.col("ends") / (F.col("nodes") * (F.col("nodes") - 1))).otherwise(0.0)
+    return j.select(*keys, "node", "degree", "strength", "hub_score", F.when(pairs > 0, F.col("betweenness") / pairs).otherwise(0.0).alias("betweenness"), (F.round("hub_score", 6) >= F.round("limit", 6)).alias("is_hub"), density.alias("density"))
+
+
+def strong_clusters(edges: DataFrame, nodes: DataFrame, keys: list[str], strong: float = 0.5) -> DataFrame:
+    """Components of two nodes or more of each network by edges above ``strong``: members, cohesion (mean of all edges within), density, and a label."""
+    named = small_components(edges.where(F.abs("r") > strong), nodes, keys)
+    sizes = named.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("node")), ",").alias("members")).where("size > 1")
+    side = lambda c: named.select(*keys, F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
+    inside = edges.join(side("m1"), [*keys, "m1"]).join(side("m2"), [*keys, "m2"]).where("in_m1 = in_m2")
+    g = inside.groupBy(*keys, F.col("in_m1").alias("component")).agg(F.avg(F.when(F.col("r") != 0, F.abs("r"))).alias("cohesion"), F.count_if(F.abs("r") > strong).alias("ties"))
+    density = F.col("ties") / (F.col("size") * (F.col("size") - 1) / 2)
+    label = F.when(F.col("cohesion") >= 0.7, "tight").when(F.col("cohesion") >= 0.5, "close").otherwise("loose")
+    return sizes.join(g, [*keys, "component"]).select(*keys, "component", "size", "members", "cohesion", density.alias("density"), label.alias("label"))
+
+
 def small_components(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Components of graphs, one per group, by the repeated minimum over neighbours until nothing changes."""
     both = edges.select(*keys, F.col("m1").alias("node"), F.col("m2").alias("other")).unionByName(edges.select(*keys, F.col("m2").alias("node"), F.col("m1").alias("other")))

@@ -190,6 +190,21 @@ register("cor_13_components", lambda m: C.small_components(sweep(m).where(F.abs(
 WITH {SWEEP}, e AS (SELECT user_id, m1 AS a, m2 AS b FROM sw WHERE abs(r) > 0.5 UNION SELECT user_id, m2, m1 FROM sw WHERE abs(r) > 0.5),
 w(user_id, node, other) AS (SELECT DISTINCT user_id, metric_type, metric_type FROM m UNION SELECT w.user_id, w.node, e.b FROM w JOIN e ON w.user_id = e.user_id AND w.other = e.a)
 SELECT user_id, node, min(other) AS component FROM w GROUP BY user_id, node""")
+NODES = lambda m: m.select("user_id", F.col("metric_type").alias("node")).distinct()
+register("cor_12_network", lambda m: rounded(C.network(sweep(m), NODES(m), U)), f"""
+WITH {EDGES}, nd AS (SELECT DISTINCT user_id, metric_type AS node FROM m), wt AS (SELECT user_id, node, count(*) FILTER (w > 0.3) AS degree, sum(w) AS strength FROM ed GROUP BY user_id, node),
+e AS (SELECT user_id, m1 AS a, m2 AS b FROM sw WHERE abs(r) > 0.3 UNION SELECT user_id, m2, m1 FROM sw WHERE abs(r) > 0.3), p(user_id, a, b, path) AS (SELECT user_id, a, b, [a, b] FROM e UNION ALL SELECT p.user_id, p.a, e.b, list_append(path, e.b) FROM p JOIN e ON e.user_id = p.user_id AND e.a = p.b AND NOT list_contains(path, e.b)),
+s AS (SELECT * FROM p QUALIFY len(path) = min(len(path)) OVER (PARTITION BY user_id, a, b)), c AS (SELECT *, count(*) OVER (PARTITION BY user_id, a, b) AS c FROM s), v AS (SELECT user_id, a, b, c, unnest(path[2:-2]) AS node FROM c WHERE len(path) > 2),
+bt AS (SELECT user_id, node, sum(1 / c) / 2 AS between_ FROM v GROUP BY user_id, node), n AS (SELECT nd.*, coalesce(degree, 0) AS degree, coalesce(strength, 0) AS strength, coalesce(degree * strength, 0) AS hub, coalesce(between_, 0) AS bt, count(*) OVER u AS nodes, sum(coalesce(degree, 0)) OVER u AS ends
+FROM nd LEFT JOIN wt USING (user_id, node) LEFT JOIN bt USING (user_id, node) WINDOW u AS (PARTITION BY user_id)), l AS (SELECT user_id, quantile_cont(hub, 0.75) AS lim FROM n GROUP BY user_id)
+SELECT user_id, node, degree, round(strength, 6) AS strength, round(hub, 6) AS hub_score, round(CASE WHEN nodes > 2 THEN bt / ((nodes - 1) * (nodes - 2) / 2) ELSE 0 END, 6) AS betweenness, round(hub, 6) >= round(lim, 6) AS is_hub,
+round(CASE WHEN nodes > 1 THEN ends / (nodes * (nodes - 1)) ELSE 0 END, 6) AS density FROM n JOIN l USING (user_id)""")
+register("cor_13_clusters", lambda m: rounded(C.strong_clusters(sweep(m), NODES(m), U)), f"""
+WITH {SWEEP}, e AS (SELECT user_id, m1 AS a, m2 AS b FROM sw WHERE abs(r) > 0.5 UNION SELECT user_id, m2, m1 FROM sw WHERE abs(r) > 0.5),
+w(user_id, node, other) AS (SELECT DISTINCT user_id, metric_type, metric_type FROM m UNION SELECT w.user_id, w.node, e.b FROM w JOIN e ON w.user_id = e.user_id AND w.other = e.a),
+nm AS (SELECT user_id, node, min(other) AS component FROM w GROUP BY user_id, node), sz AS (SELECT user_id, component, count(*) AS size, string_agg(node, ',' ORDER BY node) AS members FROM nm GROUP BY user_id, component HAVING count(*) > 1),
+g AS (SELECT sw.user_id, x.component, avg(abs(r)) FILTER (r <> 0) AS cohesion, count(*) FILTER (abs(r) > 0.5) AS ties FROM sw JOIN nm x ON x.user_id = sw.user_id AND x.node = m1 JOIN nm y ON y.user_id = sw.user_id AND y.node = m2 AND x.component = y.component GROUP BY sw.user_id, x.component)
+SELECT user_id, component, size, members, round(cohesion, 6) AS cohesion, round(ties / (size * (size - 1) / 2), 6) AS density, CASE WHEN cohesion >= 0.7 THEN 'tight' WHEN cohesion >= 0.5 THEN 'close' ELSE 'loose' END AS label FROM sz JOIN g USING (user_id, component)""")
 TTEST = """tt AS (SELECT user_id, count(*) FILTER (present) AS n1, count(*) FILTER (NOT present) AS n0, avg(value) FILTER (present) AS mean1, avg(value) FILTER (NOT present) AS mean0, var_samp(value) FILTER (present) AS v1, var_samp(value) FILTER (NOT present) AS v0 FROM ww GROUP BY ALL),
 tp AS (SELECT *, n1 + n0 - 2 AS df, ((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2) AS pooled FROM tt WHERE n1 >= 2 AND n0 >= 2)"""
 TCOLS = ("user_id", "n1", "n0", "mean1", "mean0", "df", "t")

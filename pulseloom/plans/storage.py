@@ -61,6 +61,17 @@ SELECT user_id, ts::DATE AS day, round(avg(value) FILTER (metric_type = 'click')
 round(sum(value) FILTER (metric_type = 'purchase'), 6) AS steps, """.replace("value) FILTER (metric_type", "value) FILTER (event_id % 97 <> 0 AND metric_type") + ", ".join(f"round(max(value) + {max(i for i, t in enumerate(SINGLE) if S.DAYS[t] == f)}, 6) AS {f}" for f in S.DAY_FIELDS) + " FROM m GROUP BY 1, 2")
 register("src_3_extract_graphs", lambda m: S.extract_graphs(payload(m)), f"SELECT user_id, 'heart_rate' AS metric_type, {SEC} AS ts, value, 'bpm' AS unit FROM m WHERE metric_type = 'signup' AND event_id % 97 <> 0")
 register("src_4_normalise_legacy", lambda m: S.normalise_legacy(legacy(m)), f"SELECT user_id, {NAMES} AS metric_type, {SEC} AS ts, value, {UNITS} AS unit FROM m WHERE metric_type <> 'signup'")
+
+
+def shapes(m):
+    """The payloads of ``legacy`` in several shapes: some in further lists, some with other things beside them, some cut short."""
+    rows = legacy(m.where("event_id % 11 <> 0")).select("user_id", "payload", F.pmod(F.xxhash64("payload"), F.lit(3)).alias("k"))
+    nested = F.when(F.col("k") == 0, F.concat(F.lit("[[7, null, "), "payload", F.lit("], \"x\"]"))).when(F.col("k") == 1, F.concat(F.lit("["), "payload", F.lit("]"))).otherwise(F.col("payload"))
+    broken = legacy(m.where("event_id % 11 = 0")).select("user_id", F.expr("left(payload, length(payload) - 2)").alias("payload"))
+    return rows.select("user_id", nested.alias("payload")).unionByName(broken)
+
+
+register("src_4_normalise_variant", lambda m: S.normalise_variant(shapes(m)), f"SELECT user_id, {NAMES} AS metric_type, {SEC} AS ts, value, {UNITS} AS unit FROM m WHERE metric_type <> 'signup' AND event_id % 11 <> 0")
 WIDE = "w AS (SELECT user_id, date_trunc('day', ts) AS ts, max(value) FILTER (metric_type = 'click') AS hrv, max(value) FILTER (metric_type = 'view') AS steps, max(value) FILTER (metric_type = 'error') AS spo2 FROM m GROUP BY ALL)"
 
 

@@ -76,6 +76,26 @@ def normalise_legacy(raw: DataFrame) -> DataFrame:
     return _series(x.select("user_id", kind.alias("kind"), v), _map(TYPES, 0)[F.col("kind")], _map(TYPES, 1)[F.col("kind")])
 
 
+#: Spellings of the keys of a reading, first come first.
+SPELLINGS = {"kind": ("type", "metric", "name"), "value": ("value", "val"), "timestamp": ("timestamp", "ts", "time")}
+
+
+def normalise_variant(raw: DataFrame, depth: int = 3) -> DataFrame:
+    """Payloads (user_id, payload) with other spellings to series rows, whatever their shape: an object, a list, lists in lists to ``depth``.
+
+    Values may be numbers or text. What is no JSON gives no row, and neither does
+    an item of another kind, without a known type, or without value or time.
+    """
+    whole = "array<variant>"
+    items = raw.select("user_id", F.try_parse_json("payload").alias("i")).where("i IS NOT NULL")
+    for _ in range(depth):  # a list gives its items, anything else itself
+        items = items.select("user_id", F.explode(F.coalesce(F.try_variant_get("i", "$", whole), F.array("i"))).alias("i"))
+    of = lambda name, kind: F.coalesce(*[F.try_variant_get("i", f"$.{k}", kind) for k in SPELLINGS[name]])
+    v = F.struct(of("timestamp", "bigint").alias("timestamp"), of("value", "string").alias("value")).alias("v")
+    x = items.select("user_id", F.lower(of("kind", "string")).alias("kind"), v)
+    return _series(x, _map(TYPES, 0)[F.col("kind")], _map(TYPES, 1)[F.col("kind")])
+
+
 def to_long(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     """Wide records (user_id, ts, fields) to a row per field that has a value, with unit and provenance."""
     items = F.filter(F.array(*[F.struct(F.lit(c).alias("metric_type"), F.col(c).cast("double").alias("value"), F.lit(u).alias("unit")) for c, u in fields.items()]), lambda s: s.value.isNotNull())
