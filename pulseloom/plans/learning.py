@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pulseloom.functions.stats import QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D
 from pulseloom.operators import learning as L, multivariate as V
 from pulseloom.operators.anomalies import isolation_forest
 from pulseloom.operators.density import dbscan
 from pulseloom.operators.normality import normality_by_series
+from pulseloom.operators.registry import ModelRegistry, registry_report
 from pulseloom.plans.outcomes import _associations
-from pulseloom.functions.stats import QUANTILE_A, QUANTILE_B, QUANTILE_C, QUANTILE_D
 from pulseloom.plans.registry import register
+from pulseloom.sources.shared import shared_path
 
 #: The types whose daily means make the vector of a day.
 VECTOR = ["click", "error", "purchase", "signup", "view"]
@@ -24,6 +26,7 @@ UNION ALL SELECT user_id, metric_type, phi, theta, v, k + 1, v[k + 1] - v[k], v[
 b AS (SELECT *, len(v) - 2 AS n FROM r WHERE k = len(v) QUALIFY row_number() OVER (PARTITION BY user_id, metric_type ORDER BY round(sse, 4), phi, theta) = 1)
 SELECT user_id, metric_type, phi, theta, round(sse, 6) AS sse, round(v[len(v)] + phi * before + theta * err, 6) AS forecast, round(n * ln(greatest(sse / n, 1e-12)) + 4, 6) AS aic FROM b""")
 register("fcs_9_global_models", L.global_models)
+register("fcs_9_model_registry", lambda m: registry_report(ModelRegistry(m.sparkSession, shared_path(m.sparkSession, "models")).train(m)))
 register("pat_3_behaviour_clusters", lambda m: L.behaviour_clusters(m, VECTOR).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
 register("pat_4_state_clusters", lambda m: L.state_clusters(m, VECTOR))
 register("pat_5_dbscan", L.dbscan_1d, f"""
