@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulseloom.operators import text as X
+from pulseloom.operators.outcomes import intervention_scores
+from pulseloom.operators.relations import interventions
 from pulseloom.operators.text_index import TextIndex
 from pulseloom.operators.vector_index import HyperplaneIndex
+from pulseloom.plans.outcomes import SCORES
 from pulseloom.plans.registry import register, register_tables
-from pulseloom.sources.readings import readings
+from pulseloom.sources.readings import as_of, readings
 from pulseloom.sources.shared import shared_path
 from pulseloom.sources.tables import table
 
@@ -66,29 +69,56 @@ register_tables("txt_4_prepare_and_tag", lambda s, d: table(s, d, "documents").s
 SELECT doc_id, md5(left(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\r]+', ' ', 'g')), 8000)) AS prepared, array_to_string({TAGS_SQL}, ',') AS tags FROM documents""")
 register("txt_5_recent_events", lambda m: m.where("ts >= '2024-01-28'").select("user_id", "event_id", "ts"), "SELECT user_id, event_id, ts FROM m WHERE ts >= TIMESTAMP '2024-01-28'")
 
-#: How a reading is written down as a line of a note: what stands before and behind its whole value, by type.
+#: How a reading is written down as a line of a note: what stands before and behind its whole value, by type and by the number of its event.
 LINES = {
-    "click": ("exercise running ", "min "),
-    "view": ("drink coffee ", "oz "),
-    "purchase": ("meal chicken ", " calories 20g protein "),
-    "signup": ("supplement magnesium ", "mg "),
-    "error": ("average heart rate vs sleep last ", " days at "),
+    "click": (("exercise running ", "min "), ("tired after a walk of ", "min, happy mood at "), ("what was my highest pulse past ", " day at ")),
+    "view": (("drink coffee ", "oz "), ("drink tea ", "oz at "), ("show me the lowest hrv last ", " week at ")),
+    "purchase": (("meal chicken ", " calories 20g protein 35g carbs "), ("ate dinner of ", " calories 12g fat score 7 at "), ("meal salad ", " calories 31g protein 48g carbs 9g fat score: 8 ")),
+    "signup": (("supplement magnesium ", "mg "), ("stressed, trend of steps this month ", " at "), ("supplement vitamin ", "mcg ")),
+    "error": (("average heart rate vs sleep last ", " days at "), ("total steps compared to recovery score ", " yesterday at "), ("heart rate correlation with temperature past ", " month at ")),
 }
 
 
 def messages(s, d):
     """(id, text, ts): the turns of conversations, whole, and the notes of each person and day, a line per reading."""
     turns = table(s, d, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(None).cast("timestamp_ntz").alias("ts"))
-    part = lambda k: F.create_map(*[F.lit(x) for t, v in LINES.items() for x in (t, v[k])])[F.col("metric_type")]
+    number = F.pmod("event_id", F.lit(3)).cast("int")
+    part = lambda k: F.create_map(*[x for t, v in LINES.items() for x in (F.lit(t), F.array(*[F.lit(line[k]) for line in v]))])[F.col("metric_type")][number]
     line = F.concat(part(0), F.floor("value").cast("string"), part(1), F.lower(F.date_format("ts", "h:mma")))
     days = readings(s, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", line.alias("line")))).alias("x"), F.max("ts").alias("ts"))
     notes = days.select(F.concat(F.lit("u"), F.concat_ws("-", F.col("user_id").cast("string"), F.col("day").cast("string"))).alias("id"), F.array_join(F.transform("x", lambda i: i.line), "\n").alias("text"), "ts")
     return turns.unionByName(notes)
 
 
-LINE = "CASE metric_type " + " ".join(f"WHEN '{t}' THEN '{a}' || floor(value)::BIGINT || '{b}'" for t, (a, b) in LINES.items()) + " END || lower(strftime(ts, '%-I:%M%p'))"
+LINE = "CASE " + " ".join(f"WHEN metric_type = '{t}' AND event_id % 3 = {k} THEN '{a}' || floor(value)::BIGINT || '{b}'" for t, v in LINES.items() for k, (a, b) in enumerate(v)) + " END || lower(strftime(ts, '%-I:%M%p'))"
 MSG = f"""msg AS (SELECT conv_id || '-' || turn AS id, coalesce(text, '') AS text, NULL::TIMESTAMP AS ts FROM conversations
 UNION ALL SELECT 'u' || user_id || '-' || ts::DATE, string_agg({LINE}, chr(10) ORDER BY ts, event_id), max(ts) FROM m GROUP BY user_id, ts::DATE)"""
+
+
+def _note_context(s, d):
+    """The three best notes of each query among the notes of persons and days, with tags, and whether a successful intervention was under way.
+
+    The vector of a note is that of the number of its person and day.
+    """
+    number = F.col("user_id") * 30 + F.datediff("day", F.lit("2024-01-01").cast("date"))
+    notes = messages(s, d).where("ts IS NOT NULL").withColumn("user_id", F.regexp_extract("id", "^u(\\d+)-", 1).cast("long")).withColumn("day", F.to_date("ts"))
+    notes = notes.select(number.alias("vec_id"), "user_id", "day", F.array_join(X.rule_tags(F.col("text")), ",").alias("tags"))
+    m = readings(s, d)
+    worked = intervention_scores(m).groupBy("user_id").agg(F.max("effectiveness").alias("effectiveness")).where("effectiveness >= 60")
+    during = interventions(m).join(worked, "user_id").select("user_id", F.to_date("started_at").alias("a"), F.to_date(F.coalesce("ended_at", as_of())).alias("b"))
+    vectors = table(s, d, "embeddings")
+    hits = X.vector_search(vectors.where("vec_id % 50 = 0"), vectors.join(notes.select("vec_id"), "vec_id"), 3, 0.1)
+    out = hits.join(notes, "vec_id").join(during, "user_id", "left")
+    return out.select("query_id", "vec_id", "similarity", "tags", F.coalesce(F.col("day").between(F.col("a"), F.col("b")), F.lit(False)).alias("successful"))
+
+
+register_tables("txt_2_note_context", _note_context, f"""
+WITH {SCORES}, {MSG}, {VS}, nt AS (SELECT regexp_extract(id, '^u(\\d+)-', 1)::BIGINT AS user_id, ts::DATE AS day, text FROM msg WHERE ts IS NOT NULL), nv AS (SELECT user_id * 30 + (day - DATE '2024-01-01') AS vec_id, user_id, day, array_to_string({TAGS_SQL}, ',') AS tags FROM nt),
+h AS (SELECT s.*, nv.user_id, day, tags, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, distance, s.vec_id) AS k FROM s JOIN nv USING (vec_id) WHERE similarity >= 0.1 QUALIFY k <= 3),
+wk AS (SELECT user_id FROM es GROUP BY user_id HAVING max(effectiveness) >= 60), du AS (SELECT iv.user_id, started_at::DATE AS a, coalesce(ended_at, TIMESTAMP '2024-01-31')::DATE AS b FROM iv JOIN wk USING (user_id))
+SELECT query_id, vec_id, similarity, tags, coalesce(day BETWEEN a AND b, false) AS successful FROM h LEFT JOIN du USING (user_id)""")
+register_tables("txt_4_tag_notes", lambda s, d: messages(s, d).where("ts IS NOT NULL").select("id", F.md5(X.prepare(F.col("text"))).alias("prepared"), F.array_join(X.rule_tags(F.col("text")), ",").alias("tags")), f"""
+WITH {MSG} SELECT id, md5(left(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 8000)) AS prepared, array_to_string({TAGS_SQL}, ',') AS tags FROM msg WHERE ts IS NOT NULL""")
 METRIC = "CASE " + " ".join(f"WHEN contains({{t}}, '{a}') THEN '{m}'" for a, m in sorted(X.ALIASES, key=lambda x: (-len(x[0]), x[0]))) + " END"
 AGG = "CASE " + " ".join(f"WHEN regexp_matches(t, '\\b({p})\\b') THEN '{n}'" for p, n in X.AGGREGATIONS) + " ELSE 'avg' END"
 register_tables("msg_1_tag_messages", lambda s, d: X.tag_messages(messages(s, d)), f"""

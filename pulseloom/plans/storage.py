@@ -24,21 +24,26 @@ UNITS = "CASE metric_type WHEN 'click' THEN 'bpm' WHEN 'view' THEN 'ms' WHEN 'pu
 SINGLE = tuple(t for t in S.DAYS if t not in ("glucose",))
 
 
+GRAPH_NAMES = tuple(S.GRAPHS)
+
+
 def payload(m):
     """Device payloads made of a person's events of a day: four value lists, signups as a sleep graph, and the single values of the day, made of the largest one."""
     kind = F.create_map(*[F.lit(x) for kv in AS_TYPE.items() for x in kv])
     v = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), F.when(F.col("event_id") % 97 == 0, "abc").otherwise(F.col("value").cast("string")).alias("value"))
-    g = m.groupBy("user_id", F.to_date("ts").alias("day"), "metric_type").agg(F.collect_list(v).alias("values"))
-    graph = F.when(F.col("metric_type") == "signup", F.struct(F.col("values").alias("data")))
+    which = F.when(F.col("metric_type") == "signup", F.pmod("event_id", F.lit(4))).alias("graph")
+    g = m.groupBy("user_id", F.to_date("ts").alias("day"), "metric_type", which).agg(F.collect_list(v).alias("values"))
+    # signups make the graphs of a sleep entry, one of the four by the number of the event
+    graph = lambda k: F.when((F.col("metric_type") == "signup") & (F.col("graph") == k), F.struct(F.col("values").alias("data"))).alias(GRAPH_NAMES[k])
     none = F.lit(None)
-    obj = F.struct(F.when(F.col("metric_type") != "signup", F.col("values")).alias("values"), graph.alias("hr_graph"), none.cast("string").alias("value"), none.cast("string").alias("score"), none.cast("bigint").alias("day_start_timestamp"))
+    obj = F.struct(F.when(F.col("metric_type") != "signup", F.col("values")).alias("values"), *[graph(k) for k in range(4)], none.cast("string").alias("value"), none.cast("string").alias("score"), none.cast("bigint").alias("day_start_timestamp"))
     g = g.select("user_id", "day", F.struct(F.coalesce(kind[F.col("metric_type")], F.lit("Sleep")).alias("type"), obj.alias("object")).alias("e"))
     g = g.groupBy("user_id", "day").agg(F.collect_list("e").alias("metric_data"))
     at = F.unix_seconds(F.col("day").cast("timestamp"))
 
     def single(i, t):
         v = (F.col("top") + i).cast("string")
-        o = F.struct(none.cast(g.schema["metric_data"].dataType.elementType["object"].dataType["values"].dataType).alias("values"), none.cast(g.schema["metric_data"].dataType.elementType["object"].dataType["hr_graph"].dataType).alias("hr_graph"), F.when(F.lit(t != "recovery"), v).alias("value"), F.when(F.lit(t == "recovery"), v).alias("score"), at.alias("day_start_timestamp"))
+        o = F.struct(none.cast(g.schema["metric_data"].dataType.elementType["object"].dataType["values"].dataType).alias("values"), *[none.cast(g.schema["metric_data"].dataType.elementType["object"].dataType[c].dataType).alias(c) for c in GRAPH_NAMES], F.when(F.lit(t != "recovery"), v).alias("value"), F.when(F.lit(t == "recovery"), v).alias("score"), at.alias("day_start_timestamp"))
         return F.struct(F.lit(t).alias("type"), o.alias("object"))
 
     days = m.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("top")).select("user_id", "day", F.array(*[single(i, t) for i, t in enumerate(SINGLE)]).alias("single"))
@@ -59,7 +64,7 @@ register("src_2_normalise_series", lambda m: S.normalise_series(payload(m)), f"S
 register("src_2_normalise_days", lambda m: S.normalise_days(payload(m)), """
 SELECT user_id, ts::DATE AS day, round(avg(value) FILTER (metric_type = 'click'), 6) AS resting_heart_rate, round(avg(value) FILTER (metric_type = 'view'), 6) AS hrv, round(avg(value) FILTER (metric_type = 'error'), 6) AS skin_temperature,
 round(sum(value) FILTER (metric_type = 'purchase'), 6) AS steps, """.replace("value) FILTER (metric_type", "value) FILTER (event_id % 97 <> 0 AND metric_type") + ", ".join(f"round(max(value) + {max(i for i, t in enumerate(SINGLE) if S.DAYS[t] == f)}, 6) AS {f}" for f in S.DAY_FIELDS) + " FROM m GROUP BY 1, 2")
-register("src_3_extract_graphs", lambda m: S.extract_graphs(payload(m)), f"SELECT user_id, 'heart_rate' AS metric_type, {SEC} AS ts, value, 'bpm' AS unit FROM m WHERE metric_type = 'signup' AND event_id % 97 <> 0")
+register("src_3_extract_graphs", lambda m: S.extract_graphs(payload(m)), f"SELECT user_id, CASE event_id % 4 WHEN 0 THEN 'heart_rate' WHEN 1 THEN 'hrv' WHEN 2 THEN 'skin_temperature' ELSE 'movement' END AS metric_type, {SEC} AS ts, value, CASE event_id % 4 WHEN 0 THEN 'bpm' WHEN 1 THEN 'ms' WHEN 2 THEN 'celsius' ELSE 'count' END AS unit FROM m WHERE metric_type = 'signup' AND event_id % 97 <> 0")
 register("src_4_normalise_legacy", lambda m: S.normalise_legacy(legacy(m)), f"SELECT user_id, {NAMES} AS metric_type, {SEC} AS ts, value, {UNITS} AS unit FROM m WHERE metric_type <> 'signup'")
 
 
