@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.operators.aggregates import KEYS, r6, r9, with_mad
-from pulseloom.operators.windows import others_around, series
+from pulseloom.operators.windows import others_around, series, with_others
 
 
 def group():
@@ -45,22 +45,40 @@ def spc(m: DataFrame, most: int = 10, part: int = 3, sigmas: float = 3.0) -> Dat
     return long.unionByName(short.withColumn("out_of_control", F.col("score") > float(math.tanh(sigmas / 3))))
 
 
-def lof(m: DataFrame, k: int = 5) -> DataFrame:
-    """Local outlier factor of the values of a series: in one dimension the k nearest lie within k places in value order."""
+def with_lof(rows: DataFrame, most: int = 20, least: int = 5) -> DataFrame:
+    """``rows`` (with n, the size of the series) with ``lof``, the local outlier factor of each value in its series; null for series of k readings or fewer.
+
+    k is a tenth of the series, at least ``least`` and at most ``most``. In one
+    dimension the k nearest lie within k places in value order, so three windows
+    over that order give distances, densities and the factor, without a join.
+    """
     w = Window.partitionBy(*KEYS).orderBy("value", "event_id")
-    near = F.collect_list(F.struct("value", "event_id")).over(w.rowsBetween(-k, k))
-    rows = m.withColumn("n", F.count(F.lit(1)).over(group())).where(F.col("n") > k).withColumn("near", near)
-    others = F.transform(F.filter("near", lambda s: s.event_id != F.col("event_id")), lambda s: F.struct(F.abs(s.value - F.col("value")).alias("d"), s.event_id.alias("id")))
-    rows = rows.withColumn("knn", F.slice(F.array_sort(others), 1, k)).withColumn("k_distance", F.element_at("knn", k).d)
-    links = rows.select(*KEYS, "event_id", F.explode("knn").alias("o")).select(*KEYS, "event_id", F.col("o.d").alias("d"), F.col("o.id").alias("other"))
-    dist = rows.select(F.col("event_id").alias("other"), "k_distance")
-    reach = links.join(dist, "other").groupBy(*KEYS, "event_id").agg((k / F.greatest(F.sum(F.greatest("d", "k_distance")), F.lit(1e-10))).alias("density"))
-    around = links.join(reach.select(F.col("event_id").alias("other"), F.col("density").alias("near_density")), "other").groupBy("event_id").agg((F.sum("near_density") / k).alias("near_density"))
-    return reach.join(around, "event_id").select("event_id", *KEYS, (F.col("near_density") / F.col("density")).alias("lof"))
+    k = F.least(F.lit(most), F.greatest(F.lit(least), F.floor(F.col("n") / 10))).cast("int")
+    rows = rows.withColumn("nn", k).withColumn("at", F.row_number().over(w)).withColumn("lof_of", F.col("n") > F.col("nn"))
 
+    def nearest(extra: str | None) -> Column:
+        """The nn nearest others (d, id, x) by distance and id; x is their ``extra``."""
+        entry = F.struct("value", "event_id", *([F.col(extra).alias("x")] if extra else []))
+        seen = F.collect_list(entry).over(w.rowsBetween(-most, most))
+        own = F.least("at", F.lit(most + 1))  # the place of the row itself in what is seen
+        near = F.slice(seen, F.greatest(F.lit(1), own - F.col("nn")), F.col("nn") + F.least(own, F.col("nn") + 1))
+        d = lambda s: F.struct(F.abs(s.value - F.col("value")).alias("d"), s.event_id.alias("id"), *([s.x.alias("x")] if extra else []))
+        return F.slice(F.array_sort(F.transform(F.filter(near, lambda s: s.event_id != F.col("event_id")), d)), 1, F.col("nn"))
 
-def envelope(m: DataFrame, share: float = 0.5) -> DataFrame:
-    """Distance from the robust centre: the h consecutive values (in order) of least variance, h = floor(n share) + 1."""
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda a, s: a + f(s))
+    rows = rows.withColumn("k_distance", F.when(F.col("lof_of"), F.get(nearest(None), F.col("nn") - 1).d))
+    rows = rows.withColumn("density", F.when(F.col("lof_of"), F.col("nn") / F.greatest(total(nearest("k_distance"), lambda s: F.greatest(s.d, s.x)), F.lit(1e-10))))
+    return rows.withColumn("lof", F.when(F.col("lof_of"), total(nearest("density"), lambda s: s.x) / F.col("nn") / F.col("density"))).drop("nn", "at", "lof_of", "k_distance", "density")
+
+
+def lof(m: DataFrame) -> DataFrame:
+    """Local outlier factor of the values of each series of more readings than neighbours."""
+    rows = with_lof(m.where("value IS NOT NULL").withColumn("n", F.count(F.lit(1)).over(group())))
+    return rows.where("lof IS NOT NULL").select("event_id", *KEYS, "lof")
+
+
+def envelope_centers(m: DataFrame, share: float = 0.5) -> DataFrame:
+    """The robust centre and spread of each series: of the h consecutive values (in order) of least variance, h = floor(n share) + 1."""
     w = Window.partitionBy(*KEYS).orderBy("value", "event_id")
     rows = m.withColumn("k", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(group())).where("n >= 5").withColumn("h", F.floor(F.col("n") * share).cast("int") + 1)
     s = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -70,15 +88,25 @@ def envelope(m: DataFrame, share: float = 0.5) -> DataFrame:
     mean = (F.col("s1") - F.col("b1")) / F.col("h")
     var = F.greatest((F.col("s2") - F.col("b2")) / F.col("h") - mean * mean, F.lit(0.0))
     best = ends.select(*KEYS, "k", mean.alias("center"), var.alias("spread")).groupBy(*KEYS).agg(F.min_by(F.struct("center", "spread"), F.struct(F.round("spread", 6), "k")).alias("b"))
-    d = F.abs(F.col("value") - F.col("b.center")) / F.sqrt("b.spread")
-    return m.join(best.where(F.col("b.spread") > 1e-6), KEYS).select("event_id", *KEYS, d.alias("distance"))
+    return best.select(*KEYS, "b.center", "b.spread")
+
+
+def envelope(m: DataFrame, share: float = 0.5) -> DataFrame:
+    """Distance of each value from its series' robust centre, in robust deviations."""
+    d = F.abs(F.col("value") - F.col("center")) / F.sqrt("spread")
+    return m.join(envelope_centers(m, share).where("spread > 1e-6"), KEYS).select("event_id", *KEYS, d.alias("distance"))
+
+
+def with_residual(rows: DataFrame, most: int = 7, part: int = 3) -> DataFrame:
+    """``rows`` (with k and n) with ``residual``: what is left when the mean of each phase is taken off; the period is n / ``part``, at most ``most``; null below 2."""
+    rows = rows.withColumn("period", F.least(F.lit(most), F.floor(F.col("n") / part).cast("int"))).withColumn("phase", F.when(F.col("period") >= 2, F.col("k") % F.col("period")))
+    return rows.withColumn("residual", F.when(F.col("period") >= 2, F.col("value") - F.avg("value").over(Window.partitionBy(*KEYS, "phase")))).drop("period", "phase")
 
 
-def seasonal(m: DataFrame, period: int = 7) -> DataFrame:
+def seasonal(m: DataFrame, most: int = 7, part: int = 3) -> DataFrame:
     """tanh of the residual (over its deviation, over three) after the mean of each phase of the series is taken off."""
-    rows = m.withColumn("phase", F.row_number().over(series()) % period).withColumn("n", F.count(F.lit(1)).over(group())).where(F.col("n") >= 2 * period)
-    rows = rows.withColumn("residual", F.col("value") - F.avg("value").over(Window.partitionBy(*KEYS, "phase")))
-    rows = rows.withColumn("sd", F.stddev_pop("residual").over(group())).where("sd > 0")
+    rows = m.where("value IS NOT NULL").withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(group()))
+    rows = with_residual(rows, most, part).where("residual IS NOT NULL").withColumn("sd", F.stddev_pop("residual").over(group())).where("sd > 1e-9")
     return rows.select("event_id", *KEYS, F.tanh(F.abs(F.col("residual")) / F.col("sd") / 3).alias("score"))
 
 
@@ -95,18 +123,44 @@ METHODS = {
 PLAIN = ("zscore", "mad", "spc", "seasonal", "lof", "envelope")
 
 
+def method_columns(m: DataFrame) -> DataFrame:
+    """A column of scores for each method of PLAIN, null where it gives none: all from one exchange by series, in order of time, then of value."""
+    rows = m.where("value IS NOT NULL").select("event_id", *KEYS, "ts", "value")
+    rows = with_others(rows)
+    mu, spread = F.avg("value").over(group()), F.stddev_samp("value").over(group())
+    rows = rows.withColumn("mu", mu).withColumn("spread", spread).withColumn("median", F.percentile("value", F.lit(0.5)).over(group()))
+    rows = rows.withColumn("raw_mad", F.percentile(F.abs(F.col("value") - F.col("median")), F.lit(0.5)).over(group()))
+    enough = F.col("n") >= 5
+    zscore_ = F.when(enough & (F.col("spread") > 0), F.tanh(F.abs(F.col("value") - F.col("mu")) / F.col("spread") / 3))
+    z = F.when(F.col("raw_mad") > 0, 0.6745 * F.abs(F.col("value") - F.col("median")) / F.col("raw_mad")).otherwise(0.0)
+    beyond = r9(F.abs(F.col("value") - F.col("mean")) / F.col("sd")) - 3.0
+    rows = rows.withColumn("zscore", zscore_).withColumn("mad", F.when(enough, F.tanh(z / 3.5)))
+    rows = rows.withColumn("spc", F.when(F.col("n") < 9, F.col("zscore")).when(F.col("sd") > 1e-9, F.tanh(F.greatest(beyond, F.lit(0.0)) / 3)))
+    rows = with_residual(rows).withColumn("residual_sd", F.stddev_pop("residual").over(group()))
+    rows = rows.withColumn("seasonal", F.when(F.col("residual_sd") > 1e-9, F.tanh(F.abs("residual") / F.col("residual_sd") / 3)))
+    rows = with_lof(rows.select("event_id", *KEYS, "value", "n", "zscore", "mad", "spc", "seasonal"))
+    best = envelope_centers(m.where("value IS NOT NULL"))
+    rows = rows.join(best.where("spread > 1e-6"), KEYS, "left").withColumn("envelope", F.abs(F.col("value") - F.col("center")) / F.sqrt("spread"))
+    return rows.select("event_id", *KEYS, *PLAIN)
+
+
 def ensemble(m: DataFrame, contamination: float = 0.1, methods: tuple[str, ...] = PLAIN) -> DataFrame:
-    """Mean of the methods' scores (to four digits), each scaled to 0..1 per series; flagged above the series' percentile."""
-    parts = None
+    """Mean of the methods' scores (to four digits), each scaled to 0..1 per series; flagged above the series' percentile.
+
+    Null values are left out, and so are readings to which no method gives a score.
+    """
+    rows = method_columns(m)
+    for name in methods:
+        if name not in PLAIN:
+            rows = rows.join(METHODS[name](m).select("event_id", F.col("score").alias(name)), "event_id", "left")
+    rows = rows.select("event_id", *KEYS, *[F.round(name, 4).alias(name) for name in methods])
+    scaled = []
     for name in methods:
-        one = METHODS[name](m).select("event_id", *KEYS, F.lit(name).alias("method"), F.round("score", 4).alias("score"))
-        parts = one if parts is None else parts.unionByName(one)
-    w = Window.partitionBy(*KEYS, "method")
-    low, high = F.min("score").over(w), F.max("score").over(w)
-    scaled = parts.withColumn("scaled", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(0.0))
-    g = scaled.groupBy("event_id", *KEYS).agg(F.avg("scaled").alias("score"), F.count(F.lit(1)).alias("methods"), F.count_if(F.col("scaled") > 0.8).alias("votes"))
-    limit = g.groupBy(*KEYS).agg(F.round(F.percentile("score", F.lit(1 - contamination)), 9).alias("threshold"))
-    g = g.join(limit, KEYS)
+        low, high = F.min(name).over(group()), F.max(name).over(group())
+        scaled.append(F.when(F.col(name).isNotNull(), F.when(high > low, (F.col(name) - low) / (high - low)).otherwise(0.0)))
+    g = rows.withColumn("scaled", F.array_compact(F.array(*scaled))).where(F.size("scaled") > 0)
+    g = g.select("event_id", *KEYS, (F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x) / F.size("scaled")).alias("score"), F.size("scaled").alias("methods"), F.size(F.filter("scaled", lambda x: x > 0.8)).alias("votes"))
+    g = g.withColumn("threshold", F.round(F.percentile("score", F.lit(1 - contamination)).over(group()), 9))
     flag = F.round("score", 9) > F.col("threshold")
     confidence = F.least(F.lit(1.0), F.col("votes") / F.col("methods") + 0.3 * F.tanh(2 * F.col("score")))
     return g.select("event_id", *KEYS, "score", "threshold", flag.alias("is_anomaly"), confidence.alias("confidence"), (flag & (F.col("votes") >= F.greatest(F.lit(2.0), 0.7 * F.col("methods")))).alias("severe"))

@@ -56,24 +56,29 @@ def rolling_centered(m: DataFrame, n: int = 5) -> DataFrame:
     return rows.select("event_id", *KEYS, "ts", "value", fill("mean").alias("mean"), fill("sd").alias("sd"))
 
 
+def with_others(rows: DataFrame, most: int = 10, part: int = 3) -> DataFrame:
+    """``rows`` (of which values aren't null) with k (place), n, w, mean and sd of the other readings of the window of each; mean and sd are null where w is below 3."""
+    own = Window.partitionBy(*KEYS)
+    rows = rows.withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(own).cast("int"))
+    rows = rows.withColumn("w", F.least(F.lit(most), F.floor(F.col("n") / part).cast("int")))
+    near = F.collect_list("value").over(series().rowsBetween(1 - most, most - 1))
+    start = F.greatest(F.lit(1), F.least(F.col("k") - F.floor(F.col("w") / 2).cast("int"), F.col("n") - F.col("w") + 1))
+    first = F.greatest(F.lit(1), F.col("k") - most + 1)  # the row of the first of ``near``
+    rows = rows.withColumn("near", near).withColumn("start", start).withColumn("own", F.when(F.col("w") >= 3, F.slice("near", F.col("start") - first + 1, F.col("w"))))
+    rows = rows.withColumn("others", F.filter("own", lambda _, i: i != F.col("k") - F.col("start")))
+    rows = rows.withColumn("mean", F.aggregate("others", F.lit(0.0), lambda a, x: a + x) / (F.col("w") - 1))
+    sd = F.sqrt(F.aggregate("others", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.col("w") - 2, F.lit(0)))
+    return rows.withColumn("sd", sd).drop("near", "start", "own", "others")
+
+
 def others_around(m: DataFrame, most: int = 10, part: int = 3) -> DataFrame:
     """Each reading with the mean and deviation of the other readings of its window, which it can't hide in.
 
     The window has w = min(``most``, n / ``part``) rows around the reading, or the
     nearest w rows at the ends; series with w below 3 have no rows. Nulls are left out.
     """
-    own = Window.partitionBy(*KEYS)
-    rows = m.where("value IS NOT NULL").withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(own).cast("int"))
-    rows = rows.withColumn("w", F.least(F.lit(most), F.floor(F.col("n") / part).cast("int"))).where("w >= 3")
-    near = F.collect_list("value").over(series().rowsBetween(1 - most, most - 1))
-    start = F.greatest(F.lit(1), F.least(F.col("k") - F.floor(F.col("w") / 2).cast("int"), F.col("n") - F.col("w") + 1))
-    first = F.greatest(F.lit(1), F.col("k") - most + 1)  # the row of the first of ``near``
-    rows = rows.withColumn("near", near).withColumn("start", start).withColumn("own", F.slice("near", F.col("start") - first + 1, F.col("w")))
-    rows = rows.withColumn("others", F.filter("own", lambda _, i: i != F.col("k") - F.col("start")))
-    mean = F.aggregate("others", F.lit(0.0), lambda a, x: a + x) / (F.col("w") - 1)
-    rows = rows.withColumn("mean", mean)
-    sd = F.sqrt(F.aggregate("others", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / (F.col("w") - 2))
-    return rows.select("event_id", *KEYS, "ts", "value", "k", "n", "w", "mean", sd.alias("sd"))
+    rows = with_others(m.where("value IS NOT NULL"), most, part).where("w >= 3")
+    return rows.select("event_id", *KEYS, "ts", "value", "k", "n", "w", "mean", "sd")
 
 
 def filled(m: DataFrame, every: int = 3) -> DataFrame:

@@ -19,14 +19,14 @@ UNION ALL SELECT event_id, user_id, metric_type, score, score > tanh(1) FROM sz
 register("ano_1_zscore", lambda m: rounded(X.zscore(m)), f"WITH {Z} SELECT event_id, {K}, round(score, 6) AS score FROM sz")
 register("ano_2_modified_z", lambda m: rounded(X.modified_z(m)), f"WITH {MZ} SELECT event_id, {K}, round(score, 6) AS score FROM sm")
 register("ano_8_spc", lambda m: rounded(X.spc(m)), f"WITH {Z}, {SP} SELECT event_id, {K}, round(score, 6) AS score, out_of_control FROM ss")
-SEASONAL = f"""sp AS (SELECT *, row_number() OVER {O} % 7 AS ph, count(*) OVER {P} AS n FROM m), sr AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id, metric_type, ph) AS res FROM sp WHERE n >= 14),
-s7 AS (SELECT event_id, user_id, metric_type, tanh(abs(res) / sd / 3) AS score FROM (SELECT *, stddev_pop(res) OVER {P} AS sd FROM sr) WHERE sd > 0)"""
+SEASONAL = f"""sp AS (SELECT *, row_number() OVER {O} % least(7, n // 3) AS ph FROM (SELECT *, count(*) OVER {P} AS n FROM m WHERE value IS NOT NULL) WHERE n >= 6), sr AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id, metric_type, ph) AS res FROM sp),
+s7 AS (SELECT event_id, user_id, metric_type, tanh(abs(res) / sd / 3) AS score FROM (SELECT *, stddev_pop(res) OVER {P} AS sd FROM sr) WHERE sd > 1e-9)"""
 register("ano_7_seasonal", lambda m: rounded(X.seasonal(m)), f"WITH {SEASONAL} SELECT event_id, {K}, round(score, 6) AS score FROM s7")
-LOF = f"""lc AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS k, count(*) OVER {P} AS n FROM m),
-nn AS (SELECT a.user_id, a.metric_type, a.event_id, b.event_id AS o, abs(b.value - a.value) AS d FROM lc a JOIN lc b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k BETWEEN a.k - 5 AND a.k + 5 AND a.k <> b.k
-WHERE a.n > 5 QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.value - a.value), b.event_id) <= 5),
-kd AS (SELECT event_id, max(d) AS kd FROM nn GROUP BY ALL), de AS (SELECT nn.event_id, nn.user_id, nn.metric_type, 5 / greatest(sum(greatest(nn.d, kd.kd)), 1e-10) AS de FROM nn JOIN kd ON kd.event_id = nn.o GROUP BY ALL),
-s5 AS (SELECT x.event_id, x.user_id, x.metric_type, sum(y.de) / 5 / any_value(x.de) AS score FROM de x JOIN nn ON nn.event_id = x.event_id JOIN de y ON y.event_id = nn.o GROUP BY x.event_id, x.user_id, x.metric_type)"""
+LOF = f"""lc AS (SELECT *, least(20, greatest(5, n // 10)) AS nn FROM (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS k, count(*) OVER {P} AS n FROM m WHERE value IS NOT NULL)),
+nn AS (SELECT a.user_id, a.metric_type, a.event_id, a.nn, b.event_id AS o, abs(b.value - a.value) AS d FROM lc a JOIN lc b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k BETWEEN a.k - a.nn AND a.k + a.nn AND a.k <> b.k
+WHERE a.n > a.nn QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY abs(b.value - a.value), b.event_id) <= a.nn),
+kd AS (SELECT event_id, max(d) AS kd FROM nn GROUP BY ALL), de AS (SELECT nn.event_id, nn.user_id, nn.metric_type, any_value(nn.nn) / greatest(sum(greatest(nn.d, kd.kd)), 1e-10) AS de FROM nn JOIN kd ON kd.event_id = nn.o GROUP BY nn.event_id, nn.user_id, nn.metric_type),
+s5 AS (SELECT x.event_id, x.user_id, x.metric_type, sum(y.de) / any_value(nn.nn) / any_value(x.de) AS score FROM de x JOIN nn ON nn.event_id = x.event_id JOIN de y ON y.event_id = nn.o GROUP BY x.event_id, x.user_id, x.metric_type)"""
 register("ano_5_lof", lambda m: rounded(X.lof(m)), f"WITH {LOF} SELECT event_id, {K}, round(score, 6) AS lof FROM s5")
 ENVELOPE = f"""vc AS (SELECT *, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY value, event_id) AS k, count(*) OVER {P} AS n FROM m),
 vw AS (SELECT a.user_id, a.metric_type, a.k, avg(b.value) AS center, var_pop(b.value) AS spread FROM vc a JOIN vc b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k > a.k - (a.n // 2 + 1) AND b.k <= a.k
