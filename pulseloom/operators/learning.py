@@ -37,7 +37,7 @@ def _quality(scored: DataFrame, model: str) -> DataFrame:
     return g.select("metric_type", F.lit(model).alias("model"), "n", r6("rmse").alias("rmse"), r6("mae").alias("mae"), r6("r2").alias("r2"))
 
 
-def forecast_model(m: DataFrame, kind: str, trees: int = 100, rounds: int = 20) -> DataFrame:
+def forecast_model(m: DataFrame, kind: str, trees: int = 100, rounds: int = 100) -> DataFrame:
     """One pooled model (ridge, forest or boosting) on lags and the clock; its errors on the last fifth of each series, by type."""
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -49,7 +49,7 @@ def forecast_model(m: DataFrame, kind: str, trees: int = 100, rounds: int = 20)
     learner = {
         "ridge": lambda: LinearRegression(regParam=1.0, elasticNetParam=0.0),
         "forest": lambda: RandomForestRegressor(numTrees=trees, maxDepth=10, seed=7),
-        "boosting": lambda: GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.1, seed=7),
+        "boosting": lambda: GBTRegressor(maxIter=rounds, maxDepth=6, stepSize=0.1, seed=7),
     }[kind]()
     return _quality(learner.fit(scaler.transform(train)).transform(scaler.transform(test)), kind)
 
@@ -97,24 +97,33 @@ def day_vectors(m: DataFrame, types: list[str]) -> DataFrame:
     return days.select("user_id", "day", *[F.coalesce(F.col(t) - F.avg(t).over(own), F.lit(0.0)).alias(t) for t in types])
 
 
-def behaviour_clusters(m: DataFrame, types: list[str], most: int = 5) -> DataFrame:
-    """k-means of scaled day vectors; k is the last whose cost falls to less than 85 % of the one before. An empty table gives no rows."""
+def behaviour_clusters(m: DataFrame, types: list[str], most: int = 8) -> DataFrame:
+    """k-means of scaled day vectors, k by the elbow: the first that gains less than half of what the one before gained ends the search.
+
+    ``most`` clusters at the most, three where no gain falls by half, one for
+    fewer than four days. An empty table gives no rows.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler
 
     rows = _assembled(day_vectors(m, types), types, "raw")
-    if rows.isEmpty():
+    n = rows.count()
+    if n < 4:
         return rows.select("user_id", "day", *types, F.lit(0).alias("cluster"))
     rows = StandardScaler(inputCol="raw", outputCol="features").fit(rows).transform(rows).persist()
-    before, chosen = None, None
+    spread = rows.agg(*[F.var_samp(t).alias(t) for t in types]).first()
+    costs, models, k = [float((n - 1) * sum(spread[t] > 0 for t in types))], {}, 0  # each feature that varies has variance 1
+    most = min(most, n // 2)
     for k in range(2, most + 1):
-        model = KMeans(k=k, seed=7, maxIter=15).fit(rows)
-        cost = model.summary.trainingCost
-        if before is not None and cost > 0.85 * before:
+        models[k] = KMeans(k=k, seed=7, maxIter=15).fit(rows)
+        costs.append(models[k].summary.trainingCost)
+        if len(costs) > 2 and costs[-2] - costs[-1] < 0.5 * (costs[-3] - costs[-2]):
+            k -= 1
             break
-        before, chosen = cost, model
+    else:
+        k = min(3, most)
     rows.unpersist()
-    return chosen.transform(rows).select("user_id", "day", *types, F.col("prediction").alias("cluster"))
+    return models[k].transform(rows).select("user_id", "day", *types, F.col("prediction").alias("cluster"))
 
 
 def cluster_profile(clusters: DataFrame) -> DataFrame:
@@ -227,7 +236,7 @@ def contextual(m: DataFrame) -> DataFrame:
     rows = _assembled(rows, FEATURES)
     if rows.isEmpty():
         return rows.select("event_id", *KEYS, F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"))
-    scored = RandomForestRegressor(numTrees=10, maxDepth=6, seed=7).fit(rows).transform(rows).withColumn("residual", F.abs(F.col("prediction") - F.col("label")))
+    scored = RandomForestRegressor(numTrees=100, maxDepth=6, seed=7).fit(rows).transform(rows).withColumn("residual", F.abs(F.col("prediction") - F.col("label")))
     limit = scored.groupBy("metric_type").agg(F.percentile("residual", F.lit(0.95)).alias("limit"))
     return scored.join(F.broadcast(limit), "metric_type").select("event_id", *KEYS, r6(F.least(F.lit(1.0), F.col("residual") / F.col("limit"))).alias("score"), (F.col("residual") > F.col("limit")).alias("is_anomaly"))
 

@@ -60,9 +60,10 @@ def confounding(m: DataFrame) -> DataFrame:
 
 
 def response_consistency(m: DataFrame) -> DataFrame:
-    """1 - sd / |mean| of the effect sizes of each category, at least zero."""
+    """1 - sd / |mean| of the effect sizes of each category, at least zero; and the same before that (raw), mean and sd."""
     g = intervention_effect(m).groupBy("category").agg(F.avg("cohens_d").alias("mean"), F.stddev_pop("cohens_d").alias("sd"), F.count(F.lit(1)).alias("n"))
-    return g.select("category", "n", F.greatest(F.lit(0.0), 1 - F.col("sd") / F.abs("mean")).alias("consistency"))
+    raw = 1 - F.col("sd") / F.abs("mean")
+    return g.select("category", "n", F.greatest(F.lit(0.0), raw).alias("consistency"), raw.alias("raw"), F.col("mean").alias("mean_effect"), F.col("sd").alias("sd_effect"))
 
 
 def batch_alerts(m: DataFrame) -> DataFrame:

@@ -119,6 +119,8 @@ def by_person(sql: str) -> str:
 
 
 register("agg_12_resample_hourly_by_person", lambda m: A.resample_hourly(m, A.KEYS).withColumn("mean", A.r6("mean")), by_person(f"WITH {FILLED} SELECT metric_type, hour, round(mean, 6) AS mean FROM f"))
+# a value that lies half-way between two of six digits, as interpolated ones do, goes up on both sides
+register("agg_13_resample_linear_by_person", lambda m: A.resample_linear(m, A.KEYS).withColumn("mean", A.r6(F.col("mean") + 1e-9)), by_person(LINEAR.replace("END, 6) AS mean FROM s", "END + 1e-9, 6) AS mean FROM s")))
 register("agg_15_daily_features", A.daily_features, f"""
 WITH {HOURLY} SELECT metric_type, hour::DATE AS day, count(*) AS hours, round(avg(mean), 6) AS mean, round(stddev_samp(mean), 6) AS sd, round(max(mean), 6) AS max_value, round(min(mean), 6) AS min_value
 FROM hm GROUP BY ALL HAVING count(*) >= 12""")

@@ -33,14 +33,19 @@ CASE category WHEN 'nutrition' THEN 4 WHEN 'exercise' THEN 6 WHEN 'sleep' THEN 2
 register("int_5_confounding", Y.confounding, f"""
 WITH {INTERVENTIONS}, c AS (SELECT i.user_id, (SELECT count(*) FROM m WHERE m.user_id = i.user_id AND metric_type = 'error' AND ts >= started_at AND ts <= coalesce(ended_at, {NOW})) AS events FROM iv i)
 SELECT user_id, events, CASE WHEN events <= 2 THEN 'low' WHEN events <= 5 THEN 'moderate' ELSE 'high' END AS risk FROM c""")
-register("pat_10_response_consistency", lambda m: rounded(Y.response_consistency(m)), f"WITH {EFFECT} SELECT category, count(*) AS n, round(greatest(0, 1 - stddev_pop(d) / abs(avg(d))), 6) AS consistency FROM ef GROUP BY category")
+register("pat_10_response_consistency", lambda m: rounded(Y.response_consistency(m)), f"WITH {EFFECT} SELECT category, count(*) AS n, round(greatest(0, 1 - stddev_pop(d) / abs(avg(d))), 6) AS consistency, round(1 - stddev_pop(d) / abs(avg(d)), 6) AS raw, round(avg(d), 6) AS mean_effect, round(stddev_pop(d), 6) AS sd_effect FROM ef GROUP BY category")
 ALERTS = """al AS (SELECT event_id, user_id, ts AS created_at, CASE WHEN value >= 200 THEN 'critical' WHEN value >= 120 THEN 'high' WHEN value >= 60 THEN 'medium' ELSE 'low' END AS severity, value,
 coalesce((meta->>'$.k')::INT, 1) % 3 = 0 AS is_resolved FROM m WHERE metric_type = 'error')"""
 register("prj_9_list_alerts", lambda m: Y.alerts(m).where("severity IN ('high', 'critical') AND NOT is_resolved").orderBy(F.desc("created_at"), "event_id").limit(200),
          f"WITH {ALERTS} SELECT * FROM al WHERE severity IN ('high', 'critical') AND NOT is_resolved ORDER BY created_at DESC, event_id LIMIT 200")
 register("alr_2_batch_alerts", Y.batch_alerts, f"""
 WITH {ENS}, d AS (SELECT {K}, count(*) FILTER (is_anomaly) AS anomalies, count(*) FILTER (severe) AS severe FROM en GROUP BY {K}) SELECT *, CASE WHEN severe > 0 THEN 'high' ELSE 'medium' END AS severity FROM d WHERE severe > 0 OR anomalies >= 2""")
-register("alr_3_correlation_alerts", lambda m: rounded(Y.correlation_alerts(sweep(m))))
+# Student's tail for whole degrees of freedom: a finite series in the sine and cosine of the angle, which follow from r
+register("alr_3_correlation_alerts", lambda m: rounded(Y.correlation_alerts(sweep(m))), f"""
+WITH {SWEEP}, q AS (SELECT *, n - 2 AS df, least(1, abs(r)) AS s, greatest(0, 1 - r * r) AS c2 FROM sw), v AS (SELECT *, CASE WHEN abs(r) >= 1 - 1e-12 THEN 0 WHEN df % 2 = 0 THEN 1 - s * list_sum(list_transform(range(0, df // 2), lambda j: pow(c2, j) * exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - 2 * j * ln(2))))
+ELSE 1 - 2 / pi() * (atan(s / sqrt(c2)) + s * sqrt(c2) * list_sum(list_transform(range(0, (df - 1) // 2), lambda j: pow(c2, j) * exp(2 * j * ln(2) + 2 * lgamma(j + 1) - lgamma(2 * j + 2))))) END AS p FROM q),
+k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM v), a AS (SELECT *, least(1, min(p * c / k) OVER (PARTITION BY user_id ORDER BY k DESC)) AS adjusted FROM k)
+SELECT user_id, m1, m2, n, round(r, 6) AS r, CASE WHEN r > 0 THEN 'rise' ELSE 'fall' END AS direction FROM a WHERE adjusted <= 0.2 AND abs(r) >= 0.7""")
 LIMITS = {"critical": 10, "high": 8, "medium": 5, "low": 3}
 register("alr_4_rate_limit", lambda m: Y.rate_limit(Y.alerts(m), LIMITS, 240), f"""
 WITH {ALERTS}, o AS (SELECT user_id, severity, event_id, created_at, row_number() OVER (PARTITION BY user_id, severity ORDER BY created_at, event_id) AS k FROM al),

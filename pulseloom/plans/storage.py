@@ -9,7 +9,10 @@ from pulseloom.operators import outcomes as Y
 from pulseloom.operators import text as X
 from pulseloom.plans.notes import METRIC_ROWS, messages
 from pulseloom.plans.outcomes import ALERTS
+from pulseloom.operators.relations import interventions
+from pulseloom.plans import registry
 from pulseloom.plans.registry import register, register_tables
+from pulseloom.plans.relational import INTERVENTIONS
 from pulseloom.sources import payloads as S, sinks as K
 from pulseloom.sources.readings import readings
 from pulseloom.sources.tables import table
@@ -136,6 +139,17 @@ register("snk_3_export_users", lambda m: K.export_users(m, Y.alerts(m)), f"""
 WITH {ALERTS}, r AS (SELECT user_id, list({{'metric_type': metric_type, 'n': n}} ORDER BY metric_type) AS readings FROM (SELECT user_id, metric_type, count(*) AS n FROM m GROUP BY ALL) GROUP BY user_id),
 a AS (SELECT user_id, list({{'created_at': strftime(created_at, '%Y-%m-%dT%H:%M:%S'), 'event_id': event_id, 'severity': severity}} ORDER BY strftime(created_at, '%Y-%m-%dT%H:%M:%S'), event_id) AS alerts FROM al GROUP BY user_id)
 SELECT user_id, to_json({{'user_id': user_id, 'readings': readings, 'alerts': coalesce(alerts, [])}})::VARCHAR AS document FROM r LEFT JOIN a USING (user_id)""")
+#: What the oracle of the daily reports is made of: its relations, and the rest of its select.
+REPORT = registry.ORACLES["rpt_1_daily_reports"].removeprefix(f"WITH RECURSIVE {registry.READINGS}, ").split("\nSELECT user_id, DATE")
+ISO = "strftime({c}, '%Y-%m-%dT%H:%M:%S')"
+register("snk_3_export_records", lambda m: K.export_records(m, Y.alerts(m), Y.daily_reports(m), interventions(m)), f"""
+WITH {ALERTS}, {INTERVENTIONS}, {REPORT[0]}, rp AS (SELECT user_id, DATE{REPORT[1]}),
+pr AS (SELECT user_id, min(ts) AS onboarded_at, count(*) AS readings, list_sort(list(DISTINCT metric_type)) AS types FROM m GROUP BY user_id)
+SELECT user_id, 'profile' AS section, to_json({{'user_id': user_id, 'onboarded_at': {ISO.format(c="onboarded_at")}, 'readings': readings, 'types': types}})::VARCHAR AS document FROM pr
+UNION ALL SELECT user_id, 'metrics', to_json({{'event_id': event_id, 'metric_type': metric_type, 'value': value, 'ts': {ISO.format(c="ts")}}})::VARCHAR FROM m
+UNION ALL SELECT user_id, 'alerts', to_json({{'event_id': event_id, 'severity': severity, 'created_at': {ISO.format(c="created_at")}, 'is_resolved': is_resolved}})::VARCHAR FROM al
+UNION ALL SELECT user_id, 'reports', to_json({{'report_date': report_date::VARCHAR, 'text': text, 'confidence': confidence}})::VARCHAR FROM rp
+UNION ALL SELECT user_id, 'interventions', to_json({{'category': category, 'started_at': {ISO.format(c="started_at")}, 'ended_at': {ISO.format(c="ended_at")}}})::VARCHAR FROM iv""")
 register("snk_4_retain", lambda m: K.retain(Y.alerts(m), "2024-01-15 00:00:00"), f"WITH {ALERTS} SELECT * FROM al WHERE NOT (is_resolved AND created_at < TIMESTAMP '2024-01-15')")
 register("snk_5_purge_users", lambda m: K.purge_users(m, m.where("user_id % 10 = 3").select("user_id").distinct()).drop("meta"), "SELECT event_id, user_id, metric_type, ts, value FROM m WHERE user_id % 10 <> 3")
 register("snk_6_chunk_ranges", lambda m: K.chunk_ranges(m.groupBy("user_id").agg(F.to_date(F.min("ts")).alias("start"), F.date_add(F.to_date(F.max("ts")), 1).alias("end")), 7, 21), """

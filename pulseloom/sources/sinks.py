@@ -66,6 +66,35 @@ def export_users(readings: DataFrame, alerts: DataFrame) -> DataFrame:
     return r.join(a, "user_id", "left").select("user_id", F.to_json(F.struct("user_id", "readings", F.coalesce("alerts", none).alias("alerts"))).alias("document"))
 
 
+def export_records(readings: DataFrame, alerts: DataFrame, reports: DataFrame, interventions: DataFrame) -> DataFrame:
+    """(user_id, section, document): all that there is of each person, a JSON object per record of the sections profile, metrics, alerts, reports and interventions.
+
+    A person's records are rows, not one object, so a person of many readings is
+    gathered nowhere; written by ``write_export`` they are a folder of lines per
+    person. Rows without a person are left out; fields without a value are null.
+    """
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss").alias(c)
+
+    def section(rows: DataFrame, name: str, *fields) -> DataFrame:
+        document = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        return rows.where("user_id IS NOT NULL").select("user_id", F.lit(name).alias("section"), document.alias("document"))
+
+    profile = readings.groupBy("user_id").agg(F.min("ts").alias("onboarded_at"), F.count(F.lit(1)).alias("readings"), F.array_sort(F.collect_set("metric_type")).alias("types"))
+    parts = [
+        section(profile, "profile", "user_id", iso("onboarded_at"), "readings", "types"),
+        section(readings, "metrics", "event_id", "metric_type", "value", iso("ts")),
+        section(alerts, "alerts", "event_id", "severity", iso("created_at"), "is_resolved"),
+        section(reports, "reports", F.col("report_date").cast("string").alias("report_date"), "text", "confidence"),
+        section(interventions, "interventions", "category", iso("started_at"), iso("ended_at")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def write_export(records: DataFrame, path: str) -> None:
+    """Records as JSON lines, a folder per person and section."""
+    records.repartition("user_id", "section").write.mode("overwrite").partitionBy("user_id", "section").text(path)
+
+
 def write_partitioned(rows: DataFrame, path: str, ts: str = "ts") -> None:
     """Readings as Parquet, a folder per date, sorted by person within files."""
     rows.withColumn("date", F.to_date(ts)).repartition("date").sortWithinPartitions("user_id", ts).write.mode("overwrite").partitionBy("date").parquet(path)
