@@ -125,7 +125,7 @@ def acf(m: DataFrame, most: int = 10) -> DataFrame:
     a = rows.select(*KEYS, "k", "c", "n", "total", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag")).withColumn("j", F.col("k") + F.col("lag"))
     b = rows.select(*KEYS, F.col("k").alias("j"), F.col("c").alias("d"))
     g = a.join(b, [*KEYS, "j"]).groupBy(*KEYS, "lag").agg((F.sum(F.col("c") * F.col("d")) / F.max("total")).alias("r"), F.max("n").alias("n")).where(F.col("lag") <= F.col("n") / 2)
-    return g.select(*KEYS, "lag", "r", (1.96 / F.sqrt("n")).alias("bound"), (F.abs("r") > 1.96 / F.sqrt("n")).alias("significant"))
+    return g.select(*KEYS, "lag", "r", "n", (1.96 / F.sqrt("n")).alias("bound"), (F.abs("r") > 1.96 / F.sqrt("n")).alias("significant"))
 
 
 def pacf(m: DataFrame, most: int = 10) -> DataFrame:
@@ -145,11 +145,12 @@ def pacf(m: DataFrame, most: int = 10) -> DataFrame:
     return g.select(*KEYS, F.posexplode(out).alias("i", "pacf")).select(*KEYS, (F.col("i") + 1).alias("lag"), "pacf")
 
 
-def seasonality(m: DataFrame, most: int = 14) -> DataFrame:
-    """Peaks of each series' autocorrelation: the period is the first, with its strength."""
+def seasonality(m: DataFrame, most: int = 14, shortest: int = 5, height: float = 0.1) -> DataFrame:
+    """Peaks of each series' autocorrelation above ``height`` times its largest value: the period is the first from ``shortest`` to half the days, with its strength."""
     w = Window.partitionBy(*KEYS).orderBy("lag")
-    rows = acf(m, most).withColumn("before", F.lag("r").over(w)).withColumn("behind", F.lead("r").over(w))
-    peaks = rows.where("r > before AND r > behind AND r > 0")
+    rows = acf(m, most).withColumn("before", F.lag("r").over(w)).withColumn("behind", F.lead("r").over(w)).withColumn("top", F.max("r").over(Window.partitionBy(*KEYS)))
+    # to nine digits, so that equal heights are equal
+    peaks = rows.where(F.expr(f"r > before AND r > behind AND r > 0 AND round(r - {height} * top, 9) > 0 AND lag >= {shortest} AND lag <= n / 2"))
     return peaks.groupBy(*KEYS).agg(F.min("lag").alias("period"), F.min_by("r", "lag").alias("strength"), F.count(F.lit(1)).alias("peaks"))
 
 

@@ -79,7 +79,7 @@ SELECT user_id, metric_type, seg AS first_k, max(k) AS last_k, min(ts) AS start_
 register("trd_5_rolling_change_flags", T.rolling_change_flags, f"WITH {OTHERS.format(most=5, part=2)} SELECT event_id, {K}, ts, value, round(abs(value - mean) / sd, 6) AS z FROM oc WHERE sd > 1e-9 AND n >= 10 AND k > w AND k <= n - w AND round(abs(value - mean) / sd, 6) > 2")
 ACF = """ad AS (SELECT user_id, metric_type, ts::DATE AS day, avg(value) AS v FROM m GROUP BY ALL), ak AS (SELECT user_id, metric_type, row_number() OVER (PARTITION BY user_id, metric_type ORDER BY day) AS k, v - avg(v) OVER p AS c, count(*) OVER p AS n, var_pop(v) OVER p * count(*) OVER p AS tot FROM ad WINDOW p AS (PARTITION BY user_id, metric_type)),
 ac AS (SELECT a.user_id, a.metric_type, (b.k - a.k)::INT AS lag, sum(a.c * b.c) / max(a.tot) AS r, max(a.n) AS n FROM ak a JOIN ak b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND b.k - a.k BETWEEN 1 AND {most} GROUP BY a.user_id, a.metric_type, b.k - a.k HAVING b.k - a.k <= max(a.n) / 2)"""
-register("trd_6_acf", lambda m: rounded(T.acf(m)), f"WITH {ACF.format(most=10)} SELECT user_id, metric_type, lag, round(r, 6) AS r, round(1.96 / sqrt(n), 6) AS bound, abs(r) > 1.96 / sqrt(n) AS significant FROM ac")
+register("trd_6_acf", lambda m: rounded(T.acf(m).drop("n")), f"WITH {ACF.format(most=10)} SELECT user_id, metric_type, lag, round(r, 6) AS r, round(1.96 / sqrt(n), 6) AS bound, abs(r) > 1.96 / sqrt(n) AS significant FROM ac")
 register("trd_6_pacf", lambda m: rounded(T.pacf(m)), f"""
 WITH {ACF.format(most=10)}, g AS (SELECT user_id, metric_type, list(r ORDER BY ac.lag) AS r FROM ac GROUP BY user_id, metric_type),
 d(user_id, metric_type, r, k, phi, last) AS (SELECT user_id, metric_type, r, 1, [r[1]], r[1] FROM g
@@ -87,8 +87,8 @@ UNION ALL SELECT user_id, metric_type, r, k + 1, list_append(list_transform(rang
 SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 1 - i]))) / (1 - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[i]))) AS new FROM d WHERE k < len(r)))
 SELECT user_id, metric_type, k AS lag, round(last, 6) AS pacf FROM d""")
 register("trd_7_seasonality", lambda m: rounded(T.seasonality(m)), f"""
-WITH {ACF.format(most=14)}, b AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS q FROM ac WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY ac.lag))
-SELECT user_id, metric_type, min(lag) AS period, round(arg_min(r, lag), 6) AS strength, count(*) AS peaks FROM b WHERE r > p AND r > q AND r > 0 GROUP BY user_id, metric_type""")
+WITH {ACF.format(most=14)}, b AS (SELECT *, lag(r) OVER w AS p, lead(r) OVER w AS q, max(r) OVER (PARTITION BY user_id, metric_type) AS top FROM ac WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY ac.lag))
+SELECT user_id, metric_type, min(lag) AS period, round(arg_min(r, lag), 6) AS strength, count(*) AS peaks FROM b WHERE r > p AND r > q AND r > 0 AND round(r - 0.1 * top, 9) > 0 AND lag >= 5 AND lag <= n / 2 GROUP BY user_id, metric_type""")
 LF = f"""fk AS (SELECT *, row_number() OVER {O} AS k FROM m), fg AS (SELECT user_id, metric_type, count(*) AS n, regr_slope(value, k) AS b, regr_intercept(value, k) AS a, regr_syy(value, k) AS syy, coalesce(regr_r2(value, k), 0) AS r2 FROM fk GROUP BY ALL),
 fl AS (SELECT user_id, metric_type, step, a + b * (n + step) AS f, 1.96 * sqrt((1 - r2) * syy / (n - 2)) * sqrt(1 + 1 / n) AS half FROM fg CROSS JOIN (SELECT unnest(range(1, 8))::INT AS step) WHERE n >= 5)"""
 register("fcs_1_forecast_linear", lambda m: rounded(T.forecast_linear(m)), f"WITH {LF} SELECT {K}, step, round(f, 6) AS forecast, round(f - half, 6) AS low, round(f + half, 6) AS high FROM fl")

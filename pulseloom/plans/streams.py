@@ -18,6 +18,7 @@ register_tables("str_1_ingest", lambda s, d: J.drain(J.ingest(J.reading_stream(s
 register_tables("str_2_recent_activity", lambda s, d: J.drain(J.recent_activity(J.reading_stream(s, d)), "recent"), """
 WITH w AS (SELECT metric_type, user_id, time_bucket(INTERVAL 5 MINUTE, ts) - to_minutes(unnest(range(0, 12))::INT * 5) AS start_ts FROM m)
 SELECT start_ts, start_ts + INTERVAL 1 HOUR AS end_ts, metric_type, count(*) AS n, count(DISTINCT user_id) AS people FROM w GROUP BY ALL HAVING start_ts + INTERVAL 1 HOUR <= (SELECT max(ts) FROM m) - INTERVAL 1 HOUR""")
+register_tables("str_2_recent_activity_sketched", lambda s, d: J.drain(J.recent_activity(J.reading_stream(s, d), exact=False), "sketched"))
 register_tables("str_3_tumbling_stats", lambda s, d: J.drain(J.tumbling_stats(J.reading_stream(s, d)), "tumbling"), """
 SELECT date_trunc('day', ts) AS start_ts, date_trunc('day', ts) + INTERVAL 1 DAY AS end_ts, metric_type, count(*) AS n, min(value) AS low, max(value) AS high FROM m GROUP BY 1, 2, 3 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM m) - INTERVAL 6 HOUR""")
 register_tables("str_4_score_stream", lambda s, d: J.drain(J.score_stream(J.reading_stream(s, d), baselines(readings(s, d))), "scores"), f"WITH {SCORED} SELECT * FROM sc WHERE abs(z) >= 2")
