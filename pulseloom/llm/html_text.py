@@ -242,7 +242,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html, any others).
 
     Null and empty pages, and pages without main text, have an empty text.
-    Repeated rows give repeated rows. White space in a block (no-break spaces
+    Repeated rows give repeated rows, an empty table an empty result. White space in a block (no-break spaces
     too) becomes one space; a line break tag counts as white space.
     """
     tree = train_tree(pages.sparkSession)

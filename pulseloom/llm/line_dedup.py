@@ -24,12 +24,12 @@ def _lines(text: Column) -> Column:
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, mid, last, h1, h2): each three consecutive non-blank lines, by their line numbers."""
+    """(doc_id, version, first, mid, last, h1, h2): each three consecutive non-blank lines, by their line numbers; version tells texts of one doc_id apart."""
     numbered = F.filter(
         F.transform(_lines(F.coalesce("text", F.lit(""))), lambda line, i: F.struct(i.alias("i"), F.xxhash64(F.btrim(line, F.lit(BLANKS))).alias("a"), F.xxhash64(F.lit("other"), F.btrim(line, F.lit(BLANKS))).alias("b"), (F.length(F.btrim(line, F.lit(BLANKS))) > 0).alias("some"))),
         lambda s: s.some,
     )
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), numbered.alias("lines"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), numbered.alias("lines"))
     rows = rows.where(F.size("lines") >= WINDOW)
     part = lambda w, k: F.element_at("lines", (w + k).cast("int"))
     made = F.transform(
@@ -40,35 +40,37 @@ def windows(docs: DataFrame) -> DataFrame:
             F.xxhash64(*[part(w, k).b for k in range(WINDOW)]).alias("h2"),
         ),
     )
-    return rows.select("doc_id", F.explode(made).alias("w")).select("doc_id", "w.first", "w.mid", "w.last", "w.h1", "w.h2")
+    return rows.select("doc_id", "version", F.explode(made).alias("w")).select("doc_id", "version", "w.first", "w.mid", "w.last", "w.h1", "w.h2")
 
 
 def covered_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, covered) of the documents that hold later occurrences: the line numbers that these cover."""
+    """(doc_id, version, covered) of the documents that hold later occurrences: the line numbers that these cover."""
     found = staged(windows(docs), "windows")
-    where = F.struct("doc_id", "first")
+    where = F.struct("doc_id", "first", "version")
     kept = found.groupBy("h1", "h2").agg(F.min(where).alias("kept"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     kept = staged(kept, "repeated")
     least = max(2, int(found.count() * HOT_SHARE))
     # each hot window has a thousandth of all rows, so there are a thousand at most
     hot = F.broadcast(kept.where(F.col("n") >= least).drop("n"))
-    is_later = F.struct("doc_id", "first") > F.col("kept")
+    is_later = where > F.col("kept")
     marked = found.join(hot, ["h1", "h2"], "left")
-    place = ["doc_id", F.array("first", "mid", "last").alias("lines")]
+    place = ["doc_id", "version", F.array("first", "mid", "last").alias("lines")]
     later_hot = marked.where(F.col("kept").isNotNull() & is_later).select(*place)
     cold = marked.where(F.col("kept").isNull()).drop("kept").join(kept.where(F.col("n") < least).drop("n").hint("merge"), ["h1", "h2"])
     later = later_hot.unionByName(cold.where(is_later).select(*place))
-    return later.groupBy("doc_id").agg(F.collect_set("lines").alias("covered")).withColumn("covered", F.flatten("covered"))
+    return later.groupBy("doc_id", "version").agg(F.collect_set("lines").alias("covered")).withColumn("covered", F.flatten("covered"))
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_lines, n_removed) of each row of ``docs`` (doc_id, text, any others).
 
     Null stays null with no lines; texts of fewer than three non-blank lines stay
-    as they are. Rows with the same doc_id and equal windows at equal places are
-    one place: such repeated rows keep the same lines.
+    as they are. Repeated rows keep the same lines; rows of one doc_id with
+    different texts are different documents, in order of a hash of the text. Rows
+    without a doc_id come before all others and stay whole. An empty table gives
+    an empty result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(covered_lines(docs), "doc_id", "left")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("version", F.xxhash64("text")).join(covered_lines(docs), ["doc_id", "version"], "left")
     rows = rows.withColumn("lines", _lines(F.col("text")))
     rows = rows.withColumn("left", F.when(F.col("covered").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "covered")))
     text = F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n")

@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     by links. Null, empty and blank texts have the empty set, linked with
     nothing. doc_id names a document: repeated rows get the same answer. Rows
     without a doc_id are linked with nothing: they are kept, and their
-    component_id is null.
+    component_id is null. An empty table gives an empty result.
     """
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

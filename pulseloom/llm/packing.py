@@ -206,7 +206,7 @@ def pack_documents(docs: DataFrame, limits: tuple[int, int, int] = (TOKENS, SEGM
     """Pack the ids of ``docs`` (doc_id, text, any others), each document followed by id 0.
 
     A row per piece. Null and empty texts are the end id alone; repeated rows are
-    packed as often as they come; an empty table gives no sequences. All tokens
+    packed as often as they come, rows without a doc_id like others; an empty table gives no sequences. All tokens
     but a document's first ``context`` bear loss. ``docs`` should be read from
     files, so that a task that runs again sees its rows in the same order.
     """

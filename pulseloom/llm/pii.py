@@ -164,7 +164,11 @@ def joined(spans: Column) -> Column:
 
 
 def pii_report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): counts of the base kinds, their digest, and all spans."""
+    """Per row of ``docs`` (doc_id, text, any others): counts of the base kinds, their digest, and all spans.
+
+    Null counts as empty. Repeated rows give repeated rows, rows without a doc_id
+    a row without one, and an empty table an empty result.
+    """
     base = [k.name for k in KINDS if k.base]
     found = pii_spans(docs.select("doc_id", "text"))
     found = found.withColumn("of_base", F.filter("pii", lambda s: s.kind.isin(base)))

@@ -113,6 +113,8 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
     Positions are code points, the end exclusive. Null counts as empty; texts
     without secrets have zeros, the digest of an empty string and no spans.
+    Repeated rows give repeated rows, rows without a doc_id a row without one,
+    and an empty table an empty result.
     """
 
     names = ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
@@ -141,7 +143,10 @@ def redacted(text: str, mark: str) -> str:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with secrets in ``text`` replaced; ``n_chars``, where there is one, follows. Null texts stay null."""
+    """``docs`` with secrets in ``text`` replaced; ``n_chars``, where there is one, follows.
+
+    Null texts stay null; every row stays, whatever its doc_id and however often it comes.
+    """
     schema = docs.schema
     counted = "n_chars" in docs.columns
 

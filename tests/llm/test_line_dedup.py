@@ -33,3 +33,11 @@ def test_matches_brute_force(spark):
     for r in rows:
         assert r.text == want[r.doc_id], (r.doc_id, r.text, want[r.doc_id])
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    whole = "a\nb\nc\nd"
+    rows = [(1, whole), (1, whole), (2, whole + "\ne"), (2, "x\ny\nz\nw"), (None, "k\nl\nm"), (3, "k\nl\nm\nn"), (4, "p\nq\nr"), (4, "p\nq\nr")]
+    df = spark.createDataFrame([(i, t, "v") for i, t in rows], "doc_id long, text string, version string")
+    got = sorted(((r.doc_id, r.text) for r in line_dedup.line_dedup(df).collect()), key=str)
+    assert got == sorted([(1, whole), (1, whole), (2, "e"), (2, "x\ny\nz\nw"), (None, "k\nl\nm"), (3, "n"), (4, "p\nq\nr"), (4, "p\nq\nr")], key=str)

@@ -71,3 +71,8 @@ def test_repeated_rows_stay(spark):
     assert [r.n_email for r in pii.pii_report(df).collect()] == [1, 1, 1]
     assert [(r.text, r.pii) for r in pii.mask_pii(df).collect()] == [("<email>", 1)] * 3
     assert pii.pii_spans(df).columns == ["doc_id", "text", "pii"]
+
+
+def test_rows_without_id_or_text(spark):
+    df = spark.createDataFrame([(None, "a@b.cc"), (2, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_email, r.spans) for r in pii.pii_report(df).collect()) == [("2", 0, ""), ("None", 1, "email:0:6")]

@@ -48,3 +48,9 @@ def test_redaction(spark):
     rows = secrets.redact_secrets(df).orderBy("doc_id").collect()
     assert [r.text for r in rows] == ["a [secret] b", None, "clean"] and rows[0].n_chars == 12
     assert secrets.redact_secrets(df.limit(0)).count() == 0
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(None, "password: hunter22"), (1, None), (1, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_assign, r.spans) for r in secrets.secret_report(df).collect()) == [("1", 0, ""), ("1", 0, ""), ("None", 1, "assign:0:18")]
+    assert secrets.secret_report(df.limit(0)).count() == 0 and secrets.redact_secrets(df).count() == 3
