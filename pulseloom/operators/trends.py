@@ -111,6 +111,39 @@ def segments(m: DataFrame, least: int = 3, share: float = 0.05) -> DataFrame:
     return out.groupBy(*KEYS, F.col("seg").alias("first_k")).agg(F.max("k").alias("last_k"), F.min("ts").alias("start_ts"), F.avg("value").alias("mean"), F.regr_slope("value", "k").alias("slope"))
 
 
+def decompose_whole(m: DataFrame) -> DataFrame:
+    """Trend, seasonal part and residual of each series for every day from its first to its last reading.
+
+    Days without readings take the value of the day before. The period is 7 for
+    14 days and more, else 3 or a third of the readings (2 at least) for 6 days
+    and more; shorter series, and those of fewer days than two periods, have no
+    rows. The trend is the centred mean over a period (the outer days of an even
+    one count half); at both ends it goes on along the line through its nearest
+    values, as many as the period has. The seasonal part is the mean of each
+    phase of what is left, about zero.
+    """
+    days = m.where("value IS NOT NULL").groupBy(*KEYS, F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("c"))
+    span = days.groupBy(*KEYS).agg(F.min("day").alias("a"), F.max("day").alias("b"), F.sum("c").alias("c"))
+    span = span.withColumn("size", F.datediff("b", "a") + 1).withColumn("p", F.when(F.datediff("b", "a") >= 14, 7).when(F.datediff("b", "a") >= 6, F.least(F.lit(3), F.floor(F.col("c") / 3).cast("int"))))
+    span = span.where("p >= 2 AND size >= 2 * p")
+    own = Window.partitionBy(*KEYS)
+    w = own.orderBy("day")
+    rows = span.select(*KEYS, "p", "size", F.posexplode(F.sequence("a", "b")).alias("k", "day")).join(days.select(*KEYS, "day", "v"), [*KEYS, "day"], "left")
+    rows = rows.withColumn("v", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("h", F.floor(F.col("p") / 2))
+    mean = lambda n: F.avg("v").over(w.rowsBetween(-n, n))
+    inside = (F.col("k") >= F.col("h")) & (F.col("k") < F.col("size") - F.col("h"))
+    rows = rows.withColumn("t", F.when(inside, F.when(F.col("p") == 7, mean(3)).when(F.col("p") == 3, mean(1)).otherwise((F.lag("v").over(w) + 2 * F.col("v") + F.lead("v").over(w)) / 4)))
+    front, back = F.col("k") < F.col("h") + F.col("p"), F.col("k") >= F.col("size") - F.col("h") - F.col("p")
+    line = lambda near, f: f(F.when(near, F.col("t")), F.when(near & F.col("t").isNotNull(), F.col("k"))).over(own)
+    at = lambda near: line(near, F.regr_intercept) + line(near, F.regr_slope) * F.col("k")
+    rows = rows.withColumn("start", at(front)).withColumn("finish", at(back))
+    rows = rows.withColumn("trend", F.coalesce("t", F.when(F.col("k") < F.col("h"), F.col("start")).otherwise(F.col("finish")))).withColumn("phase", F.col("k") % F.col("p"))
+    rows = rows.withColumn("raw", F.avg(F.col("v") - F.col("trend")).over(Window.partitionBy(*KEYS, "phase")))
+    phases = F.sum(F.when(F.col("k") < F.col("p"), F.col("raw"))).over(own) / F.col("p")  # each phase once
+    rows = rows.withColumn("seasonal", F.col("raw") - phases)
+    return rows.select(*KEYS, "day", F.col("p").alias("period"), "v", "trend", "seasonal", (F.col("v") - F.col("trend") - F.col("seasonal")).alias("residual"))
+
+
 def rolling_change_flags(m: DataFrame, most: int = 5, limit: float = 2.0, least: int = 10) -> DataFrame:
     """Readings more than ``limit`` deviations of the other readings around off their mean, but for a window at both ends of a series."""
     rows = others_around(m, most, 2).where((F.col("sd") > 1e-9) & (F.col("n") >= least) & (F.col("k") > F.col("w")) & (F.col("k") <= F.col("n") - F.col("w")))
@@ -202,6 +235,33 @@ def forecast_ensemble(m: DataFrame, h: int = 7) -> DataFrame:
     return j.select(*KEYS, "step", ((F.col("f1") * F.col("w1") + F.col("f2") * F.col("w2")) / (F.col("w1") + F.col("w2"))).alias("forecast"), F.when(F.col("w1") >= F.col("w2"), "linear").otherwise("smoothing").alias("best"))
 
 
+def forecast_held_out(m: DataFrame, h: int = 7, share: float = 0.8, least: int = 10) -> DataFrame:
+    """Linear and smoothing forecasts of each series, weighted by the inverse of their errors on what they weren't fitted to.
+
+    Both are fitted to the first ``share`` of a series of ``least`` readings or
+    more and foretell the rest; the forecasts themselves are fitted to all of
+    it. ``best`` has the smaller error there, and the grade follows from its
+    share of the variance there (excellent from 0.8, good from 0.6, fair from
+    0.4, else poor; null where the rest doesn't vary).
+    """
+    own = Window.partitionBy(*KEYS)
+    rows = m.where("value IS NOT NULL").withColumn("k", F.row_number().over(series())).withColumn("n", F.count(F.lit(1)).over(own)).where(F.col("n") >= least).withColumn("n_fit", F.floor(F.col("n") * share))
+    fit = rows.where("k <= n_fit")
+    line = fit.groupBy(*KEYS).agg(F.regr_slope("value", "k").alias("b"), F.regr_intercept("value", "k").alias("a"))
+    two = forecast_holt(fit, 2).groupBy(*KEYS).agg(F.max(F.when(F.col("step") == 1, F.col("forecast"))).alias("f1"), F.max(F.when(F.col("step") == 2, F.col("forecast"))).alias("f2"))
+    rest = rows.where("k > n_fit").join(line, KEYS).join(two, KEYS)
+    e1 = F.col("value") - F.col("a") - F.col("b") * F.col("k")
+    e2 = F.col("value") - F.col("f1") - (F.col("k") - F.col("n_fit") - 1) * (F.col("f2") - F.col("f1"))
+    g = rest.groupBy(*KEYS).agg(F.sqrt(F.avg(e1 * e1)).alias("rmse_linear"), F.sqrt(F.avg(e2 * e2)).alias("rmse_smoothing"), F.var_pop("value").alias("spread"))
+    best = F.least("rmse_linear", "rmse_smoothing")
+    r2 = F.when(F.col("spread") > 1e-12, F.round(1 - best * best / F.col("spread"), 9))
+    grade = F.when(r2 >= 0.8, "excellent").when(r2 >= 0.6, "good").when(r2 >= 0.4, "fair").when(r2.isNotNull(), "poor")
+    j = g.join(forecast_linear(m, h).select(*KEYS, "step", F.col("forecast").alias("f1")), KEYS).join(forecast_holt(m, h).select(*KEYS, "step", F.col("forecast").alias("f2")), [*KEYS, "step"])
+    w1, w2 = 1 / F.greatest("rmse_linear", F.lit(1e-6)), 1 / F.greatest("rmse_smoothing", F.lit(1e-6))
+    name = F.when(F.round("rmse_linear", 9) <= F.round("rmse_smoothing", 9), "linear").otherwise("smoothing")
+    return j.select(*KEYS, "step", ((F.col("f1") * w1 + F.col("f2") * w2) / (w1 + w2)).alias("forecast"), "rmse_linear", "rmse_smoothing", name.alias("best"), grade.alias("grade"))
+
+
 def trend_summary(m: DataFrame) -> DataFrame:
     """Per series: the trend of the first method that sees one (regression, then Mann-Kendall, then the change point), and an outlook."""
     a = linear_trend(m).select(*KEYS, "slope", F.when(F.col("se") > 0, F.col("slope") / F.col("se")).alias("t"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pulseloom.functions.labels import label_sql
@@ -60,6 +62,14 @@ DEC = """dy AS (SELECT user_id, metric_type, ts::DATE AS day, avg(value) AS v FR
 WINDOW w AS (PARTITION BY user_id, metric_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)), rw AS (SELECT user_id, metric_type, phase, avg(v - trend) AS raw FROM tr GROUP BY ALL), se AS (SELECT user_id, metric_type, phase, raw - avg(raw) OVER (PARTITION BY user_id, metric_type) AS seasonal FROM rw),
 dc AS (SELECT user_id, metric_type, day, v, trend, seasonal, v - trend - seasonal AS residual FROM tr JOIN se USING (user_id, metric_type, phase))"""
 register("trd_3_decompose", lambda m: rounded(T.decompose(m)), f"WITH {DEC} SELECT user_id, metric_type, day, round(v, 6) AS v, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(residual, 6) AS residual FROM dc")
+register("trd_3_decompose_whole", lambda m: rounded(T.decompose_whole(m)), f"""
+WITH dd AS (SELECT user_id, metric_type, ts::DATE AS day, avg(value) AS v, count(*) AS c FROM m WHERE value IS NOT NULL GROUP BY ALL), sp AS (SELECT user_id, metric_type, min(day) AS a, max(day) AS b, sum(c)::INT AS c, (max(day) - min(day))::INT + 1 AS size FROM dd GROUP BY user_id, metric_type),
+pe AS (SELECT *, CASE WHEN size > 14 THEN 7 WHEN size > 6 THEN least(3, c // 3) END AS p FROM sp), ok AS (SELECT * FROM pe WHERE p >= 2 AND size >= 2 * p), gr AS (SELECT user_id, metric_type, p, size, p // 2 AS h, unnest(generate_series(a::TIMESTAMP, b::TIMESTAMP, INTERVAL 1 DAY))::DATE AS day, a FROM ok),
+fi AS (SELECT gr.*, (gr.day - a)::INT AS k, last_value(v IGNORE NULLS) OVER (PARTITION BY gr.user_id, gr.metric_type ORDER BY gr.day ROWS UNBOUNDED PRECEDING) AS v FROM gr LEFT JOIN dd USING (user_id, metric_type, day)),
+tr AS (SELECT *, CASE WHEN k >= h AND k < size - h THEN CASE p WHEN 7 THEN avg(v) OVER s3 WHEN 3 THEN avg(v) OVER s1 ELSE (lag(v) OVER s + 2 * v + lead(v) OVER s) / 4 END END AS t FROM fi WINDOW s AS (PARTITION BY user_id, metric_type ORDER BY day), s3 AS (PARTITION BY user_id, metric_type ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), s1 AS (PARTITION BY user_id, metric_type ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+li AS (SELECT user_id, metric_type, regr_slope(t, k) FILTER (k < h + p) AS s0, regr_intercept(t, k) FILTER (k < h + p) AS i0, regr_slope(t, k) FILTER (k >= size - h - p) AS s1, regr_intercept(t, k) FILTER (k >= size - h - p) AS i1 FROM tr WHERE t IS NOT NULL GROUP BY user_id, metric_type),
+wh AS (SELECT tr.*, k % p AS ph, coalesce(t, CASE WHEN k < h THEN i0 + s0 * k ELSE i1 + s1 * k END) AS trend FROM tr JOIN li USING (user_id, metric_type)), ra AS (SELECT user_id, metric_type, ph, avg(v - trend) AS raw FROM wh GROUP BY user_id, metric_type, ph), se AS (SELECT *, raw - avg(raw) OVER (PARTITION BY user_id, metric_type) AS seasonal FROM ra)
+SELECT user_id, metric_type, day, p AS period, round(v, 6) AS v, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(v - trend - seasonal, 6) AS residual FROM wh JOIN se USING (user_id, metric_type, ph)""")
 register("trd_3_seasonal_strength", lambda m: rounded(T.seasonal_strength(m)), f"WITH {DEC} SELECT user_id, metric_type, count(*) AS days, round(greatest(0, 1 - var_pop(residual) / var_pop(seasonal + residual)), 6) AS strength FROM dc WHERE residual IS NOT NULL GROUP BY user_id, metric_type HAVING var_pop(seasonal + residual) > 1e-12")
 register("trd_4_change_points", lambda m: rounded(T.change_points(m)), f"""
 WITH k AS (SELECT *, row_number() OVER {O} AS k, count(*) OVER {P} AS n, value - avg(value) OVER {P} AS v, var_pop(value) OVER {P} AS sse FROM m), s AS (SELECT *, sum(v) OVER (PARTITION BY user_id, metric_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM k),
@@ -103,6 +113,16 @@ register("fcs_6_forecast_holt", lambda m: rounded(T.forecast_holt(m)), f"WITH {H
 register("fcs_8_forecast_ensemble", lambda m: rounded(T.forecast_ensemble(m)), f"""
 WITH {LF}, {HOLT}, j AS (SELECT fl.user_id, fl.metric_type, fl.step, f, forecast, 1 / greatest(sqrt((1 - r2) * syy / n), 1e-6) AS w1, 1 / greatest(sqrt(sse / (n - 1)), 1e-6) AS w2 FROM fl JOIN hf USING (user_id, metric_type, step) JOIN fg USING (user_id, metric_type))
 SELECT {K}, step, round((f * w1 + forecast * w2) / (w1 + w2), 6) AS forecast, CASE WHEN w1 >= w2 THEN 'linear' ELSE 'smoothing' END AS best FROM j""")
+# the same smoothing, over the first four fifths of each series
+HOLT_FIT = re.sub(r"\b(hv|ga|gb|hr|hb|hf)\b", r"\g<1>2", HOLT).replace("FROM m GROUP", "FROM mk WHERE k <= nf GROUP")
+register("fcs_8_forecast_held_out", lambda m: rounded(T.forecast_held_out(m)), f"""
+WITH {LF}, {HOLT}, mk AS (SELECT *, floor(n * 0.8) AS nf FROM (SELECT *, row_number() OVER {O} AS k, count(*) OVER {P} AS n FROM m WHERE value IS NOT NULL) WHERE n >= 10), {HOLT_FIT},
+ln AS (SELECT user_id, metric_type, regr_slope(value, k) AS b, regr_intercept(value, k) AS a FROM mk WHERE k <= nf GROUP BY user_id, metric_type), tw AS (SELECT user_id, metric_type, max(forecast) FILTER (step = 1) AS f1, max(forecast) FILTER (step = 2) AS f2 FROM hf2 GROUP BY user_id, metric_type),
+er AS (SELECT user_id, metric_type, sqrt(avg(pow(value - a - b * k, 2))) AS r1, sqrt(avg(pow(value - f1 - (k - nf - 1) * (f2 - f1), 2))) AS r2, var_pop(value) AS spread FROM mk JOIN ln USING (user_id, metric_type) JOIN tw USING (user_id, metric_type) WHERE k > nf GROUP BY user_id, metric_type),
+gr AS (SELECT *, CASE WHEN spread > 1e-12 THEN round(1 - pow(least(r1, r2), 2) / spread, 9) END AS e FROM er)
+SELECT {K}, fl.step, round((f / greatest(r1, 1e-6) + forecast / greatest(r2, 1e-6)) / (1 / greatest(r1, 1e-6) + 1 / greatest(r2, 1e-6)), 6) AS forecast, round(r1, 6) AS rmse_linear, round(r2, 6) AS rmse_smoothing,
+CASE WHEN round(r1, 9) <= round(r2, 9) THEN 'linear' ELSE 'smoothing' END AS best, CASE WHEN e >= 0.8 THEN 'excellent' WHEN e >= 0.6 THEN 'good' WHEN e >= 0.4 THEN 'fair' WHEN e IS NOT NULL THEN 'poor' END AS grade
+FROM gr JOIN fl USING (user_id, metric_type) JOIN hf USING (user_id, metric_type, step)""")
 register("trd_8_trend_summary", T.trend_summary, f"""
 WITH {LIN}, k AS (SELECT *, row_number() OVER {O} AS k, count(*) OVER {P} AS n, value - avg(value) OVER {P} AS v, var_pop(value) OVER {P} AS sse FROM m),
 g AS (SELECT a.user_id, a.metric_type, sum(sign(b.value - a.value)) AS s, sum(abs(sign(b.value - a.value))) AS u, max(b.k)::INT AS n FROM k a JOIN k b ON a.user_id = b.user_id AND a.metric_type = b.metric_type AND a.k < b.k GROUP BY ALL),
