@@ -78,7 +78,7 @@ def test_hotelling_equals_numpy(spark):
         for k in range(n):
             for t, kind in enumerate(types):
                 ts = START + datetime.timedelta(days=k)
-                rows += [(user, kind, ts, x[k, t] - 1.0), (user, kind, ts + datetime.timedelta(hours=3), x[k, t] + 1.0)]
+                rows += [(user, kind, ts, float(x[k, t]) - 1.0), (user, kind, ts + datetime.timedelta(hours=3), float(x[k, t]) + 1.0)]
         rows.append((user, "p", START + datetime.timedelta(days=90), 1.0))  # a day without the others
         if n >= 5:
             gap = x - x.mean(0)
