@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, WindowSpec, functions as F
 
 #: Coefficients of the error function approximation (Abramowitz and Stegun 7.1.26).
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -19,6 +19,14 @@ QUANTILE_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00
 QUANTILE_TAIL = 0.02425
 
 
+def corr(x: str, y: str, over: WindowSpec | None = None) -> Column:
+    """Pearson's r of the rows that have both; null where one side doesn't vary, which ``F.corr`` makes an error in ANSI mode."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    placed = lambda c: c if over is None else c.over(over)
+    return F.try_divide(placed(F.covar_pop(a, b)), placed(F.stddev_pop(a)) * placed(F.stddev_pop(b)))
+
+
 def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
     """The polynomial with these coefficients, highest power first."""
     out = F.lit(float(coefficients[0]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.functions.labels import label
-from pulseloom.functions.stats import normal_two_sided, t_quantile_975, t_two_sided
+from pulseloom.functions.stats import corr, normal_two_sided, t_quantile_975, t_two_sided
 from pulseloom.operators.aggregates import KEYS, r6
 from pulseloom.operators.graphs import betweenness
 from pulseloom.sources.shared import staged
@@ -17,7 +17,7 @@ def finite(c: Column) -> Column:
 
 def pearson(pairs: DataFrame, keys: list[str], least: int = 10) -> DataFrame:
     """r, t, p, Fisher interval and strength of x and y per group, for ``least`` pairs or more that vary."""
-    g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), finite(F.corr("x", "y")).alias("r")).where((F.col("n") >= least) & F.col("r").isNotNull())
+    g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), finite(corr("x", "y")).alias("r")).where((F.col("n") >= least) & F.col("r").isNotNull())
     near_one = F.abs("r") >= 1 - 1e-12
     t = F.when(~near_one, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
     g = g.withColumn("t", t).withColumn("p", F.when(near_one, 0.0).otherwise(t_two_sided(F.col("t"), F.col("n") - 2)))
@@ -108,7 +108,7 @@ def lagged_corr(series: DataFrame, keys: list[str], most: int, least: int = 10,
     lags = F.explode(F.sequence(F.lit(-most), F.lit(most)))
     a = series.select(*keys, "i", "x").where("x IS NOT NULL").withColumn("lag", lags).withColumn("j", F.col("i") + F.col("lag"))
     b = series.select(*keys, F.col("i").alias("j"), "y").where("y IS NOT NULL")
-    g = a.join(b, [*keys, "j"]).groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("x") * F.col("y")) if standard else finite(F.corr("x", "y"))).alias("r"))
+    g = a.join(b, [*keys, "j"]).groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("x") * F.col("y")) if standard else finite(corr("x", "y"))).alias("r"))
     return g.where((F.col("n") >= least) & F.col("r").isNotNull())
 
 
@@ -126,7 +126,7 @@ def partial_corr(rows: DataFrame, keys: list[str], controls: tuple[str, ...] = (
     """
     names = ["x", "y", *controls]
     r = lambda i, j: F.col(f"__r{min(i, j)}_{max(i, j)}")
-    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[finite(F.corr(names[i], names[j])).alias(f"__r{i}_{j}") for j in range(len(names)) for i in range(j)])
+    g = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[finite(corr(names[i], names[j])).alias(f"__r{i}_{j}") for j in range(len(names)) for i in range(j)])
     g = g.withColumn("r", r(0, 1))
     for c in range(len(names) - 1, 1, -1):
         free = lambda i, c=c: F.sqrt(F.greatest(F.lit(0.0), 1 - r(i, c) * r(i, c)))

@@ -205,11 +205,13 @@ def dbscan_1d(m: DataFrame, eps: float = 5.0, least: int = 3) -> DataFrame:
 
 
 def motifs(m: DataFrame, length: int = 4, k: int = 3) -> DataFrame:
-    """k-means of the scaled windows of ``length`` readings of each series: how often each shape comes, and its mean."""
+    """k-means of the scaled windows of ``length`` readings of each series: how often each shape comes, and its mean. A series that doesn't vary is flat at 0."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    z = (F.col("value") - F.avg("value").over(Window.partitionBy(*KEYS))) / F.stddev_pop("value").over(Window.partitionBy(*KEYS))
+    own = Window.partitionBy(*KEYS)
+    sd, gap = F.stddev_pop("value").over(own), F.col("value") - F.avg("value").over(own)
+    z = F.when(sd > 0, gap / sd).when(sd == 0, 0.0 * gap)
     rows = m.withColumn("z", z).withColumn("shape", F.collect_list("z").over(series().rowsBetween(0, length - 1))).where(F.size("shape") == length)
     rows = rows.select("metric_type", "shape", array_to_vector("shape").alias("features"))
     if rows.isEmpty():

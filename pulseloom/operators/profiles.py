@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulseloom.functions.stats import corr
 from pulseloom.operators.aggregates import KEYS, r6
 
 
@@ -12,7 +13,7 @@ def multi_scale_corr(pairs: DataFrame, widths: tuple[int, ...] = (1, 3, 7, 14))
     first = F.min("day").over(Window.partitionBy("user_id"))
     rows = pairs.withColumn("first", first).withColumn("width", F.explode(F.array(*map(F.lit, widths)))).withColumn("bucket", F.floor(F.datediff("day", "first") / F.col("width")))
     b = rows.groupBy("user_id", "width", "bucket").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    g = b.groupBy("user_id", "width").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("r"))
+    g = b.groupBy("user_id", "width").agg(F.count(F.lit(1)).alias("n"), corr("x", "y").alias("r"))
     return g.where("n >= 4 AND r IS NOT NULL AND NOT isnan(r)").select("user_id", "width", "n", r6("r").alias("r"))
 
 

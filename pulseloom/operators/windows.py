@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from pulseloom.functions.stats import corr
 from pulseloom.operators.aggregates import KEYS, r6
 
 
@@ -123,7 +124,7 @@ def rolling_corr(m: DataFrame, a: str, b: str, w: int = 7, least: int = 5) -> Da
         F.avg(F.when(F.col("metric_type") == a, F.col("value"))).alias("x"), F.avg(F.when(F.col("metric_type") == b, F.col("value"))).alias("y"),
     ).where("x IS NOT NULL AND y IS NOT NULL")
     win = Window.partitionBy("user_id").orderBy("day").rowsBetween(-w, w - 1)
-    rows = days.withColumn("r", F.when(F.count(F.lit(1)).over(win) >= least, F.corr("x", "y").over(win))).where("r IS NOT NULL AND NOT isnan(r)")
+    rows = days.withColumn("r", F.when(F.count(F.lit(1)).over(win) >= least, corr("x", "y", win))).where("r IS NOT NULL AND NOT isnan(r)")
     g = rows.groupBy("user_id").agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("sd"), F.min("r").alias("low"), F.max("r").alias("high"), F.count(F.lit(1)).alias("windows"))
     return g.select("user_id", r6("mean").alias("mean_r"), r6("sd").alias("sd_r"), r6(F.col("high") - F.col("low")).alias("range_r"), "windows", r6(F.greatest(F.lit(0.0), 1 - F.col("sd"))).alias("stability"))
 
