@@ -27,6 +27,31 @@ def corr(x: str, y: str, over: WindowSpec | None = None) -> Column:
     return F.try_divide(placed(F.covar_pop(a, b)), placed(F.stddev_pop(a)) * placed(F.stddev_pop(b)))
 
 
+def rounded_product(x: Column, digits: int = 6) -> Column:
+    """x to so many digits by rounding x times a power of ten, as DuckDB does; ``F.round`` rounds the decimal text of x, which differs near a half."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """Text of x with so many digits behind the point, rounded by the exact binary value (a half to even), as C and DuckDB do.
+
+    ``format_string`` rounds the shortest decimal text of x instead, so that
+    0.0005 and the like, whose binary value is below the half, go up.
+    """
+    scale = float(10**digits)
+    a = F.abs(x)
+    # scale * a is p + e exactly: a is split in two halves whose products with scale fit
+    c = 134217729.0 * a
+    high = c - (c - a)
+    p = a * scale
+    e = (high * scale - p) + (a - high) * scale
+    k = F.floor(p)
+    over = (p - k - 0.5) + e
+    n = k + F.when((over > 0) | ((over == 0) & (k % 2 == 1)), 1).otherwise(0)
+    text = F.concat(F.when(x < 0, "-").otherwise(""), ((n - n % int(scale)) / int(scale)).cast("long").cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0"))
+    return F.when(a < 1e9, text).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def polynomial(coefficients: tuple[float, ...], x: Column) -> Column:
     """The polynomial with these coefficients, highest power first."""
     out = F.lit(float(coefficients[0]))

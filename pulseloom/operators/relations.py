@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.operators.aggregates import KEYS, baselines, r6
 from pulseloom.functions.labels import label
+from pulseloom.functions.stats import fixed, rounded_product
 from pulseloom.operators.windows import latest
 from pulseloom.sources.readings import as_of
 
@@ -125,8 +126,8 @@ def anomaly_alerts(m: DataFrame, least: float = 2.0) -> DataFrame:
     scored = score_against_baseline(latest(m), baselines(m)).where(F.abs("z") >= least)
     side = F.when(F.col("z") > 0, "above").otherwise("below")
     confidence = F.least(F.lit(0.99), 0.5 + F.abs("z") / 10)
-    text = F.format_string("%s is %s its baseline: %.2f", F.col("metric_type"), side, F.col("value"))
-    return scored.select("event_id", *KEYS, "ts", "value", "z", "severity", r6(confidence).alias("confidence"), text.alias("message"))
+    text = F.format_string("%s is %s its baseline: %s", F.col("metric_type"), side, fixed(F.col("value"), 2))
+    return scored.select("event_id", *KEYS, "ts", "value", "z", "severity", rounded_product(confidence).alias("confidence"), text.alias("message"))
 
 
 def metric_pairs(d: DataFrame, on: list[str]) -> DataFrame:
@@ -141,7 +142,7 @@ def attach_outcomes(m: DataFrame, event: str) -> DataFrame:
     e = of_type(m, event).select("event_id", "user_id", F.date_add(F.to_date("ts"), 1).alias("day"))
     o = m.groupBy("user_id", F.to_date("ts").alias("day"), "metric_type").agg(r6(F.avg("value")).alias("v"))
     o = o.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("metric_type", "v"))).alias("outcomes"))
-    return e.join(o, ["user_id", "day"]).select("event_id", "user_id", "day", F.array_join(F.transform("outcomes", lambda s: F.concat(s.metric_type, F.lit("="), F.format_string("%.3f", s.v))), ",").alias("outcomes"))
+    return e.join(o, ["user_id", "day"]).select("event_id", "user_id", "day", F.array_join(F.transform("outcomes", lambda s: F.concat(s.metric_type, F.lit("="), fixed(s.v, 3))), ",").alias("outcomes"))
 
 
 def resolve_sender(messages: DataFrame, users: DataFrame) -> DataFrame:

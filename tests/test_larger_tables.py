@@ -4,9 +4,12 @@ import datetime
 
 from pyspark.sql import functions as F
 
-from pulseloom.operators.correlations import partial_corr, pearson, spearman
+from pulseloom.functions.stats import fixed
+from pulseloom.operators.aggregates import KEYS, resample_hourly, resample_linear
+from pulseloom.operators.correlations import lagged_corr, partial_corr, pearson, spearman
 from pulseloom.operators.learning import motifs
-from pulseloom.operators.profiles import multi_scale_corr
+from pulseloom.operators.outcomes import circadian_patterns
+from pulseloom.operators.profiles import multi_scale_corr, sleep_schedule
 from pulseloom.operators.windows import rolling_corr
 
 DAY = datetime.datetime(2024, 1, 1)
@@ -36,3 +39,60 @@ def test_motifs_of_a_series_that_does_not_vary(spark):
     out = motifs(spark.createDataFrame(rows, READINGS), k=4).collect()
     assert sum(r.n for r in out) == 3 + 6
     assert any([r[f"at_{i}"] for i in range(4)] == [0.0] * 4 for r in out)
+
+
+def test_half_way_values_round_as_in_sql(spark):
+    """Text of three digits follows the exact binary value; means near a half follow the product with a million."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(5)
+    values = [36.6175, 71.0435, 0.0625, 0.1875, 0.0005, -2.0625, -0.3335, 0.0, 999999.9995] + [round(rng.uniform(0, 600), 4) for _ in range(2000)] + [k / 16 for k in range(200)]
+    got = [r.s for r in spark.createDataFrame([(float(v),) for v in values], "v double").select(fixed(F.col("v"), 3).alias("s")).collect()]
+    assert got == [f"{v:.3f}" for v in values]
+    halves = [k / 1e6 + 5e-7 for k in range(8143000, 8143400)]
+    beds = spark.createDataFrame([(k, v, v) for k, v in enumerate(halves)], "user_id long, bed_hour double, wake_hour double")
+    got = [r.bed_mean for r in sleep_schedule(beds).orderBy("user_id").collect()]
+    assert got == [r[0] for r in duckdb.execute("SELECT round(unnest(?::DOUBLE[]), 6)", [halves]).fetchall()]
+
+
+def test_hours_of_one_day_are_not_the_steadiest(spark):
+    """An hour that the grid holds once has no deviation, which isn't the smallest one."""
+    rows = [(k, 1, "a", DAY + datetime.timedelta(hours=h), float(v)) for k, (h, v) in enumerate([(2, 1), (3, 7), (26, 5), (27, 7), (29, 2)])]
+    out = circadian_patterns(resample_hourly(spark.createDataFrame(rows, READINGS), KEYS), KEYS).first()
+    assert out.steadiest_hour == 3 and out.trough_hour == 2
+
+
+def test_grids_of_people_are_not_shuffled(spark):
+    """Filled and interpolated hours of each series, also where means are null; everything is exchanged before the grid is made."""
+    at = lambda h: DAY + datetime.timedelta(hours=h)
+    rows = [(1, 1, "a", at(0), None), (2, 1, "a", at(2), 4.0), (3, 1, "a", at(4), 8.0), (4, 1, "a", at(6), None), (5, 2, "a", at(1), None), (6, 2, "a", at(2), None), (7, 1, "b", at(3), 1.0)]
+    m = spark.createDataFrame(rows, READINGS)
+    table = lambda df: sorted((r.user_id, r.metric_type, int((r.hour - DAY).total_seconds() // 3600), r["mean"]) for r in df.collect())
+    rest = [(1, "b", 3, 1.0), (2, "a", 1, None), (2, "a", 2, None)]
+    assert table(resample_hourly(m, KEYS)) == [(1, "a", h, v) for h, v in enumerate([4.0, 4.0, 4.0, 4.0, 8.0, 8.0, 8.0])] + rest
+    assert table(resample_linear(m, KEYS)) == [(1, "a", h, v) for h, v in enumerate([None, None, 4.0, 6.0, 8.0, None, None])] + rest
+    grid = resample_hourly(m, KEYS).groupBy("user_id", "hour").agg(F.max("mean").alias("x"))
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate explode") < plan.index("Exchange") and "Join" not in plan
+
+
+def test_lagged_correlations_of_many_groups(spark):
+    """Each lag's r and n are those of the pairs that both sides have; gaps, short and constant series have none. No rows are copied per lag."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=60), rng.normal(size=60)
+    y[5:] += 2 * x[:-5]
+    rows = [(1, k, float(x[k]) if k != 30 else None, float(y[k])) for k in range(60) if k != 40] + [(2, k, 1.5, float(k)) for k in range(40)] + [(3, k, float(k), float(k)) for k in range(5)]
+    series = spark.createDataFrame(rows, "user_id long, i long, x double, y double")
+    found = lagged_corr(series, ["user_id"], 8)
+    got = {(r.user_id, r.lag): (r.n, r.r) for r in found.collect()}
+    assert {u for u, _ in got} == {1} and len(got) == 17
+    for lag in range(-8, 9):
+        pairs = [(x[k], y[k + lag]) for k in range(60) if 0 <= k + lag < 60 and k not in (30, 40) and k + lag != 40]
+        assert got[1, lag][0] == len(pairs) and abs(got[1, lag][1] - np.corrcoef(*zip(*pairs))[0, 1]) < 1e-12
+    assert max(got, key=lambda k: got[k][1]) == (1, 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
