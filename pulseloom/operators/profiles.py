@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulseloom.functions.stats import corr
+from pulseloom.functions.stats import corr, rounded_product
 from pulseloom.operators.aggregates import KEYS, r6
 
 
@@ -48,13 +48,14 @@ def clock(hour: Column) -> Column:
 def sleep_schedule(rows: DataFrame) -> DataFrame:
     """(user_id, bed_hour, wake_hour): plain means, spreads, and times as text."""
     g = rows.groupBy("user_id").agg(F.avg("bed_hour").alias("b"), F.avg("wake_hour").alias("w"), r6(F.stddev_pop("bed_hour")).alias("bed_spread"), r6(F.stddev_pop("wake_hour")).alias("wake_spread"), F.count(F.lit(1)).alias("nights"))
-    return g.select("user_id", "nights", r6("b").alias("bed_mean"), r6("w").alias("wake_mean"), "bed_spread", "wake_spread", clock(F.round("b", 6)).alias("bed_clock"), clock(F.round("w", 6)).alias("wake_clock"))
+    b, w = rounded_product(F.col("b")), rounded_product(F.col("w"))
+    return g.select("user_id", "nights", b.alias("bed_mean"), w.alias("wake_mean"), "bed_spread", "wake_spread", clock(b).alias("bed_clock"), clock(w).alias("wake_clock"))
 
 
 def bedtime_mean(rows: DataFrame) -> DataFrame:
     """(user_id, bed_hour): mean with hours before noon counted as of the night before, modulo 24."""
     shifted = F.when(F.col("bed_hour") < 12, F.col("bed_hour") + 24).otherwise(F.col("bed_hour"))
-    return rows.groupBy("user_id").agg(r6(F.pmod(F.avg(shifted), F.lit(24.0))).alias("bed_mean"), F.count(F.lit(1)).alias("nights"))
+    return rows.groupBy("user_id").agg(rounded_product(F.pmod(F.avg(shifted), F.lit(24.0))).alias("bed_mean"), F.count(F.lit(1)).alias("nights"))
 
 
 def stage_card(m: DataFrame, since: str) -> DataFrame:
