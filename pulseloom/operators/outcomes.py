@@ -151,6 +151,8 @@ def top_correlations(sweep: DataFrame, k: int = 3) -> DataFrame:
 def circadian_patterns(grid: DataFrame, keys: tuple[str, ...] = ("metric_type",)) -> DataFrame:
     """Per group of an hourly grid: peak, trough, amplitude and consistency of the hours."""
     hours = grid.groupBy(*keys, F.hour("hour").alias("h")).agg(F.avg("mean").alias("mean"), F.stddev_samp("mean").alias("sd"))
-    g = hours.groupBy(*keys).agg(F.max_by("h", F.struct(F.round("mean", 9), -F.col("h"))).alias("peak_hour"), F.min_by("h", F.struct(F.round("mean", 9), "h")).alias("trough_hour"), (F.max("mean") - F.min("mean")).alias("amplitude"), F.when(F.max("sd") > 1e-9, 1 - F.avg("sd") / F.nullif(F.max("sd"), F.lit(0.0))).alias("consistency"), F.min_by("h", F.struct(F.round("sd", 9), "h")).alias("steadiest_hour"))
+    # an hour that comes on one day has no deviation and is behind all others
+    least = lambda c: F.min_by("h", F.struct(F.col(c).isNull(), F.round(c, 9), "h"))
+    g = hours.groupBy(*keys).agg(F.max_by("h", F.struct(F.round("mean", 9), -F.col("h"))).alias("peak_hour"), least("mean").alias("trough_hour"), (F.max("mean") - F.min("mean")).alias("amplitude"), F.when(F.max("sd") > 1e-9, 1 - F.avg("sd") / F.nullif(F.max("sd"), F.lit(0.0))).alias("consistency"), least("sd").alias("steadiest_hour"))
     return g.select(*keys, "peak_hour", "trough_hour", r6("amplitude").alias("amplitude"), r6("consistency").alias("consistency"), "steadiest_hour")
 
