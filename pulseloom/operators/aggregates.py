@@ -214,27 +214,36 @@ def baselines(m: DataFrame, least: int = 3, patterns: bool = False) -> DataFrame
     return out.select(*KEYS, *own)
 
 
+def _known_hours(m: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Hourly means per group of ``keys`` with the hours (``start`` to ``stop``) of the complete grid that each one stands for: up to the next, the first one also for those before it.
+
+    A group whose means are all null has one row of them. People's groups stay with
+    the person, so what is made of a person's rows needs no other exchange, and
+    the grid itself is never shuffled.
+    """
+    hours = m.groupBy(*keys, F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("mean"))
+    if "user_id" in keys:
+        hours = hours.repartition("user_id")
+    w, known = Window.partitionBy(*keys), F.col("mean").isNotNull()
+    rows = hours.withColumn("a", F.min("hour").over(w)).withColumn("b", F.max("hour").over(w)).withColumn("any", F.max(known).over(w))
+    rows = rows.where(known | (~F.col("any") & (F.col("hour") == F.col("a"))))
+    o, one = w.orderBy("hour"), F.expr("INTERVAL 1 HOUR")
+    rows = rows.withColumn("q_hour", F.lead("hour").over(o)).withColumn("q_mean", F.lead("mean").over(o))
+    start = F.when(F.lag("hour").over(o).isNull(), F.col("a")).otherwise(F.col("hour"))
+    return rows.withColumn("start", start).withColumn("stop", F.coalesce(F.col("q_hour") - one, F.col("b"))).withColumnRenamed("hour", "p_hour")
+
+
 def resample_hourly(m: DataFrame, keys: tuple[str, ...] = ("metric_type",)) -> DataFrame:
     """Hourly means per group of ``keys`` (types; with KEYS each person's) on a complete grid of hours, filled forward, then backward."""
-    hours = m.groupBy(*keys, F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("mean"))
-    span = hours.groupBy(*keys).agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    grid = span.select(*keys, F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour"))
-    w = Window.partitionBy(*keys).orderBy("hour")
-    filled = grid.join(hours, [*keys, "hour"], "left").withColumn("ahead", F.last("mean", True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return filled.select(*keys, "hour", F.coalesce("ahead", F.last("mean", True).over(Window.partitionBy(*keys).orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0))).alias("mean"))
+    return _known_hours(m, keys).select(*keys, F.explode(F.expr("sequence(start, stop, INTERVAL 1 HOUR)")).alias("hour"), "mean")
 
 
 def resample_linear(m: DataFrame, keys: tuple[str, ...] = ("metric_type",)) -> DataFrame:
-    """Hourly means per group of ``keys`` on a complete grid of hours, with linear interpolation."""
-    hours = m.groupBy(*keys, F.date_trunc("hour", "ts").alias("hour")).agg(F.avg("value").alias("mean"))
-    span = hours.groupBy(*keys).agg(F.min("hour").alias("a"), F.max("hour").alias("b"))
-    grid = span.select(*keys, F.explode(F.expr("sequence(a, b, INTERVAL 1 HOUR)")).alias("hour")).join(hours, [*keys, "hour"], "left")
-    w = Window.partitionBy(*keys).orderBy("hour")
-    known = F.when(F.col("mean").isNotNull(), F.struct((F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9).alias("h"), F.col("mean").alias("v")))
-    grid = grid.withColumn("p", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("q", F.last(known, True).over(Window.partitionBy(*keys).orderBy(F.desc("hour")).rowsBetween(Window.unboundedPreceding, 0)))
-    h = F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9
-    between = F.col("p.v") + (F.col("q.v") - F.col("p.v")) * (h - F.col("p.h")) / (F.col("q.h") - F.col("p.h"))
-    return grid.select(*keys, "hour", F.when(F.col("mean").isNotNull(), F.col("mean")).otherwise(between).alias("mean"))
+    """Hourly means per group of ``keys`` on a complete grid of hours, with linear interpolation; null where no mean is known before or behind."""
+    rows = _known_hours(m, keys).withColumn("hour", F.explode(F.expr("sequence(start, stop, INTERVAL 1 HOUR)")))
+    h = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 3.6e9
+    between = F.col("mean") + (F.col("q_mean") - F.col("mean")) * (h("hour") - h("p_hour")) / (h("q_hour") - h("p_hour"))
+    return rows.select(*keys, "hour", F.when(F.col("hour") == F.col("p_hour"), F.col("mean")).when(F.col("hour") > F.col("p_hour"), between).alias("mean"))
 
 
 def daily_features(m: DataFrame, least: int = 12) -> DataFrame:

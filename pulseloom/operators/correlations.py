@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.functions.labels import label
@@ -101,15 +103,53 @@ def mic_grid(pairs: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
 
 
 def lagged_corr(series: DataFrame, keys: list[str], most: int, least: int = 10, standard: bool = False) -> DataFrame:
-    """Correlation of x at i with y at i + lag for each lag; columns keys, i, x, y.
+    """Correlation of x at i with y at i + lag for each lag; columns keys, i, x, y, one row per i.
 
-    With ``standard``, the cross-correlation of standardised series over n.
+    With ``standard``, the cross-correlation of both series over n, standardised
+    over the rows that have both; a series that doesn't vary has none. A task has
+    the steps of one group in memory at a time, and no copies per lag are made.
     """
-    lags = F.explode(F.sequence(F.lit(-most), F.lit(most)))
-    a = series.select(*keys, "i", "x").where("x IS NOT NULL").withColumn("lag", lags).withColumn("j", F.col("i") + F.col("lag"))
-    b = series.select(*keys, F.col("i").alias("j"), "y").where("y IS NOT NULL")
-    g = a.join(b, [*keys, "j"]).groupBy(*keys, "lag").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("x") * F.col("y")) if standard else finite(corr("x", "y"))).alias("r"))
-    return g.where((F.col("n") >= least) & F.col("r").isNotNull())
+    kinds = [f"{k} {series.schema[k].dataType.simpleString()}" for k in keys]
+
+    def lags(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i = table.column("i").to_numpy()
+        size = int(i.max() - i.min()) + 1 if len(i) else 0
+        has, v = np.zeros((2, size), bool), np.zeros((2, size))
+        for side, c in enumerate(("x", "y")):
+            known = ~table.column(c).is_null().to_numpy()
+            at = i[known] - i.min()
+            has[side, at], v[side, at] = True, table.column(c).to_numpy()[known]
+        total = 1
+        if standard:
+            has[:] = has.all(0)
+            total = int(has[0].sum())
+            for side in (0, 1):
+                own = v[side, has[side]]
+                sd = own.std() if total else 0.0
+                if not sd > 1e-9:
+                    has[:] = False
+                    break
+                v[side, has[side]] = (own - own.mean()) / sd
+        out = []
+        for lag in range(max(-most, 1 - size), min(most, size - 1) + 1):
+            a, b = slice(max(0, -lag), size - max(0, lag)), slice(max(0, lag), size + min(0, lag))
+            both = has[0, a] & has[1, b]
+            x, y = v[0, a][both], v[1, b][both]
+            if len(x) < least:
+                continue
+            if standard:
+                r = x @ y / total
+            else:
+                if x.min() == x.max() or y.min() == y.max():
+                    continue
+                x, y = x - x.mean(), y - y.mean()
+                r = x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y))
+            if not np.isnan(r):
+                out.append((lag, len(x), r))
+        own = [pa.repeat(k, len(out)) for k in key]
+        return pa.table([*own, pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=[*keys, "lag", "n", "r"])
+
+    return series.select(*keys, F.col("i").cast("long").alias("i"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).groupBy(*keys).applyInArrow(lags, f"{', '.join(kinds)}, lag int, n long, r double")
 
 
 def best_lag(by_lag: DataFrame, keys: list[str]) -> DataFrame:

@@ -106,7 +106,7 @@ SELECT user_id, max(n) AS n, round(max(score), 6) AS mic FROM s WHERE bins * bin
 
 def _grid(m, person=False):
     """The hourly grid of clicks (x) and views (y), numbered; all people's, or each person's own."""
-    rows = resample_hourly(m, KEYS if person else ("metric_type",)).where(F.col("metric_type").isin("click", "view"))
+    rows = resample_hourly(m.where(F.col("metric_type").isin("click", "view")), KEYS if person else ("metric_type",))
     g = rows.groupBy(*(U if person else []), "hour").agg(F.max(F.when(F.col("metric_type") == "click", F.col("mean"))).alias("x"), F.max(F.when(F.col("metric_type") == "view", F.col("mean"))).alias("y"))
     return g.select("user_id" if person else F.lit("all").alias("user_id"), (F.unix_micros(F.col("hour").cast("timestamp")) / 3.6e9).cast("long").alias("i"), "x", "y")
 
@@ -119,11 +119,7 @@ WITH {LAGGED.format(n=12)} SELECT lag, round(r, 6) AS r, n, CASE WHEN lag > 0 TH
 
 
 def _cross(m, person=False):
-    g = _grid(m, person).where("x IS NOT NULL AND y IS NOT NULL")
-    s = g.groupBy("user_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"), F.count(F.lit(1)).alias("total")).where("sx > 1e-9 AND sy > 1e-9")
-    z = g.join(s, "user_id").select("user_id", "i", "total", ((F.col("x") - F.col("mx")) / F.col("sx")).alias("x"), ((F.col("y") - F.col("my")) / F.col("sy")).alias("y"))
-    by = C.lagged_corr(z.drop("total"), U, 48, standard=True).join(s.select("user_id", "total"), "user_id").withColumn("r", F.col("r") / F.col("total"))
-    return C.best_lag(by.drop("total"), U).select("user_id", "lag", "r", "n")
+    return C.best_lag(C.lagged_corr(_grid(m, person), U, 48, standard=True), U).select("user_id", "lag", "r", "n")
 
 
 register("cor_6_cross_correlation", lambda m: rounded(_cross(m).drop("user_id")), f"""
