@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: A row that opens every vector search: blocks of queries that are broadcast are no larger.
+from pulseloom.sources.shared import staged
+
+#: The most queries of a text search that are broadcast.
 QUERY_ROWS = 1_000
+#: Queries and rows of a tile of the vector search.
+TILE_QUERIES, TILE_ROWS = 2_048, 16_384
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -24,33 +30,71 @@ def distance(a: Column, b: Column) -> Column:
 def vector_search(queries: DataFrame, corpus: DataFrame, k: int, threshold: float) -> DataFrame:
     """The ``k`` most similar corpus rows of each query, at ``threshold`` or above; ties by distance, then id.
 
-    A stated set of queries meets every row; the queries are broadcast only
-    below QUERY_ROWS, else both sides are dealt out by blocks of queries.
+    Every query meets every row, in tiles of some thousand rows each: a tile is a
+    matrix product that gives the best of each query only, so no pairs are
+    shuffled. The copies that tiles need are a vector per TILE_QUERIES queries.
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    c = corpus.select("vec_id", "embedding")
-    if q.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
-        pairs = c.join(F.broadcast(q.withColumn("b", F.lit(0))), F.col("b") == 0)
-    else:
-        blocks = 64
-        q = q.withColumn("b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        pairs = c.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")).join(q, "b")
-    scored = pairs.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("similarity"), F.round(distance(F.col("q"), F.col("embedding")), 6).alias("distance"))
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    ready = lambda df: df.where(whole).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("dim"))
+    q, c = ready(queries.select("vec_id", "embedding")), ready(corpus.select("vec_id", "embedding"))
+    many, rows = q.count(), c.count()
+    blocks, parts = max(1, -(-many // TILE_QUERIES)), max(1, -(-rows // TILE_ROWS))
+    deal = lambda of, n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias(of)
+    copies = lambda of, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(of)
+    q = q.select("id", "v", "dim", deal("block", blocks), copies("part", parts))
+    c = c.select("id", "v", "dim", deal("part", parts), copies("block", blocks))
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        if len(left) and len(right):
+            (a, ids_a), (b, ids_b) = (((t.column("v").combine_chunks().flatten().to_numpy()).reshape(len(t), -1), t.column("id").to_numpy()) for t in (left, right))
+            na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
+            a, ids_a, na, b, ids_b, nb = a[na != 0], ids_a[na != 0], na[na != 0], b[nb != 0], ids_b[nb != 0], nb[nb != 0]
+            for at in range(0, len(a), 64):
+                some = slice(at, at + 64)
+                s = (a[some] @ b.T) / (na[some, None] * nb)
+                order = np.where(np.isnan(s), np.inf, s)  # Spark's order: NaN is above all numbers
+                least = np.full((len(s), 1), threshold - 1e-6)
+                if len(b) > k:  # all that may round to the k-th best stay
+                    least = np.maximum(least, np.partition(order, len(b) - k, axis=1)[:, len(b) - k, None] - 2e-6)
+                i, j = np.nonzero(order >= least)
+                for o, x in zip(out, (ids_a[some][i], ids_b[j], s[i, j], np.sqrt(((a[some][i] - b[j]) ** 2).sum(1))), strict=True):
+                    o.append(x)
+        ids, values = (lambda o: pa.array(np.concatenate(o or [[]]), pa.int64())), (lambda o: pa.array(np.concatenate(o or [[]]), pa.float64(), from_pandas=False))
+        return pa.table({"query_id": ids(out[0]), "vec_id": ids(out[1]), "similarity": values(out[2]), "distance": values(out[3])})
+
+    keys = ["block", "part", "dim"]
+    found = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(best, "query_id long, vec_id long, similarity double, distance double")
+    scored = found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), F.round("distance", 6).alias("distance"))
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "distance", "vec_id")
     return scored.where(F.col("similarity") >= threshold).withColumn("k", F.row_number().over(w)).where(F.col("k") <= k)
 
 
 def text_search(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Documents that hold all words of a query, ranked by how often they hold them for their length.
+    """Documents that hold all words of a query, ranked by how often they hold them for their length; (query_id, query) and (doc_id, text).
 
-    Words meet in an equi-join of the query words with the documents' distinct
-    words; (query_id, query) and (doc_id, text).
+    A stated set of queries (QUERY_ROWS at the most) is broadcast, and each
+    document meets the queries whose rarest word it holds, where it lies: only
+    what is found is shuffled. Larger sets meet in an equi-join of the words.
     """
     words = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
-    q = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("w")).withColumn("n_words", F.size("w")).select("query_id", "n_words", F.explode("w").alias("word"))
-    d = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("length", F.size("w")).select("doc_id", "length", F.explode("w").alias("word"))
-    hits = d.groupBy("doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf")).join(q, "word")
-    g = hits.groupBy("query_id", "doc_id", "length", "n_words").agg(F.count(F.lit(1)).alias("found"), F.sum("tf").alias("tf")).where("found = n_words")
+    q = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("asked")).where(F.size("asked") > 0)
+    d = docs.select("doc_id", words(F.col("text")).alias("w"))
+    if q.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS:
+        one = lambda rows: F.broadcast(rows.agg(F.collect_set("word").alias("all")))
+        of_query = q.select("query_id", F.explode("asked").alias("word"))
+        df = d.crossJoin(one(of_query)).select(F.explode(F.array_intersect("w", "all")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+        # a query with a word that no document holds finds nothing, by any word
+        rare = of_query.join(df, "word", "left").groupBy("query_id").agg(F.min_by("word", F.struct(F.coalesce("df", F.lit(0)), "word")).alias("word"))
+        rare = staged(rare.join(q, "query_id"), "rare")
+        seeds = d.crossJoin(one(rare)).select("doc_id", "w", F.explode(F.array_intersect("w", "all")).alias("word"))
+        hits = seeds.join(F.broadcast(rare), "word").where(F.size(F.array_except("asked", "w")) == 0)
+        g = hits.select("query_id", "doc_id", F.size("w").alias("length"), F.size(F.filter("w", lambda x: F.array_contains("asked", x))).cast("long").alias("tf"))
+    else:
+        q = q.select("query_id", F.size("asked").alias("n_words"), F.explode("asked").alias("word"))
+        d = d.withColumn("length", F.size("w")).select("doc_id", "length", F.explode("w").alias("word"))
+        hits = d.groupBy("doc_id", "length", "word").agg(F.count(F.lit(1)).alias("tf")).join(q, "word")
+        g = hits.groupBy("query_id", "doc_id", "length", "n_words").agg(F.count(F.lit(1)).alias("found"), F.sum("tf").alias("tf")).where("found = n_words")
     g = g.withColumn("rank", F.round(F.col("tf") / F.sqrt("length"), 6))
     w = Window.partitionBy("query_id").orderBy(F.desc("rank"), "doc_id")
     return g.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("query_id", "doc_id", "tf", "rank", "k")

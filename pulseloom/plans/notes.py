@@ -32,8 +32,8 @@ register_tables("txt_1_vector_search_approximate", _approximate)
 def _context(s, d):
     """The three best notes of each query, with their tags."""
     hits = X.vector_search(table(s, d, "embeddings").where("vec_id % 50 = 0"), table(s, d, "embeddings"), 3, 0.1)
-    tags = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), X.rule_tags(F.coalesce("text", F.lit(""))).alias("tags"))
-    return hits.join(tags, "vec_id").select("query_id", "vec_id", "similarity", F.array_join("tags", ",").alias("tags"))
+    notes = table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return hits.join(notes, "vec_id").select("query_id", "vec_id", "similarity", F.array_join(X.rule_tags(F.coalesce("text", F.lit(""))), ",").alias("tags"))
 
 
 TAGS_SQL = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(coalesce(text, '')), '{p}') THEN '{t}' END" for t, p in X.TAGS) + "], lambda x: x IS NOT NULL)[1:7]"

@@ -5,6 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from pulseloom.functions.stats import fixed
+from pulseloom.operators import text
 from pulseloom.operators.aggregates import KEYS, resample_hourly, resample_linear
 from pulseloom.operators.correlations import lagged_corr, partial_corr, pearson, spearman
 from pulseloom.operators.learning import motifs
@@ -96,3 +97,37 @@ def test_lagged_correlations_of_many_groups(spark):
     assert max(got, key=lambda k: got[k][1]) == (1, 5)
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" not in plan
+
+
+def test_vector_search_in_tiles(spark, monkeypatch):
+    """Many small tiles give what all pairs give, ties by id; vectors without length, with nulls, or of another length meet nothing."""
+    import numpy as np
+
+    monkeypatch.setattr(text, "TILE_QUERIES", 7)
+    monkeypatch.setattr(text, "TILE_ROWS", 40)
+    x = np.random.default_rng(4).normal(size=(150, 6))
+    x[20:26] = x[3]
+    rows = [(k, [float(v) for v in r]) for k, r in enumerate(x)] + [(200, [0.0] * 6), (201, None), (202, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (203, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = text.vector_search(df.where("vec_id % 5 = 0"), df, 4, 0.3)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in out.orderBy("query_id", "k").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for q in range(0, 150, 5):
+        s, d = (unit @ unit[q]).round(6), np.linalg.norm(x - x[q], axis=1).round(6)
+        assert got[q] == [int(i) for i in sorted(range(150), key=lambda i: (-s[i], d[i], i)) if s[i] >= 0.3][:4]
+    assert set(got) == {*range(0, 150, 5)}
+
+
+def test_text_search_shuffles_only_what_is_found(spark, monkeypatch):
+    """Both ways give the same rows; with few queries no words of documents are shuffled."""
+    rows = [(k, " ".join(w for i, w in enumerate(["sun", "moon", "sea", "wind", "sea"]) if k >> i & 1)) for k in range(32)] + [(40, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "Sea moon"), (2, "wind, wind sun sea"), (3, "absent sea"), (4, ""), (5, None)], "query_id long, query string")
+    few = text.text_search(queries, docs, 40)
+    assert "keys=[doc_id" not in few._jdf.queryExecution().executedPlan().toString()
+    few = sorted(few.collect())
+    monkeypatch.setattr(text, "QUERY_ROWS", 0)
+    assert few == sorted(text.text_search(queries, docs, 40).collect()) and {r.query_id for r in few} == {1, 2}
