@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from pulseloom.functions.stats import rounded_product
 from pulseloom.operators.aggregates import KEYS, r6
 from pulseloom.operators.learning import FEATURES, forecast_rows
 
@@ -93,7 +94,8 @@ def day_means(m: DataFrame, types: list[str]) -> DataFrame:
 def hotelling_by_person(m: DataFrame, types: list[str], limit: float = 0.997, least: int | None = None) -> DataFrame:
     """Hotelling's T2 of each day's means of ``types`` from the person's own centre and covariance, over the person's own limit.
 
-    The limit is a percentile of the person's distances. People with fewer than
+    The limit is a percentile of the person's distances; of few distances it often
+    ends in an exact half at the seventh digit, so that it is rounded as in SQL. People with fewer than
     ``least`` days that have all types (one more than types, unless given) have
     no rows; directions in which a person's days don't vary count for nothing
     (pseudo-inverse).
@@ -114,7 +116,7 @@ def hotelling_by_person(m: DataFrame, types: list[str], limit: float = 0.997, le
     inverse = own.mapInArrow(invert, f"user_id {kind}, n long, means array<double>, inverse array<double>")
     gap = [F.col(c) - F.col("means")[i] for i, c in enumerate(columns)]
     t2 = sum((gap[i] * gap[j] * F.col("inverse")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
-    scored = days.join(inverse, "user_id").select("user_id", "day", "n", r6(t2).alias("t2"))
-    limits = scored.groupBy("user_id").agg(r6(F.percentile("t2", F.lit(limit))).alias("limit"))
+    scored = days.join(inverse, "user_id").select("user_id", "day", "n", rounded_product(t2).alias("t2"))
+    limits = scored.groupBy("user_id").agg(rounded_product(F.percentile("t2", F.lit(limit))).alias("limit"))
     j = scored.join(limits, "user_id")
-    return j.select("user_id", "day", F.col("n").alias("days"), "t2", r6(F.sqrt(F.greatest("t2", F.lit(0.0)))).alias("distance"), "limit", (F.col("t2") > F.col("limit")).alias("is_anomaly"))
+    return j.select("user_id", "day", F.col("n").alias("days"), "t2", rounded_product(F.sqrt(F.greatest("t2", F.lit(0.0)))).alias("distance"), "limit", (F.col("t2") > F.col("limit")).alias("is_anomaly"))

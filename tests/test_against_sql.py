@@ -35,3 +35,12 @@ def test_sweeps_of_a_type_that_does_not_vary(spark, tmp_path, name):
     rows = flat + [(u, d, t, (d * k) % 7 + d * u) for u in (1, 2) for d in range(8) for k, t in ((3, "view"), (4, "error"), (5, "signup"))]
     got, want = both(spark, tmp_path, name, rows)
     assert got == want and len(got) > 1
+
+
+def test_limit_that_ends_in_a_half(spark, tmp_path):
+    """Two people of the larger tables whose percentile has a 5 at the seventh digit and nothing behind it."""
+    first = {4: ((102.04, 27.1), (214.69, 6.39)), 10: ((118.28,), (27.6,)), 17: ((50.93,), (158.97,)), 22: ((40.71,), (145.43,)), 29: ((3.05,), (38.57,))}
+    second = {3: ((7.81,), (315.88,)), 13: ((28.96, 85.99), (2.14,)), 14: ((6.9, 2.97), (36.53,)), 15: ((12.93,), (54.82,)), 17: ((57.81,), (16.01,)), 28: ((27.93,), (31.03,))}
+    rows = [(u, d, t, v) for u, days in ((1, first), (2, second)) for d, sides in days.items() for t, values in zip(("click", "view"), sides, strict=True) for v in values]
+    got, want = both(spark, tmp_path, "ano_3_hotelling_by_person", rows)
+    assert got == want and len(got) == 11
