@@ -9,19 +9,25 @@ from pulseloom.operators.aggregates import KEYS, r6
 from pulseloom.operators.density import dbscan
 from pulseloom.operators.trends import forecast_features
 from pulseloom.operators.windows import series
+from pulseloom.sources.shared import staged
 
 FEATURES = ["hour", "weekday", "hour_sin", "hour_cos", "weekday_sin", "weekday_cos", "lag_1", "lag_2", "lag_3"]
 
 
 def forecast_rows(m: DataFrame) -> DataFrame:
     """The rows of ``forecast_features`` that have all three lags, with their time, and the value as label."""
-    return forecast_features(m).join(m.select("event_id", "ts"), "event_id").dropna(subset=["lag_1", "lag_2", "lag_3"]).withColumn("label", F.col("value"))
+    return forecast_features(m, "ts").dropna(subset=["lag_1", "lag_2", "lag_3"]).withColumn("label", F.col("value"))
 
 
 def _split(m: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Feature rows with all lags, by time: the first four fifths of each series, and the rest."""
-    w = Window.partitionBy(*KEYS)
-    rows = forecast_rows(m).withColumn("place", F.percent_rank().over(w.orderBy("ts", "event_id")))
+    """Feature rows with all lags, by time: the first four fifths of each series, and the rest.
+
+    They are written once, behind one exchange by series, since a model reads them
+    many times; files for every core, as the rounds of a model cost more than reading.
+    """
+    dealt = m.repartition(4 * m.sparkSession.sparkContext.defaultParallelism, *KEYS)
+    rows = forecast_rows(dealt).withColumn("place", F.percent_rank().over(series()))
+    rows = staged(rows.select("metric_type", "label", *FEATURES, "place"), "features")
     return rows.where("place < 0.8"), rows.where("place >= 0.8")
 
 

@@ -197,12 +197,12 @@ def forecast_linear(m: DataFrame, h: int = 7, least: int = 5) -> DataFrame:
     return g.select(*KEYS, "step", f.alias("forecast"), (f - F.col("half")).alias("low"), (f + F.col("half")).alias("high"))
 
 
-def forecast_features(m: DataFrame) -> DataFrame:
-    """Calendar parts, their sines and cosines, and lags for each reading."""
+def forecast_features(m: DataFrame, *more: str) -> DataFrame:
+    """Calendar parts, their sines and cosines, and lags for each reading; further columns of it as named."""
     h, d = F.hour("ts"), F.weekday("ts")
     turn = lambda x, n, f: r6(f(x * (6.283185307179586 / n)))
     return m.select(
-        "event_id", *KEYS, "value", h.alias("hour"), d.alias("weekday"), F.dayofmonth("ts").alias("day"), F.month("ts").alias("month"),
+        "event_id", *KEYS, "value", *more, h.alias("hour"), d.alias("weekday"), F.dayofmonth("ts").alias("day"), F.month("ts").alias("month"),
         turn(h, 24, F.sin).alias("hour_sin"), turn(h, 24, F.cos).alias("hour_cos"), turn(d, 7, F.sin).alias("weekday_sin"), turn(d, 7, F.cos).alias("weekday_cos"),
         *[F.lag("value", k).over(series()).alias(f"lag_{k}") for k in (1, 2, 3, 7)],
     )
