@@ -35,13 +35,13 @@ def payload(m):
     kind = F.create_map(*[F.lit(x) for kv in AS_TYPE.items() for x in kv])
     v = F.struct(F.unix_seconds(F.col("ts").cast("timestamp")).alias("timestamp"), F.when(F.col("event_id") % 97 == 0, "abc").otherwise(F.col("value").cast("string")).alias("value"))
     which = F.when(F.col("metric_type") == "signup", F.pmod("event_id", F.lit(4))).alias("graph")
-    g = m.groupBy("user_id", F.to_date("ts").alias("day"), "metric_type", which).agg(F.collect_list(v).alias("values"))
+    g = m.groupBy("user_id", F.to_date("ts").alias("day"), "metric_type", which).agg(F.collect_list(v).alias("values"), F.max("value").alias("top"))
     # signups make the graphs of a sleep entry, one of the four by the number of the event
     graph = lambda k: F.when((F.col("metric_type") == "signup") & (F.col("graph") == k), F.struct(F.col("values").alias("data"))).alias(GRAPH_NAMES[k])
     none = F.lit(None)
     obj = F.struct(F.when(F.col("metric_type") != "signup", F.col("values")).alias("values"), *[graph(k) for k in range(4)], none.cast("string").alias("value"), none.cast("string").alias("score"), none.cast("bigint").alias("day_start_timestamp"))
-    g = g.select("user_id", "day", F.struct(F.coalesce(kind[F.col("metric_type")], F.lit("Sleep")).alias("type"), obj.alias("object")).alias("e"))
-    g = g.groupBy("user_id", "day").agg(F.collect_list("e").alias("metric_data"))
+    g = g.select("user_id", "day", F.struct(F.coalesce(kind[F.col("metric_type")], F.lit("Sleep")).alias("type"), obj.alias("object")).alias("e"), "top")
+    g = g.groupBy("user_id", "day").agg(F.collect_list("e").alias("metric_data"), F.max("top").alias("top"))
     at = F.unix_seconds(F.col("day").cast("timestamp"))
 
     def single(i, t):
@@ -49,8 +49,7 @@ def payload(m):
         o = F.struct(none.cast(g.schema["metric_data"].dataType.elementType["object"].dataType["values"].dataType).alias("values"), *[none.cast(g.schema["metric_data"].dataType.elementType["object"].dataType[c].dataType).alias(c) for c in GRAPH_NAMES], F.when(F.lit(t != "recovery"), v).alias("value"), F.when(F.lit(t == "recovery"), v).alias("score"), at.alias("day_start_timestamp"))
         return F.struct(F.lit(t).alias("type"), o.alias("object"))
 
-    days = m.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("top")).select("user_id", "day", F.array(*[single(i, t) for i, t in enumerate(SINGLE)]).alias("single"))
-    g = g.join(days, ["user_id", "day"]).withColumn("metric_data", F.concat("metric_data", "single"))
+    g = g.withColumn("metric_data", F.concat("metric_data", F.array(*[single(i, t) for i, t in enumerate(SINGLE)])))
     return g.select("user_id", F.to_json(F.struct(F.struct("metric_data").alias("data"))).alias("payload"))
 
 

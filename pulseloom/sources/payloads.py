@@ -49,11 +49,15 @@ def normalise_days(raw: DataFrame) -> DataFrame:
     summed = F.aggregate(F.transform("object.values", lambda v: F.coalesce(v.value.try_cast("double"), F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
     value = F.coalesce(number("object.score"), number("object.value"), F.when((F.col("kind") == "active_minutes") & (F.size("object.values") > 0), summed))
     field = F.create_map(*[F.lit(x) for kv in DAYS.items() for x in kv])[F.col("kind")]
-    single = e.select("user_id", F.to_date(F.timestamp_seconds("object.day_start_timestamp")).alias("day"), field.alias("field"), value.alias("value")).where("field IS NOT NULL AND day IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
-    series = normalise_series(raw).select("user_id", F.to_date("ts").alias("day"), F.concat(F.lit("series of "), "metric_type").alias("field"), "value")
+    one = lambda at, field, value: F.struct(F.to_date(F.timestamp_seconds(at)).alias("day"), field.alias("field"), value.alias("value"))
+    single = one(F.col("object.day_start_timestamp"), field, value)
+    # a payload is parsed once: an entry gives its single value and those of its series
+    readings = F.transform("object.values", lambda v: one(v.timestamp, F.concat(F.lit("series of "), _map(TYPES, 0)[F.col("kind")]), v.value.try_cast("double")))
+    rows = e.select("user_id", F.explode(F.concat(F.array(single), F.coalesce(readings, F.array().cast("array<struct<day:date,field:string,value:double>>")))).alias("r"))
+    rows = rows.select("user_id", "r.*").where("field IS NOT NULL AND day IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)")
     of = lambda f: F.when(F.col("field") == f, F.col("value"))
     mean = lambda t: F.round(F.avg(of(f"series of {t}")), 6)
-    return series.unionByName(single).groupBy("user_id", "day").agg(
+    return rows.groupBy("user_id", "day").agg(
         mean("heart_rate").alias("resting_heart_rate"), mean("hrv").alias("hrv"), mean("skin_temperature").alias("skin_temperature"), F.round(F.sum(of("series of steps")), 6).alias("steps"),
         *[F.round(F.max(of(f)), 6).alias(f) for f in DAY_FIELDS],
     )
