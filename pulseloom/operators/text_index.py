@@ -14,6 +14,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from pulseloom.sources.shared import staged
+
 #: Document ids of a part.
 PART_DOCS = 1 << 20
 #: What a cover of adjacent words counts.
@@ -73,8 +75,13 @@ class TextIndex:
         """
         postings = self.spark.table(self.name)
         asked = queries.select("query_id", F.array_distinct(words(F.col("query"))).alias("w")).withColumn("n", F.size("w")).select("query_id", "n", F.posexplode("w").alias("number", "word"))
-        asked = asked.join(postings.select("word", "part").distinct(), "word")
-        found = asked.join(postings, ["word", "part"])
+        # a document that holds all words holds the rarest one: its postings name the candidates of a query, and only theirs are looked up
+        known = postings.join(asked.select("word").distinct(), "word", "left_semi")
+        sizes = known.groupBy("word").agg(F.count(F.lit(1)).alias("size"))
+        own = Window.partitionBy("query_id")
+        asked = staged(asked.join(sizes, "word").withColumn("held", F.count(F.lit(1)).over(own)).where("held = n").withColumn("place", F.row_number().over(own.orderBy("size", "word"))).drop("held", "size"), "asked")
+        candidates = asked.where("place = 1").select("query_id", "word").join(known.select("word", "part", "doc_id"), "word").select("query_id", "part", "doc_id").distinct()
+        found = candidates.join(asked, "query_id").join(known, ["word", "part", "doc_id"])
         hits = F.transform("positions", lambda p: F.struct(p.alias("p"), F.col("number").alias("w")))
         g = found.groupBy("query_id", "doc_id").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("found"), F.array_sort(F.flatten(F.collect_list(hits))).alias("hits")).where("found = n")
         kind = queries.schema["query_id"].dataType.simpleString()
