@@ -77,3 +77,23 @@ def test_components(spark):
             root[y] = x
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in root}
+
+
+def test_rows_written_grow_with_the_points(spark, monkeypatch):
+    """Where thousands of cells are near each other, no pairs of them are made; blocks of boxes give the same."""
+    written = {}
+
+    def counted(df, name):
+        out = staged(df, name)
+        written[name] = out.count()
+        return out
+
+    staged = density.staged
+    monkeypatch.setattr(density, "staged", counted)
+    monkeypatch.setattr(density, "OWN_BLOCK", 400, raising=False)
+    monkeypatch.setattr(density, "OTHER_BLOCK", 900, raising=False)
+    x = np.random.default_rng(8).normal(0, 0.5, (1500, 5))
+    x[:500, :3] = 0.0
+    want = check(spark, dict(enumerate(x.tolist())), 0.5, 5, 5)
+    assert {core for core, _ in want.values()} == {True, False}
+    assert max(written.values()) < 8 * len(x), written
