@@ -14,6 +14,8 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Event time of which the events of a key are held together until the watermark has passed it.
 SLOT_MINUTES = 15
+#: Answers of a key that are given at once.
+ANSWERS = 10_000
 
 
 @contextlib.contextmanager
@@ -30,10 +32,11 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
 class Limiter(StatefulProcessor):
     """Per key: the open window (start, count), and slots of events that the watermark hasn't passed.
 
-    An event waits in the slot of its time, in the state store; the slot's timer
-    fires when nothing earlier can come any more. Its events are then sorted and
-    counted, so what one call holds is a slot of a key. A window that has ended
-    is dropped by a timer of its own.
+    An event waits in the slot of its time, in the state store. A timer of the
+    earliest slot fires when nothing earlier can come any more; that call takes
+    all slots that the watermark has passed, one after another, so what it holds
+    is a slot of a key and some answers. A window that has ended is dropped then,
+    or by a timer of its own.
     """
 
     def __init__(self, limits: dict[str, int], hours: int, slot_minutes: int = SLOT_MINUTES):
@@ -45,21 +48,25 @@ class Limiter(StatefulProcessor):
         self.slots = handle.getMapState("slots", "slot long", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        earliest = None
         for pdf in rows:
             t, ids = pdf["t"].to_numpy(np.int64), pdf["event_id"].to_numpy(np.int64)
             of = t // 1000 // self.slot
             for slot in np.unique(of):
                 own = np.stack([t[of == slot], ids[of == slot]], 1).tobytes()
-                held = self.slots.getValue((int(slot),)) if self.slots.containsKey((int(slot),)) else None
+                held = self.slots.getValue((int(slot),))
                 self.slots.updateValue((int(slot),), ((bytes(held[0]) if held else b"") + own,))
-                if held is None:
-                    self.handle.registerTimer(int(slot + 1) * self.slot)
+                earliest = int(slot) if earliest is None else min(earliest, int(slot))
+        if earliest is not None:
+            self.handle.registerTimer((earliest + 1) * self.slot)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        now = int(expiredTimerInfo.getExpiryTimeInMs())
-        due = sorted(k[0] for k in self.slots.keys() if (k[0] + 1) * self.slot <= now)  # noqa: SIM118
+        now = max(int(expiredTimerInfo.getExpiryTimeInMs()), int(timerValues.getCurrentWatermarkInMs()))
+        held = sorted(k[0] for k in self.slots.keys())  # noqa: SIM118
+        due = [k for k in held if (k + 1) * self.slot <= now]
         start, count = self.window.get() if self.window.exists() else (None, 0)
+        most, ids, answers, waiting = self.limits.get(key[1], min(self.limits.values())), [], [], 0
         for slot in due:
             events = np.frombuffer(bytes(self.slots.getValue((slot,))[0]), np.int64).reshape(-1, 2)
             self.slots.removeKey((slot,))
@@ -68,15 +75,22 @@ class Limiter(StatefulProcessor):
             for i, t in enumerate(events[:, 0].tolist()):
                 if start is None or t - start >= self.span:
                     start, count = t, 0
-                    self.handle.registerTimer((t + self.span) // 1000 + 2 * self.slot)
                 count += 1
-                passed[i] = count <= self.limits.get(key[1], min(self.limits.values()))
-            yield pd.DataFrame({"who": key[0], "severity": key[1], "event_id": events[:, 1], "passed": passed})
+                passed[i] = count <= most
+            ids.append(events[:, 1])
+            answers.append(passed)
+            waiting += len(events)
+            if waiting >= ANSWERS or slot == due[-1]:
+                yield pd.DataFrame({"who": key[0], "severity": key[1], "event_id": np.concatenate(ids), "passed": np.concatenate(answers)})
+                ids, answers, waiting = [], [], 0
+        if len(held) > len(due):
+            self.handle.registerTimer((held[len(due)] + 1) * self.slot)
         if start is not None:
-            if now * 1000 - start >= self.span and not due:
+            if now * 1000 - start >= self.span + self.slot * 1000:  # what is still held is no older than a slot
                 self.window.clear()
-            else:
+            elif due:
                 self.window.update((start, count))
+                self.handle.registerTimer((start + self.span) // 1000 + 2 * self.slot)
 
     def close(self) -> None:
         pass
