@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from pulseloom.functions.stats import corr, rounded_product
@@ -45,17 +49,59 @@ def clock(hour: Column) -> Column:
     return F.concat(F.lpad(F.floor(minutes / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"))
 
 
+def means_in_order(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Per person: nights, and mean and spread of ``columns`` as one pass in the order of event_id (if there is one) gives them.
+
+    Means of hours of six digits often end in an exact half at the seventh, which the order of a sum moves up or down.
+    Rows come sorted and are folded as they pass, so that no person's rows are gathered.
+    """
+    kind = rows.schema["user_id"].dataType.simpleString()
+    names = [f"{c}_{what}" for c in columns for what in ("mean", "spread")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        user = nights = state = None
+
+        def row() -> tuple:
+            return user, nights, *(v for n, total, _, squares in state for v in ((total / n, math.sqrt(squares / n)) if n else (None, None)))
+
+        for batch in batches:
+            out = []
+            for key, *values in zip(*(batch.column(c).to_pylist() for c in ["user_id", *columns]), strict=True):
+                if state is None or key != user:
+                    if state is not None:
+                        out.append(row())
+                    user, nights, state = key, 0, [(0, 0.0, 0.0, 0.0) for _ in columns]
+                nights += 1
+                for k, v in enumerate(values):
+                    if v is not None:
+                        n, total, mean, squares = state[k]
+                        after = mean + (v - mean) / (n + 1)
+                        state[k] = n + 1, total + v, after, squares + (v - after) * (v - mean)
+            yield table(out, batch.schema.field("user_id").type)
+        if state is not None:
+            yield table([row()], batch.schema.field("user_id").type)
+
+    def table(out: list[tuple], key: pa.DataType) -> pa.RecordBatch:
+        kinds = [key, pa.int64(), *[pa.float64()] * len(names)]
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=["user_id", "nights", *names])
+
+    order = [c for c in ("event_id",) if c in rows.columns]
+    dealt = rows.select("user_id", *order, *columns).repartition("user_id").sortWithinPartitions("user_id", *order).select("user_id", *columns)
+    return dealt.mapInArrow(fold, f"user_id {kind}, nights long, " + ", ".join(f"{n} double" for n in names))
+
+
 def sleep_schedule(rows: DataFrame) -> DataFrame:
-    """(user_id, bed_hour, wake_hour): plain means, spreads, and times as text."""
-    g = rows.groupBy("user_id").agg(F.avg("bed_hour").alias("b"), F.avg("wake_hour").alias("w"), r6(F.stddev_pop("bed_hour")).alias("bed_spread"), r6(F.stddev_pop("wake_hour")).alias("wake_spread"), F.count(F.lit(1)).alias("nights"))
-    b, w = rounded_product(F.col("b")), rounded_product(F.col("w"))
-    return g.select("user_id", "nights", b.alias("bed_mean"), w.alias("wake_mean"), "bed_spread", "wake_spread", clock(b).alias("bed_clock"), clock(w).alias("wake_clock"))
+    """(user_id, bed_hour, wake_hour, event_id if sums have an order): plain means, spreads, and times as text."""
+    g = means_in_order(rows, ["bed_hour", "wake_hour"])
+    b, w, bs, ws = (rounded_product(F.col(c)) for c in ("bed_hour_mean", "wake_hour_mean", "bed_hour_spread", "wake_hour_spread"))
+    return g.select("user_id", "nights", b.alias("bed_mean"), w.alias("wake_mean"), bs.alias("bed_spread"), ws.alias("wake_spread"), clock(b).alias("bed_clock"), clock(w).alias("wake_clock"))
 
 
 def bedtime_mean(rows: DataFrame) -> DataFrame:
-    """(user_id, bed_hour): mean with hours before noon counted as of the night before, modulo 24."""
+    """(user_id, bed_hour, event_id if sums have an order): mean with hours before noon counted as of the night before, modulo 24."""
     shifted = F.when(F.col("bed_hour") < 12, F.col("bed_hour") + 24).otherwise(F.col("bed_hour"))
-    return rows.groupBy("user_id").agg(rounded_product(F.pmod(F.avg(shifted), F.lit(24.0))).alias("bed_mean"), F.count(F.lit(1)).alias("nights"))
+    g = means_in_order(rows.withColumn("shifted", shifted), ["shifted"])
+    return g.select("user_id", rounded_product(F.pmod(F.col("shifted_mean"), F.lit(24.0))).alias("bed_mean"), "nights")
 
 
 def stage_card(m: DataFrame, since: str) -> DataFrame:

@@ -36,7 +36,7 @@ BED = "bd AS (SELECT user_id, round(hour(ts) + minute(ts) / 60, 6) AS bed_hour,
 
 def _beds(m):
     h = F.hour("ts") + F.minute("ts") / 60
-    return m.where("metric_type = 'signup'").select("user_id", r6(h).alias("bed_hour"), r6((h + 8) % 24).alias("wake_hour"))
+    return m.where("metric_type = 'signup'").select("user_id", "event_id", r6(h).alias("bed_hour"), r6((h + 8) % 24).alias("wake_hour"))
 
 
 CLOCK = "lpad((floor(floor(round({c}, 6) * 60 + 1e-9) / 60))::INT::VARCHAR, 2, '0') || ':' || lpad((floor(round({c}, 6) * 60 + 1e-9)::BIGINT % 60)::VARCHAR, 2, '0')"
