@@ -32,6 +32,22 @@ def rounded_product(x: Column, digits: int = 6) -> Column:
     return F.round(x * 10.0**digits) / 10.0**digits
 
 
+def halves(x: Column) -> tuple[Column, Column]:
+    """x as the sum of two numbers of 26 bits at most, whose products are exact."""
+    c = 134217729.0 * x
+    high = c - (c - x)
+    return high, x - high
+
+
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c with one rounding, as a fused multiply-add gives it (but for sums whose error lies within 2^-50 of a half of it)."""
+    p, (ah, al), (bh, bl) = a * b, halves(a), halves(b)
+    s = p + c
+    rest = s - p
+    error = ((p - (s - rest)) + (c - rest)) + (((ah * bh - p) + ah * bl + al * bh) + al * bl)
+    return F.when(F.abs(a) + F.abs(b) + F.abs(s) < 1e150, s + error).otherwise(s)
+
+
 def fixed(x: Column, digits: int) -> Column:
     """Text of x with so many digits behind the point, rounded by the exact binary value (a half to even), as C and DuckDB do.
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulseloom.functions.stats import rounded_product
+from pulseloom.functions.stats import fused, rounded_product
 from pulseloom.operators.aggregates import KEYS, r6
 from pulseloom.operators.learning import FEATURES, forecast_rows
 
@@ -91,32 +91,45 @@ def day_means(m: DataFrame, types: list[str]) -> DataFrame:
     return wide.dropna(subset=[f"v{k}" for k in range(len(types))])
 
 
-def hotelling_by_person(m: DataFrame, types: list[str], limit: float = 0.997, least: int | None = None) -> DataFrame:
+#: Part of the squares that a column was made from below which the squares left of it are rounding: well above the square of 2^-53, and below what readings of a few digits leave.
+ROUNDING = 1e-27
+
+
+def hotelling_by_person(m: DataFrame, types: list[str], limit: float = 0.997, least: int | None = None, spanned: bool = False) -> DataFrame:
     """Hotelling's T2 of each day's means of ``types`` from the person's own centre and covariance, over the person's own limit.
 
-    The limit is a percentile of the person's distances; of few distances it often
-    ends in an exact half at the seventh digit, so that it is rounded as in SQL. People with fewer than
-    ``least`` days that have all types (one more than types, unless given) have
-    no rows; directions in which a person's days don't vary count for nothing
-    (pseudo-inverse).
+    T2 is n - 1 times the sum of squares of the day's place in the person's days as orthogonal columns, made one after another
+    (modified Gram-Schmidt): a covariance would square the condition of days that lie nearly on a line. Directions in
+    which a person's days don't vary count for nothing (pseudo-inverse); if ``spanned``, a person with such a direction
+    has NaN, as 0 / 0 in SQL. People with fewer than ``least`` days that have all types (one more than types, unless
+    given) have no rows. The limit is a percentile of the person's distances; of few distances it often ends in
+    an exact half at the seventh digit, so that it is interpolated with one rounding and rounded as in SQL.
     """
     k = len(types)
     least = k + 1 if least is None else least
-    columns = [f"v{i}" for i in range(k)]
-    days = day_means(m, types)
-    own = days.groupBy("user_id").agg(*moments(columns, sample=True)).where(F.col("n") >= least)
-
-    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cov = square(batch.column("cov").to_pylist(), k)
-            inverse = np.linalg.pinv(cov, rcond=1e-10, hermitian=True).reshape(len(cov), k * k)
-            yield pa.RecordBatch.from_arrays([batch.column("user_id"), batch.column("n"), batch.column("means"), pa.array(inverse.tolist(), pa.list_(pa.float64()))], names=["user_id", "n", "means", "inverse"])
-
-    kind = own.schema["user_id"].dataType.simpleString()
-    inverse = own.mapInArrow(invert, f"user_id {kind}, n long, means array<double>, inverse array<double>")
-    gap = [F.col(c) - F.col("means")[i] for i, c in enumerate(columns)]
-    t2 = sum((gap[i] * gap[j] * F.col("inverse")[i * k + j] for i in range(k) for j in range(k)), F.lit(0.0))
-    scored = days.join(inverse, "user_id").select("user_id", "day", "n", rounded_product(t2).alias("t2"))
-    limits = scored.groupBy("user_id").agg(rounded_product(F.percentile("t2", F.lit(limit))).alias("limit"))
-    j = scored.join(limits, "user_id")
+    w = Window.partitionBy("user_id").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    left = [f"v{i}" for i in range(k)]
+    over = lambda columns: {name: c.over(w) for name, c in columns.items()}
+    days = day_means(m.where("user_id IS NOT NULL"), types).withColumns(over({"n": F.count(F.lit(1)), **{f"m{i}": F.avg(c) for i, c in enumerate(left)}, **{f"raw{i}": F.sum(F.col(c) * F.col(c)) for i, c in enumerate(left)}})).where(F.col("n") >= least)
+    days = days.withColumns({c: F.col(c) - F.col(f"m{i}") for i, c in enumerate(left)})
+    for i, c in enumerate(left):
+        days = days.withColumns(over({f"s{j}": F.sum(F.col(c) * F.col(left[j])) for j in range(i, k)}))
+        none = F.col(f"s{i}") <= ROUNDING * F.col(f"raw{i}")
+        share = lambda x, of=f"s{i}", none=none: F.when(none, 0.0).otherwise(x / F.when(~none, F.col(of)))
+        rest = {}
+        for j in range(i + 1, k):
+            slope = share(F.col(f"s{j}"))
+            rest |= {left[j]: F.col(left[j]) - slope * F.col(c), f"raw{j}": F.col(f"raw{j}") + slope * slope * F.col(f"raw{i}")}
+        days = days.withColumns({f"square{i}": share(F.col(c) * F.col(c)), f"none{i}": none, **rest})
+    t2 = (F.col("n") - 1) * sum((F.col(f"square{i}") for i in range(k)), F.lit(0.0))
+    if spanned:
+        t2 = F.when(F.greatest(*[F.col(f"none{i}") for i in range(k)], F.lit(False)), float("nan")).otherwise(t2)
+    scored = days.select("user_id", "day", "n", rounded_product(t2).alias("t2"))
+    at = (F.col("n") - 1) * F.lit(limit)
+    scored = scored.withColumn("k", F.row_number().over(Window.partitionBy("user_id").orderBy("t2", "day")) - 1)
+    whole = Window.partitionBy("user_id")
+    scored = scored.withColumns({"low": F.max(F.when(F.col("k") == F.floor(at), F.col("t2"))).over(whole), "high": F.max(F.when(F.col("k") == F.ceil(at), F.col("t2"))).over(whole)})
+    part = at - F.floor(at)
+    found = F.when(part == 0, F.col("low")).otherwise(fused(F.col("low"), 1 - part, F.col("high") * part))
+    j = scored.withColumn("limit", rounded_product(found))
     return j.select("user_id", "day", F.col("n").alias("days"), "t2", rounded_product(F.sqrt(F.greatest("t2", F.lit(0.0)))).alias("distance"), "limit", (F.col("t2") > F.col("limit")).alias("is_anomaly"))

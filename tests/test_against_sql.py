@@ -60,3 +60,26 @@ def test_means_that_end_in_a_half(spark, tmp_path, name):
     found = duck.execute(registry.ORACLES[name])
     names = [d[0] for d in found.description]
     assert sorted(map(tuple, df.collect())) == sorted(tuple(r[names.index(c)] for c in df.columns) for r in found.fetchall())
+
+
+def test_days_nearly_on_a_line(spark, tmp_path):
+    """A person of the larger tables whose three days lie nearly on a line: each distance is 4/3, as of any three days that aren't on one."""
+    rows = [(1, d, t, v) for d, *sides in ((3, 189.57, 37.88), (19, 21.26, 62.72), (23, 56.89, 57.46)) for t, v in zip(("click", "view"), sides, strict=True)]
+    got, want = both(spark, tmp_path, "ano_3_hotelling_by_person", rows)
+    assert got == want and len(got) == 3 and {r[3] for r in got} == {1.333333}
+
+
+def test_limit_between_two_distances(spark, tmp_path):
+    """Two people of the larger tables whose limit ends in a half only if it is interpolated with one rounding."""
+    first = {6: ((94.11,), (62.93, 91.04)), 14: ((161.97,), (18.77,)), 23: ((104.87, 29.21), (55.47,)), 28: ((57.1,), (4.34,))}
+    second = {2: ((26.09, 22.28), (43.56,)), 6: ((24.9,), (48.39,)), 10: ((12.54,), (21.41,)), 24: ((54.1, 77.27), (72.29,)), 27: ((164.99,), (71.22, 82.86))}
+    rows = [(u, d, t, v) for u, days in ((1, first), (2, second)) for d, sides in days.items() for t, values in zip(("click", "view"), sides, strict=True) for v in values]
+    got, want = both(spark, tmp_path, "ano_3_hotelling_by_person", rows)
+    assert got == want and len(got) == 9
+
+
+def test_days_on_a_line(spark, tmp_path):
+    """A person whose clicks never vary, and one whose days are all on a line, have no number in SQL; others keep theirs."""
+    rows = [(u, d, t, v) for u, f in ((1, lambda d: (5, d * d)), (2, lambda d: (d, d + 1)), (3, lambda d: (d, d * d))) for d in range(3) for t, v in zip(("click", "view"), f(d), strict=True)]
+    got, want = both(spark, tmp_path, "ano_3_hotelling_by_person", rows)
+    assert list(map(str, got)) == list(map(str, want)) and [r[3] == r[3] for r in got] == [False] * 6 + [True] * 3
