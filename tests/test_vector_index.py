@@ -52,3 +52,45 @@ def test_hot_codes_appends_and_odd_rows(spark, tmp_path, monkeypatch):
     assert index.search(df.where("vec_id >= 200")).count() == 0
     empty = vi.HyperplaneIndex.build(df.limit(0), str(tmp_path / "none"), buckets=2)
     assert empty.search(query).count() == 0
+
+
+@pytest.mark.parametrize(("bits", "nearest"), [(13, (0.538, 0.495, 0.483, 0.475, 0.469, 0.464, 0.46, 0.456, 0.453)), (16, (0.596, 0.538, 0.525, 0.518, 0.512, 0.508, 0.504, 0.5, 0.498))])
+def test_codes_to_look_up_on_larger_tables(bits, nearest):
+    """Vectors as near as the best of 51,282 and of 615,000 are in the codes looked up, nine times of ten."""
+    rng = np.random.default_rng(9)
+    normals = vi.planes(16, bits, 64, 7)
+    found = []
+    for _ in range(100):
+        q, *others = rng.normal(size=(1 + len(nearest), 64))
+        q /= np.linalg.norm(q)
+        looked = vi.probes(vi.projections(q[None], normals)[0], vi.enough(bits), vi.most_flips(bits) if hasattr(vi, "most_flips") else 3)
+        for c, o in zip(nearest, others, strict=True):
+            o -= (o @ q) * q
+            own = vi.codes(vi.projections((c * q + np.sqrt(1 - c * c) * o / np.linalg.norm(o))[None], normals))[0]
+            found.append(any(own[t] in looked[t] for t in range(16)))
+    assert np.mean(found) >= 0.9, np.mean(found)
+
+
+def test_parts_give_the_best_of_all_candidates(spark, tmp_path, monkeypatch):
+    """Many small parts, blocks and cuts rank what all candidates rank, ties by distance and id; no pairs of a query and a vector are shuffled but the best of a part."""
+    for name, value in (("PER_SPLIT", 50), ("PER_PART", 3000), ("PER_BLOCK", 500), ("PER_CUT", 200)):
+        monkeypatch.setattr(vi, name, value, raising=False)
+    x = np.random.default_rng(3).normal(size=(1500, 8)).round(2)
+    x[::3], x[1::30] = x[0], 2 * x[0]  # many copies, some of them twice as long
+    vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    index = vi.HyperplaneIndex.build(vectors, str(tmp_path / "index"), tables=4, bits=5, buckets=2)
+    queries = vectors.where("vec_id % 50 = 0")
+    found = index.search(queries, 6, 0.2, 4)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "k").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.k))
+    kept = {}
+    for r in index.candidates(queries, 4).collect():
+        kept.setdefault(r.query_id, set()).add(r.vec_id)
+    stored = x.astype(np.float32).astype(float)
+    unit = stored / np.linalg.norm(stored, axis=1)[:, None]
+    assert set(got) == {*range(0, 1500, 50)}
+    for q in got:
+        s, d = (unit @ unit[q]).round(6), np.linalg.norm(stored - stored[q], axis=1).round(6)
+        assert got[q] == [(int(i), k + 1) for k, i in enumerate(sorted((i for i in kept[q] if s[i] >= 0.2), key=lambda i: (-s[i], d[i], i))[:6])]
